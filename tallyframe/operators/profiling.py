@@ -23,10 +23,10 @@ def comparable(df: DataFrame, name: str) -> Column:
 
 
 def column_profile(df: DataFrame, columns: list[str] | None = None, distinct: str = "exact",
-                   dates: bool = False) -> DataFrame:
+                   dates: list[str] = ()) -> DataFrame:
     """One row per column: position, column, dtype, family, total, non_null, distinct_count, whole, parsed.
 
-    ``whole``: every number is an integer. ``parsed``: values that read as dates (text, only if asked for).
+    ``whole``: every number is an integer. ``parsed``: values that read as dates, for the text columns in ``dates``.
     ``distinct``: exact, approx (HyperLogLog) or none.
     """
     columns = columns or data_columns(df)
@@ -40,7 +40,7 @@ def column_profile(df: DataFrame, columns: list[str] | None = None, distinct: st
             aggs.append(count_distinct(comparable(df, c)).alias(f"d{i}"))
         if C.is_numeric(dtype):
             aggs.append(F.bool_and(F.pmod(value.cast("double"), F.lit(1.0)) == 0).alias(f"w{i}"))
-        if dates and C.is_text(dtype):
+        if c in dates and C.is_text(dtype):
             aggs.append(F.count(parse_datetime(df, c)).alias(f"p{i}"))
     one = df.agg(*aggs)
     have = set(one.columns)
@@ -64,13 +64,9 @@ def column_profile(df: DataFrame, columns: list[str] | None = None, distinct: st
     ])
 
 
-def with_name_flags(profile: DataFrame, columns: list[str], **flags) -> DataFrame:
-    """Add boolean columns decided by a test on the column's name (known at plan time)."""
-    out = profile
-    for flag, test in flags.items():
-        hits = [c for c in columns if test(c)]
-        out = out.withColumn(flag, F.col("column").isin(hits) if hits else F.lit(False))
-    return out
+def pinned(rows: DataFrame) -> DataFrame:
+    """A result with one row per column, fetched once so that later steps do not scan the data again."""
+    return rows.sparkSession.createDataFrame(rows.collect(), rows.schema)
 
 
 def missing_count() -> Column:

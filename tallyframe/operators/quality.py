@@ -13,9 +13,10 @@ from tallyframe.operators.roles import parse_share
 def missing_summary(df: DataFrame) -> DataFrame:
     """column, dtype, missing_count, missing_pct, recommendation; most missing first."""
     cols = P.data_columns(df)
-    prof = P.column_profile(df, distinct="none", dates=True)
+    named = [c for c in cols if N.has_hint(c, N.DATE_NAME_HINTS)]
+    prof = P.column_profile(df, distinct="none", dates=named)
     ratio = F.coalesce(F.try_divide(P.missing_count(), F.col("total")), F.lit(0.0))
-    hinted = F.col("column").isin([c for c in cols if N.has_hint(c, N.DATE_NAME_HINTS)] or [""])
+    hinted = F.col("column").isin(named) if named else F.lit(False)
     date_like = (F.col("family") == "datetime") | (hinted & (parse_share() >= 0.8))
     advice = (
         F.when(ratio >= 0.8, "drop_column")

@@ -36,9 +36,9 @@ def parse_share() -> Column:
 def detect_types(df: DataFrame) -> DataFrame:
     """column, dtype, detected: numeric | datetime | categorical | text | other."""
     cols = P.data_columns(df)
-    prof = P.column_profile(df, dates=True)
     dates = C.columns_where(df, C.is_datetime)
     texts, bools = C.columns_where(df, C.is_text), C.columns_where(df, C.is_bool)
+    prof = P.column_profile(df, dates=texts)
     numbers = C.columns_where(df, C.is_numeric)
     hinted = _flag(cols, lambda c: N.has_hint(c, N.DETECT_DATE_NAME_HINTS))
     few = (F.col("distinct_count") <= 50) | (C.percent(F.col("distinct_count"), F.col("non_null")) <= 20)
@@ -65,7 +65,7 @@ def date_like_columns(df: DataFrame, confirmed: dict[str, str] | None = None) ->
     """column, source: confirmed | dtype | values (name hint and at least 80 % of non-null values parse)."""
     confirmed = confirmed or {}
     cols = P.data_columns(df)
-    prof = P.column_profile(df, distinct="none", dates=True)
+    prof = P.column_profile(df, distinct="none", dates=[c for c in cols if N.has_hint(c, N.DATE_NAME_HINTS)])
     source = (
         F.when(_flag(cols, lambda c: confirmed.get(c) == "date"), "confirmed")
         .when(F.col("family") == "datetime", "dtype")
@@ -74,12 +74,13 @@ def date_like_columns(df: DataFrame, confirmed: dict[str, str] | None = None) ->
     return prof.select("column", source.alias("source")).filter("source IS NOT NULL")
 
 
-def infer_field_mapping(df: DataFrame, confirmed: dict[str, str] | None = None) -> DataFrame:
+def infer_field_mapping(df: DataFrame, confirmed: dict[str, str] | None = None,
+                        profile: DataFrame | None = None) -> DataFrame:
     """column, dtype, inferred_type, confidence, reason, confirmed_type; the first rule that fits wins."""
     confirmed = {c: t for c, t in (confirmed or {}).items() if t in FIELD_TYPES}
     cols = P.data_columns(df)
-    prof = P.column_profile(df)
-    texts = [c for c in C.columns_where(df, C.is_text) if c in cols]
+    prof = P.column_profile(df) if profile is None else profile
+    texts = [c for c in C.columns_where(df, C.is_text) if c in cols and not N.has_hint(c, N.MAP_DATE_HINTS)]
     prof = prof.join(F.broadcast(_sampled_date_share(df, texts)), "column", "left")  # one row per column
 
     numeric = F.col("family") == "numeric"
@@ -147,7 +148,7 @@ def identifier_strict(df: DataFrame) -> DataFrame:
 def identifier_wide(df: DataFrame, manual_ids=(), manual_non_ids=()) -> DataFrame:
     """Any id substring or nearly unique values; (automatic + manual) - manual exclusions."""
     cols = P.data_columns(df)
-    prof = P.column_profile(df, dates=True)
+    prof = P.column_profile(df, dates=[c for c in cols if N.has_hint(c, N.DATE_NAME_HINTS)])
     by_name = _flag(cols, lambda c: N.has_hint(c, N.WIDE_ID_HINTS))
     measure = _flag(cols, lambda c: N.has_hint(c, N.WIDE_MEASURE_HINTS))
     date_like = (F.col("family") == "datetime") | (
