@@ -10,6 +10,7 @@ from tallyframe.functions import columns as C, periods as D
 from tallyframe.functions.growth import growth_fraction, growth_percent, share_percent
 from tallyframe.functions.parsing import parse_datetime
 from tallyframe.operators.query import filter_recent_months
+from tallyframe.operators.ranking import with_global_order
 
 METRICS = ("amount", "orders", "customers", "unit_price")
 GROWTH_CANDIDATES = 50  # dimension values considered when a growth ranking has a limit
@@ -96,14 +97,13 @@ def period_dashboard(current: DataFrame, date: str, unit: str, fields: Fields,
     history = current if history is None else history
     last = dated(current, date, unit).agg(F.max("_period")).scalar()
     past = dated(history, date, unit)
-    at = {"cur": last, "prev": D.shift(last, -1, unit), "ago": D.shift(last, -D.YEAR_BACK[unit], unit)}
-    tag = F.coalesce(*[F.when(F.col("_period") == p, k) for k, p in at.items()])
-    wanted = past.withColumn("_tag", tag).filter("_tag IS NOT NULL")
-    per_tag = wanted.groupBy("_tag", "_period").agg(*all_metrics(wanted, fields))  # at most three rows
+    back = {"cur": 0, "prev": -1, "ago": -D.YEAR_BACK[unit]}
+    wanted = past.filter(F.col("_period").isin(*[D.shift(last, n, unit) for n in back.values()]))
+    per = wanted.groupBy("_period").agg(*all_metrics(wanted, fields)).withColumn("_last", last)  # at most three rows
     names = _present_metrics(fields)
-    wide = per_tag.agg(
-        F.max(F.when(F.col("_tag") == "cur", F.col("_period"))).alias("period"),
-        *[F.max(F.when(F.col("_tag") == t, F.col(m).cast("double"))).alias(f"{m}_{t}") for m in names for t in at])
+    wide = per.agg(F.max("_last").alias("period"), *[
+        F.max(F.when(F.col("_period") == D.shift(F.col("_last"), n, unit), F.col(m).cast("double"))).alias(f"{m}_{t}")
+        for m in names for t, n in back.items()])
     return C.to_rows(wide, [
         {"metric": F.lit(m), "current_period": D.period_label(F.col("period"), unit), "value": F.col(f"{m}_cur"),
          "previous": F.col(f"{m}_prev"), "year_ago": F.col(f"{m}_ago"),
@@ -136,8 +136,6 @@ def dimension_topn(df: DataFrame, dimension: str, metric: str, fields: Fields, t
     """rank, dimension, metric. With N the rank window only sees the N rows that survive."""
     ordered = dimension_analysis(df, dimension, metric, fields)
     if top_n is None:
-        from tallyframe.operators.ranking import with_global_order
-
         grouped = df.groupBy(C.quoted(dimension)).agg(biz_metric(df, metric, fields).alias(metric))
         keys = [F.col(metric).isNull(), -F.col(metric), C.quoted(dimension)]
         ranked = with_global_order(grouped.withColumn("_one", F.lit(1)), keys, "_one", position="rank", running="_run")
@@ -215,8 +213,6 @@ def growth_ranking(df: DataFrame, dimension: str, metric: str, fields: Fields, l
         top = grown.orderBy(F.desc("growth_pct"), dimension).limit(limit)
         window = Window.orderBy(F.desc("growth_pct"), F.col(dimension))
         return top.select(F.row_number().over(window).cast("bigint").alias("rank"), *grown.columns)
-    from tallyframe.operators.ranking import with_global_order
-
     ranked = with_global_order(grown.withColumn("_one", F.lit(1)), [-F.col("growth_pct"), C.quoted(dimension)], "_one",
                                position="rank", running="_run")
     return ranked.select("rank", *grown.columns)
