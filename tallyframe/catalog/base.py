@@ -39,6 +39,25 @@ VIEWS = {
  CASE WHEN c.c_custkey % 97 = 0 THEN NULL ELSE c.c_mktsegment END AS segment, n.n_name AS nation, r.r_name AS region
  FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey
  JOIN region r ON n.n_regionkey = r.r_regionkey""",
+    "questions": """SELECT o_orderkey AS question_id, CASE o_orderkey % 17
+ WHEN 0 THEN concat('哪个区域的成交金额最高 ', n_name)
+ WHEN 1 THEN concat('前', CAST(o_custkey % 9 + 1 AS STRING), '个产品的 Sales  Amount 排名')
+ WHEN 2 THEN concat(n_name, '和', r_name, '哪个客户数更多')
+ WHEN 3 THEN '各地区销售额占比是多少'
+ WHEN 4 THEN concat('本月', n_name, '的订单数环比变化')
+ WHEN 5 THEN concat('近 ', CAST(o_custkey % 11 + 1 AS STRING), ' 个月增长最快的前十二个产品')
+ WHEN 6 THEN concat('利润最低的 ', CAST(o_custkey % 5 + 2 AS STRING), ' 个 ', c_mktsegment)
+ WHEN 7 THEN '整体表现怎么样？'
+ WHEN 8 THEN concat(r_name, '区域销售额排名是多少？产品利润趋势怎么样？')
+ WHEN 9 THEN '销售额最高的是谁；客户数趋势分析'
+ WHEN 10 THEN '小组和区域的成交金额分别是多少'
+ WHEN 11 THEN '订单数最多的产品同时客户数最少的区域是哪个'
+ WHEN 12 THEN concat('2024 年 ', CAST(o_custkey % 12 + 1 AS STRING), ' 月 TOP 3 sku')
+ WHEN 13 THEN ''
+ WHEN 14 THEN '销售额最高的前二十三名，又想看利润趋势'
+ WHEN 15 THEN concat('最近 ', CAST(o_custkey % 90 + 1 AS STRING), ' 天', c_mktsegment, '的每日turnover走势')
+ ELSE concat('hello ', n_name) END AS question
+ FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
 }
 
 
