@@ -124,7 +124,7 @@ def _(d):
 
 
 @R.add("describe_top", each(["o_orderstatus", "o_orderpriority"], """SELECT * FROM (SELECT '{c}' AS "column", {c} AS top,
- count(*) AS freq FROM orders GROUP BY {c} ORDER BY 3 DESC, 2 LIMIT 1)"""))
+ count(*) AS freq, (SELECT count(DISTINCT {c}) FROM orders) AS "unique" FROM orders GROUP BY {c} ORDER BY 3 DESC, 2 LIMIT 1)"""))
 def _(d):
     return P.top_values(d.orders, ["o_orderstatus", "o_orderpriority"])
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tallyframe.functions.columns import dtype_of, is_datetime, is_float, is_numeric, is_text, quoted
@@ -30,10 +32,19 @@ def parse_datetime_text(col: Column, formats=DATETIME_FORMATS) -> Column:
     # Local wall time is kept, an offset is dropped.
     wall = F.regexp_replace(text, r"(?<=\d{2}:\d{2}:\d{2})(\.\d+)?\s*(Z|[+-]\d{2}:?\d{2})$", "$1")
     iso = F.when(wall.rlike(r"^\d{4}-\d{1,2}-\d{1,2}([ T]|$)"), wall.try_cast("timestamp_ntz"))
-    parsed = [F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in formats]
+    # The shape test keeps texts that cannot fit away from the (slow to fail) parser.
+    parsed = [F.when(text.rlike(shape_of(f)), F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz")) for f in formats]
     return F.coalesce(iso, *parsed)
 
 
+def shape_of(fmt: str) -> str:
+    """Regular expression for the texts a datetime format can read."""
+    widths = {"yyyy": r"\d{4}", "MMM": "[A-Za-z]{3}", "MM": r"\d{2}", "M": r"\d{1,2}", "dd": r"\d{2}", "d": r"\d{1,2}",
+              "HH": r"\d{2}", "mm": r"\d{2}", "ss": r"\d{2}"}
+    tokens = re.findall(r"yyyy|MMM|MM|M|dd|d|HH|mm|ss|'[^']*'|.", fmt)
+    return "^" + "".join(widths.get(t) or re.escape(t.strip("'")) for t in tokens) + "$"
+
+
 def parse_datetime(df: DataFrame, name: str, formats=DATETIME_FORMATS) -> Column:
     """Dates stay, numbers are never epochs (NULL), text is tried format by format."""
     dtype = dtype_of(df, name)

@@ -44,10 +44,14 @@ def _integer_like(v: Column) -> Column:
 def distribution_type(df: DataFrame, columns: list[str]) -> DataFrame:
     """column, distribution_type: discrete when all values are integers and there are at most 30 of them."""
     data = _finite(df, columns)
-    one = data.agg(*[x for i, c in enumerate(columns) for x in (
-        _integer_like(C.quoted(c)).alias(f"w{i}"), F.count_distinct(C.quoted(c)).alias(f"d{i}"))])
-    return C.to_rows(one, [{"column": F.lit(c), "distribution_type": _kind(F.col(f"w{i}"), F.col(f"d{i}"))}
-                           for i, c in enumerate(columns)])
+    one = data.agg(*[_integer_like(C.quoted(c)).alias(f"w{i}") for i, c in enumerate(columns)])
+    rows = C.to_rows(one, [{"column": F.lit(c), "w": F.col(f"w{i}")} for i, c in enumerate(columns)])
+    return rows.join(F.broadcast(_distinct(data, columns)), "column").select(  # one row per column
+        "column", _kind(F.col("w"), F.col("unique_count")).alias("distribution_type"))
+
+
+def _distinct(data: DataFrame, columns: list[str]) -> DataFrame:
+    return P.column_profile(data, columns).select("column", F.col("distinct_count").alias("unique_count"))
 
 
 def _kind(whole: Column, distinct: Column) -> Column:
@@ -62,23 +66,23 @@ def numeric_distribution(df: DataFrame, columns: list[str]) -> DataFrame:
     aggs = [F.count(F.lit(1)).alias("total")]
     for i, c in enumerate(columns):
         v = C.quoted(c)
-        aggs += [F.count(v).alias(f"n{i}"), F.count_distinct(v).alias(f"d{i}"), _integer_like(v).alias(f"w{i}"),
+        aggs += [F.count(v).alias(f"n{i}"), _integer_like(v).alias(f"w{i}"),
                  F.avg(v).alias(f"mean{i}"), F.stddev_samp(v).alias(f"std{i}"), F.min(v).alias(f"min{i}"),
                  F.max(v).alias(f"max{i}"), sample_skewness(v).alias(f"skew{i}"), sample_kurtosis(v).alias(f"kurtosis{i}")]
     rows = []
     for i, c in enumerate(columns):
-        n, distinct = F.col(f"n{i}"), F.col(f"d{i}")
         p10, p25, p50, p75, p90 = [literal(x) for x in q[c]]
-        kind = _kind(F.col(f"w{i}"), distinct)
-        status = F.when((n > 0) & (distinct == 1), "constant").when(n < MIN_VALUES, "insufficient").otherwise("ok")
         rows.append({
-            "column": F.lit(c), "status": status, "distribution_type": kind, "total_count": F.col("total"), "valid_count": n,
-            "excluded_count": F.col("total") - n, "unique_count": distinct, "mean": F.col(f"mean{i}"), "median": p50,
+            "column": F.lit(c), "whole": F.col(f"w{i}"), "total_count": F.col("total"), "valid_count": F.col(f"n{i}"),
+            "excluded_count": F.col("total") - F.col(f"n{i}"), "mean": F.col(f"mean{i}"), "median": p50,
             "std": F.col(f"std{i}"), "min": F.col(f"min{i}"), "q1": p25, "q3": p75, "max": F.col(f"max{i}"),
-            "p10": p10, "p90": p90, "skew": F.col(f"skew{i}"), "kurtosis": F.col(f"kurtosis{i}"),
-            "bin_count": F.when(kind == "continuous", _bins(n, F.col(f"min{i}"), F.col(f"max{i}"), p25, p75)),
-        })
-    return C.to_rows(data.agg(*aggs), rows)
+            "p10": p10, "p90": p90, "skew": F.col(f"skew{i}"), "kurtosis": F.col(f"kurtosis{i}")})
+    stats = C.to_rows(data.agg(*aggs), rows).join(F.broadcast(_distinct(data, columns)), "column")  # one row per column
+    n, distinct = F.col("valid_count"), F.col("unique_count")
+    status = F.when((n > 0) & (distinct == 1), "constant").when(n < MIN_VALUES, "insufficient").otherwise("ok")
+    bins = F.when(F.col("distribution_type") == "continuous", _bins(n, F.col("min"), F.col("max"), F.col("q1"), F.col("q3")))
+    return stats.withColumns({"status": status, "distribution_type": _kind(F.col("whole"), distinct)}).withColumn(
+        "bin_count", bins).drop("whole")
 
 
 def _bins(n: Column, low: Column, high: Column, q1: Column, q3: Column) -> Column:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tallyframe.functions import columns as C
-from tallyframe.functions.parsing import parse_datetime
+from tallyframe.functions.parsing import parse_datetime, parse_datetime_text
 from tallyframe.functions.stats import sample_kurtosis, sample_skewness
 from tallyframe.operators.quantiles import exact_quantiles, literal
 
@@ -27,46 +29,76 @@ def column_profile(df: DataFrame, columns: list[str] | None = None, distinct: st
     """One row per column: position, column, dtype, family, total, non_null, distinct_count, whole, parsed.
 
     ``whole``: every number is an integer. ``parsed``: values that read as dates, for the text columns in ``dates``.
-    ``distinct``: exact, approx (HyperLogLog) or none.
+    ``distinct``: exact (by value groups), approx (HyperLogLog, one pass without a shuffle of values) or none.
     """
     columns = columns or data_columns(df)
-    count_distinct = {"exact": F.count_distinct, "approx": F.approx_count_distinct}.get(distinct)
-    aggs = [F.count(F.lit(1)).alias("total")]
+    stats = _by_groups(df, columns, dates) if distinct == "exact" else _one_pass(df, columns, distinct, dates)
+    schema = "position int, column string, dtype string, family string"
+    fixed = df.sparkSession.createDataFrame(
+        [(i, c, C.dtype_of(df, c).simpleString(), C.family_of(C.dtype_of(df, c))) for i, c in enumerate(columns)], schema)
+    zero = F.lit(0).cast("bigint")
+    counted = None if distinct == "none" else F.coalesce(F.col("distinct_count"), zero)
+    text = F.col("column").isin(list(dates)) if dates else F.lit(False)
+    return fixed.join(F.broadcast(stats), "position", "left").select(  # one row per column
+        "position", "column", "dtype", "family", F.coalesce("total", zero).alias("total"),
+        F.coalesce("non_null", zero).alias("non_null"),
+        (F.lit(None).cast("bigint") if counted is None else counted).alias("distinct_count"), "whole",
+        F.when(text, F.coalesce("parsed", zero)).alias("parsed"))
+
+
+def _one_pass(df: DataFrame, columns: list[str], distinct: str, dates) -> DataFrame:
+    aggs, rows = [F.count(F.lit(1)).alias("total")], []
+    none = {"bigint": F.lit(None).cast("bigint"), "boolean": F.lit(None).cast("boolean")}
     for i, c in enumerate(columns):
-        dtype = C.dtype_of(df, c)
-        value = C.present(df, c)
+        value, row = C.present(df, c), dict(distinct_count=none["bigint"], whole=none["boolean"], parsed=none["bigint"])
         aggs.append(F.count(value).alias(f"n{i}"))
-        if count_distinct:
-            aggs.append(count_distinct(comparable(df, c)).alias(f"d{i}"))
-        if C.is_numeric(dtype):
+        if distinct == "approx":
+            aggs.append(F.approx_count_distinct(comparable(df, c)).alias(f"d{i}"))
+            row["distinct_count"] = F.col(f"d{i}")
+        if C.is_numeric(C.dtype_of(df, c)):
             aggs.append(F.bool_and(F.pmod(value.cast("double"), F.lit(1.0)) == 0).alias(f"w{i}"))
-        if c in dates and C.is_text(dtype):
+            row["whole"] = F.col(f"w{i}")
+        if c in dates and C.is_text(C.dtype_of(df, c)):
             aggs.append(F.count(parse_datetime(df, c)).alias(f"p{i}"))
-    one = df.agg(*aggs)
-    have = set(one.columns)
-
-    def pick(key: str, kind: str) -> Column:
-        return F.col(key) if key in have else F.lit(None).cast(kind)
-
-    return C.to_rows(one, [
-        {
-            "position": F.lit(i),
-            "column": F.lit(c),
-            "dtype": F.lit(C.dtype_of(df, c).simpleString()),
-            "family": F.lit(C.family_of(C.dtype_of(df, c))),
-            "total": F.col("total"),
-            "non_null": F.col(f"n{i}"),
-            "distinct_count": pick(f"d{i}", "bigint"),
-            "whole": pick(f"w{i}", "boolean"),
-            "parsed": pick(f"p{i}", "bigint"),
-        }
-        for i, c in enumerate(columns)
-    ])
+            row["parsed"] = F.col(f"p{i}")
+        rows.append({"position": F.lit(i), "total": F.col("total"), "non_null": F.col(f"n{i}"), **row})
+    return C.to_rows(df.agg(*aggs), rows)
 
 
-def pinned(rows: DataFrame) -> DataFrame:
-    """A result with one row per column, fetched once so that later steps do not scan the data again."""
-    return rows.sparkSession.createDataFrame(rows.collect(), rows.schema)
+def _by_groups(df: DataFrame, columns: list[str], dates) -> DataFrame:
+    """Exact distinct counts from (column, value) groups, one narrow pass per value type.
+
+    Many ``count(DISTINCT)`` in one aggregate repeat every row per column with all the columns in the key; these
+    groups carry one value each, collapse copies before the shuffle, and let dates be parsed once per distinct text.
+    """
+    kinds: dict[str, list[int]] = {}
+    for i, c in enumerate(columns):
+        kinds.setdefault(_value_kind(C.dtype_of(df, c)), []).append(i)
+    parts = []
+    for kind, members in kinds.items():
+        pairs = F.array(*[F.struct(F.lit(i).alias("position"), comparable(df, columns[i]).cast(kind).alias("v")) for i in members])
+        groups = df.select(F.inline(pairs)).groupBy("position", "v").agg(F.count(F.lit(1)).alias("n"))
+        v, n = F.col("v"), F.col("n")
+        whole, parsed = F.lit(None).cast("boolean"), F.lit(None).cast("bigint")
+        if kind in ("bigint", "double") or kind.startswith("decimal"):
+            whole = F.bool_and(F.pmod(v.cast("double"), F.lit(1.0)) == 0)
+        wanted = [i for i in members if columns[i] in dates and C.is_text(C.dtype_of(df, columns[i]))]
+        if wanted:
+            reads = F.when(F.col("position").isin(wanted), parse_datetime_text(v))
+            parsed = F.sum(F.when(reads.isNotNull(), n))
+        parts.append(groups.groupBy("position").agg(
+            F.sum("n").alias("total"), F.sum(F.when(v.isNotNull(), n)).alias("non_null"), F.count("v").alias("distinct_count"),
+            (whole if kind in ("bigint", "double") or kind.startswith("decimal") else F.first(whole)).alias("whole"),
+            (parsed if wanted else F.first(parsed)).alias("parsed")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _value_kind(dtype: T.DataType) -> str:
+    if isinstance(dtype, T.IntegralType):
+        return "bigint"
+    if C.is_float(dtype):
+        return "double"
+    return "string" if C.is_text(dtype) or isinstance(dtype, T.MapType) else dtype.simpleString()
 
 
 def missing_count() -> Column:
@@ -82,6 +114,11 @@ def unique_ratio() -> Column:
     return F.coalesce(F.try_divide(F.col("distinct_count"), F.col("non_null")), F.lit(0.0))
 
 
+def pinned(rows: DataFrame) -> DataFrame:
+    """A result with one row per column, fetched once so that later steps do not scan the data again."""
+    return rows.sparkSession.createDataFrame(rows.collect(), rows.schema)
+
+
 def field_profile(df: DataFrame, distinct: str = "exact") -> DataFrame:
     """column, dtype, missing_count, missing_pct, distinct_count."""
     return column_profile(df, distinct=distinct).select(
@@ -101,14 +138,14 @@ def basic_info(df: DataFrame) -> DataFrame:
 
 
 def top_values(df: DataFrame, columns: list[str]) -> DataFrame:
-    """column, top, freq: the most frequent value as text, smallest value on ties.
+    """column, unique, top, freq: distinct values and the most frequent one as text, smallest on ties.
 
     Counting goes through (column, value) groups, so no task ever holds a column's whole value map.
     """
     counted = value_counts(df, columns).filter("value IS NOT NULL")
     best = F.min(F.struct((-F.col("count")).alias("n"), F.col("value").alias("v")))
-    return counted.groupBy("column").agg(best.alias("_b")).select(
-        "column", F.col("_b.v").alias("top"), (-F.col("_b.n")).alias("freq"))
+    return counted.groupBy("column").agg(best.alias("_b"), F.count(F.lit(1)).alias("unique")).select(
+        "column", "unique", F.col("_b.v").alias("top"), (-F.col("_b.n")).alias("freq"))
 
 
 def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -129,7 +166,6 @@ def describe_all(df: DataFrame) -> DataFrame:
         v = C.as_double(df, c)
         aggs += [F.avg(v).alias(f"mean_{c}"), F.stddev_samp(v).alias(f"std_{c}"),
                  F.min(v).alias(f"min_{c}"), F.max(v).alias(f"max_{c}")]
-    aggs += [F.count_distinct(comparable(df, c)).alias(f"u_{c}") for c in other]
     null_d, null_l = F.lit(None).cast("double"), F.lit(None).cast("bigint")
     rows = []
     for c in columns:
@@ -137,7 +173,6 @@ def describe_all(df: DataFrame) -> DataFrame:
         is_num = c in quartiles
         rows.append({
             "column": F.lit(c), "count": C.quoted(f"n_{c}"),
-            "unique": null_l if is_num else C.quoted(f"u_{c}"),
             "mean": C.quoted(f"mean_{c}") if is_num else null_d,
             "std": C.quoted(f"std_{c}") if is_num else null_d,
             "min": C.quoted(f"min_{c}") if is_num else null_d,
@@ -146,7 +181,7 @@ def describe_all(df: DataFrame) -> DataFrame:
         })
     stats = C.to_rows(df.agg(*aggs), rows)
     if not other:
-        return stats.withColumns({"top": F.lit(None).cast("string"), "freq": null_l})
+        return stats.withColumns({"unique": null_l, "top": F.lit(None).cast("string"), "freq": null_l})
     return stats.join(F.broadcast(top_values(df, other)), "column", "left")  # one row per column
 
 

@@ -3,82 +3,152 @@
 Small inputs use the built-in ``percentile`` for all columns in one aggregate. That aggregate keeps a
 value->count map in one task, so above ``map_limit`` values the wanted ranks are found by narrowing instead:
 ``percentile_approx`` gives a bracket around each rank, one counting pass confirms it, and the bracket is
-narrowed until the values inside it fit the limit. Every pass is a partial aggregate over a range filter that
-reaches the Parquet scan, and only a few numbers per column come back to the driver.
+narrowed until the values inside it fit ``bracket_limit``. All columns and ranks share each pass, every pass is a
+partial aggregate, and only a few numbers per column come back to the driver.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyframe.functions.columns import as_double
+from tallyframe.operators.ranking import with_global_order
 
-MAP_LIMIT = 4_000_000
-ACCURACY = 10_000
+MAP_LIMIT = 200_000
+BRACKET_LIMIT = 1_000_000
+ACCURACY = 2_000
+SLACK = 2.0 / ACCURACY
 INF = float("inf")
 
 
+@dataclass
+class _Target:
+    """One wanted rank: order statistics k and k+1 of column i, known to lie within [lo, hi]."""
+
+    i: int
+    prob: float
+    n: int
+    lo: float = -INF
+    hi: float = INF
+    below: int = 0
+    inside: int = 0
+    stuck: bool = False
+
+    def __post_init__(self):
+        position = (self.n - 1) * self.prob
+        self.k = math.floor(position)
+        self.upper = min(self.k + 1, self.n - 1)
+        self.fraction = position - self.k
+        self.inside = self.n
+
+    def held(self) -> Column:
+        v = F.col(f"v{self.i}")
+        return (v >= F.lit(self.lo)) & (v <= F.lit(self.hi))
+
+    def probes(self) -> list[float]:
+        return [max(0.0, (self.k - self.below) / self.inside - SLACK),
+                min(1.0, (self.upper - self.below + 1) / self.inside + SLACK)]
+
+    def narrow(self, a: float, b: float, under: int, within: int) -> None:
+        """Take the bracket [a, b]; where the estimate missed the rank, the old end is kept."""
+        if self.below + under > self.k:
+            a, within, under = self.lo, under + within, 0
+        if self.below + under + within <= self.upper:
+            b, within = self.hi, self.inside - under
+        self.stuck = (a, b) == (self.lo, self.hi)
+        self.lo, self.hi, self.below, self.inside = a, b, self.below + under, within
+
+
 def exact_quantiles(df: DataFrame, columns: dict[str, Column] | list[str], probs: list[float],
-                    map_limit: int | None = None) -> dict[str, list[float | None]]:
+                    map_limit: int | None = None, bracket_limit: int | None = None) -> dict[str, list[float | None]]:
     """{column: [value per prob]}; NULLs are left out, an empty column gives None."""
     map_limit = MAP_LIMIT if map_limit is None else map_limit
+    bracket_limit = BRACKET_LIMIT if bracket_limit is None else bracket_limit
     if not isinstance(columns, dict):
         columns = {c: as_double(df, c) for c in columns}
     if not columns:
         return {}
     names = list(columns)
     values = df.select(*[columns[c].alias(f"v{i}") for i, c in enumerate(names)])
-    counts = values.agg(*[F.count(f"v{i}") for i in range(len(names))]).first()
+    probes = [x for p in probs for x in (max(0.0, p - SLACK), min(1.0, p + SLACK))]
+    first = values.agg(*[x for i in range(len(names)) for x in (
+        F.count(f"v{i}").alias(f"n{i}"), F.percentile_approx(f"v{i}", probes, ACCURACY).alias(f"a{i}"))]).first()
     small, used = [], 0
-    for i in range(len(names)):
-        if used + counts[i] <= map_limit:
-            small.append(i)
-            used += counts[i]
+    for i in sorted(range(len(names)), key=lambda i: first[f"n{i}"]):
+        used += first[f"n{i}"]
+        if used > map_limit:
+            break
+        small.append(i)
     found: dict[int, list[float | None]] = {}
     if small:
         wanted = F.array(*[F.lit(float(p)) for p in probs])
         row = values.agg(*[F.percentile(f"v{i}", wanted).alias(f"q{i}") for i in small]).first()
         found.update({i: list(row[f"q{i}"] or [None] * len(probs)) for i in small})
-    for i in range(len(names)):
-        if i not in found:
-            one = values.select(F.col(f"v{i}").alias("v"))
-            found[i] = [_narrowed(one, counts[i], p, map_limit) for p in probs]
+    large = [i for i in range(len(names)) if i not in found]
+    if large:
+        targets = [_Target(i, p, first[f"n{i}"]) for i in large for p in probs]
+        ends = [first[f"a{i}"][2 * j:2 * j + 2] for i in large for j in range(len(probs))]
+        results = _select(values, targets, ends, bracket_limit)
+        found.update({i: results[r * len(probs):(r + 1) * len(probs)] for r, i in enumerate(large)})
     return {c: found[i] for i, c in enumerate(names)}
 
 
-def _narrowed(values: DataFrame, n: int, prob: float, limit: int) -> float:
-    position = (n - 1) * prob
-    k = math.floor(position)
-    upper = min(k + 1, n - 1)
-    lo, hi, below, inside = -INF, INF, 0, n
-    while inside > limit and lo < hi:
-        held = values.filter((F.col("v") >= lo) & (F.col("v") <= hi))
-        slack = 2.0 / ACCURACY
-        p_lo = max(0.0, (k - below) / inside - slack)
-        p_hi = min(1.0, (upper - below + 1) / inside + slack)
-        a, b = held.agg(F.percentile_approx("v", [p_lo, p_hi], ACCURACY)).first()[0]
-        under, within = held.agg(F.count_if(F.col("v") < a),
-                                 F.count_if((F.col("v") >= a) & (F.col("v") <= b))).first()
-        if below + under > k:  # the estimate overshot: keep the old lower end
-            a, within, under = lo, under + within, 0
-        if below + under + within <= upper:
-            b, within = hi, inside - under
-        if (a, b) == (lo, hi):
-            break  # no further progress: few distinct values, finished by value counts
-        lo, hi, below, inside = a, b, below + under, within
-    if lo == hi:
-        return float(lo)
-    counted = values.filter((F.col("v") >= lo) & (F.col("v") <= hi)).groupBy("v").count()
-    # the bracket holds few distinct values here, so one ordered task is enough
-    running = counted.select("v", F.sum("count").over(Window.orderBy("v")).alias("upto"))
-    first, second = running.agg(F.min(F.when(F.col("upto") > k - below, F.col("v"))),
-                                F.min(F.when(F.col("upto") > upper - below, F.col("v")))).first()
-    return first + (second - first) * (position - k)
-
-
-def approx_quantiles(df: DataFrame, columns: list[str], probs: list[float], accuracy: int = ACCURACY):
+def _select(values: DataFrame, targets: list[_Target], ends: list, limit: int) -> list[float]:
+    _confirm(values, targets, ends)
+    while True:
+        wide = [t for t in targets if t.inside > limit and t.lo < t.hi and not t.stuck]
+        if not wide:
+            break
+        row = values.agg(*[F.percentile_approx(F.when(t.held(), F.col(f"v{t.i}")), t.probes(), ACCURACY) for t in wide]).first()
+        _confirm(values, wide, list(row))
+    pairs: dict[int, tuple[float, float]] = {j: (t.lo, t.lo) for j, t in enumerate(targets) if t.lo == t.hi}
+    open_ones = {j: t for j, t in enumerate(targets) if j not in pairs}
+    fitting = {j: t for j, t in open_ones.items() if t.inside <= limit}
+    if fitting:
+        pairs.update(_read_brackets(values, fitting))
+    for j in open_ones.keys() - fitting.keys():  # masses of equal values kept the bracket wide
+        pairs[j] = _read_wide(values, open_ones[j])
+    return [pairs[j][0] + (pairs[j][1] - pairs[j][0]) * t.fraction for j, t in enumerate(targets)]
+
+
+def _confirm(values: DataFrame, targets: list[_Target], ends: list) -> None:
+    """Count what lies below and inside each estimated bracket, all brackets in one pass."""
+    aggs = []
+    for t, (a, b) in zip(targets, ends):
+        v = F.col(f"v{t.i}")
+        aggs += [F.count_if(t.held() & (v < F.lit(a))), F.count_if(t.held() & (v >= F.lit(a)) & (v <= F.lit(b)))]
+    row = values.agg(*aggs).first()
+    for j, (t, (a, b)) in enumerate(zip(targets, ends)):
+        t.narrow(a, b, row[2 * j], row[2 * j + 1])
+
+
+def _read_brackets(values: DataFrame, targets: dict[int, _Target]) -> dict[int, tuple[float, float]]:
+    """Value counts of all brackets in one job; each target's window holds at most its bracket's values."""
+    any_held = reduce(lambda a, b: a | b, [t.held() for t in targets.values()])
+    tagged = [F.when(t.held(), F.struct(F.lit(j).alias("t"), F.col(f"v{t.i}").alias("v"))) for j, t in targets.items()]
+    rows = values.filter(any_held).select(F.explode(F.array(*tagged)).alias("x")).filter("x IS NOT NULL").select("x.*")
+    counted = rows.groupBy("t", "v").agg(F.count(F.lit(1)).alias("n"))
+    running = counted.withColumn("upto", F.sum("n").over(Window.partitionBy("t").orderBy("v")))
+    low = F.coalesce(*[F.when(F.col("t") == j, F.lit(t.k - t.below)) for j, t in targets.items()])
+    high = F.coalesce(*[F.when(F.col("t") == j, F.lit(t.upper - t.below)) for j, t in targets.items()])
+    got = running.groupBy("t").agg(F.min(F.when(F.col("upto") > low, F.col("v"))).alias("a"),
+                                   F.min(F.when(F.col("upto") > high, F.col("v"))).alias("b")).collect()
+    return {r["t"]: (r["a"], r["b"]) for r in got}
+
+
+def _read_wide(values: DataFrame, target: _Target) -> tuple[float, float]:
+    counted = values.filter(target.held()).groupBy(F.col(f"v{target.i}").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    ordered = with_global_order(counted, [F.col("v")], "n", running="upto")
+    row = ordered.agg(F.min(F.when(F.col("upto") > target.k - target.below, F.col("v"))),
+                      F.min(F.when(F.col("upto") > target.upper - target.below, F.col("v")))).first()
+    return row[0], row[1]
+
+
+def approx_quantiles(df: DataFrame, columns: list[str], probs: list[float], accuracy: int = 10_000):
     """One-pass opt-in for wide tables: same shape, values within n/accuracy ranks."""
     row = df.agg(*[F.percentile_approx(as_double(df, c), probs, accuracy).alias(f"q{i}")
                    for i, c in enumerate(columns)]).first()

@@ -21,13 +21,17 @@ def _long(df: DataFrame, section: str, keys: list[str], metrics: list[str]) -> D
 
 
 def report_parts(df: DataFrame, date_columns=()) -> dict[str, DataFrame]:
-    """The report's frames: overview, numeric, top_values, categories, correlations, outliers, missing."""
+    """The report's frames: overview, numeric, top_values, categories, correlations, outliers, missing.
+
+    Each has a few rows per column or pair and is fetched once, because both the report and the flags read it again.
+    """
     cols = P.data_columns(df)
     numbers = [c for c in cols if C.is_numeric(C.dtype_of(df, c))]
     labels = [c for c in cols if (C.is_text(C.dtype_of(df, c)) or C.is_bool(C.dtype_of(df, c))) and c not in set(date_columns)]
     dates = set(date_columns) | {c for c in cols if C.is_datetime(C.dtype_of(df, c))}
     missing = P.column_profile(df, distinct="none").select(
         "column", F.coalesce(F.try_divide(P.missing_count(), F.col("total")), F.lit(0.0)).alias("missing_rate"))
+    missing = P.pinned(missing)
     total = df.agg(F.count(F.lit(1))).scalar()
     parts = {
         "overview": df.agg(F.count(F.lit(1)).alias("row_count")).withColumns({
@@ -37,15 +41,15 @@ def report_parts(df: DataFrame, date_columns=()) -> dict[str, DataFrame]:
     }
     if numbers:
         parts["numeric"] = numeric_summary(df, numbers, None).join(F.broadcast(missing), "column")  # one row per column
-        parts["outliers"] = outlier_summary(df, numbers).select(
+        parts["outliers"] = P.pinned(outlier_summary(df, numbers)).select(
             "column", "q1", "q3", "iqr", "lower_bound", "upper_bound", "outlier_count",
             F.coalesce(F.try_divide(F.col("outlier_count"), F.col("valid_count")), F.lit(0.0)).alias("outlier_ratio"))
-        parts["correlations"] = correlation_report(df, numbers)
+        parts["correlations"] = P.pinned(correlation_report(df, numbers))
     if labels:
         counts = P.value_counts(df, labels)
         shown = counts.withColumn("value", F.coalesce("value", F.lit(MISSING_LABEL))).groupBy("column", "value").agg(
             F.sum("count").alias("count"))
-        top = G.top_per_column(shown, 5).withColumn("ratio", F.col("count") / total)
+        top = P.pinned(G.top_per_column(shown, 5).withColumn("ratio", F.col("count") / total))
         parts["top_values"] = top
         sizes = counts.groupBy("column").agg(F.count_if(F.col("value").isNotNull()).alias("unique_count"))
         heads = top.groupBy("column").agg(

@@ -279,7 +279,8 @@ def field_roles(df: DataFrame, identifiers=(), datetimes=(), invalid=(),
 
 def exploration_overview(df: DataFrame, roles: DataFrame) -> DataFrame:
     """item, value (text), reason: counts per role, the single date column's range, excluded fields."""
-    dates = [r["column"] for r in roles.filter("role = 'datetime'").orderBy("position").collect()]  # per column
+    roles = P.pinned(roles)
+    dates = [r["column"] for r in roles.filter("role = 'datetime'").orderBy("position").collect()]
     single = dates[0] if len(dates) == 1 else None
     parsed = parse_datetime(df, single) if single else F.lit(None).cast("timestamp_ntz")
     table = df.agg(F.count(F.lit(1)).alias("rows"), F.min(parsed).alias("a"), F.max(parsed).alias("b"))
