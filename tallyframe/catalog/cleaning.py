@@ -84,15 +84,15 @@ def _(d):
     return O.drop_outliers(d.lineitem_dirty, PRICE)
 
 
-@R.add("outlier_winsorize", f"WITH {BOUNDS} SELECT {REST}, greatest(least({PRICE}, hi), lo) AS {PRICE} FROM lineitem_dirty, b")
+@R.add("outlier_winsorize", f"WITH {BOUNDS} SELECT {REST}, round(greatest(least({PRICE}, hi), lo), 6) AS {PRICE} FROM lineitem_dirty, b")
 def _(d):
-    return picked(O.winsorize(d.lineitem_dirty, PRICE), PRICE)
+    return rounded(picked(O.winsorize(d.lineitem_dirty, PRICE), PRICE), 6)
 
 
 @R.add("outlier_median", f"""WITH {BOUNDS} SELECT {REST}, CASE WHEN {PRICE} < lo OR {PRICE} > hi
- THEN (SELECT quantile_cont({PRICE}, 0.5) FROM lineitem_dirty) ELSE {PRICE} END AS {PRICE} FROM lineitem_dirty, b""")
+ THEN round((SELECT quantile_cont({PRICE}, 0.5) FROM lineitem_dirty), 6) ELSE round({PRICE}, 6) END AS {PRICE} FROM lineitem_dirty, b""")
 def _(d):
-    return picked(O.outliers_to_median(d.lineitem_dirty, PRICE), PRICE)
+    return rounded(picked(O.outliers_to_median(d.lineitem_dirty, PRICE), PRICE), 6)
 
 
 @R.add("outlier_quantile", f"""WITH {BOUNDS} SELECT {REST}, round(CASE WHEN {PRICE} < lo THEN (SELECT quantile_cont({PRICE}, 0.05) FROM lineitem_dirty)

@@ -15,7 +15,7 @@ from tallyframe.operators.timeline import read_span
 R = Registry()
 MEASURES = ["l_quantity", "l_extendedprice", "l_tax_sparse", "l_linenumber", "empty_col"]
 MOMENTS = """round(avg({c}), 3) AS mean, round(quantile_cont(CAST({c} AS DOUBLE), 0.5), 3) AS median, round(stddev_samp({c}), 3) AS std,
- CAST(min({c}) AS DOUBLE) AS "min", CAST(max({c}) AS DOUBLE) AS "max", round(skewness({c}), 3) AS skew, round(kurtosis({c}), 3) AS kurtosis"""
+ round(CAST(min({c}) AS DOUBLE), 3) AS "min", round(CAST(max({c}) AS DOUBLE), 3) AS "max", round(skewness({c}), 3) AS skew, round(kurtosis({c}), 3) AS kurtosis"""
 
 
 @R.add("numeric_summary", each(MEASURES, f"""SELECT '{{c}}' AS "column", {MOMENTS} FROM lineitem_dirty"""))
@@ -81,9 +81,10 @@ def _(d):
  CAST(min({c}) FILTER (WHERE {c} >= lower_bound AND {c} <= upper_bound) AS DOUBLE) AS whisker_low,
  CAST(max({c}) FILTER (WHERE {c} >= lower_bound AND {c} <= upper_bound) AS DOUBLE) AS whisker_high,
  count(*) FILTER (WHERE {c} < lower_bound OR {c} > upper_bound) AS outlier_count FROM lineitem_dirty, b WHERE b."column" = '{c}' ''')})
- SELECT s."column", "min", q1, median, q3, "max", whisker_low, whisker_high, outlier_count FROM s JOIN b ON s."column" = b."column" """)
+ SELECT s."column", round("min", 6) AS "min", round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3, round("max", 6) AS "max",
+ round(whisker_low, 6) AS whisker_low, round(whisker_high, 6) AS whisker_high, outlier_count FROM s JOIN b ON s."column" = b."column" """)
 def _(d):
-    return N.box_stats(d.lineitem_dirty, MEASURES)
+    return rounded(N.box_stats(d.lineitem_dirty, MEASURES), 6)
 
 
 @R.add("box_points", f"""WITH b AS ({bounds_each(['l_extendedprice'])}) SELECT l_extendedprice AS "value", count(*) AS "count" FROM lineitem_dirty, b

@@ -11,6 +11,7 @@ MEASURES = ["l_quantity", "l_extendedprice", "l_tax_sparse", "l_linenumber"]
 PRICE = "l_extendedprice"
 BOUNDS = """b AS (SELECT q1, q3, q3 - q1 AS iqr, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM (
  SELECT quantile_cont(l_extendedprice, 0.25) AS q1, quantile_cont(l_extendedprice, 0.75) AS q3 FROM lineitem_dirty))"""
+R6 = '"column", ' + ", ".join(f"round({c}, 6) AS {c}" for c in ("q1", "q3", "iqr", "lower_bound", "upper_bound"))
 ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"]
 
 
@@ -65,9 +66,9 @@ def _(d):
     return Q.duplicate_preview(d.lineitem_dups, _ALL)
 
 
-@R.add("iqr_bounds", f"SELECT * FROM ({bounds_each(MEASURES)})")
+@R.add("iqr_bounds", f"SELECT {R6} FROM ({bounds_each(MEASURES)})")
 def _(d):
-    return O.iqr_bounds(d.lineitem_dirty, MEASURES)
+    return rounded(O.iqr_bounds(d.lineitem_dirty, MEASURES), 6)
 
 
 @R.add("iqr_outliers", f"WITH {BOUNDS} SELECT l.* FROM lineitem_dirty l, b WHERE {PRICE} < lo OR {PRICE} > hi")
@@ -75,9 +76,9 @@ def _(d):
     return O.iqr_outliers(d.lineitem_dirty, PRICE)
 
 
-@R.add("outlier_summary", f"SELECT * FROM ({outliers_each(MEASURES)})")
+@R.add("outlier_summary", f"SELECT {R6}, valid_count, outlier_count, round(outlier_pct, 6) AS outlier_pct FROM ({outliers_each(MEASURES)})")
 def _(d):
-    return O.outlier_summary(d.lineitem_dirty, MEASURES + ["l_partkey"], identifiers=["l_partkey"])
+    return rounded(O.outlier_summary(d.lineitem_dirty, MEASURES + ["l_partkey"], identifiers=["l_partkey"]), 6)
 
 
 @R.add("outlier_context", f"""WITH {BOUNDS} SELECT l_orderkey, {PRICE}, l_shipdate, l_returnflag, l_partkey
@@ -86,11 +87,11 @@ def _(d):
     return O.outlier_context(d.lineitem_dirty, PRICE, ["l_shipdate", "l_returnflag", "l_partkey"], "l_orderkey")
 
 
-@R.add("outlier_export", f"""WITH {BOUNDS} SELECT l.*, '{PRICE}' AS outlier_field, {PRICE} AS outlier_value, lo AS lower_bound,
- hi AS upper_bound, CASE WHEN {PRICE} < lo THEN 'below lower bound' ELSE 'above upper bound' END AS outlier_reason
+@R.add("outlier_export", f"""WITH {BOUNDS} SELECT l.* REPLACE (round({PRICE}, 6) AS {PRICE}), '{PRICE}' AS outlier_field, round({PRICE}, 6) AS outlier_value,
+ round(lo, 6) AS lower_bound, round(hi, 6) AS upper_bound, CASE WHEN {PRICE} < lo THEN 'below lower bound' ELSE 'above upper bound' END AS outlier_reason
  FROM lineitem_dirty l, b WHERE {PRICE} < lo OR {PRICE} > hi""")
 def _(d):
-    return O.outlier_export(d.lineitem_dirty, PRICE)
+    return rounded(O.outlier_export(d.lineitem_dirty, PRICE), 6)
 
 
 @R.add("outlier_by_date", f"""WITH {BOUNDS} SELECT CAST(l_shipdate AS DATE) AS day, count(*) AS outlier_count

@@ -57,11 +57,13 @@ def quoted(name: str) -> Column:
 
 
 def present(df: DataFrame, name: str) -> Column:
-    """The column with NaN read as NULL."""
-    col = quoted(name)
-    if is_float(dtype_of(df, name)):
-        return F.when(~F.isnan(col), col)
-    return col
+    """The column with NaN read as NULL.
+
+    ``nanvl`` names the column once; a CASE would name it twice, and stacked over derived columns that doubles
+    the expression at every level once Catalyst inlines the projections.
+    """
+    dtype = dtype_of(df, name)
+    return F.nanvl(quoted(name), F.lit(None).cast(dtype)) if is_float(dtype) else quoted(name)
 
 
 def normalise_missing(df: DataFrame) -> DataFrame:

@@ -1,9 +1,9 @@
 """Exact quantiles (linear interpolation) that stay exact and bounded at any size.
 
-Small inputs use the built-in ``percentile`` for all columns in one aggregate. That aggregate keeps a
-value->count map in one task, so above ``map_limit`` values the wanted ranks are found by narrowing instead:
-``percentile_approx`` gives a bracket around each rank, one counting pass confirms it, and the bracket is
-narrowed until the values inside it fit ``bracket_limit``. All columns and ranks share each pass, every pass is a
+The built-in ``percentile`` keeps a value->count map of the whole column in one task. Here the values are counted by
+groups instead, and only values near the wanted ranks are ranked. A column with few distinct values is counted whole.
+For the others ``percentile_approx`` gives a bracket around each rank, one counting pass confirms it, and the bracket
+is narrowed until the values inside fit ``bracket_limit``. All columns and ranks share each pass, every pass is a
 partial aggregate, and only a few numbers per column come back to the driver.
 """
 
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tallyframe.functions.columns import as_double
 from tallyframe.operators.ranking import with_global_order
 
-MAP_LIMIT = 200_000
+DISTINCT_LIMIT = 200_000
 BRACKET_LIMIT = 1_000_000
 ACCURACY = 2_000
 SLACK = 2.0 / ACCURACY
@@ -64,9 +64,9 @@ class _Target:
 
 
 def exact_quantiles(df: DataFrame, columns: dict[str, Column] | list[str], probs: list[float],
-                    map_limit: int | None = None, bracket_limit: int | None = None) -> dict[str, list[float | None]]:
+                    distinct_limit: int | None = None, bracket_limit: int | None = None) -> dict[str, list[float | None]]:
     """{column: [value per prob]}; NULLs are left out, an empty column gives None."""
-    map_limit = MAP_LIMIT if map_limit is None else map_limit
+    distinct_limit = DISTINCT_LIMIT if distinct_limit is None else distinct_limit
     bracket_limit = BRACKET_LIMIT if bracket_limit is None else bracket_limit
     if not isinstance(columns, dict):
         columns = {c: as_double(df, c) for c in columns}
@@ -74,44 +74,38 @@ def exact_quantiles(df: DataFrame, columns: dict[str, Column] | list[str], probs
         return {}
     names = list(columns)
     values = df.select(*[columns[c].alias(f"v{i}") for i, c in enumerate(names)])
-    probes = [x for p in probs for x in (max(0.0, p - SLACK), min(1.0, p + SLACK))]
-    first = values.agg(*[x for i in range(len(names)) for x in (
-        F.count(f"v{i}").alias(f"n{i}"), F.percentile_approx(f"v{i}", probes, ACCURACY).alias(f"a{i}"))]).first()
-    small, used = [], 0
-    for i in sorted(range(len(names)), key=lambda i: first[f"n{i}"]):
-        used += first[f"n{i}"]
-        if used > map_limit:
-            break
-        small.append(i)
-    found: dict[int, list[float | None]] = {}
-    if small:
-        wanted = F.array(*[F.lit(float(p)) for p in probs])
-        row = values.agg(*[F.percentile(f"v{i}", wanted).alias(f"q{i}") for i in small]).first()
-        found.update({i: list(row[f"q{i}"] or [None] * len(probs)) for i in small})
-    large = [i for i in range(len(names)) if i not in found]
-    if large:
-        targets = [_Target(i, p, first[f"n{i}"]) for i in large for p in probs]
-        ends = [first[f"a{i}"][2 * j:2 * j + 2] for i in large for j in range(len(probs))]
-        results = _select(values, targets, ends, bracket_limit)
-        found.update({i: results[r * len(probs):(r + 1) * len(probs)] for r, i in enumerate(large)})
-    return {c: found[i] for i, c in enumerate(names)}
-
-
-def _select(values: DataFrame, targets: list[_Target], ends: list, limit: int) -> list[float]:
-    _confirm(values, targets, ends)
-    while True:
-        wide = [t for t in targets if t.inside > limit and t.lo < t.hi and not t.stuck]
-        if not wide:
-            break
-        row = values.agg(*[F.percentile_approx(F.when(t.held(), F.col(f"v{t.i}")), t.probes(), ACCURACY) for t in wide]).first()
-        _confirm(values, wide, list(row))
+    sizes = values.agg(*[x for i in range(len(names)) for x in (
+        F.count(f"v{i}").alias(f"n{i}"), F.approx_count_distinct(f"v{i}").alias(f"d{i}"))]).first()
+    filled = [i for i in range(len(names)) if sizes[f"n{i}"]]
+    targets = [_Target(i, p, sizes[f"n{i}"]) for i in filled for p in probs]
+    large = [t for t in targets if sizes[f"d{t.i}"] > distinct_limit]
+    _narrow_down(values, large, bracket_limit)
+    found = iter(_order_statistics(values, targets, bracket_limit, set(map(id, large))))
+    return {c: [next(found) for _ in probs] if i in filled else [None] * len(probs) for i, c in enumerate(names)}
+
+
+def _narrow_down(values: DataFrame, targets: list[_Target], limit: int) -> None:
+    wide = targets
+    while wide:
+        shared: dict[tuple, list[_Target]] = {}  # ranks still within the same bracket share one sketch
+        for t in wide:
+            shared.setdefault((t.i, t.lo, t.hi), []).append(t)
+        row = values.agg(*[
+            F.percentile_approx(F.when(ts[0].held(), F.col(f"v{ts[0].i}")), [x for t in ts for x in t.probes()], ACCURACY)
+            for ts in shared.values()]).first()
+        ends = {id(t): got[2 * j:2 * j + 2] for ts, got in zip(shared.values(), row) for j, t in enumerate(ts)}
+        _confirm(values, wide, [ends[id(t)] for t in wide])
+        wide = [t for t in wide if t.inside > limit and t.lo < t.hi and not t.stuck]
+
+
+def _order_statistics(values: DataFrame, targets: list[_Target], limit: int, large: set[int]) -> list[float]:
     pairs: dict[int, tuple[float, float]] = {j: (t.lo, t.lo) for j, t in enumerate(targets) if t.lo == t.hi}
-    open_ones = {j: t for j, t in enumerate(targets) if j not in pairs}
-    fitting = {j: t for j, t in open_ones.items() if t.inside <= limit}
+    rest = {j: t for j, t in enumerate(targets) if j not in pairs}
+    fitting = {j: t for j, t in rest.items() if id(t) not in large or t.inside <= limit}
     if fitting:
         pairs.update(_read_brackets(values, fitting))
-    for j in open_ones.keys() - fitting.keys():  # masses of equal values kept the bracket wide
-        pairs[j] = _read_wide(values, open_ones[j])
+    for j in rest.keys() - fitting.keys():  # masses of equal values kept the bracket wide
+        pairs[j] = _read_wide(values, rest[j])
     return [pairs[j][0] + (pairs[j][1] - pairs[j][0]) * t.fraction for j, t in enumerate(targets)]
 
 
@@ -127,17 +121,33 @@ def _confirm(values: DataFrame, targets: list[_Target], ends: list) -> None:
 
 
 def _read_brackets(values: DataFrame, targets: dict[int, _Target]) -> dict[int, tuple[float, float]]:
-    """Value counts of all brackets in one job; each target's window holds at most its bracket's values."""
-    any_held = reduce(lambda a, b: a | b, [t.held() for t in targets.values()])
-    tagged = [F.when(t.held(), F.struct(F.lit(j).alias("t"), F.col(f"v{t.i}").alias("v"))) for j, t in targets.items()]
-    rows = values.filter(any_held).select(F.explode(F.array(*tagged)).alias("x")).filter("x IS NOT NULL").select("x.*")
-    counted = rows.groupBy("t", "v").agg(F.count(F.lit(1)).alias("n"))
-    running = counted.withColumn("upto", F.sum("n").over(Window.partitionBy("t").orderBy("v")))
-    low = F.coalesce(*[F.when(F.col("t") == j, F.lit(t.k - t.below)) for j, t in targets.items()])
-    high = F.coalesce(*[F.when(F.col("t") == j, F.lit(t.upper - t.below)) for j, t in targets.items()])
-    got = running.groupBy("t").agg(F.min(F.when(F.col("upto") > low, F.col("v"))).alias("a"),
-                                   F.min(F.when(F.col("upto") > high, F.col("v"))).alias("b")).collect()
-    return {r["t"]: (r["a"], r["b"]) for r in got}
+    """Value counts inside the brackets, in one job; overlapping brackets of a column are read as one range."""
+    ranges: list[tuple[int, float, float, int]] = []  # column, lo, hi, values below lo
+    home: dict[int, int] = {}
+    for j, t in sorted(targets.items(), key=lambda x: (x[1].i, x[1].lo, x[1].hi)):
+        if ranges and ranges[-1][0] == t.i and t.lo <= ranges[-1][2]:
+            i, lo, hi, below = ranges[-1]
+            ranges[-1] = (i, lo, max(hi, t.hi), below)
+        else:
+            ranges.append((t.i, t.lo, t.hi, t.below))
+        home[j] = len(ranges) - 1
+    parts = []
+    for i in sorted({r[0] for r in ranges}):
+        v = F.col("v")
+        own = [(g, lo, hi) for g, (c, lo, hi, _) in enumerate(ranges) if c == i]
+        inside = F.coalesce(*[F.when((v >= F.lit(lo)) & (v <= F.lit(hi)), F.lit(g)) for g, lo, hi in own])
+        held = reduce(lambda x, y: x | y, [(v >= F.lit(lo)) & (v <= F.lit(hi)) for _, lo, hi in own])
+        parts.append(values.select(F.col(f"v{i}").alias("v")).filter(held).groupBy(inside.alias("g"), "v").agg(
+            F.count(F.lit(1)).alias("n")))
+    running = reduce(DataFrame.unionByName, parts).withColumn(
+        "upto", F.sum("n").over(Window.partitionBy("g").orderBy("v")))
+    aggs = []
+    for j, t in targets.items():
+        here, start = F.col("g") == home[j], ranges[home[j]][3]
+        aggs += [F.min(F.when(here & (F.col("upto") > t.k - start), F.col("v"))),
+                 F.min(F.when(here & (F.col("upto") > t.upper - start), F.col("v")))]
+    row = running.agg(*aggs).first()
+    return {j: (row[2 * x], row[2 * x + 1]) for x, j in enumerate(targets)}
 
 
 def _read_wide(values: DataFrame, target: _Target) -> tuple[float, float]:
