@@ -19,18 +19,22 @@ EVENT_SCHEMA = T.StructType([
 
 
 def fits_encoding(spark: SparkSession, path: str, encoding: str) -> bool:
-    """Whether every byte of the files decodes: checked on the executors, file by file."""
-    lines = spark.read.option("encoding", "ISO-8859-1").text(path)  # bytes kept one to one
-    raw = F.encode(F.col("value"), "ISO-8859-1")
+    """Whether every line of the files decodes; tested on the executors, only a yes or no comes back."""
+    lines = spark.read.text(path)  # the text source keeps the bytes as they are
     if encoding == "utf-8":
-        return lines.filter(~F.is_valid_utf8(raw.cast("string"))).limit(1).count() == 0
-    if encoding == "gb18030":
-        # a line fits when decoding and encoding again gives the same bytes
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-        spark.conf.set("spark.sql.legacy.codingErrorAction", "true")
-        back = F.encode(F.decode(raw, encoding), encoding)
-        return lines.filter(back != raw).limit(1).count() == 0
-    return True
+        return lines.filter(~F.is_valid_utf8("value")).limit(1).count() == 0
+    if encoding != "gb18030":
+        return True
+    lenient = {"spark.sql.legacy.javaCharsets": "true", "spark.sql.legacy.codingErrorAction": "true"}
+    before = {k: spark.conf.get(k) for k in lenient}
+    for k, v in lenient.items():
+        spark.conf.set(k, v)
+    try:  # bytes that do not fit decode to the replacement character
+        text = F.decode(F.col("value").cast("binary"), "gb18030")
+        return lines.filter(text.contains("\ufffd")).limit(1).count() == 0
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
