@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from datetime import date
+
+from pyspark.sql import Column, SparkSession, functions as F
 
 UNITS = ("day", "week", "month", "quarter", "year")
 # periods back to "the same period a year ago"
@@ -18,7 +20,9 @@ def check_unit(unit: str) -> str:
 
 
 def period_start(ts: Column, unit: str) -> Column:
-    return F.date_trunc(check_unit(unit), ts).cast("date")
+    """First day of the period; works on the date, so no time zone is involved."""
+    day = ts.cast("date")
+    return day if check_unit(unit) == "day" else F.trunc(day, unit)
 
 
 def shift(start: Column, n: int, unit: str) -> Column:
@@ -28,6 +32,12 @@ def shift(start: Column, n: int, unit: str) -> Column:
     return F.add_months(start, n * _MONTHS[unit])
 
 
+def shifted_dates(spark: SparkSession, start: date, by: dict[str, int], unit: str) -> dict[str, date]:
+    """Period starts moved on the calendar, as plain dates (one row, no data read)."""
+    row = spark.range(1).select(*[shift(F.lit(start), n, unit).alias(k) for k, n in by.items()]).first()
+    return row.asDict()
+
+
 def period_end(start: Column, unit: str) -> Column:
     return F.date_sub(shift(start, 1, check_unit(unit)), 1)
 

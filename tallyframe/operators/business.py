@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -13,6 +14,7 @@ from tallyframe.operators.query import filter_recent_months
 from tallyframe.operators.ranking import with_global_order
 
 METRICS = ("amount", "orders", "customers", "unit_price")
+BROADCAST_TOP = 10_000  # a longer top list joins without a broadcast hint
 GROWTH_CANDIDATES = 50  # dimension values considered when a growth ranking has a limit
 
 
@@ -80,6 +82,13 @@ def dated(df: DataFrame, date: str, unit: str) -> DataFrame:
     return df.filter(ts.isNotNull()).withColumn("_period", D.period_start(ts, unit))
 
 
+def in_periods(df: DataFrame, date: str, unit: str, starts) -> DataFrame:
+    """Rows of the named periods, plus _period. The ranges are literals on the date itself, so the scan can skip."""
+    ts = parse_datetime(df, date)
+    spans = [(ts >= F.lit(p).cast("timestamp_ntz")) & (ts < D.shift(F.lit(p), 1, unit).cast("timestamp_ntz")) for p in set(starts)]
+    return df.filter(reduce(lambda a, b: a | b, spans)).withColumn("_period", D.period_start(ts, unit))
+
+
 def period_trend(df: DataFrame, date: str, unit: str, fields: Fields) -> DataFrame:
     """period_start, period, metrics."""
     grouped = dated(df, date, unit)
@@ -95,15 +104,18 @@ def period_dashboard(current: DataFrame, date: str, unit: str, fields: Fields,
     the three periods concerned are aggregated.
     """
     history = current if history is None else history
-    last = dated(current, date, unit).agg(F.max("_period")).scalar()
-    past = dated(history, date, unit)
-    back = {"cur": 0, "prev": -1, "ago": -D.YEAR_BACK[unit]}
-    wanted = past.filter(F.col("_period").isin(*[D.shift(last, n, unit) for n in back.values()]))
-    per = wanted.groupBy("_period").agg(*all_metrics(wanted, fields)).withColumn("_last", last)  # at most three rows
     names = _present_metrics(fields)
-    wide = per.agg(F.max("_last").alias("period"), *[
-        F.max(F.when(F.col("_period") == D.shift(F.col("_last"), n, unit), F.col(m).cast("double"))).alias(f"{m}_{t}")
-        for m in names for t, n in back.items()])
+    last = dated(current, date, unit).agg(F.max("_period")).first()[0]
+    if last is None:
+        none = "metric string, current_period string, value double, previous double, year_ago double, mom double, yoy double"
+        return current.sparkSession.createDataFrame([], none)
+    back = {"cur": 0, "prev": -1, "ago": -D.YEAR_BACK[unit]}
+    starts = D.shifted_dates(history.sparkSession, last, back, unit)
+    wanted = in_periods(history, date, unit, starts.values())
+    per = wanted.groupBy("_period").agg(*all_metrics(wanted, fields))  # at most three rows
+    wide = per.agg(F.lit(last).alias("period"), *[
+        F.max(F.when(F.col("_period") == F.lit(p), F.col(m).cast("double"))).alias(f"{m}_{t}")
+        for m in names for t, p in starts.items()])
     return C.to_rows(wide, [
         {"metric": F.lit(m), "current_period": D.period_label(F.col("period"), unit), "value": F.col(f"{m}_cur"),
          "previous": F.col(f"{m}_prev"), "year_ago": F.col(f"{m}_ago"),
@@ -124,19 +136,22 @@ def growth_by_period(df: DataFrame, date: str, unit: str, value: str, signed: bo
 
 # ---- dimensions ----------------------------------------------------------------------------------------
 
-def dimension_analysis(df: DataFrame, dimension: str, metric: str, fields: Fields) -> DataFrame:
-    """dimension, metric value per dimension value (missing kept), largest first."""
+def _grouped(df: DataFrame, dimension: str, metric: str, fields: Fields) -> DataFrame:
     if dimension not in df.columns:
         raise KeyError(f"no such dimension: {dimension}")
-    return df.groupBy(C.quoted(dimension)).agg(biz_metric(df, metric, fields).alias(metric)).orderBy(
-        F.desc_nulls_last(metric), dimension)
+    return df.groupBy(C.quoted(dimension)).agg(biz_metric(df, metric, fields).alias(metric))
+
+
+def dimension_analysis(df: DataFrame, dimension: str, metric: str, fields: Fields) -> DataFrame:
+    """dimension, metric value per dimension value (missing kept), largest first."""
+    return _grouped(df, dimension, metric, fields).orderBy(F.desc_nulls_last(metric), C.quoted(dimension))
 
 
 def dimension_topn(df: DataFrame, dimension: str, metric: str, fields: Fields, top_n: int | None = 10) -> DataFrame:
     """rank, dimension, metric. With N the rank window only sees the N rows that survive."""
     ordered = dimension_analysis(df, dimension, metric, fields)
     if top_n is None:
-        grouped = df.groupBy(C.quoted(dimension)).agg(biz_metric(df, metric, fields).alias(metric))
+        grouped = _grouped(df, dimension, metric, fields)
         keys = [F.col(metric).isNull(), -F.col(metric), C.quoted(dimension)]
         ranked = with_global_order(grouped.withColumn("_one", F.lit(1)), keys, "_one", position="rank", running="_run")
         return ranked.select("rank", dimension, metric)
@@ -146,9 +161,10 @@ def dimension_topn(df: DataFrame, dimension: str, metric: str, fields: Fields, t
 
 def dimension_share(df: DataFrame, dimension: str, metric: str, fields: Fields) -> DataFrame:
     """dimension, metric, share_pct of the sum over all dimension values."""
-    result = dimension_analysis(df, dimension, metric, fields)
-    total = result.agg(F.sum(metric)).scalar()
-    return result.withColumn("share_pct", share_percent(F.col(metric), total))
+    result = _grouped(df, dimension, metric, fields)
+    total = result.agg(F.sum(metric)).scalar()  # reads the same shuffled groups, not the rows again
+    return result.withColumn("_total", total).withColumn("share_pct", share_percent(F.col(metric), F.col("_total"))).drop(
+        "_total").orderBy(F.desc_nulls_last(metric), C.quoted(dimension))
 
 
 def _keep_top(df: DataFrame, dimension: str, metric: str, fields: Fields, top_n: int | None) -> DataFrame:
@@ -156,7 +172,8 @@ def _keep_top(df: DataFrame, dimension: str, metric: str, fields: Fields, top_n:
     if top_n is None:
         return df
     top = dimension_analysis(df, dimension, metric, fields).limit(top_n).select(C.quoted(dimension).alias("_top"))
-    return df.join(F.broadcast(top), C.quoted(dimension).eqNullSafe(F.col("_top")), "left_semi")  # N rows
+    top = F.broadcast(top) if top_n <= BROADCAST_TOP else top
+    return df.join(top, C.quoted(dimension).eqNullSafe(F.col("_top")), "left_semi")  # N rows
 
 
 def dimension_trend(df: DataFrame, date: str, dimension: str, metric: str, fields: Fields, unit: str = "month",
@@ -202,7 +219,7 @@ def growth_ranking(df: DataFrame, dimension: str, metric: str, fields: Fields, l
     first, last = rows.agg(F.min("_period"), F.max("_period")).first()
     if first is None or first == last:
         raise ValueError("growth needs at least two months")
-    ends = rows.filter(F.col("_period").isin(first, last))
+    ends = in_periods(kept, fields.date, "month", (first, last))
     per = ends.groupBy(C.quoted(dimension), "_period").agg(biz_metric(ends, metric, fields).cast("double").alias("v"))
     pair = per.groupBy(dimension).agg(
         F.max(F.when(F.col("_period") == F.lit(first), F.col("v"))).alias("first_value"),
@@ -265,12 +282,12 @@ def summary_kpis(df: DataFrame, fields: Fields) -> DataFrame:
     totals = df.agg(*_totals(df, fields))
     if not (fields.date and fields.amount):
         return totals.withColumns({"mom": F.lit(None).cast("double"), "yoy": F.lit(None).cast("double")})
-    rows = dated(df, fields.date, "month")
-    last = rows.agg(F.max("_period")).scalar()
+    last = dated(df, fields.date, "month").agg(F.max("_period")).first()[0]
+    starts = D.shifted_dates(df.sparkSession, last, {"cur": 0, "prev": -1, "ago": -12}, "month") if last else {}
+    rows = in_periods(df, fields.date, "month", starts.values()) if last else dated(df, fields.date, "month")
     amount, month = C.as_double(rows, fields.amount), F.col("_period")
-    at = {"cur": last, "prev": D.shift(last, -1, "month"), "ago": D.shift(last, -12, "month")}
-    sums = rows.filter(month.isin(*at.values())).agg(
-        F.struct(*[F.coalesce(F.sum(F.when(month == p, amount)), F.lit(0.0)).alias(k) for k, p in at.items()])).scalar()
+    sums = rows.agg(F.struct(*[
+        F.coalesce(F.sum(F.when(month == F.lit(starts.get(k)), amount)), F.lit(0.0)).alias(k) for k in ("cur", "prev", "ago")])).scalar()
     return totals.withColumn("m", sums).select(
         "amount", "customers", "unit_price", "orders",
         growth_fraction(F.col("m.cur"), F.col("m.prev")).alias("mom"),

@@ -6,7 +6,7 @@ import re
 from dataclasses import dataclass, field
 from datetime import date, timedelta
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tallyframe.functions import columns as C
 from tallyframe.functions.parsing import parse_datetime
@@ -46,6 +46,8 @@ def filter_eq(df: DataFrame, filters, warnings: list[str] | None = None) -> Data
             warnings.append(f"unsupported_operator:{operator}")
         elif C.is_text(C.dtype_of(df, name)):
             df = df.filter(C.quoted(name) == str(value))
+        elif isinstance(C.dtype_of(df, name), T.IntegralType) and re.fullmatch(r"0|-?[1-9]\d{0,17}", str(value)):
+            df = df.filter(C.quoted(name) == F.lit(int(value)))  # same rows as by text, and the scan can skip
         else:
             df = df.filter(C.quoted(name).cast("string") == str(value))
     return df
