@@ -270,8 +270,8 @@ def top1_share_risk(result: DataFrame, dimension: str, value: str, growth_rate:
 # ---- summaries -----------------------------------------------------------------------------------------
 
 def _totals(df: DataFrame, fields: Fields) -> list[Column]:
-    amount = _sum(df, fields.amount) if fields.amount else F.first(F.lit(None).cast("double"))
-    customers = _sum(df, fields.customer_count) if fields.customer_count else F.first(F.lit(None).cast("double"))
+    amount = _sum(df, fields.amount) if fields.amount else F.lit(None).cast("double")
+    customers = _sum(df, fields.customer_count) if fields.customer_count else F.lit(None).cast("double")
     return [amount.alias("amount"), customers.alias("customers"),
             F.try_divide(_sum(df, fields.amount), F.nullif(customers, F.lit(0.0))).alias("unit_price"),
             _orders(fields).alias("orders")]

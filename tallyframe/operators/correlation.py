@@ -52,7 +52,8 @@ def raw_pairs(df: DataFrame, columns: list[str], method: str = "pearson") -> Dat
         return df.sparkSession.createDataFrame([], PAIR_SCHEMA)
     data = df.select(*[C.as_finite(df, c).alias(c) for c in columns])
     if method == "spearman":
-        return reduce(DataFrame.unionByName, [_spearman(data, a, b) for a, b in pairs])
+        sizes = data.agg(*[pair_count(C.quoted(a), C.quoted(b)) for a, b in pairs]).first()
+        return reduce(DataFrame.unionByName, [_spearman(data, a, b, n) for (a, b), n in zip(pairs, sizes)])
     parts = []
     for start in range(0, len(pairs), PAIRS_PER_PASS):
         batch = pairs[start:start + PAIRS_PER_PASS]
@@ -69,21 +70,20 @@ def _clamped(r: Column) -> Column:
     return F.when(r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
 
 
-def spearman_ranks(data: DataFrame, column: str, range_rows: int | None = None) -> DataFrame:
+def spearman_ranks(data: DataFrame, column: str, range_rows: int | None = None, at_most: int | None = None) -> DataFrame:
     """value, rank: average rank per distinct value from value counts and running sums."""
     counts = data.select(C.quoted(column).alias("value")).filter("value IS NOT NULL").groupBy("value").agg(
         F.count(F.lit(1)).alias("n"))
-    ordered = with_global_order(counts, [F.col("value")], "n", range_rows, running="upto")
+    ordered = with_global_order(counts, [F.col("value")], "n", range_rows, running="upto", at_most=at_most)
     return ordered.select("value", (F.col("upto") - (F.col("n") - 1) / 2).alias("rank"))
 
 
-def _spearman(data: DataFrame, a: str, b: str) -> DataFrame:
+def _spearman(data: DataFrame, a: str, b: str, size: int) -> DataFrame:
     both = data.filter(C.quoted(a).isNotNull() & C.quoted(b).isNotNull()).select(C.quoted(a).alias("x"), C.quoted(b).alias("y"))
     pairs = both.groupBy("x", "y").agg(F.count(F.lit(1)).alias("w"))  # copies collapse before the joins
-    rx = spearman_ranks(both, "x").select(F.col("value").alias("x"), F.col("rank").alias("rx"))
-    ry = spearman_ranks(both, "y").select(F.col("value").alias("y"), F.col("rank").alias("ry"))
-    size = both.agg(F.count(F.lit(1))).scalar()
-    middle = (size + 1) / 2.0
+    rx = spearman_ranks(both, "x", at_most=size).select(F.col("value").alias("x"), F.col("rank").alias("rx"))
+    ry = spearman_ranks(both, "y", at_most=size).select(F.col("value").alias("y"), F.col("rank").alias("ry"))
+    middle = F.lit((size + 1) / 2.0)
     ranked = pairs.join(rx, "x").join(ry, "y").select(
         "w", (F.col("rx") - middle).alias("p"), (F.col("ry") - middle).alias("q"))
     w, p, q = F.col("w"), F.col("p"), F.col("q")

@@ -46,42 +46,42 @@ def _status_of(df: DataFrame, kpi: Kpi) -> tuple[str, str]:
     return "ok", "computed"
 
 
-def _value(df: DataFrame, kpi: Kpi) -> tuple[Column, Column]:
-    """(numeric value, text value) aggregates; max and min work on the raw values, dates and text included."""
-    no_number, no_text = F.lit(None).cast("double"), F.lit(None).cast("string")
+def _value(df: DataFrame, kpi: Kpi) -> tuple[Column | None, Column | None]:
+    """(numeric, text) aggregate, None where there is none; max and min work on raw values, dates and text included."""
     if _status_of(df, kpi)[0] != "ok":
-        return F.first(no_number), F.first(no_text)
+        return None, None
     if kpi.aggregation == "count_rows":
-        return F.count(F.lit(1)).cast("double"), F.first(no_text)
+        return F.count(F.lit(1)).cast("double"), None
     value = C.present(df, kpi.source_field)
     if kpi.aggregation == "count":
-        return F.count(value).cast("double"), F.first(no_text)
+        return F.count(value).cast("double"), None
     if kpi.aggregation == "count_distinct":
-        return F.count_distinct(P.comparable(df, kpi.source_field)).cast("double"), F.first(no_text)
+        return F.count_distinct(P.comparable(df, kpi.source_field)).cast("double"), None
     if kpi.aggregation in ("sum", "avg"):
         number = C.as_double(df, kpi.source_field)
-        return (F.coalesce(F.sum(number), F.lit(0.0)) if kpi.aggregation == "sum" else F.avg(number)), F.first(no_text)
+        return (F.coalesce(F.sum(number), F.lit(0.0)) if kpi.aggregation == "sum" else F.avg(number)), None
     pick = F.max if kpi.aggregation == "max" else F.min
     if C.is_numeric(C.dtype_of(df, kpi.source_field)):
-        return pick(value).cast("double"), F.first(no_text)
-    return F.first(no_number), pick(value).cast("string")
+        return pick(value).cast("double"), None
+    return None, pick(value).cast("string")
 
 
 class _Pass:
-    """Collects the aggregates of many KPIs into one agg call."""
+    """Collects the aggregates of many KPIs into one agg call; the same aggregate is computed once."""
 
     def __init__(self, df: DataFrame):
-        self.df, self.aggs, self.names = df, [F.count(F.lit(1)).alias("rows")], {}
+        self.df, self.aggs, self.seen = df, [F.count(F.lit(1)).alias("rows")], {}
 
     def take(self, kpi: Kpi) -> tuple[Column, Column]:
         key = (kpi.aggregation, kpi.source_field)
-        if key not in self.names:
-            i = len(self.names)
-            number, text = _value(self.df, kpi)
-            self.aggs += [number.alias(f"v{i}"), text.alias(f"t{i}")]
-            self.names[key] = i
-        i = self.names[key]
-        return F.col(f"v{i}"), F.col(f"t{i}")
+        if key not in self.seen:
+            i, out = len(self.seen), []
+            for name, kind, agg in zip((f"v{i}", f"t{i}"), ("double", "string"), _value(self.df, kpi)):
+                if agg is not None:
+                    self.aggs.append(agg.alias(name))
+                out.append(F.lit(None).cast(kind) if agg is None else F.col(name))
+            self.seen[key] = tuple(out)
+        return self.seen[key]
 
     def one_row(self) -> DataFrame:
         return self.df.agg(*self.aggs)
@@ -90,45 +90,51 @@ class _Pass:
 def _basic_row(shared: _Pass, kpi: Kpi) -> dict[str, Column]:
     status, message = _status_of(shared.df, kpi)
     number, text = shared.take(kpi)
+    none = F.lit(None).cast("double")
     return {"kpi_id": F.lit(kpi.kpi_id), "kpi_name": F.lit(kpi.name), "aggregation": F.lit(kpi.aggregation),
-            "status": F.lit(status), "value": number, "value_text": text, "record_count": F.col("rows"),
-            "message": F.lit(message)}
+            "status": F.lit(status), "value": number, "value_text": text, "numerator_value": none,
+            "denominator_value": none, "record_count": F.col("rows"), "message": F.lit(message)}
 
 
 def kpi_basic(df: DataFrame, kpis: list[Kpi]) -> DataFrame:
     """kpi_id, kpi_name, aggregation, status, value, value_text, record_count, message."""
     shared = _Pass(df)
     rows = [_basic_row(shared, k) for k in kpis]
-    return C.to_rows(shared.one_row(), rows)
+    return C.to_rows(shared.one_row(), rows).drop("numerator_value", "denominator_value")
 
 
 def _ratio_row(shared: _Pass, kpi: Kpi, by_id: dict[str, Kpi]) -> dict[str, Column]:
+    """The parts of a ratio; status 'ratio' means that the values decide (see _with_ratios)."""
     top, bottom = by_id.get(kpi.numerator_id), by_id.get(kpi.denominator_id)
-    no_number = F.lit(None).cast("double")
-    fixed, n, d = None, no_number, no_number
+    n = d = none = F.lit(None).cast("double")
+    status = "ratio"
     if not kpi.numerator_id or not kpi.denominator_id:
-        fixed = "invalid_definition"
+        status = "invalid_definition"
     elif top is None or bottom is None:
-        fixed = "missing_dependency"
+        status = "missing_dependency"
     elif top.aggregation not in BASIC or bottom.aggregation not in BASIC:
-        fixed = "invalid_definition"  # no nesting
+        status = "invalid_definition"  # no nesting
+    elif _status_of(shared.df, top)[0] != "ok":
+        status = "dependency_error"
     else:
-        if _status_of(shared.df, top)[0] != "ok":
-            fixed = "dependency_error"
+        n = shared.take(top)[0]
+        if _status_of(shared.df, bottom)[0] == "ok":
+            d = shared.take(bottom)[0]
         else:
-            n = shared.take(top)[0]
-            if _status_of(shared.df, bottom)[0] != "ok":
-                fixed = "dependency_error"
-            else:
-                d = shared.take(bottom)[0]
-    n, d = _finite(n), _finite(d)
-    value = F.try_divide(n, F.nullif(d, F.lit(0.0)))
-    status = F.lit(fixed) if fixed else (
-        F.when(n.isNull() | d.isNull(), "dependency_error").when(d == 0, "zero_denominator")
-        .when(_finite(value).isNull(), "dependency_error").otherwise("ok"))
-    return {"kpi_id": F.lit(kpi.kpi_id), "kpi_name": F.lit(kpi.name), "status": status,
-            "value": F.when(status == "ok", value), "numerator_value": n, "denominator_value": d,
-            "record_count": F.col("rows")}
+            status = "dependency_error"
+    return {"kpi_id": F.lit(kpi.kpi_id), "kpi_name": F.lit(kpi.name), "aggregation": F.lit("ratio"), "status": F.lit(status),
+            "value": none, "value_text": F.lit(None).cast("string"), "numerator_value": n, "denominator_value": d,
+            "record_count": F.col("rows"), "message": F.lit("")}
+
+
+def _with_ratios(rows: DataFrame) -> DataFrame:
+    """Divide on the result rows (one per KPI), after the aggregate."""
+    n, d, ratio = F.col("numerator_value"), F.col("denominator_value"), F.col("status") == "ratio"
+    rows = rows.withColumns({"numerator_value": _finite(n), "denominator_value": _finite(d)})
+    rows = rows.withColumn("value", F.when(ratio, _finite(F.try_divide(n, d))).otherwise(F.col("value")))
+    status = (F.when(~ratio, F.col("status")).when(n.isNull() | d.isNull(), "dependency_error").when(d == 0, "zero_denominator")
+              .when(F.col("value").isNull(), "dependency_error").otherwise("ok"))
+    return rows.withColumn("status", status)
 
 
 def _finite(c: Column) -> Column:
@@ -139,7 +145,7 @@ def kpi_ratio(df: DataFrame, ratios: list[Kpi], by_id: dict[str, Kpi]) -> DataFr
     """kpi_id, kpi_name, status, value, numerator_value, denominator_value, record_count."""
     shared = _Pass(df)
     rows = [_ratio_row(shared, k, by_id) for k in ratios]
-    return C.to_rows(shared.one_row(), rows)
+    return _with_ratios(C.to_rows(shared.one_row(), rows)).drop("aggregation", "value_text", "message")
 
 
 @dataclass(frozen=True)
@@ -162,19 +168,20 @@ def kpi_board(df: DataFrame, kpis: list[Kpi], meanings: list[Meaning] = ()) -> D
     shared, rows = _Pass(df), []
     for i, kpi in enumerate(k for k in kpis if k.enabled and k.valid):
         raw = _ratio_row(shared, kpi, by_id) if kpi.aggregation == "ratio" else _basic_row(shared, kpi)
-        value, text = raw["value"], raw.get("value_text", F.lit(None).cast("string"))
-        usable = _finite(value).isNotNull() | text.isNotNull() | value.isNull()
-        status = F.when((raw["status"] == "ok") & ~usable, "calculation_error").otherwise(raw["status"])
         meaning = active.get(kpi.kpi_id)
         rows.append({
-            "position": F.lit(i), "kpi_id": raw["kpi_id"], "kpi_name": raw["kpi_name"], "category": F.lit(kpi.category),
-            "aggregation": F.lit(kpi.aggregation), "value": F.when(status == "ok", value),
-            "value_text": F.when(status == "ok", text), "status": status, "record_count": raw["record_count"],
+            "position": F.lit(i), "category": F.lit(kpi.category), **raw,
             "business_definition": F.lit(meaning.business_definition if meaning else ""),
             "aliases": F.lit(",".join(meaning.aliases) if meaning else ""),
             "semantic_status": F.lit("linked" if meaning else "missing"),
         })
-    return C.to_rows(shared.one_row(), rows)
+    board = _with_ratios(C.to_rows(shared.one_row(), rows))
+    unusable = F.col("value").isNotNull() & _finite(F.col("value")).isNull()
+    board = board.withColumn("status", F.when((F.col("status") == "ok") & unusable, "calculation_error").otherwise(F.col("status")))
+    ok = F.col("status") == "ok"
+    return board.select(
+        "position", "kpi_id", "kpi_name", "category", "aggregation", F.when(ok, F.col("value")).alias("value"),
+        F.when(ok, F.col("value_text")).alias("value_text"), "status", "record_count", "business_definition", "aliases", "semantic_status")
 
 
 def kpi_board_counts(board: DataFrame) -> DataFrame:

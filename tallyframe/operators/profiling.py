@@ -88,8 +88,7 @@ def _by_groups(df: DataFrame, columns: list[str], dates) -> DataFrame:
             parsed = F.sum(F.when(reads.isNotNull(), n))
         parts.append(groups.groupBy("position").agg(
             F.sum("n").alias("total"), F.sum(F.when(v.isNotNull(), n)).alias("non_null"), F.count("v").alias("distinct_count"),
-            (whole if kind in ("bigint", "double") or kind.startswith("decimal") else F.first(whole)).alias("whole"),
-            (parsed if wanted else F.first(parsed)).alias("parsed")))
+            whole.alias("whole"), parsed.alias("parsed")))
     return reduce(DataFrame.unionByName, parts)
 
 
