@@ -4,9 +4,10 @@ For every window of L words the smallest of its k-word hashes (the leftmost of e
 have the same anchor wherever they stand. Neighbouring windows with one anchor form a segment. The work goes
 
 1. one row per (anchor hash, document): anchors of a single document are dropped (aggregate, then a join that may be split);
-2. the documents' live segments, equal ones collapsed to one row with the smallest doc_id;
-3. a search within shards of whole anchors (passed in by the operator), which gives the smallest doc_id of each window;
-4. back to the segments of each document, and to its text.
+2. the documents' live segments as hashes, equal ones collapsed to the smallest and largest doc_id;
+3. the words of each different segment, taken from its first document only;
+4. a search within shards of whole anchors (passed in by the operator), which gives the smallest doc_id of each window;
+5. back to the segments of each document, and to its text.
 
 An anchor of more than HOT documents is split: its windows travel one by one, keyed by their own hash, so that a
 passage in a third of all documents spreads over the shards and its copies collapse before the shuffle.
@@ -26,6 +27,7 @@ from tallyframe.llm.text import U64, Words, mix, slices, span_hashes, split_word
 
 HOT = 20_000
 SHARD_WORDS = 400_000
+NO_ID = -(1 << 63)
 
 # search(words, segment bounds, anchor offsets, windows per segment, smallest ids) -> smallest id of each window
 Search = Callable[[Words, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
@@ -106,30 +108,57 @@ def _live_segments(words: Words, live: list[np.ndarray], hot: list[np.ndarray],
     return start, number, anchor, route, content
 
 
-def document_segments(length: int, k: int, with_words: bool):
+def _live(entries: list) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    live, hot = [], []
+    for entry in entries:
+        keys = np.array([e["anchor"] for e in entry or ()], dtype=np.int64).view(U64)
+        order = np.argsort(keys)
+        live.append(keys[order])
+        hot.append(np.array([e["hot"] for e in entry or ()], dtype=np.int8)[order])
+    return live, hot
+
+
+def segment_places(length: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in slices(batches):
             words = split_words(texts)
-            live, hot = [], []
-            for entry in rows.column("live").to_pylist():
-                pairs = np.array([(e["anchor"], e["hot"]) for e in entry or ()], dtype=np.int64).reshape(-1, 2)
-                keys = pairs[:, 0].view(U64) if len(pairs) == 0 else np.ascontiguousarray(pairs[:, 0]).view(U64)
-                order = np.argsort(keys)
-                live.append(keys[order])
-                hot.append(pairs[order, 1].astype(np.int8))
-            start, number, anchor, route, content = _live_segments(words, live, hot, length, k)
+            start, _, _, route, content = _live_segments(words, *_live(rows.column("live").to_pylist()), length, k)
             doc = words.doc[start]
-            arrays = [pa.array(route.view(np.int64)), pa.array(content.view(np.int64)), rows.column("doc_id").take(pa.array(doc))]
-            if with_words:
-                a, b = words.starts[start], words.ends[start + number + length - 2]
-                whole = words.buf.tobytes()
-                arrays += [pa.array(number.astype(np.int32)), pa.array(anchor.astype(np.int32)),
-                           pa.array([whole[i:j] for i, j in zip(a.tolist(), b.tolist())], pa.binary())]
-                names = ["route", "content", "doc_id", "windows", "anchor_at", "words"]
-            else:
-                arrays.append(pa.array(start - words.bounds[doc]))
-                names = ["route", "content", "doc_id", "start"]
-            yield pa.RecordBatch.from_arrays(arrays, names)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(route.view(np.int64)), pa.array(content.view(np.int64)), rows.column("doc_id").take(pa.array(doc)),
+                 pa.array(start - words.bounds[doc])], ["route", "content", "doc_id", "start"])
+    return run
+
+
+def segment_words(length: int, k: int):
+    """The words of the segments that the document is the first to have."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, texts in slices(batches):
+            words = split_words(texts)
+            start, number, anchor, route, content = _live_segments(words, *_live(rows.column("live").to_pylist()), length, k)
+            doc = words.doc[start]
+            wanted = rows.column("wanted").flatten()
+            wanted_doc = np.repeat(np.arange(len(texts)), np.asarray(pa.compute.list_value_length(rows.column("wanted"))))
+            pairs = np.stack((np.asarray(wanted.field("route")), np.asarray(wanted.field("content")),
+                              np.asarray(wanted.field("last_id"))))
+            # places in both lists by (document, route, content); a repeated segment is taken once
+            have = np.lexsort((content, route, doc))
+            lead = np.ones(len(have), dtype=bool)
+            a, b = have[1:], have[:-1]
+            lead[1:] = (doc[a] != doc[b]) | (route[a] != route[b]) | (content[a] != content[b])
+            have = have[lead]
+            asked = {key: last for *key_parts, last in zip(wanted_doc.tolist(), pairs[0].tolist(), pairs[1].tolist(), pairs[2].tolist())
+                     for key in (tuple(key_parts),)}
+            keys = zip(doc[have].tolist(), route[have].view(np.int64).tolist(), content[have].view(np.int64).tolist())
+            last = [asked.get(key) for key in keys]
+            pick = np.array([i for i, x in zip(have.tolist(), last) if x is not None], dtype=np.int64)
+            first, end = start[pick].tolist(), (start[pick] + number[pick] + length - 1).tolist()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(route[pick].view(np.int64)), pa.array(content[pick].view(np.int64)),
+                 rows.column("doc_id").take(pa.array(doc[pick])), pa.array([x for x in last if x is not None], pa.int64()),
+                 pa.array(number[pick].astype(np.int32)), pa.array(anchor[pick].astype(np.int32)),
+                 pa.array([words.text(i, j) for i, j in zip(first, end)], pa.binary())],
+                ["route", "content", "first_id", "last_id", "windows", "anchor_at", "words"])
     return run
 
 
@@ -221,23 +250,25 @@ def remove_repeats(docs: DataFrame, length: int, k: int, search: Search, with_te
     docs needs doc_id (unique integers) and text. Rows: doc_id, n_words, n_removed, spans (ranges of removed words),
     kept_sha256 and, if asked for, kept_text.
     """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    anchors = base.mapInArrow(document_anchors(length, k), "anchor long, doc_id long")
+    # doc_key is never null, so that both joins below share one shuffle of the texts
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn(
+        "doc_key", F.coalesce("doc_id", F.lit(NO_ID))).repartition("doc_key")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    anchors = source.mapInArrow(document_anchors(length, k), "anchor long, doc_id long")
     live = anchors.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select(
         "anchor", (F.col("n") > HOT).cast("int").alias("hot"))
-    marked = (anchors.join(live, "anchor").groupBy("doc_id")
+    marked = (anchors.join(live, "anchor").groupBy(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_key"))
               .agg(F.collect_list(F.struct("anchor", "hot")).alias("live")))
-    withal = base.join(marked, "doc_id")
-    pieces = withal.mapInArrow(document_segments(length, k, True),
-                               "route long, content long, doc_id long, windows int, anchor_at int, words binary")
-    distinct = pieces.groupBy("route", "content").agg(
-        F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.min("windows").alias("windows"),
-        F.min("anchor_at").alias("anchor_at"), F.min("words").alias("words"))
+    withal = base.join(marked, "doc_key")
+    places = withal.mapInArrow(segment_places(length, k), "route long, content long, doc_id long, start long").filter("doc_id IS NOT NULL")
+    first = (places.groupBy("route", "content").agg(F.min("doc_id").alias("doc_key"), F.max("doc_id").alias("last_id"))
+             .groupBy("doc_key").agg(F.collect_list(F.struct("route", "content", "last_id")).alias("wanted")))
+    distinct = withal.join(first, "doc_key").mapInArrow(
+        segment_words(length, k), "route long, content long, first_id long, last_id long, windows int, anchor_at int, words binary")
     found = (distinct.repartition("route").sortWithinPartitions("route", "content")
              .mapInPandas(shard_search(length, search), "route long, content long, seen array<long>"))
-    places = withal.mapInArrow(document_segments(length, k, False), "route long, content long, doc_id long, start long")
     hits = (places.join(found, ["route", "content"]).filter(F.expr("exists(seen, x -> x < doc_id)"))
-            .groupBy("doc_id").agg(F.collect_list(F.struct("start", "seen")).alias("hits")))
+            .groupBy(F.col("doc_id").alias("doc_key")).agg(F.collect_list(F.struct("start", "seen")).alias("hits")))
     schema = ("doc_id long, n_words long, n_removed long, spans array<struct<first: long, last: long>>, kept_sha256 string"
               + ", kept_text string" * with_text)
-    return base.join(hits, "doc_id", "left").mapInArrow(document_results(length, with_text), schema)
+    return base.join(hits, "doc_key", "left").mapInArrow(document_results(length, with_text), schema)

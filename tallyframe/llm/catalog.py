@@ -29,7 +29,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def repeats_sql(length: int) -> str:
     """Words covered by a window that also starts in a document with a smaller doc_id are removed."""
-    return f"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS ws
+    return f"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws
  FROM documents),
  p AS (SELECT doc_id, ws, unnest(range(1, len(ws) - {length - 2})) AS i FROM d WHERE len(ws) >= {length}),
  g AS (SELECT doc_id, i, array_to_string(ws[i:i + {length - 1}], ' ') AS w FROM p),
@@ -37,7 +37,7 @@ def repeats_sql(length: int) -> str:
  gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + {length})) AS pos FROM m WHERE first_id < doc_id),
  lost AS (SELECT doc_id, list(pos) AS gone FROM gone GROUP BY doc_id)
  SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
- sha256(array_to_string(list_filter(ws, (x, i) -> NOT list_contains(coalesce(gone, []), i)), ' ')) AS kept_sha256
+ sha256(array_to_string(list_filter(ws, lambda x, i: NOT list_contains(coalesce(gone, []), i)), ' ')) AS kept_sha256
  FROM d LEFT JOIN lost USING (doc_id)"""
 
 

@@ -17,10 +17,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 U64 = np.uint64
 BASE = U64(0x9E3779B97F4A7C13 | 3)  # 3 modulo 8: differences of its powers keep nearly all bits
 BASE_INVERSE = U64(pow(int(BASE), -1, 1 << 64))
-BYTE_VALUES = np.random.default_rng(20240521).integers(1, 1 << 63, 256, dtype=np.int64).astype(U64) | U64(1)
+LOW_BYTES = np.array([(1 << (8 * n)) - 1 for n in range(9)], dtype=U64)
 BLANK = np.zeros(256, dtype=bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
-SLICE_BYTES = 1 << 21  # texts are worked on in slices of about this size, whatever an Arrow batch holds
+SLICE_BYTES = 1 << 19  # texts are worked on in slices of about this size, whatever an Arrow batch holds
 
 
 def ready(spark: SparkSession) -> None:
@@ -70,9 +70,9 @@ def span_hashes(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.n
 
 @dataclass
 class Words:
-    """The words of some texts: buf holds them with one blank after each, starts and ends are places in buf."""
+    """The words of some texts: raw[starts[i]:ends[i]] is word i."""
 
-    buf: np.ndarray
+    raw: bytes
     starts: np.ndarray
     ends: np.ndarray
     hashes: np.ndarray
@@ -81,26 +81,32 @@ class Words:
 
     def text(self, first: int, last: int) -> bytes:
         """Words first:last joined by one blank."""
-        return self.buf[self.starts[first]:self.ends[last - 1]].tobytes() if last > first else b""
+        return b" ".join(self.raw[self.starts[first]:self.ends[last - 1]].split()) if last > first else b""
+
+
+def word_hashes(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """raw must go on for 8 bytes after the last word."""
+    eight = np.ndarray((len(raw) - 7,), dtype="<u8", buffer=raw, strides=(1,))
+    size = ends - starts
+    h = mix((eight[starts] & LOW_BYTES[np.minimum(size, 8)]) * BASE + size.astype(U64))
+    more, done = np.flatnonzero(size > 8), 8
+    while len(more):
+        part = eight[starts[more] + done] & LOW_BYTES[np.minimum(size[more] - done, 8)]
+        h[more] = mix(h[more] * BASE + part)
+        done += 8
+        more = more[size[more] > done]
+    return h
 
 
 def split_words(texts: list[bytes | None]) -> Words:
-    raw = np.frombuffer(b" ".join(t or b"" for t in texts) + b" ", dtype=np.uint8)
+    raw = b"".join((b" ", b" ".join(t or b"" for t in texts), b" ", bytes(8)))
     sizes = np.fromiter((len(t or b"") + 1 for t in texts), dtype=np.int64, count=len(texts))
-    blank = BLANK[raw]
-    after_word = np.empty(len(raw), dtype=bool)
-    after_word[0] = False
-    np.logical_and(blank[1:], ~blank[:-1], out=after_word[1:])
-    keep = ~blank | after_word
-    buf = np.where(blank, np.uint8(0x20), raw)[keep]
-    ends = np.flatnonzero(buf == 0x20)
-    starts = np.concatenate(([0], ends[:-1] + 1)) if len(ends) else ends
-    words_until = np.concatenate(([0], np.cumsum(after_word)))
-    # the blank that ends a text's last word is the joining one, so it is counted in the text's own bytes
-    bounds = np.concatenate(([0], words_until[np.cumsum(sizes)])) if len(texts) else np.zeros(1, dtype=np.int64)
+    blank = BLANK[np.frombuffer(raw, dtype=np.uint8)[:-8]]
+    edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    starts, ends = edges[0::2], edges[1::2]
+    bounds = np.concatenate(([0], np.searchsorted(starts, np.cumsum(sizes) + 1)))
     doc = np.repeat(np.arange(len(texts)), np.diff(bounds))
-    values = BYTE_VALUES[buf]
-    return Words(buf, starts, ends, span_hashes(values, starts, ends), doc, bounds)
+    return Words(raw, starts, ends, word_hashes(raw, starts, ends), doc, bounds)
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
