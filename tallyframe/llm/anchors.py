@@ -21,13 +21,15 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from tallyframe.llm.text import U64, Words, mix, slices, span_hashes, split_words
 
-HOT = 20_000
+HOT = 4_000
 SHARD_WORDS = 400_000
 NO_ID = -(1 << 63)
+ANCHOR_BITS = U64((1 << 48) - 1)  # shorter keys shuffle in less space; anchors that meet by chance cost work, not results
 
 # search(words, segment bounds, anchor offsets, windows per segment, smallest ids) -> smallest id of each window
 Search = Callable[[Words, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
@@ -63,6 +65,7 @@ def segments(words: Words, length: int, k: int):
     if not len(valid):
         none = np.zeros(0, dtype=np.int64)
         return none, none, none, np.zeros(0, dtype=U64)
+    g &= ANCHOR_BITS
     mine = owner[valid]
     cut = np.concatenate(([0], np.flatnonzero(np.diff(mine)) + 1))
     first = valid[cut]
@@ -70,6 +73,20 @@ def segments(words: Words, length: int, k: int):
     return first, count, mine[cut], g[mine[cut]]
 
 
+def packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed one by one, for the shuffle."""
+    press = zstandard.ZstdCompressor(level=1)
+    for rows, texts in slices(batches):
+        yield pa.RecordBatch.from_arrays(
+            [rows.column("doc_id"), pa.array([t if t is None else press.compress(t) for t in texts], pa.binary())], ["doc_id", "text"])
+
+
+def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
+    open_up = zstandard.ZstdDecompressor()
+    for rows, texts in slices(batches):
+        yield rows, [t if t is None else open_up.decompress(t) for t in texts]
+
+
 def document_anchors(length: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in slices(batches):
@@ -120,7 +137,7 @@ def _live(entries: list) -> tuple[list[np.ndarray], list[np.ndarray]]:
 
 def segment_places(length: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in slices(batches):
+        for rows, texts in unpacked(batches):
             words = split_words(texts)
             start, _, _, route, content = _live_segments(words, *_live(rows.column("live").to_pylist()), length, k)
             doc = words.doc[start]
@@ -133,7 +150,7 @@ def segment_places(length: int, k: int):
 def segment_words(length: int, k: int):
     """The words of the segments that the document is the first to have."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in slices(batches):
+        for rows, texts in unpacked(batches):
             words = split_words(texts)
             start, number, anchor, route, content = _live_segments(words, *_live(rows.column("live").to_pylist()), length, k)
             doc = words.doc[start]
@@ -210,7 +227,7 @@ def covered(texts_words: Words, i: int, starts: np.ndarray, length: int) -> np.n
 
 def document_results(length: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in slices(batches):
+        for rows, texts in unpacked(batches):
             words = split_words(texts)
             removed, kept, digests, spans = [], [], [], []
             for i, (doc_id, hits) in enumerate(zip(rows.column("doc_id").to_pylist(), rows.column("hits").to_pylist())):
@@ -251,9 +268,9 @@ def remove_repeats(docs: DataFrame, length: int, k: int, search: Search, with_te
     kept_sha256 and, if asked for, kept_text.
     """
     # doc_key is never null, so that both joins below share one shuffle of the texts
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn(
-        "doc_key", F.coalesce("doc_id", F.lit(NO_ID))).repartition("doc_key")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    base = (source.mapInArrow(packed_texts, "doc_id long, text binary")
+            .withColumn("doc_key", F.coalesce("doc_id", F.lit(NO_ID))).repartition("doc_key"))
     anchors = source.mapInArrow(document_anchors(length, k), "anchor long, doc_id long")
     live = anchors.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select(
         "anchor", (F.col("n") > HOT).cast("int").alias("hot"))

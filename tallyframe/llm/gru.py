@@ -152,8 +152,9 @@ def labelled_passages(docs: DataFrame, hold_out: int, per_language: int, seed: i
     # about twice as many as wanted pass, so that the ranking below has a bounded number of rows; small languages pass whole
     some = known.join(F.broadcast(counts), "lang").filter(draw < F.lit(float(1 << 40)) * 2 * per_language / F.col("n"))
     place = F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.greatest(F.length("text") - PASSAGE_CHARS, F.lit(1))) + 1
-    ranked = some.select("doc_id", "lang", draw.alias("draw"), F.substring(F.col("text"), place.cast("int"), F.lit(PASSAGE_CHARS)).alias("passage"),
-                         F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id", "text")).alias("k"))
+    ranked = some.select("doc_id", "lang", draw.alias("draw"),
+                         F.substring(F.col("text"), place.cast("int"), F.lit(PASSAGE_CHARS)).alias("passage")).withColumn(
+        "k", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id", "passage")))
     return ranked.filter(F.col("k") <= per_language).orderBy("lang", "draw", "doc_id", "passage").collect()
 
 
