@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tallyframe.llm.text import U64, Words, mix, slices, span_hashes, split_words
 
-HOT = 4_000
+HOT = 10_000
 SHARD_WORDS = 400_000
 NO_ID = -(1 << 63)
 ANCHOR_BITS = U64((1 << 48) - 1)  # shorter keys shuffle in less space; anchors that meet by chance cost work, not results

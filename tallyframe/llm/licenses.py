@@ -58,8 +58,8 @@ def words_of(text: Column) -> Column:
 
 
 def bigrams_of(words: Column) -> Column:
-    pairs = F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat_ws(" ", F.get(words, i - 1), F.get(words, i)))
-    return F.when(F.size(words) > 1, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.array_distinct(F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b)))
 
 
 def template_table(docs: DataFrame, templates: dict[str, tuple[str, ...]]) -> DataFrame:
@@ -89,11 +89,11 @@ def scan_licenses(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None
         "doc_id", (F.col("place") + 1).alias("line"), "unit")
     whole = docs.filter(F.col("text").contains("\n")).select("doc_id", F.lit(0).alias("line"), F.col("text").alias("unit"))
     grams = (lines.union(whole).select("doc_id", "line", F.xxhash64("unit").alias("unit_hash"), words_of(F.col("unit")).alias("words"))
-             .filter(F.size("words") - 1 >= low)
-             .select("doc_id", "line", "unit_hash", bigrams_of(F.col("words")).alias("grams"))
-             .select("*", F.size("grams").alias("n_bigrams"))
-             .filter((F.col("n_bigrams") >= low) & (F.col("n_bigrams") <= high)))
-    met = (grams.select("doc_id", "line", "unit_hash", "n_bigrams", F.explode("grams").alias("bigram"))
+             .select("doc_id", "line", "unit_hash", bigrams_of(F.col("words")).alias("grams")))
+    # the size bounds sit in the array, not in a filter: a filter would be pushed down and build every set twice
+    fitting = F.when((F.size("grams") >= low) & (F.size("grams") <= high), F.col("grams"))
+    met = (grams.select("doc_id", "line", "unit_hash", F.size("grams").alias("n_bigrams"), fitting.alias("grams"))
+           .select("doc_id", "line", "unit_hash", "n_bigrams", F.explode_outer("grams").alias("bigram"))
            .join(given, "bigram")
            .filter((F.col("n_bigrams") >= F.col("template_size") * ratio) & (F.col("n_bigrams") <= F.col("template_size") / ratio)))
     shared = (met.groupBy("doc_id", "line", "unit_hash", "n_bigrams", "license", "template", "template_size", "bigram").agg(F.lit(1))

@@ -13,7 +13,8 @@ from tallyframe.llm.text import pinned, slices, split_words
 TOPICS = 8
 TOPIC_LETTERS = 5  # shorter words, mostly function words, do not count for the topic
 SMOOTHING = 0.8
-SWEEPS, TOLERANCE = 40, 1e-7
+SWEEPS, TOLERANCE = 60, 1e-7
+DRIVER_CELLS = 200_000
 MARGINS = ("source", "lang", "topic")
 
 
@@ -39,27 +40,54 @@ def margin(cells: DataFrame, name: str, weight: str) -> DataFrame:
 def smoothed_targets(cells: DataFrame, name: str, smoothing: float) -> DataFrame:
     """Shares in proportion to a power below one of the present shares: large categories give to small ones."""
     raised = margin(cells, name, "tokens").select(name, F.pow("m", F.lit(smoothing)).alias("p"))
-    return raised.crossJoin(raised.agg(F.sum("p").alias("s"))).select(name, (F.col("p") / F.col("s")).alias("share"))  # s: one row
+    total = raised.agg(F.sum("p")).first()[0]
+    return raised.select(name, (F.col("p") / F.lit(float(total or 1))).alias("share"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS, tolerance: float = TOLERANCE) -> DataFrame:
-    """cells (the margins' columns, tokens) with weight: shares that meet every target margin as nearly as the cells allow.
+def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS, tolerance: float = TOLERANCE,
+         driver_cells: int = DRIVER_CELLS) -> DataFrame:
+    """cells (the margins' columns, tokens > 0) with weight: shares that meet every target margin as nearly as the cells allow.
 
-    Each sweep scales the weights to one margin after the other by aggregate and join, and is checkpointed; it ends when no
-    margin is off by more than tolerance, or after `sweeps`.
+    Each sweep scales the weights to one margin after the other; the last is after `sweeps`, or when no margin is off by more
+    than tolerance. Up to driver_cells cells (counted first) are swept as arrays in the driver, more by aggregates and joins.
     """
+    return (_rake_arrays if cells.limit(driver_cells + 1).count() <= driver_cells else _rake_tables)(cells, targets, sweeps, tolerance)
+
+
+def _rake_arrays(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int, tolerance: float) -> DataFrame:
+    rows = cells.collect()
+    weight = np.array([r["tokens"] for r in rows], dtype=np.float64)
+    weight /= max(weight.sum(), 1.0)
+    places, shares = [], []
+    for name, target in targets.items():
+        share = {r[name]: r["share"] for r in target.collect()}
+        values = {v: i for i, v in enumerate(sorted({r[name] for r in rows}))}
+        places.append(np.array([values[r[name]] for r in rows], dtype=np.int64))
+        shares.append(np.array([share.get(v, 0.0) for v in values]))
+    for _ in range(sweeps if rows else 0):
+        off = 0.0
+        for place, share in zip(places, shares):
+            now = np.bincount(place, weight, minlength=len(share))
+            off = max(off, float(np.abs(now - share).max()))
+            weight *= np.divide(share, now, out=np.zeros_like(share), where=now > 0)[place]
+        if off <= tolerance:
+            break
+    out = [(*(r[n] for n in MARGINS), r["tokens"], float(w)) for r, w in zip(rows, weight)]
+    return cells.sparkSession.createDataFrame(out, cells.withColumn("weight", F.lit(0.0)).schema)
+
+
+def _rake_tables(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int, tolerance: float) -> DataFrame:
     total = cells.agg(F.sum("tokens")).first()[0]
     cells = cells.withColumn("weight", F.col("tokens") / F.lit(float(total or 1)))
     for _ in range(sweeps):
+        off = 0.0
         for name, target in targets.items():
-            factor = margin(cells, name, "weight").join(target, name).select(name, (F.col("share") / F.col("m")).alias("f"))
-            cells = cells.join(factor, name).withColumn("weight", F.col("weight") * F.col("f")).drop("f")
-        cells = pinned(cells)
-        off = None
-        for name, target in targets.items():
-            gap = margin(cells, name, "weight").join(target, name).select(F.abs(F.col("m") - F.col("share")).alias("gap"))
-            off = gap if off is None else off.union(gap)
-        if (off.agg(F.max("gap")).first()[0] or 0) <= tolerance:
+            factor = pinned(margin(cells, name, "weight").join(target, name, "left").select(
+                name, F.abs(F.coalesce("share", F.lit(0.0)) - F.col("m")).alias("gap"),
+                F.when(F.col("m") > 0, F.coalesce("share", F.lit(0.0)) / F.col("m")).otherwise(0.0).alias("f")))
+            off = max(off, factor.agg(F.max("gap")).first()[0] or 0.0)
+            cells = pinned(cells.join(factor.select(name, "f"), name).withColumn("weight", F.col("weight") * F.col("f")).drop("f"))
+        if off <= tolerance:
             break
     return cells
 
