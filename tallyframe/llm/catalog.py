@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyframe.llm.fm_index import substring_dedup
 from tallyframe.llm.gru import identify_languages
+from tallyframe.llm.lattice import score_texts
 from tallyframe.llm.licenses import scan_licenses, scan_sql
 from tallyframe.llm.minhash import near_duplicates
 from tallyframe.llm.packing import pack
@@ -59,6 +60,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), with_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+@query("op3_lattice_lm")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 @query("op4_source_mixing")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_to_targets(table(spark, sf_dir, "documents"))

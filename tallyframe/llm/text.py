@@ -110,12 +110,12 @@ def split_words(texts: list[bytes | None]) -> Words:
     return Words(raw, starts, ends, word_hashes(raw, starts, ends), doc, bounds)
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
-    """Rows with their texts as bytes, in slices of about SLICE_BYTES."""
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
+    """Rows with their texts as bytes, in slices of about `size` bytes."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
         sizes = np.asarray(pa.compute.binary_length(column).fill_null(0)).astype(np.int64)
-        part = np.cumsum(sizes) // SLICE_BYTES
+        part = np.cumsum(sizes) // size
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sizes)]
         for a, b in zip(cuts, cuts[1:]):
             if b > a:
