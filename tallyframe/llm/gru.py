@@ -146,7 +146,7 @@ class ByteTagger:
 
 def labelled_passages(docs: DataFrame, hold_out: int, per_language: int, seed: int) -> list:
     """At most per_language passages of each language, chosen and placed by hashes of doc_id, from training documents."""
-    known = docs.filter((id_remainder(F.col("doc_id"), hold_out) != 0) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    known = docs.select("doc_id", "text", "lang").filter((id_remainder(F.col("doc_id"), hold_out) != 0) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     counts = known.groupBy("lang").agg(F.count("*").alias("n"))
     draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 40))
     # about twice as many as wanted pass, so that the ranking below has a bounded number of rows; small languages pass whole
