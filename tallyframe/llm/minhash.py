@@ -91,6 +91,15 @@ def full_sets(width: int):
     return run
 
 
+def single_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        members = batch.column("members")
+        size = np.asarray(pa.compute.binary_length(members)).astype(np.int64) // 8
+        value = np.frombuffer(b"".join(members.to_pylist()), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(value), batch.column("id").take(pa.array(np.repeat(np.arange(len(size)), size)))],
+                                         ["shingle", "id"])
+
+
 def confirm(percent: int):
     """Keeps the pairs whose full sets have 100 * intersection >= percent * union."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,9 +125,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = SHINGLE, bi
 
     Equal sets collapse to one representative before anything else. Representatives meet in buckets of equal bands
     (128 bins in 32 bands of 4: a pair at 0.75 is missed about 5 times in a million). In each bucket, edges go from a hub
-    to all others, and are confirmed on the full sets. Buckets whose members are not in one component after that get
-    further hubs, twice as many each round, against members of other components only, until all their pairs are decided:
-    a large group of copies costs one star, and no link between different components is left out.
+    to all others, and are confirmed on the full sets. Only buckets whose members are not in one component after that go
+    on: shingles that one of their documents has alone are counted, which bounds each document's similarity to any other and
+    leaves out what cannot reach the threshold; then further hubs, three times as many each round, are compared with members
+    of other components until all pairs are decided. A large group of copies costs a few stars, and no link between
+    components is left out.
 
     Null, empty and blank texts have an empty set, are linked with nothing and kept. Repeated texts are one set. An empty
     table gives an empty result. Extra columns are not read. doc_id must be unique and not null.
@@ -141,28 +152,47 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = SHINGLE, bi
                   .join(members.select(F.col("id").alias("a"), F.col("members").alias("left")), "a"))
         return withal.select("a", "b", "left", "right").mapInArrow(confirm(percent), "a long, b long")
 
+    def unsettled(frame: DataFrame, label: DataFrame) -> DataFrame:
+        """The rows of the buckets that hold more than one component."""
+        named = frame.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        several = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+        return named.join(several.select("bucket"), "bucket")
+
     sizes = crowd.groupBy("id").agg(F.first("n_shingles").alias("size"))
     spokes = crowd.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"), F.col("n_shingles").alias("size_b")).distinct()
     edges = pinned(links(spokes.join(sizes.select(F.col("id").alias("a"), F.col("size").alias("size_a")), "a")))
     label = components(edges)
-    rank = 1  # hubs of rank 0 are done
+    rest = pinned(unsettled(crowd, label))
+    if not rest.isEmpty():
+        # a shingle that no other document of these buckets has is in no intersection
+        lone = (members.join(rest.select("id").distinct(), "id", "left_semi").select("id", "members").mapInArrow(single_shingles, "shingle long, id long")
+                .groupBy("shingle").agg(F.count("*").alias("n"), F.min("id").alias("id")).filter("n = 1")
+                .groupBy("id").agg(F.count("*").alias("lone")))
+        rest = rest.join(lone, "id", "left").withColumn("common", F.expr("n_shingles - coalesce(lone, 0)")).filter(
+            f"100 * common >= {percent} * n_shingles").select(
+            "bucket", "id", "n_shingles", "common", F.expr("pmod(xxhash64(id), 1073741824) / 1073741824D").alias("draw"))
+        sized = rest.groupBy("bucket").agg(F.count("*").alias("size"), F.min_by("id", F.struct(
+            (-F.col("common") / F.col("n_shingles")).alias("less"), "id")).alias("hub"))
+        rest = pinned(rest.join(sized.filter("size > 1"), "bucket"))
+    # round 0 takes the document with the fewest shingles of its own as hub, the next ones three times as many drawn hubs each
+    step = 0
     while True:
-        named = crowd.join(label, "id", "left").select("bucket", "id", "n_shingles", F.coalesce("component", "id").alias("component"))
-        open_buckets = named.groupBy("bucket").agg(
-            F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).filter(f"low < high AND n > {rank + 1}")
-        left = pinned(named.join(open_buckets.select("bucket"), "bucket").selectExpr(
-            "bucket", "id", "n_shingles", "component", "row_number() OVER (PARTITION BY bucket ORDER BY id) - 1 AS place"))
+        low, high = (0 if step < 2 else 3 ** (step - 1)), 3 ** step
+        left = rest if rest.isEmpty() else pinned(unsettled(rest, label).filter(f"size > {low}"))
         if left.isEmpty():
             break
-        hubs = left.filter(f"place >= {rank} AND place < {3 * rank}").selectExpr(
-            "bucket", "id AS a", "n_shingles AS size_a", "component AS of_a", "place AS place_a")
-        pairs = left.join(hubs, "bucket").filter("place > place_a AND component <> of_a").selectExpr(
-            "a", "id AS b", "size_a", "n_shingles AS size_b")
+        chosen, later = ("id = hub", "id <> a") if step == 0 else (
+            f"draw * size >= {low} AND draw * size < {high}", "(draw > draw_a OR draw = draw_a AND id > a)")
+        hubs = left.filter(chosen).selectExpr("bucket", "id AS a", "n_shingles AS size_a", "common AS common_a",
+                                              "component AS of_a", "draw AS draw_a")
+        bound = f"(100 + {percent}) * least(common, common_a) >= {percent} * (n_shingles + size_a)"
+        pairs = left.join(hubs, "bucket").filter(f"component <> of_a AND {later} AND {bound}").selectExpr(
+            "least(a, id) AS a", "greatest(a, id) AS b", "size_a", "n_shingles AS size_b")
         found = pinned(links(pairs))
-        rank *= 3
         if not found.isEmpty():
             edges = edges.union(found)
             label = components(edges)
+        step += 1
     owner = sets.select(*key, "id").join(label, "id", "left").select(*key, F.coalesce("component", "id").alias("of"))
     return (drawn.drop("bands").join(owner, key, "left")
             .select("doc_id", "n_shingles", F.coalesce("of", "doc_id").alias("component_id"))
