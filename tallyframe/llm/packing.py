@@ -3,22 +3,27 @@
 from __future__ import annotations
 
 import os
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tallyframe.llm.text import U64, process_store, split_words
+
 WINDOW = 4096
 END_ID = 2
 SHARD_BYTES = 4 << 20
 QUERY_TERMS, NEIGHBOURS = 32, 24
 K1, B = 1.2, 0.75
-CACHE_WORDS, BATCH_WORDS = 600_000, 10_000
+SLOTS, BATCH_WORDS = 1 << 21, 10_000
+MARKS = b".,;:!?*#$%&|"
 
 
 class WordTokenizer:
-    """Token ids of whole texts, word by word: the vocabulary drops white space, so a word's ids do not depend on others."""
+    """Token ids of whole texts, word by word: the vocabulary drops white space, so a word's ids do not depend on others.
+
+    Ids of words met before are found by word hash in an open-addressing table; the table starts anew when it is half full.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -27,35 +32,69 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.forget()
 
-    def forget(self) -> None:
-        self.number: dict[bytes, int] = {}
+    def forget(self, words: int = 0) -> None:
+        """An empty table with room for at least so many words."""
+        self.slots = max(SLOTS, 1 << (4 * words).bit_length())
+        self.keys = np.zeros(self.slots, dtype=U64)
+        self.number = np.zeros(self.slots, dtype=np.int64)
         self.ids = np.zeros(0, dtype=np.int32)
         self.bounds = np.zeros(1, dtype=np.int64)
 
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Number of each word; -1 if it is not there."""
+        out, open_, slot = np.full(len(h), -1), np.arange(len(h)), (h & U64(self.slots - 1)).astype(np.int64)
+        while len(open_):
+            key = self.keys[slot]
+            hit = key == h[open_]
+            out[open_[hit]] = self.number[slot[hit]]
+            go = ~hit & (key != 0)
+            open_, slot = open_[go], (slot[go] + 1) & (self.slots - 1)
+        return out
+
+    def insert(self, h: np.ndarray, number: np.ndarray) -> None:
+        """Different words that are not there."""
+        slot = (h & U64(self.slots - 1)).astype(np.int64)
+        while len(h):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = h[free]
+            mine = self.keys[slot] == h
+            self.number[slot[mine]] = number[mine]
+            h, number, slot = h[~mine], number[~mine], (slot[~mine] + 1) & (self.slots - 1)
+
     def learn(self, words: list[bytes]) -> None:
-        parts = [e.ids for a in range(0, len(words), BATCH_WORDS) for e in self.tokenizer.encode_batch_fast(
-            [w.decode() for w in words[a:a + BATCH_WORDS]], add_special_tokens=False)]
-        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words))))
-        size = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
-        ids = np.fromiter(chain.from_iterable(parts), dtype=np.int32, count=int(size.sum()))
-        self.ids = np.concatenate((self.ids, ids))
+        """Marks at the end of a word of letters are tokens of their own, so both parts are encoded apart, and once each."""
+        cores = [w.rstrip(MARKS) for w in words]
+        cut = [len(c) if c and 97 <= c[-1] <= 122 else len(w) for c, w in zip(cores, words)]
+        parts = list({p for w, n in zip(words, cut) for p in (w[:n], w[n:])})
+        ids = {p: e.ids for a in range(0, len(parts), BATCH_WORDS) for p, e in zip(
+            parts[a:a + BATCH_WORDS], self.tokenizer.encode_batch_fast([p.decode() for p in parts[a:a + BATCH_WORDS]], add_special_tokens=False))}
+        size = np.fromiter((len(ids[w[:n]]) + len(ids[w[n:]]) for w, n in zip(words, cut)), dtype=np.int64, count=len(words))
+        flat = np.fromiter((i for w, n in zip(words, cut) for p in (w[:n], w[n:]) for i in ids[p]), dtype=np.int32, count=int(size.sum()))
+        self.ids = np.concatenate((self.ids, flat))
         self.bounds = np.concatenate((self.bounds, self.bounds[-1] + np.cumsum(size)))
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the bounds of each text's."""
-        split = [t.split() for t in texts]
-        words = list(chain.from_iterable(split))
-        if len(self.number) > CACHE_WORDS:
-            self.forget()
-        fresh = list(set(words).difference(self.number))
-        if fresh:
-            self.learn(fresh)
-        number = np.fromiter(map(self.number.__getitem__, words), dtype=np.int64, count=len(words))
+        # the vocabulary is lower case; only a special token's text must stay as it is
+        words = split_words([t if b"<|" in t else t.lower() for t in texts])
+        h = words.hashes | U64(1)  # 0 marks a free slot
+        number = self.find(h)
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            fresh, first = np.unique(h[new], return_index=True)
+            if len(self.bounds) + len(fresh) > self.slots // 2:
+                fresh, first = np.unique(h, return_index=True)
+                new = np.arange(len(h))
+                self.forget(len(fresh))
+            at = new[first]
+            start = len(self.bounds) - 1
+            self.learn([words.raw[a:b] for a, b in zip(words.starts[at].tolist(), words.ends[at].tolist())])
+            self.insert(fresh, start + np.arange(len(fresh)))
+            number = self.find(h)
         start, size = self.bounds[number], self.bounds[number + 1] - self.bounds[number]
         until = np.concatenate(([0], np.cumsum(size)))
         flat = self.ids[np.arange(until[-1]) + np.repeat(start - until[:-1], size)]
-        counts = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
-        return flat, until[np.concatenate(([0], np.cumsum(counts)))]
+        return flat, until[words.bounds]
 
 
 class BM25:
@@ -124,9 +163,8 @@ SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, seq
 
 
 def pack_shard(path: str, window: int, end_id: int):
-    tools: dict[str, WordTokenizer] = {}
-
     def run(rows: pa.Table) -> pa.Table:
+        tools = process_store().setdefault("tokenizers", {})
         if path not in tools:
             tools[path] = WordTokenizer(path)
         rows = rows.sort_by("doc_id")

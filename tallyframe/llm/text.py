@@ -6,7 +6,9 @@ A word is a maximal run of bytes other than space and 0x09-0x0D, as bytes.split(
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -41,6 +43,11 @@ def pinned(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def process_store() -> dict:
+    """A dict that lives as long as the Python process: what one task has learned serves the next ones in the same worker."""
+    return sys.modules.setdefault("tallyframe_process_store", types.ModuleType("tallyframe_process_store")).__dict__
+
+
 def id_remainder(column: Column, modulus: int) -> Column:
     """crc32 of an id written as text, modulo a number; a null id counts as the empty text."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % modulus
