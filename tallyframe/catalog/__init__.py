@@ -9,14 +9,7 @@ MODULES = ("sources", "typing", "quality", "cleaning", "combine", "query", "kpi"
 
 
 def _loaded():
-    out = []
-    for name in MODULES:
-        try:
-            out.append(importlib.import_module(f"tallyframe.catalog.{name}").R)
-        except ModuleNotFoundError as exc:
-            if f"catalog.{name}" not in str(exc):
-                raise
-    return out
+    return [importlib.import_module(f"tallyframe.catalog.{name}").R for name in MODULES]
 
 
 def queries():

@@ -155,6 +155,12 @@ def _(d):
     return rounded(B.ranking_query(d.sales, Ranking("nation", "amount", 3, growth=True), FIELDS), 2)
 
 
+@R.add("growth_ranking_many", _grow(5).replace("nation", "o_custkey"))
+def _(d):
+    many = Fields(date=FIELDS.date, amount=FIELDS.amount, order_id=FIELDS.order_id, dimensions=("o_custkey",))
+    return rounded(B.ranking_query(d.sales, Ranking("o_custkey", "amount", 5, growth=True), many), 2)
+
+
 @R.add("top1_lead", """WITH t AS (SELECT nation, sum(o_totalprice) AS v FROM sales GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 2)
  SELECT (SELECT nation FROM t ORDER BY v DESC LIMIT 1) AS leader, round(max(v), 2) AS "value", round(min(v), 2) AS runner_up,
  round((max(v) - min(v)) / abs(min(v)) * 100, 2) AS lead_pct FROM t""")

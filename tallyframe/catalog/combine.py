@@ -144,7 +144,7 @@ def _(d):
 
 @R.add("left_join", """SELECT o.*, k.c_custkey, k.o_totalprice AS o_totalprice__credit_lines FROM orders_keys o LEFT JOIN
  (SELECT CASE WHEN c_custkey % 500 = 0 THEN NULL ELSE c_custkey END AS c_custkey, c_acctbal AS o_totalprice FROM customer) k
- ON o.o_custkey IS NOT DISTINCT FROM k.c_custkey""")
+ ON o.o_custkey = k.c_custkey""")
 def _(d):
     credit = d.customer.select(F.when(F.col("c_custkey") % 500 != 0, F.col("c_custkey")).alias("c_custkey"),
                                F.col("c_acctbal").alias("o_totalprice"))
@@ -163,7 +163,7 @@ def _build_tables(d):
 
 
 @R.add("build_analysis_dataset", """SELECT * FROM orders_keys LEFT JOIN customer ON o_custkey = c_custkey
- LEFT JOIN nation ON c_nationkey IS NOT DISTINCT FROM n_nationkey LEFT JOIN region ON n_regionkey IS NOT DISTINCT FROM r_regionkey""")
+ LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey""")
 def _(d):
     return JP.build_analysis_dataset("orders", _build_tables(d), _BUILD, scratch_path(d.spark, "analysis"))[0]
 

@@ -46,5 +46,5 @@ def _(d):
 def _(d):
     log, out, ckpt = (scratch_path(d.spark, n) for n in ("stream_log", "stream_counts", "stream_checkpoint"))
     d.event_log.select(F.col("event_id").cast("string").alias("event_id"), "event_name", F.col("ts").cast("string").alias("timestamp"),
-                       "success", "duration_ms").repartition(4).write.mode("append").json(log)
-    return run_counts(d.spark, log, out, ckpt, files_per_batch=2)
+                       "success", "duration_ms").write.mode("append").json(log)
+    return run_counts(d.spark, log, out, ckpt, files_per_batch=64)

@@ -185,6 +185,24 @@ def _(d):
     return L.time_summary(d.orders_gap, "o_orderdate", "month")
 
 
+_DAYS = """k AS (SELECT date_trunc('day', o_orderdate) AS p, count(*) AS n FROM orders_gap GROUP BY 1),
+ cal AS (SELECT unnest(generate_series((SELECT min(p) FROM k), (SELECT max(p) FROM k), INTERVAL 1 DAY)) AS p),
+ f AS (SELECT cal.p, coalesce(n, 0) AS n FROM cal LEFT JOIN k ON cal.p = k.p)"""
+
+
+@R.add("time_distribution_days", f"""WITH {_DAYS} SELECT CAST(p AS DATE) AS period_start, CAST(p AS DATE) AS period_end, strftime(p, '%Y-%m-%d') AS period_label,
+ n AS "count", n / (SELECT count(*) FROM orders_gap) AS ratio FROM f""")
+def _(d):
+    return L.time_distribution(d.orders_gap, "o_orderdate", "day")
+
+
+@R.add("zero_ranges_days", f"""WITH {_DAYS}, g AS (SELECT p, n, sum(CASE WHEN n > 0 THEN 1 ELSE 0 END) OVER (ORDER BY p) AS g FROM f)
+ SELECT strftime(min(p), '%Y-%m-%d') AS start_label, strftime(max(p), '%Y-%m-%d') AS end_label, CAST(min(p) AS DATE) AS start_date, CAST(max(p) AS DATE) AS end_date,
+ count(*) AS period_count FROM g WHERE n = 0 GROUP BY g ORDER BY period_count DESC, start_date LIMIT 10""")
+def _(d):
+    return L.zero_ranges(L.time_distribution(d.orders_gap, "o_orderdate", "day"))
+
+
 @R.add("time_too_dense", """SELECT 'too_dense' AS status, count(*) AS total_count, CAST(max(o_orderdate) AS DATE) - CAST(min(o_orderdate) AS DATE) + 1 AS period_count FROM orders""")
 def _(d):
     return L.time_summary(d.orders, "o_orderdate", "day").select("status", "total_count", "period_count")
@@ -266,9 +284,10 @@ def _(d):
     return rounded(K.correlation_report(_wide(d), _NUM), 6)
 
 
-@R.add("scatter_sample")
+@R.add("scatter_sample", """SELECT l_quantity AS x, l_extendedprice AS y FROM lineitem_dirty WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL
+ ORDER BY md5(concat_ws('-', 42, l_orderkey, l_linenumber, l_partkey, l_suppkey)), l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice LIMIT 5000""")
 def _(d):
-    return K.scatter_sample(d.lineitem_dirty, "l_quantity", "l_extendedprice")
+    return K.scatter_sample(d.lineitem_dirty, "l_quantity", "l_extendedprice", key=["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
 
 
 @R.add("scatter_info", """SELECT 'ok' AS status, round(corr(l_quantity, l_extendedprice), 6) AS correlation, count(*) AS sample_size, least(count(*), 5000) AS shown,

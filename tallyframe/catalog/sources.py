@@ -37,12 +37,12 @@ def _(d):
     return nation.join(region, nation.n_regionkey == region.r_regionkey).select("n_nationkey", "n_name", "r_name")
 
 
-def _log(d):
+def _log(d, properties="props"):
     return d.events.select(
         F.col("event_id").cast("string").alias("event_id"), F.col("event_type").alias("event_name"),
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"),
         F.col("user_id").cast("string").alias("session_id"), (F.col("event_type") != "error").alias("success"),
-        F.col("value").alias("duration_ms"), F.col("props").alias("properties"))
+        F.col("value").alias("duration_ms"), (F.col(properties) if isinstance(properties, str) else properties).alias("properties"))
 
 
 @R.add("src_event_log", """SELECT CAST(event_id AS VARCHAR) AS event_id, event_type AS event_name,
@@ -70,9 +70,7 @@ def _(d):
     path = scratch_path(d.spark, "event_sink")
     private = F.concat(F.expr("substr(props, 1, length(props) - 1)"), F.lit(', "user_email": "u'), F.col("user_id").cast("string"),
                        F.lit('@x.org", "o": {"phone": "'), F.col("user_id").cast("string"), F.lit('"}}'))
-    write_events(_log(d.__class__(d.spark, d.sf_dir)).join(
-        d.events.select(F.col("event_id").cast("string").alias("event_id"), private.alias("p")), "event_id"
-    ).withColumn("properties", F.col("p")).drop("p"), path)
+    write_events(_log(d, private), path)
     back = read_events(d.spark, path)
     j = lambda p: F.get_json_object("properties", p)
     return back.select("event_id", j("$.k").cast("bigint").alias("k"), j("$.user_email").alias("email"),
@@ -88,9 +86,23 @@ def _(d):
     return head.unionByName(tail)
 
 
-@R.add("preview_sample")
+@R.add("sink_events_nested", """SELECT CAST(event_id AS VARCHAR) AS event_id, '[redacted]' AS phone, CAST(user_id AS VARCHAR) AS kept,
+ '[redacted]' AS below FROM events""")
 def _(d):
-    return P.sample_rows(d.lineitem)
+    path = scratch_path(d.spark, "event_sink_nested")
+    user, six, ten = F.col("user_id").cast("string"), '{"o": ' * 5, '{"o": ' * 10
+    nested = F.concat(F.lit('{"a": ' + six + '{"phone": "'), user, F.lit('", "n": "'), user, F.lit('"}' + "}" * 5 + ', "b": ' + ten + '{"email": "'),
+                      user, F.lit('"}' + "}" * 10 + "}"))
+    write_events(_log(d, nested), path)
+    j = lambda p: F.get_json_object("properties", p)
+    return read_events(d.spark, path).select("event_id", j("$.a" + ".o" * 5 + ".phone").alias("phone"), j("$.a" + ".o" * 5 + ".n").alias("kept"),
+                                             j("$.b" + ".o" * 7).alias("below"))
+
+
+@R.add("preview_sample", """SELECT * FROM lineitem ORDER BY md5(concat_ws('-', 42, l_orderkey, l_linenumber, l_partkey, l_suppkey)),
+ l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate LIMIT 20""")
+def _(d):
+    return P.sample_rows(d.lineitem, key=["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
 
 
 @R.add("field_profile", f"""WITH p AS ({each(DIRTY, '''SELECT '{c}' AS "column", count(*) AS total,

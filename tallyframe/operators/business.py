@@ -15,7 +15,6 @@ from tallyframe.operators.ranking import with_global_order
 
 METRICS = ("amount", "orders", "customers", "unit_price")
 BROADCAST_TOP = 10_000  # a longer top list joins without a broadcast hint
-GROWTH_CANDIDATES = 50  # dimension values considered when a growth ranking has a limit
 
 
 @dataclass(frozen=True)
@@ -214,12 +213,11 @@ def growth_ranking(df: DataFrame, dimension: str, metric: str, fields: Fields, l
     """
     if not fields.date:
         raise ValueError("growth needs a date column")
-    kept = _keep_top(df, dimension, metric, fields, None if limit is None else GROWTH_CANDIDATES)
-    rows = dated(kept, fields.date, "month")
+    rows = dated(df, fields.date, "month")
     first, last = rows.agg(F.min("_period"), F.max("_period")).first()
     if first is None or first == last:
         raise ValueError("growth needs at least two months")
-    ends = in_periods(kept, fields.date, "month", (first, last))
+    ends = in_periods(df, fields.date, "month", (first, last))
     per = ends.groupBy(C.quoted(dimension), "_period").agg(biz_metric(ends, metric, fields).cast("double").alias("v"))
     pair = per.groupBy(dimension).agg(
         F.max(F.when(F.col("_period") == F.lit(first), F.col("v"))).alias("first_value"),
@@ -303,11 +301,12 @@ def dimension_summary(df: DataFrame, dimension: str, fields: Fields, missing_lab
     return grouped.drop("_m").orderBy(F.desc_nulls_last(key), dimension)
 
 
-def summary_time_trend(df: DataFrame, fields: Fields) -> DataFrame:
-    """period and totals: per day up to 62 days of span, else per month."""
-    ts = parse_datetime(df, fields.date)
-    low, high = df.agg(F.min(ts), F.max(ts)).first()
-    unit = "month" if low is not None and (high - low).days > 62 else "day"
+def summary_time_trend(df: DataFrame, fields: Fields, unit: str | None = None) -> DataFrame:
+    """period and totals per unit; without one, per day up to 62 days of span, else per month."""
+    if unit is None:
+        ts = parse_datetime(df, fields.date)
+        low, high = df.agg(F.min(ts), F.max(ts)).first()
+        unit = "month" if low is not None and (high - low).days > 62 else "day"
     rows = dated(df, fields.date, unit)
     return rows.groupBy("_period").agg(*_totals(rows, fields)).select(
         D.period_label(F.col("_period"), unit).alias("period"), "amount", "customers", "unit_price", "orders")

@@ -147,12 +147,12 @@ def correlation_report(df: DataFrame, columns: list[str], threshold: float = 0.7
         F.desc(F.abs(r)), "field_a", "field_b")
 
 
-def scatter_sample(df: DataFrame, x: str, y: str, max_points: int = 5000, seed: int = 42) -> DataFrame:
+def scatter_sample(df: DataFrame, x: str, y: str, max_points: int = 5000, seed: int = 42, key: list[str] | None = None) -> DataFrame:
     """x, y of at most ``max_points`` rows where both are finite; the same rows for the same seed."""
     if int(max_points) < 1:
         raise ValueError("max_points must be a positive integer")
     both = df.withColumns({"_x": C.as_finite(df, x), "_y": C.as_finite(df, y)}).filter("_x IS NOT NULL AND _y IS NOT NULL")
-    return P.sample_rows(both, int(max_points), seed).select(F.col("_x").alias("x"), F.col("_y").alias("y"))
+    return P.sample_rows(both, int(max_points), seed, key).select(F.col("_x").alias("x"), F.col("_y").alias("y"))
 
 
 def scatter_info(df: DataFrame, x: str, y: str, method: str = "pearson", max_points: int = 5000) -> DataFrame:

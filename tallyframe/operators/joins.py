@@ -179,11 +179,12 @@ def _check(name: str, risk: str) -> Column:
 # ---- joins -------------------------------------------------------------------------------------------
 
 def left_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, right_name: str = "right",
-              null_safe: bool = True, how: str = "left") -> DataFrame:
+              null_keys_match: bool = False, how: str = "left") -> DataFrame:
     """Equi join; clashing right columns get the suffix __<table>; equal key names keep one key column.
 
-    ``null_safe`` matches missing keys with each other. Hot keys, missing ones included, are split by adaptive
-    skew-join handling; small right tables become broadcasts by their measured size.
+    Missing keys match nothing. ``null_keys_match`` lets them match each other, as data-frame libraries do: then missing keys
+    of both sides multiply. Hot keys are split by adaptive skew-join handling; small right tables become broadcasts by their
+    measured size.
     """
     if left_on not in left.columns or right_on not in right.columns:
         raise KeyError(f"join key not found: {left_on} or {right_on}")
@@ -199,10 +200,10 @@ def left_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, ri
     lk, rk = C.quoted(left_on), C.quoted(key)
     if C.is_text(C.dtype_of(left, left_on)) != C.is_text(C.dtype_of(right, right_on)):
         lk, rk = lk.cast("string"), rk.cast("string")
-    joined = left.join(r, lk.eqNullSafe(rk) if null_safe else lk == rk, how)
+    joined = left.join(r, lk.eqNullSafe(rk) if null_keys_match else lk == rk, how)
     return joined.drop("_right_key") if same else joined
 
 
 def inner_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, right_name: str = "right",
-               null_safe: bool = True) -> DataFrame:
-    return left_join(left, right, left_on, right_on, right_name, null_safe, "inner")
+               null_keys_match: bool = False) -> DataFrame:
+    return left_join(left, right, left_on, right_on, right_name, null_keys_match, "inner")

@@ -232,8 +232,11 @@ def tail_rows(df: DataFrame, order: list[str], n: int = 20) -> DataFrame:
     return df.orderBy(*[C.quoted(c).desc() for c in order]).limit(n)
 
 
-def sample_rows(df: DataFrame, n: int = 20, seed: int = 42) -> DataFrame:
-    """Exactly n rows, the same ones every time: smallest seeded hash of the row."""
-    texts = [F.to_json(C.quoted(c)) if isinstance(C.dtype_of(df, c), T.MapType) else C.quoted(c) for c in df.columns]
-    hashed = df.withColumn("_h", F.xxhash64(F.lit(seed), *texts))
-    return hashed.orderBy("_h", *[c for c in df.columns if not isinstance(C.dtype_of(df, c), T.MapType)]).limit(n).drop("_h")
+def sample_rows(df: DataFrame, n: int = 20, seed: int = 42, key: list[str] | None = None) -> DataFrame:
+    """Exactly n rows, the same ones every time: those with the smallest seeded hash of the key columns (else of the row)."""
+    if key:
+        drawn = F.md5(F.concat_ws("-", F.lit(str(seed)), *[C.quoted(c).cast("string") for c in key]))
+    else:
+        drawn = F.xxhash64(F.lit(seed), *[F.to_json(C.quoted(c)) if isinstance(C.dtype_of(df, c), T.MapType) else C.quoted(c) for c in df.columns])
+    hashed = df.withColumn("_h", drawn)
+    return hashed.orderBy("_h", *[C.quoted(c) for c in df.columns if not isinstance(C.dtype_of(df, c), T.MapType)]).limit(n).drop("_h")

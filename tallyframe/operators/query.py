@@ -102,8 +102,8 @@ def filter_time_slice(df: DataFrame, date_field: str, year: int | None = None, q
 def filter_recent_months(df: DataFrame, date_field: str, months: int) -> DataFrame:
     """Rows from (latest date - (months - 1) months) on, time of day kept."""
     ts = parse_datetime(df, date_field)
-    latest = df.agg(F.max(ts)).scalar()
-    return df.filter(ts >= latest - F.make_ym_interval(F.lit(0), F.lit(max(1, int(months)) - 1)))
+    latest = df.agg(F.max(ts) - F.make_ym_interval(F.lit(0), F.lit(max(1, int(months)) - 1))).first()[0]  # a literal reaches the scan
+    return df.filter(ts >= F.lit(latest).cast("timestamp_ntz"))
 
 
 def normal_aggregation(name: str | None) -> str:

@@ -1,17 +1,16 @@
 """Global order over a frame that may be large: rank and running sum without one big sorted task.
 
-The order is cut into ranges by boundary keys taken from a hash sample of the keys (a bounded list on the
-driver). Ranks and running sums are computed inside each range, and the ranges' totals (a few hundred rows)
-give the offsets. Below ``range_rows`` rows the frame is one range.
+The frame is dealt into ranges of the order, one for every ``range_rows`` rows. Ranks and running sums are computed inside
+each range, and the ranges' totals give the offsets. No key reaches the driver.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tallyframe.session import cut_lineage
+
 RANGE_ROWS = 1_000_000
-MAX_RANGES = 512
-SAMPLE_PER_RANGE = 32
 
 
 def with_global_order(df: DataFrame, order: list[Column], weight: str, range_rows: int | None = None,
@@ -24,24 +23,18 @@ def with_global_order(df: DataFrame, order: list[Column], weight: str, range_row
     range_rows = RANGE_ROWS if range_rows is None else range_rows
     keyed = df.withColumn("_key", F.struct(*[k.alias(f"k{i}") for i, k in enumerate(order)]))
     total = at_most if at_most is not None and at_most <= range_rows else keyed.count()
-    ranges = min(MAX_RANGES, -(-total // range_rows))
+    ranges = -(-total // range_rows)
     if ranges <= 1:
         window = Window.orderBy("_key")
         return keyed.withColumns({
             position: F.row_number().over(window).cast("bigint"),
             running: F.sum(weight).over(window.rowsBetween(Window.unboundedPreceding, 0)),
         }).drop("_key")
-    bounds = _boundaries(keyed, total, ranges)
-    bucket = F.lit(0)
-    if bounds:
-        kinds = dict(keyed.select("_key.*").dtypes)
-        edges = F.array(*[F.struct(*[F.lit(v).cast(kinds[f"k{i}"]).alias(f"k{i}") for i, v in enumerate(b)])
-                          for b in bounds])
-        bucket = F.size(F.filter(edges, lambda e: e <= F.col("_key")))
-    cut = keyed.withColumn("_range", bucket)
+    # checkpointed, so that rows stay in their range however often the plan below runs
+    cut = cut_lineage(keyed.repartitionByRange(ranges, "_key").withColumn("_range", F.spark_partition_id()))
     totals = cut.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows"), F.sum(weight).alias("_weight"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(  # at most MAX_RANGES rows
+    offsets = totals.select(  # one row a range
         "_range",
         F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_rows_before"),
         F.coalesce(F.sum("_weight").over(before), F.lit(0)).alias("_weight_before"),
@@ -52,20 +45,10 @@ def with_global_order(df: DataFrame, order: list[Column], weight: str, range_row
             position: F.row_number().over(window).cast("bigint"),
             running: F.sum(weight).over(window.rowsBetween(Window.unboundedPreceding, 0)),
         })
-        .join(F.broadcast(offsets), "_range")
+        .join(offsets, "_range")
         .withColumns({
             position: F.col(position) + F.col("_rows_before"),
             running: F.col(running) + F.col("_weight_before"),
         })
         .drop("_key", "_range", "_rows_before", "_weight_before")
     )
-
-
-def _boundaries(keyed: DataFrame, total: int, ranges: int) -> list[tuple]:
-    wanted = ranges * SAMPLE_PER_RANGE
-    every = max(1, total // wanted)
-    picked = keyed.filter(F.pmod(F.xxhash64("_key"), F.lit(every)) == 0).select("_key.*")
-    names = picked.columns
-    rows = picked.orderBy(*names).limit(4 * wanted).collect()
-    jump = max(1, len(rows) // ranges)
-    return [tuple(r) for r in rows[jump::jump]][: ranges - 1]

@@ -20,7 +20,6 @@ ROLE_OF_FIELD_TYPE = {
     "region": "categorical", "person": "categorical", "category": "categorical", "other": "unsupported",
     "ignore": "unsupported",
 }
-DATE_SAMPLE = 200  # values read for the date guess of infer_field_mapping
 
 
 def _flag(columns: list[str], test) -> Column:
@@ -81,7 +80,7 @@ def infer_field_mapping(df: DataFrame, confirmed: dict[str, str] | None = None,
     cols = P.data_columns(df)
     prof = P.column_profile(df) if profile is None else profile
     texts = [c for c in C.columns_where(df, C.is_text) if c in cols and not N.has_hint(c, N.MAP_DATE_HINTS)]
-    prof = prof.join(F.broadcast(_sampled_date_share(df, texts)), "column", "left")  # one row per column
+    prof = prof.join(F.broadcast(_date_share(df, texts)), "column", "left")  # one row per column
 
     numeric = F.col("family") == "numeric"
     plain_number = _flag(cols, lambda c: C.is_numeric(C.dtype_of(df, c)))
@@ -117,16 +116,11 @@ def infer_field_mapping(df: DataFrame, confirmed: dict[str, str] | None = None,
         F.col("_p.r").alias("reason"), F.coalesce(kept, F.col("_p.t")).alias("confirmed_type"))
 
 
-def _sampled_date_share(df: DataFrame, texts: list[str]) -> DataFrame:
-    """column, share of the first 200 non-null values that parse; one limited read per text column."""
-    spark = df.sparkSession
-    empty = spark.createDataFrame([], "column string, share double")
-    parts = []
-    for c in texts:
-        head = df.select(C.quoted(c)).filter(C.quoted(c).isNotNull()).limit(DATE_SAMPLE)
-        parts.append(head.agg(F.lit(c).alias("column"), F.try_divide(
-            F.count(parse_datetime(head, c)), F.count(F.lit(1))).alias("share")))
-    return reduce(DataFrame.unionByName, parts, empty)
+def _date_share(df: DataFrame, texts: list[str]) -> DataFrame:
+    """column, share of all non-null values that parse; one pass without a shuffle of values."""
+    if not texts:
+        return df.sparkSession.createDataFrame([], "column string, share double")
+    return P.column_profile(df.select(*[C.quoted(c) for c in texts]), distinct="none", dates=texts).select("column", parse_share().alias("share"))
 
 
 # ---- identifiers ---------------------------------------------------------------------------------

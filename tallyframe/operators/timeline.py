@@ -5,12 +5,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyframe.functions import columns as C, periods as D
 from tallyframe.functions.parsing import parse_datetime
+from tallyframe.operators.ranking import with_global_order
 
-MAX_PERIODS = 400
+DENSE_PERIODS = 400  # more than a chart can show: the status says so, the rows come all the same
 
 
 def granularity(first: Column, last: Column) -> Column:
@@ -56,7 +57,7 @@ class TimeSpan:
     def status(self) -> str:
         if not self.valid:
             return "no_valid_dates"
-        if self.period_count > MAX_PERIODS:
+        if self.period_count > DENSE_PERIODS:
             return "too_dense"
         return "single_date" if self.active_dates == 1 else "ok"
 
@@ -80,16 +81,16 @@ ROWS_SCHEMA = "period_start date, period_end date, period_label string, count bi
 
 
 def time_distribution(df: DataFrame, column: str, unit: str | None = None, span: TimeSpan | None = None) -> DataFrame:
-    """One row per period, zeros included; no rows without dates or with more than 400 periods."""
+    """One row per period, zeros included; no rows without dates."""
     span = span or read_span(df, column, unit)
-    if span.status in ("no_valid_dates", "too_dense"):
+    if span.status == "no_valid_dates":
         return df.sparkSession.createDataFrame([], ROWS_SCHEMA)
     day = parse_datetime(df, column)
     counts = df.filter(day.isNotNull()).groupBy(D.period_start(day, span.unit).alias("period_start")).agg(
         F.count(F.lit(1)).alias("count"))
     calendar = df.sparkSession.range(1).select(F.explode(F.sequence(
         F.lit(span.first_period), F.lit(span.last_period), D.step(span.unit))).alias("period_start"))
-    filled = calendar.join(F.broadcast(counts), "period_start", "left")  # at most 400 periods
+    filled = calendar.join(counts, "period_start", "left")
     n = F.coalesce(F.col("count"), F.lit(0).cast("bigint"))
     return filled.select("period_start", D.period_end(F.col("period_start"), span.unit).alias("period_end"),
                          D.period_label(F.col("period_start"), span.unit, "spaced").alias("period_label"),
@@ -115,10 +116,9 @@ def time_summary(df: DataFrame, column: str, unit: str | None = None) -> DataFra
 
 
 def zero_ranges(rows: DataFrame, top: int = 10) -> DataFrame:
-    """Runs of consecutive empty periods, longest first; the input has at most 400 rows."""
-    seq = Window.orderBy("period_start")
-    numbered = rows.withColumn("_i", F.row_number().over(seq)).filter("count = 0")
-    islands = numbered.withColumn("_g", F.col("_i") - F.row_number().over(seq))
+    """Runs of consecutive empty periods, longest first; empty periods with as many active ones before them are one run."""
+    islands = with_global_order(rows.withColumn("_active", (F.col("count") > 0).cast("bigint")), [F.col("period_start")], "_active",
+                                position="_i", running="_g").filter("count = 0")
     return islands.groupBy("_g").agg(
         F.min_by("period_label", "period_start").alias("start_label"), F.max_by("period_label", "period_start").alias("end_label"),
         F.min("period_start").alias("start_date"), F.max("period_end").alias("end_date"),

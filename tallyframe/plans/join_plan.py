@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from tallyframe.functions import columns as C
+from tallyframe.functions.names import table_suffix
 from tallyframe.operators.joins import Relationship, left_join
 
 AUDIT_SCHEMA = ("position int, left_field string, right_table string, right_field string, applied boolean, reason string, "
@@ -25,16 +26,21 @@ class Hop:
 
 
 def plan_hops(base: str, tables: dict[str, DataFrame], relationships: list[Relationship]) -> list[Hop]:
-    """Walk the relationships in order, in whichever direction reaches a new table (schemas only)."""
-    inside, columns, hops = {base}, set(tables[base].columns), []
+    """Walk the relationships in order, in whichever direction reaches a new table (schemas only).
+
+    A key is the field of its own table, under the name it got in the dataset, and never another table's field of that name.
+    """
+    inside, hops = {base}, []
+    named = {(base, c): c for c in tables[base].columns}  # (table, field) -> column of the dataset
     for rel in relationships:
         if rel.table_a not in tables or rel.table_b not in tables:
             hops.append(Hop(rel.field_a, rel.table_b, rel.field_b, "table_missing"))
             continue
-        if rel.field_a in columns and rel.table_b not in inside:
-            hop = Hop(rel.field_a, rel.table_b, rel.field_b)
-        elif rel.field_b in columns and rel.table_a not in inside:
-            hop = Hop(rel.field_b, rel.table_a, rel.field_a)
+        key_a, key_b = named.get((rel.table_a, rel.field_a)), named.get((rel.table_b, rel.field_b))
+        if key_a and rel.table_b not in inside:
+            hop = Hop(key_a, rel.table_b, rel.field_b)
+        elif key_b and rel.table_a not in inside:
+            hop = Hop(key_b, rel.table_a, rel.field_a)
         elif {rel.table_a, rel.table_b} <= inside:
             hops.append(Hop(rel.field_a, rel.table_b, rel.field_b, "both_sides_joined"))
             continue
@@ -46,7 +52,10 @@ def plan_hops(base: str, tables: dict[str, DataFrame], relationships: list[Relat
             continue
         hops.append(hop)
         inside.add(hop.table)
-        columns |= set(tables[hop.table].columns)
+        taken, suffix = set(named.values()), f"__{table_suffix(hop.table)}"
+        for c in tables[hop.table].columns:
+            same = c == hop.right_field == hop.left_field  # one key column is left of two with one name
+            named[hop.table, c] = c if same or c not in taken else c + suffix
     return hops
 
 

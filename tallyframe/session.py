@@ -27,9 +27,11 @@ def build_session(app: str = "tallyframe", master: str | None = None, **conf: st
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a private one only where none is named (tests)."""
+    """The shared folder the cluster names; a session in one process (tests) gets a private one for want of it."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return named or tempfile.mkdtemp(prefix="tallyframe-ckpt-")
+    if named is None and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return named or tempfile.mkdtemp(prefix="tallyframe-")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -41,8 +43,5 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder for a written table, under the shared folder when one is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return f"{base.rstrip('/')}/tallyframe/{name}-{os.urandom(6).hex()}"
-    return f"{tempfile.mkdtemp(prefix='tallyframe-')}/{name}"
+    """A fresh folder for a written table, under the shared folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/tallyframe/{name}-{os.urandom(6).hex()}"

@@ -43,8 +43,8 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
     for encoding in encodings:
         if not fits_encoding(spark, path, encoding):
             continue
-        if encoding == "gb18030":
-            spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+        if encoding == "gb18030" and spark.conf.get("spark.sql.legacy.javaCharsets") != "true":
+            raise ValueError("reading gb18030 needs spark.sql.legacy.javaCharsets, which build_session sets")
         reader = spark.read.options(header=True, encoding=encoding, **options)
         reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
         return normalise_missing(reader.csv(path))

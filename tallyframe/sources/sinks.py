@@ -25,10 +25,14 @@ def write_dataset(df: DataFrame, path: str, partition_by: list[str] | None = Non
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
-def redact(properties: Column, depth: int = 3) -> Column:
+NESTED_LEVELS = 8
+
+
+def redact(properties: Column, depth: int = NESTED_LEVELS) -> Column:
     """JSON object text with private values replaced, other value types kept.
 
-    Nested objects are cleaned down to ``depth`` levels; lists that hold objects or lists are left out.
+    Nested objects are cleaned value by value down to ``depth`` levels; an object below that is replaced as a whole if a
+    private key occurs anywhere in its text. Lists that hold objects or lists are left out.
     """
     private = F.lit("(?i)(" + "|".join(PRIVATE_KEY_WORDS) + ")")
 
@@ -39,6 +43,8 @@ def redact(properties: Column, depth: int = 3) -> Column:
         out = out.when(text.startswith("[") & deep_list, _json("[omitted list]"))
         if depth > 1:
             out = out.when(text.startswith("{"), F.parse_json(redact(text, depth - 1)))
+        else:
+            out = out.when(text.startswith("{") & F.regexp_like(text, private), _json(REDACTED))
         return out.otherwise(value)
 
     return F.to_json(F.transform_values(F.from_json(properties, "map<string,variant>"), clean))

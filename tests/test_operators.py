@@ -158,7 +158,7 @@ def test_kpi_ids():
 
 def test_time_too_dense_and_gaps(spark):
     df = spark.createDataFrame([("2020-01-01",), ("2026-01-01 10:00:00",), ("bad",)], "t string")
-    assert L.time_summary(df, "t", "day").first()["status"] == "too_dense" and L.time_distribution(df, "t", "day").count() == 0
+    assert L.time_summary(df, "t", "day").first()["status"] == "too_dense" and L.time_distribution(df, "t", "day").count() == 2193
     rows = L.time_distribution(df, "t", "year")
     assert [r["count"] for r in rows.orderBy("period_start").collect()] == [1, 0, 0, 0, 0, 0, 1]
     gap = L.zero_ranges(rows).first()
@@ -220,5 +220,9 @@ def test_event_log(spark, tmp_path):
     assert read_events(spark, str(tmp_path)).count() == 2
     assert read_events(spark, str(tmp_path), last=1).first()["event_name"] == "b"
     props = json.dumps({"Phone_No": 1, "n": 2, "o": {"email": "x", "deep": {"mobile": 3, "k": True}}, "l": [1, 2], "m": [{"a": 1}]})
+    for levels in (4, 7, 12):  # never in clear, however deep
+        deep = '{"a": ' * levels + '{"phone": "123", "k": 1}' + "}" * levels
+        text = spark.createDataFrame([(deep,)], "p string").select(redact(F.col("p"))).first()[0]
+        assert "123" not in text and "[redacted]" in text and ('"k":1' in text) == (levels < 8)
     got = json.loads(spark.createDataFrame([(props,)], "p string").select(redact(F.col("p"))).first()[0])
     assert got == {"Phone_No": "[redacted]", "n": 2, "o": {"email": "[redacted]", "deep": {"mobile": "[redacted]", "k": True}}, "l": [1, 2], "m": "[omitted list]"}
