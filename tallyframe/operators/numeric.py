@@ -15,10 +15,11 @@ DISCRETE_VALUES = 30
 MIN_BINS, MAX_BINS = 10, 50
 
 
-def numeric_summary(df: DataFrame, columns: list[str], digits: int | None = 3) -> DataFrame:
-    """column, mean, median, std, min, max, skew, kurtosis."""
-    medians = exact_quantiles(df, columns, [0.5])
-    lookup = df.sparkSession.createDataFrame([(c, medians[c][0]) for c in columns], "column string, median double")
+def numeric_summary(df: DataFrame, columns: list[str], digits: int | None = 3, medians: dict[str, float | None] | None = None) -> DataFrame:
+    """column, mean, median, std, min, max, skew, kurtosis; medians that are known already are not searched again."""
+    if medians is None:
+        medians = {c: q[0] for c, q in exact_quantiles(df, columns, [0.5]).items()}
+    lookup = df.sparkSession.createDataFrame([(c, medians[c]) for c in columns], "column string, median double")
     stats = P.numeric_moments(df, columns).join(F.broadcast(lookup), "column")  # one row per column
     names = ("mean", "median", "std", "min", "max", "skew", "kurtosis")
     return stats.select("column", *[(F.bround(n, digits) if digits is not None else F.col(n)).alias(n) for n in names])
@@ -26,10 +27,17 @@ def numeric_summary(df: DataFrame, columns: list[str], digits: int | None = 3) -
 
 def numeric_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """numeric_summary (unrounded) plus missing_pct and outlier_pct."""
+    medians, bounds = medians_and_bounds(df, columns)
     total = df.agg(F.count(F.lit(1))).scalar()
-    out = outlier_summary(df, columns).select(
+    out = outlier_summary(df, columns, bounds=bounds).select(
         "column", ((total - F.col("valid_count")) / F.nullif(total, F.lit(0)) * 100).alias("missing_pct"), "outlier_pct")
-    return numeric_summary(df, columns, None).join(F.broadcast(out), "column")  # one row per column
+    return numeric_summary(df, columns, None, medians).join(F.broadcast(out), "column")  # one row per column
+
+
+def medians_and_bounds(df: DataFrame, columns: list[str]) -> tuple[dict[str, float | None], dict[str, Bounds]]:
+    """Both from one search for the three quartiles."""
+    found = exact_quantiles(df, columns, [0.25, 0.5, 0.75])
+    return {c: q[1] for c, q in found.items()}, {c: Bounds(q[0], q[2]) for c, q in found.items()}
 
 
 def _finite(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -60,10 +60,10 @@ def iqr_outliers(df: DataFrame, column: str, bounds: Bounds | None = None) -> Da
     return df.filter((value < bounds.low) | (value > bounds.high))
 
 
-def outlier_summary(df: DataFrame, columns: list[str], identifiers=()) -> DataFrame:
+def outlier_summary(df: DataFrame, columns: list[str], identifiers=(), bounds: dict[str, Bounds] | None = None) -> DataFrame:
     """One row per column: bounds, outlier_count, outlier_pct of the valid values; one counting pass for all."""
     columns = [c for c in columns if c not in set(identifiers)]
-    bounds = bounds_of(df, columns)
+    bounds = bounds_of(df, columns) if bounds is None else bounds
     aggs = []
     for i, c in enumerate(columns):
         value = C.as_double(df, c)

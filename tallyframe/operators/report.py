@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tallyframe.functions import columns as C
 from tallyframe.operators import categories as G, profiling as P
 from tallyframe.operators.correlation import correlation_report
-from tallyframe.operators.numeric import numeric_summary
+from tallyframe.operators.numeric import medians_and_bounds, numeric_summary
 from tallyframe.operators.outliers import outlier_summary, union_all
 
 MISSING, CONCENTRATED, OUTLYING, CORRELATED = 0.3, 0.6, 0.05, 0.8
@@ -32,16 +32,18 @@ def report_parts(df: DataFrame, date_columns=()) -> dict[str, DataFrame]:
     missing = P.column_profile(df, distinct="none").select(
         "column", F.coalesce(F.try_divide(P.missing_count(), F.col("total")), F.lit(0.0)).alias("missing_rate"))
     missing = P.pinned(missing)
-    total = df.agg(F.count(F.lit(1))).scalar()
+    rows = df.count()
+    total = F.lit(rows)
     parts = {
-        "overview": df.agg(F.count(F.lit(1)).alias("row_count")).withColumns({
+        "overview": df.sparkSession.range(1).select(total.cast("bigint").alias("row_count")).withColumns({
             "column_count": F.lit(len(cols)), "numeric_column_count": F.lit(len(numbers)),
             "categorical_column_count": F.lit(len(labels)), "date_column_count": F.lit(len(dates))}),
         "missing": missing,
     }
     if numbers:
-        parts["numeric"] = numeric_summary(df, numbers, None).join(F.broadcast(missing), "column")  # one row per column
-        parts["outliers"] = P.pinned(outlier_summary(df, numbers)).select(
+        medians, bounds = medians_and_bounds(df, numbers)
+        parts["numeric"] = P.pinned(numeric_summary(df, numbers, None, medians)).join(F.broadcast(missing), "column")  # one row per column
+        parts["outliers"] = P.pinned(outlier_summary(df, numbers, bounds=bounds)).select(
             "column", "q1", "q3", "iqr", "lower_bound", "upper_bound", "outlier_count",
             F.coalesce(F.try_divide(F.col("outlier_count"), F.col("valid_count")), F.lit(0.0)).alias("outlier_ratio"))
         parts["correlations"] = P.pinned(correlation_report(df, numbers))
