@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from tallyframe.catalog.base import Registry
+from datetime import date
+
+from tallyframe.catalog.base import Registry, rounded
 from tallyframe.operators import questions as Q
 from tallyframe.operators.questions import Context, Metric
 
 R = Registry()
 CONTEXT = Context(
-    metrics=(Metric("销售额", ("成交金额", "Sales Amount", "turnover"), "revenue"), Metric("客户数", ("人数",)), Metric("订单数"),
+    metrics=(Metric("销售额", ("成交金额", "Sales Amount", "turnover"), "revenue"), Metric("客户数", ("人数",), aggregation="count"), Metric("订单数", aggregation="count"),
              Metric("利润总额", source_field="利润", source="kpi")),
     field_types={"区域": "region", "产品": "product"}, columns=("小组", "hello"))
 
@@ -57,6 +59,7 @@ _FALLBACK = "CASE " + " ".join(
 METRIC = f"""m AS ({longest(_METRICS)}), f AS ({longest([('区域', '区域', 'field_name'), ('产品', '产品', 'field_name')])}),
  c AS ({longest([('小组', '小组', 'dataset_column'), ('hello', 'hello', 'dataset_column')])}),
  z AS (SELECT question_id, question AS q FROM questions), w AS (SELECT z.question_id, q, coalesce(m.target, '') AS metric, coalesce(m.candidate, '') AS metric_alias,
+ CASE WHEN m.target IS NULL THEN '' WHEN m.target IN ('客户数', '订单数') THEN 'count' ELSE 'sum' END AS aggregation,
  coalesce(f.target, c.target, {_FALLBACK}, '') AS dimension,
  coalesce(f.source, c.source, CASE WHEN {_FALLBACK} IS NOT NULL THEN 'field_type' END, '') AS dimension_by
  FROM z LEFT JOIN m ON z.question_id = m.question_id LEFT JOIN f ON z.question_id = f.question_id LEFT JOIN c ON z.question_id = c.question_id)"""
@@ -67,6 +70,24 @@ def _(d):
     return Q.question_metric(d.questions, CONTEXT).drop("question")
 
 
+_AS_OF = date(1998, 7, 15)  # a Wednesday within the orders
+
+
+@R.add("question_totals", f"""WITH {TAGS}, {METRIC}, r AS (SELECT g.question_id, metric, aggregation, CASE time_range WHEN '今天' THEN 'today' WHEN '昨天' THEN 'yesterday'
+ WHEN '本周' THEN 'this_week' WHEN '上周' THEN 'last_week' WHEN '本月' THEN 'this_month' WHEN '上月' THEN 'last_month'
+ ELSE 'last_' || regexp_extract(time_range, '^最近(\d+)天$', 1) || '_days' END AS time_code FROM g JOIN w ON g.question_id = w.question_id
+ WHERE metric IN ('销售额', '订单数') AND (time_range IN ('今天', '昨天', '本周', '上周', '本月', '上月') OR regexp_matches(time_range, '^最近\d+天$'))),
+ b AS (SELECT *, CASE time_code WHEN 'today' THEN DATE '1998-07-15' WHEN 'yesterday' THEN DATE '1998-07-14' WHEN 'this_week' THEN DATE '1998-07-13'
+ WHEN 'last_week' THEN DATE '1998-07-06' WHEN 'this_month' THEN DATE '1998-07-01' WHEN 'last_month' THEN DATE '1998-06-01'
+ ELSE DATE '1998-07-15' - CAST(regexp_extract(time_code, '\d+') AS INTEGER) + 1 END AS first_day, CASE time_code WHEN 'yesterday' THEN DATE '1998-07-14'
+ WHEN 'last_week' THEN DATE '1998-07-12' WHEN 'last_month' THEN DATE '1998-06-30' ELSE DATE '1998-07-15' END AS last_day FROM r)
+ SELECT question_id, metric, time_code, first_day, last_day, CAST(round(coalesce(sum(CASE WHEN aggregation = 'count' THEN n ELSE s END), 0), 2) AS DOUBLE) AS answer FROM b LEFT JOIN
+ (SELECT CAST(o_orderdate AS DATE) AS d, count(o_orderkey) AS n, sum(o_totalprice) AS s FROM orders GROUP BY 1) ON d BETWEEN first_day AND last_day GROUP BY ALL""")
+def _(d):
+    tagged = Q.question_metric(Q.question_tags(d.questions), CONTEXT)
+    return rounded(Q.question_totals(tagged, d.orders, "o_orderdate", {"销售额": "o_totalprice", "订单数": "o_orderkey"}, _AS_OF), 2)
+
+
 _VALUES = "v AS (SELECT 'nation' AS field, n_name AS val FROM nation UNION SELECT 'segment', c_mktsegment FROM customer)"
 FILTERS = f"""{_VALUES}, k AS (SELECT question_id, field, val AS "value" FROM (SELECT question_id, field, val, row_number() OVER (PARTITION BY question_id, field ORDER BY length(val) DESC, val DESC) AS rn
  FROM questions, v WHERE contains(question, val)) WHERE rn = 1)"""

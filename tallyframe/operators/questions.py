@@ -6,11 +6,14 @@ Keyword lists are configuration with the defaults below.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from datetime import date
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyframe.functions import columns as C
+from tallyframe.functions.parsing import parse_datetime
+from tallyframe.operators.query import time_bounds
 
 # ---- fixed values: keywords and patterns of the questions ---------------------------------------------
 CONTRIBUTION = ("贡献", "占比", "大部分", "构成", "占了多少")
@@ -112,6 +115,7 @@ class Metric:
     kpi_name: str = ""
     source_field: str = ""
     source: str = "dictionary"
+    aggregation: str = "sum"
 
 
 @dataclass(frozen=True)
@@ -151,7 +155,7 @@ def _metric_candidates(context: Context) -> list[tuple[str, str, str]]:
 
 
 def question_metric(df: DataFrame, context: Context, question: str = "question") -> DataFrame:
-    """Adds metric, metric_alias, dimension, dimension_by ('' where nothing is found)."""
+    """Adds metric, metric_alias, aggregation, dimension, dimension_by ('' where nothing is found)."""
     text = F.coalesce(C.quoted(question), F.lit(""))
     metric = longest_contained(text, _metric_candidates(context))
     mapped = [(c, c, "field_name") for c, t in context.field_types.items() if t in DIMENSION_WORDS]
@@ -161,13 +165,59 @@ def question_metric(df: DataFrame, context: Context, question: str = "question")
     fallback = F.coalesce(*[F.when(has_any(text, words), owner.get(kind, kind)) for kind, words in DIMENSION_WORDS.items()])
     found = F.coalesce(by_field, by_column)
     empty = F.lit("")
+    way = F.coalesce(*[F.when(metric["target"] == m.name, m.aggregation) for m in context.metrics], empty)
     return df.withColumns({
-        "metric": F.coalesce(metric["target"], empty), "metric_alias": F.coalesce(metric["candidate"], empty),
+        "metric": F.coalesce(metric["target"], empty), "metric_alias": F.coalesce(metric["candidate"], empty), "aggregation": way,
         "dimension": F.coalesce(found["target"], fallback, empty),
         "dimension_by": F.coalesce(found["source"], F.when(fallback.isNotNull(), "field_type"), empty),
     })
 
 
+# ---- from tags to a query --------------------------------------------------------------------------------
+
+# Time words of questions and the time-range codes of query.time_bounds.
+TIME_CODES = {"今天": "today", "昨天": "yesterday", "本周": "this_week", "上周": "last_week", "本月": "this_month", "上月": "last_month"}
+
+
+def time_code(time_range: Column) -> Column:
+    """The code that query.time_bounds knows for a time_range tag; '' for a tag it has no range for."""
+    days = F.regexp_extract(time_range, r"^最近(\d+)天$", 1)
+    named = [F.when(time_range == word, code) for word, code in TIME_CODES.items()]
+    return F.coalesce(F.when(days != "", F.concat(F.lit("last_"), days, F.lit("_days"))), *named, F.lit(""))
+
+
+def code_days(code: Column, as_of: date) -> tuple[Column, Column]:
+    """First and last day of each row's code, as query.time_bounds gives them for one; NULL for ''."""
+    given = F.regexp_extract(code, r"^last_(\d+)_days$", 1).try_cast("int")
+    first = F.when(given.isNotNull(), F.date_sub(F.lit(as_of), F.greatest(given - 1, F.lit(0))))
+    last = F.when(given.isNotNull(), F.lit(as_of))
+    for name in TIME_CODES.values():
+        low, high = time_bounds(name, as_of)
+        first, last = first.when(code == name, F.lit(low)), last.when(code == name, F.lit(high))
+    return first, last
+
+
+def question_totals(tagged: DataFrame, data: DataFrame, date_field: str, measures: dict[str, str], as_of: date,
+                    key: str = "question_id") -> DataFrame:
+    """key, metric, time_code, first_day, last_day, answer: the tagged questions run against the data.
+
+    measures: metric -> column. Questions without a known range, or about another metric, are left out. The data come down to
+    one row a day first, and meet the days of each range by equality.
+    """
+    first, last = code_days(F.col("time_code"), as_of)
+    asked = (tagged.withColumn("time_code", time_code(F.col("time_range"))).filter(F.col("metric").isin(list(measures)))
+             .withColumns({"first_day": first, "last_day": last}).filter("first_day IS NOT NULL")
+             .select(key, "metric", "aggregation", "time_code", "first_day", "last_day"))
+    day = parse_datetime(data, date_field).cast("date")
+    sums = [F.coalesce(F.sum(C.as_double(data, c)), F.lit(0.0)).alias(f"s{i}") for i, c in enumerate(measures.values())]
+    counts = [F.count(C.quoted(c)).cast("double").alias(f"n{i}") for i, c in enumerate(measures.values())]
+    daily = data.filter(day.isNotNull()).groupBy(day.alias("day")).agg(*sums, *counts)
+    days = asked.select("*", F.explode(F.sequence("first_day", "last_day")).alias("day")).join(daily, "day", "left")
+    value = F.coalesce(*[F.when(F.col("metric") == m, F.when(F.col("aggregation") == "count", F.col(f"n{i}")).otherwise(F.col(f"s{i}")))
+                         for i, m in enumerate(measures)], F.lit(0.0))
+    return days.groupBy(key, "metric", "time_code", "first_day", "last_day").agg(F.sum(value).alias("answer"))
+
+
 # ---- filters -------------------------------------------------------------------------------------------
 
 def question_filters(questions: DataFrame, data: DataFrame, columns: list[str], key: str = "question_id",
