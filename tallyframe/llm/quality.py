@@ -34,7 +34,8 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, prio
     trusted holds the doc_ids of trusted documents. If none of them is there, every ratio is 0.
     """
     good = trusted.select("doc_id").filter("doc_id IS NOT NULL").distinct().withColumn("good", F.lit(1))
-    marked = docs.select("doc_id", "text").join(good, "doc_id", "left").select("text", F.coalesce("good", F.lit(0)).alias("good"))
+    # trusted ids have no size bound: always a merge join, never a broadcast
+    marked = docs.select("doc_id", "text").join(good.hint("merge"), "doc_id", "left").select("text", F.coalesce("good", F.lit(0)).alias("good"))
     grams = with_words(marked).select("good", F.explode(gram_buckets(buckets)).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("good").alias("trusted")).collect()  # at most `buckets` rows
     from math import log
