@@ -161,9 +161,12 @@ def _(d):
     return T.exploration_overview(df, T.field_roles(df, identifiers=_IDS, invalid=["empty_col"]))
 
 
-@R.add("numeric_columns", """SELECT * FROM (VALUES ('c_nationkey'), ('c_acctbal')) AS t("column")""")
+@R.add("numeric_columns", each(["c_nationkey", "c_acctbal"], """SELECT '{c}' AS "column" FROM customer GROUP BY ALL
+ HAVING count(DISTINCT {c}) / greatest(count({c}), 1) <= 0.9"""))
 def _(d):
-    return T.analysis_columns(_customers(d), identifiers=["customer_id"]).filter("kind = 'numeric'").select("column")
+    df = _customers(d)  # identifiers by value: nearly unique numbers are none of the numeric columns
+    found = T.identifier_names(T.identifier_wide(df, manual_non_ids=["c_name"]))
+    return T.analysis_columns(df, identifiers=found).filter("kind = 'numeric'").select("column")
 
 
 @R.add("categorical_columns", each(["c_name", "c_mktsegment"], """SELECT '{c}' AS "column" FROM customer GROUP BY ALL
