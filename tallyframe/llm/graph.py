@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from tallyframe.llm.text import pinned
 
+ROWS_A_TASK = 250_000
+
 
 def _state(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
@@ -21,13 +23,15 @@ def components(edges: DataFrame) -> DataFrame:
     stars = pinned(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = _state(stars)
     while True:
+        few = 1 + before[0] // ROWS_A_TASK  # a small graph is no reason for many small shuffle files
+        stars = stars.coalesce(few)
         both = stars.union(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").coalesce(few)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"),
                                               F.col("m").alias("v"))
-        stars = pinned(small.filter("u <> v").distinct())
+        stars = pinned(small.filter("u <> v").coalesce(few).distinct().coalesce(few))
         now = _state(stars)
         if now == before:
             break

@@ -14,6 +14,7 @@ from tallyframe.llm.text import U64, mix, pinned, slices, span_hashes, split_wor
 
 SHINGLE = 5
 BINS, BANDS = 128, 32
+GROWTH = 16
 MULTIPLIER = U64(0xD6E8FEB86659FD93)
 
 
@@ -124,10 +125,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = SHINGLE, bi
     reachable over links and kept marks that document.
 
     Equal sets collapse to one representative before anything else. Representatives meet in buckets of equal bands
-    (128 bins in 32 bands of 4: a pair at 0.75 is missed about 5 times in a million). In each bucket, edges go from a hub
-    to all others, and are confirmed on the full sets. Only buckets whose members are not in one component after that go
+    (128 bins in 32 bands of 4: a pair at 0.75 is missed about 5 times in a million). Each bucket is a star around its hub; a
+    document's edge to the hub that it shares most buckets with is confirmed on the full sets. Only buckets whose members are not in one component after that go
     on: shingles that one of their documents has alone are counted, which bounds each document's similarity to any other and
-    leaves out what cannot reach the threshold; then further hubs, three times as many each round, are compared with members
+    leaves out what cannot reach the threshold; then further hubs, 16 times as many each round, are compared with members
     of other components until all pairs are decided. A large group of copies costs a few stars, and no link between
     components is left out.
 
@@ -158,9 +159,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = SHINGLE, bi
         several = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
         return named.join(several.select("bucket"), "bucket")
 
-    sizes = crowd.groupBy("id").agg(F.first("n_shingles").alias("size"))
-    spokes = crowd.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"), F.col("n_shingles").alias("size_b")).distinct()
-    edges = pinned(links(spokes.join(sizes.select(F.col("id").alias("a"), F.col("size").alias("size_a")), "a")))
+    # each document with the hub it shares most buckets with; what that leaves open is for the rounds below
+    spokes = crowd.filter("id <> hub").groupBy("id", "n_shingles", "hub").agg(F.count("*").alias("met"))
+    nearest = spokes.groupBy("id", "n_shingles").agg(F.max(F.struct("met", (-F.col("hub")).alias("less"))).alias("best"))
+    sizes = crowd.groupBy("id").agg(F.first("n_shingles").alias("size_a"))
+    first = nearest.select((-F.col("best.less")).alias("a"), F.col("id").alias("b"), F.col("n_shingles").alias("size_b"))
+    edges = pinned(links(first.join(sizes.withColumnRenamed("id", "a"), "a")))
     label = components(edges)
     rest = pinned(unsettled(crowd, label))
     if not rest.isEmpty():
@@ -174,10 +178,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = SHINGLE, bi
         sized = rest.groupBy("bucket").agg(F.count("*").alias("size"), F.min_by("id", F.struct(
             (-F.col("common") / F.col("n_shingles")).alias("less"), "id")).alias("hub"))
         rest = pinned(rest.join(sized.filter("size > 1"), "bucket"))
-    # round 0 takes the document with the fewest shingles of its own as hub, the next ones three times as many drawn hubs each
+    # round 0 takes the document with the fewest shingles of its own as hub, the next ones GROWTH times as many drawn hubs each
     step = 0
     while True:
-        low, high = (0 if step < 2 else 3 ** (step - 1)), 3 ** step
+        low, high = (0 if step < 2 else GROWTH ** (step - 1)), GROWTH ** step
         left = rest if rest.isEmpty() else pinned(unsettled(rest, label).filter(f"size > {low}"))
         if left.isEmpty():
             break
