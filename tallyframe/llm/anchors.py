@@ -24,7 +24,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from tallyframe.llm.text import U64, Words, mix, slices, span_hashes, split_words
+from tallyframe.llm.text import SLICE_BYTES, U64, Words, mix, slices, span_hashes, split_words
 
 HOT = 10_000
 SHARD_WORDS = 400_000
@@ -81,9 +81,17 @@ def packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [rows.column("doc_id"), pa.array([t if t is None else press.compress(t) for t in texts], pa.binary())], ["doc_id", "text"])
 
 
-def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
-    open_up = zstandard.ZstdDecompressor()
+def packed_column(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same with all columns."""
+    press = zstandard.ZstdCompressor(level=1)
     for rows, texts in slices(batches):
+        at = rows.schema.get_field_index("text")
+        yield rows.set_column(at, "text", pa.array([t if t is None else press.compress(t) for t in texts], pa.binary()))
+
+
+def unpacked(batches: Iterator[pa.RecordBatch], size: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
+    open_up = zstandard.ZstdDecompressor()
+    for rows, texts in slices(batches, size=size):
         yield rows, [t if t is None else open_up.decompress(t) for t in texts]
 
 

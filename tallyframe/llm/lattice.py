@@ -9,25 +9,26 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tallyframe.llm.text import BASE, BASE_INVERSE, U64, Words, id_remainder, mix, powers, slices, split_words
+from tallyframe.llm.anchors import packed_column, unpacked
+from tallyframe.llm.text import BASE, BASE_INVERSE, U64, Words, id_remainder, powers, slices, split_words
 
 HOLD_OUT = 10
 BLOCK_BYTES = 24 << 20
-COUNT_BYTES = 16 << 20
+COUNT_BYTES = 6 << 20  # of compressed text
 LONGEST_PIECE = 16  # bytes
 MAIN_CLASSES = 15
 PRIOR_MASS = 200.0  # of the vocabulary's own scores, against one for each word type met
 BORROWED = 0.02  # weight of the counts of all languages beside those of one
 BATCH = 20_000
 MOST_UNKNOWN = 0.5
+SPREAD = U64(0x9FB21C651E98DF25)
 
 
 @dataclass
 class Pieces:
     """Arcs of the lattice: pieces that start a word, pieces that go on, and single bytes for both. prior: by own scores."""
 
-    tables: list  # for start and going on: [(slots of piece numbers, shift), ...]
-    keys: np.ndarray
+    tables: list  # for start and going on: [(keys by slot, piece numbers by slot, bits of a slot), ...]
     first: int  # number of arcs that start a word; they come first
     prior: np.ndarray
 
@@ -59,36 +60,43 @@ class Pieces:
         prior = np.array(weights)
         prior[:first] /= prior[:first].sum()
         prior[first:] /= prior[first:].sum()
-        return Pieces([hash_tables(keys, p) for p in places], keys, first, prior)
+        return Pieces([hash_tables(keys, p) for p in places], first, prior)
 
     def find(self, onward: int, key: np.ndarray) -> np.ndarray:
         """Numbers of the arcs with these keys; -1 for none."""
-        out = np.full(key.shape, -1, dtype=np.int64)
-        for slots, shift in self.tables[onward]:
-            place = slots[(key >> U64(shift)) & U64(len(slots) - 1)]
-            out = np.where((place >= 0) & (self.keys[place] == key), place, out)
-        return out
+        out = np.full(key.size, -1, dtype=np.int64)
+        flat = key.ravel()
+        for known, numbers, bits in self.tables[onward]:
+            slot = (flat * SPREAD) >> U64(64 - bits)
+            hit = np.flatnonzero(known[slot] == flat)
+            out[hit] = numbers[slot[hit]]
+        return out.reshape(key.shape)
 
     def byte(self, onward: int) -> int:
         """Number of the first single-byte arc."""
         return len(self.prior) - 256 if onward else self.first - 256
 
 
+def substring_key(value: np.ndarray, length: int) -> np.ndarray:
+    """Key of substrings from their polynomial value; never 0, which marks a free slot."""
+    return (value + U64(length)) * SPREAD | U64(1)
+
+
 def piece_key(piece: bytes) -> int:
-    value = np.frombuffer(piece, dtype=np.uint8).astype(U64) + U64(1)
-    return int(mix((value * powers(BASE, len(piece))).sum(dtype=U64, keepdims=True) + U64(len(piece)))[0])
+    value = (np.frombuffer(piece, dtype=np.uint8).astype(U64) + U64(1)) * powers(BASE, len(piece))
+    return int(substring_key(value.sum(dtype=U64, keepdims=True), len(piece))[0])
 
 
 def hash_tables(keys: np.ndarray, places: np.ndarray) -> list:
-    """Direct tables by some bits of the key; what collides goes to a next one by other bits."""
-    out, shift = [], 0
+    """A direct table by some bits of the key; what collides goes to a smaller one by more spread, and so on."""
+    out, bits = [], 18
     while len(places):
-        slots = np.full(1 << 18, -1, dtype=np.int64)
-        at = (keys[places] >> U64(shift)) & U64(len(slots) - 1)
-        slots[at] = places
-        out.append((slots, shift))
-        places = places[slots[at] != places]
-        shift += 11
+        slot = (keys[places] * SPREAD) >> U64(64 - bits)
+        known, numbers = np.zeros(1 << bits, dtype=U64), np.zeros(1 << bits, dtype=np.int64)
+        known[slot], numbers[slot] = keys[places], places
+        out.append((known, numbers, bits))
+        places = places[numbers[slot] != places]
+        bits = max(bits - 1, 1) if len(out) < 12 else bits + 3
     return out
 
 
@@ -102,7 +110,7 @@ def arcs_of(pieces: Pieces, letters: np.ndarray) -> list[tuple[int, np.ndarray]]
     whole[:, 0] += pieces.byte(0) - pieces.byte(1)
     out = [(1, whole)]
     for n in range(1, min(LONGEST_PIECE, size) + 1):
-        key = mix((sums[:, n:] - sums[:, :size + 1 - n]) * back[:size + 1 - n] + U64(n))
+        key = substring_key((sums[:, n:] - sums[:, :size + 1 - n]) * back[:size + 1 - n], n)
         number = pieces.find(1, key)
         number[:, 0] = pieces.find(0, key[:, 0])
         if (number >= 0).any():
@@ -220,7 +228,7 @@ def training_sums(pieces: Pieces):
 
 def block_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(block, word hash, class, count): the words of each block, class -1 for documents that are not learned from."""
-    for rows, texts in slices(batches, size=COUNT_BYTES):
+    for rows, texts in unpacked(batches, COUNT_BYTES):
         words = split_words([t.lower() if t else t for t in texts])
         block, kind = np.asarray(rows.column("block"))[words.doc], np.asarray(rows.column("class"))[words.doc]
         order = np.lexsort((words.hashes, kind, block))
@@ -252,7 +260,7 @@ def block_scores(model: Model, classes: int):
         base_of = n + 0.1 * (types + 1)
         out: dict[str, list] = {k: [] for k in ("n_tokens", "n_known", "base_score", "score")}
         for batch in docs.to_batches():
-            for rows, texts in slices(iter([batch]), size=COUNT_BYTES):
+            for rows, texts in unpacked(iter([batch]), COUNT_BYTES):
                 words = split_words([t.lower() if t else t for t in texts])
                 h, at, back = np.unique(words.hashes, return_index=True, return_inverse=True)
                 place = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
@@ -322,8 +330,10 @@ def score_texts(docs: DataFrame, vocabulary: str, hold_out: int = HOLD_OUT, bloc
     model = Model(pieces, facts[:, 1], facts[:, 2], [arc_weights(pieces, uses[k], float(facts[k, 0])) for k in range(classes)])
     size = rows.agg(F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("n")).first()
     blocks = int(((size["b"] or 0) + 16 * size["n"]) // block_bytes) + 1
+    # compressed, and the same columns for both readers below, so that the texts are shuffled once
+    packed = f"doc_id {kind}, text binary, held_out boolean, class int, block int"
     dealt = (rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
-             .repartition("block").sortWithinPartitions("block"))
+             .mapInArrow(packed_column, packed).repartition("block").sortWithinPartitions("block"))
     met = dealt.mapInArrow(block_words, "block int, word long, class int, n long").repartition("word")
     per_class = [F.sum(F.when(F.col("class") == k, F.col("n")).otherwise(0)).alias(f"c{k}") for k in range(classes)]
     counts = met.groupBy("word").agg(F.sum("n").alias("total"), *per_class).filter("total > 0")
@@ -334,7 +344,7 @@ def score_texts(docs: DataFrame, vocabulary: str, hold_out: int = HOLD_OUT, bloc
             .select("block", F.lit(0).cast("long").alias("word"), F.lit(1).alias("fact"), "total", F.coalesce("c0", F.lit(0)).alias("c0"),
                     *[F.lit(0).cast("long").alias(f) for f in fields[2:]]))
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return (dealt.select("block", "doc_id", "text", "held_out").groupBy("block").cogroup(here.union(told).groupBy("block"))
+    return (dealt.groupBy("block").cogroup(here.union(told).groupBy("block"))
             .applyInArrow(skip_empty(block_scores(model, classes)), schema))
 
 
