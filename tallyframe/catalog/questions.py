@@ -75,11 +75,11 @@ _AS_OF = date(1998, 7, 15)  # a Wednesday within the orders
 
 @R.add("question_totals", f"""WITH {TAGS}, {METRIC}, r AS (SELECT g.question_id, metric, aggregation, CASE time_range WHEN '今天' THEN 'today' WHEN '昨天' THEN 'yesterday'
  WHEN '本周' THEN 'this_week' WHEN '上周' THEN 'last_week' WHEN '本月' THEN 'this_month' WHEN '上月' THEN 'last_month'
- ELSE 'last_' || regexp_extract(time_range, '^最近(\d+)天$', 1) || '_days' END AS time_code FROM g JOIN w ON g.question_id = w.question_id
- WHERE metric IN ('销售额', '订单数') AND (time_range IN ('今天', '昨天', '本周', '上周', '本月', '上月') OR regexp_matches(time_range, '^最近\d+天$'))),
+ ELSE 'last_' || regexp_extract(time_range, '^最近(\\d+)天$', 1) || '_days' END AS time_code FROM g JOIN w ON g.question_id = w.question_id
+ WHERE metric IN ('销售额', '订单数') AND (time_range IN ('今天', '昨天', '本周', '上周', '本月', '上月') OR regexp_matches(time_range, '^最近\\d+天$'))),
  b AS (SELECT *, CASE time_code WHEN 'today' THEN DATE '1998-07-15' WHEN 'yesterday' THEN DATE '1998-07-14' WHEN 'this_week' THEN DATE '1998-07-13'
  WHEN 'last_week' THEN DATE '1998-07-06' WHEN 'this_month' THEN DATE '1998-07-01' WHEN 'last_month' THEN DATE '1998-06-01'
- ELSE DATE '1998-07-15' - CAST(regexp_extract(time_code, '\d+') AS INTEGER) + 1 END AS first_day, CASE time_code WHEN 'yesterday' THEN DATE '1998-07-14'
+ ELSE DATE '1998-07-15' - CAST(regexp_extract(time_code, '\\d+') AS INTEGER) + 1 END AS first_day, CASE time_code WHEN 'yesterday' THEN DATE '1998-07-14'
  WHEN 'last_week' THEN DATE '1998-07-12' WHEN 'last_month' THEN DATE '1998-06-30' ELSE DATE '1998-07-15' END AS last_day FROM r)
  SELECT question_id, metric, time_code, first_day, last_day, CAST(round(coalesce(sum(CASE WHEN aggregation = 'count' THEN n ELSE s END), 0), 2) AS DOUBLE) AS answer FROM b LEFT JOIN
  (SELECT CAST(o_orderdate AS DATE) AS d, count(o_orderkey) AS n, sum(o_totalprice) AS s FROM orders GROUP BY 1) ON d BETWEEN first_day AND last_day GROUP BY ALL""")
