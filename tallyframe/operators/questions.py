@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tallyframe.functions import columns as C
 from tallyframe.functions.parsing import parse_datetime
 from tallyframe.operators.query import time_bounds
+from tallyframe.session import cut_lineage
 
 # ---- fixed values: keywords and patterns of the questions ---------------------------------------------
 CONTRIBUTION = ("贡献", "占比", "大部分", "构成", "占了多少")
@@ -205,7 +206,9 @@ def question_totals(tagged: DataFrame, data: DataFrame, date_field: str, measure
     one row a day first, and meet the days of each range by equality.
     """
     first, last = code_days(F.col("time_code"), as_of)
-    asked = (tagged.withColumn("time_code", time_code(F.col("time_range"))).filter(F.col("metric").isin(list(measures)))
+    # the tags are computed once, before the filters below can reach into them
+    tags = cut_lineage(tagged.select(key, "metric", "aggregation", "time_range"))
+    asked = (tags.withColumn("time_code", time_code(F.col("time_range"))).filter(F.col("metric").isin(list(measures)))
              .withColumns({"first_day": first, "last_day": last}).filter("first_day IS NOT NULL")
              .select(key, "metric", "aggregation", "time_code", "first_day", "last_day"))
     day = parse_datetime(data, date_field).cast("date")
