@@ -15,6 +15,8 @@ TOPIC_LETTERS = 5  # shorter words, mostly function words, do not count for the
 SMOOTHING = 0.8
 SWEEPS, TOLERANCE = 60, 1e-7
 DRIVER_CELLS = 200_000
+LEAST_SHARE = 0.001  # of the tokens; smaller categories are raked together
+LIFT, MOST = 2.0, 4.0  # bounds of the default targets: of a category's share over its present one, and of a cell's multiplier
 MARGINS = ("source", "lang", "topic")
 
 
@@ -37,27 +39,55 @@ def margin(cells: DataFrame, name: str, weight: str) -> DataFrame:
     return cells.groupBy(name).agg(F.sum(weight).alias("m"))
 
 
-def smoothed_targets(cells: DataFrame, name: str, smoothing: float) -> DataFrame:
-    """Shares in proportion to a power below one of the present shares: large categories give to small ones."""
-    raised = margin(cells, name, "tokens").select(name, F.pow("m", F.lit(smoothing)).alias("p"))
-    total = raised.agg(F.sum("p")).first()[0]
-    return raised.select(name, (F.col("p") / F.lit(float(total or 1))).alias("share"))
+def joined_categories(cells: DataFrame, name: str, least: float) -> DataFrame:
+    """name and as_<name>: categories with less than `least` of the tokens are one; if that is less, too, the smallest other one."""
+    sizes = pinned(margin(cells, name, "tokens"))
+    bound = F.lit(least * float(sizes.agg(F.sum("m")).first()[0] or 0))
+    small = F.col("m") < bound
+    facts = sizes.agg(F.min(F.when(small, F.col(name))).alias("first"), (F.sum(F.when(small, F.col("m"))) >= bound).alias("enough"),
+                      F.min(F.when(~small, F.struct("m", name))).alias("smallest")).first()
+    place = facts["first"] if facts["enough"] or facts["smallest"] is None else facts["smallest"][name]
+    return sizes.select(name, F.when(small, F.lit(place)).otherwise(F.col(name)).alias(f"as_{name}"))
+
+
+def smoothed_targets(cells: DataFrame, name: str, smoothing: float, lift: float = LIFT) -> DataFrame:
+    """Shares in proportion to a power below one of the present shares: large categories give to small ones.
+
+    No share is above lift times the present one; what a bound category leaves goes to the others in proportion. cells has
+    joined categories, so these are few.
+    """
+    rows = margin(cells, name, "tokens").collect()
+    now = np.array([r["m"] for r in rows], dtype=np.float64)
+    now /= max(now.sum(), 1.0)
+    raised, bound = now ** smoothing, np.zeros(len(now), dtype=bool)
+    share = raised
+    while len(rows):
+        share = np.where(bound, lift * now, raised * (1 - lift * now[bound].sum()) / raised[~bound].sum())
+        over = ~bound & (share > lift * now * (1 + 1e-12))
+        if not over.any():
+            break
+        bound |= over
+    return cells.sparkSession.createDataFrame([(r[name], float(v)) for r, v in zip(rows, share)],
+                                              f"{name} {dict(cells.dtypes)[name]}, share double")
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS, tolerance: float = TOLERANCE,
-         driver_cells: int = DRIVER_CELLS) -> DataFrame:
+         driver_cells: int = DRIVER_CELLS, most: float = float("inf")) -> DataFrame:
     """cells (the margins' columns, tokens > 0) with weight: shares that meet every target margin as nearly as the cells allow.
 
     Each sweep scales the weights to one margin after the other; the last is after `sweeps`, or when no margin is off by more
-    than tolerance. Up to driver_cells cells (counted first) are swept as arrays in the driver, more by aggregates and joins.
+    than tolerance. A sweep ends by cutting weights to `most` times the cell's share of tokens; the next one rakes what was
+    cut to the rest. Up to driver_cells cells (counted first) are swept as arrays in the driver, more by aggregates and joins.
     """
-    return (_rake_arrays if cells.limit(driver_cells + 1).count() <= driver_cells else _rake_tables)(cells, targets, sweeps, tolerance)
+    way = _rake_arrays if cells.limit(driver_cells + 1).count() <= driver_cells else _rake_tables
+    return way(cells, targets, sweeps, tolerance, most)
 
 
-def _rake_arrays(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int, tolerance: float) -> DataFrame:
+def _rake_arrays(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int, tolerance: float, most: float) -> DataFrame:
     rows = cells.collect()
     weight = np.array([r["tokens"] for r in rows], dtype=np.float64)
     weight /= max(weight.sum(), 1.0)
+    bound = most * weight
     places, shares = [], []
     for name, target in targets.items():
         share = {r[name]: r["share"] for r in target.collect()}
@@ -70,13 +100,14 @@ def _rake_arrays(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int, t
             now = np.bincount(place, weight, minlength=len(share))
             off = max(off, float(np.abs(now - share).max()))
             weight *= np.divide(share, now, out=np.zeros_like(share), where=now > 0)[place]
+        weight = np.minimum(weight, bound)
         if off <= tolerance:
             break
     out = [(*(r[n] for n in MARGINS), r["tokens"], float(w)) for r, w in zip(rows, weight)]
     return cells.sparkSession.createDataFrame(out, cells.withColumn("weight", F.lit(0.0)).schema)
 
 
-def _rake_tables(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int, tolerance: float) -> DataFrame:
+def _rake_tables(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int, tolerance: float, most: float) -> DataFrame:
     total = cells.agg(F.sum("tokens")).first()[0]
     cells = cells.withColumn("weight", F.col("tokens") / F.lit(float(total or 1)))
     for _ in range(sweeps):
@@ -87,13 +118,14 @@ def _rake_tables(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int, t
                 F.when(F.col("m") > 0, F.coalesce("share", F.lit(0.0)) / F.col("m")).otherwise(0.0).alias("f")))
             off = max(off, factor.agg(F.max("gap")).first()[0] or 0.0)
             cells = pinned(cells.join(factor.select(name, "f"), name).withColumn("weight", F.col("weight") * F.col("f")).drop("f"))
+        cells = cells.withColumn("weight", F.least("weight", F.lit(most) * F.col("tokens") / F.lit(float(total or 1))))
         if off <= tolerance:
             break
     return cells
 
 
 def mix_to_targets(docs: DataFrame, targets: dict[str, DataFrame] | None = None, topics: int = TOPICS,
-                   smoothing: float = SMOOTHING, seed: int = 11) -> DataFrame:
+                   smoothing: float = SMOOTHING, seed: int = 11, least_share: float = LEAST_SHARE, most: float | None = None) -> DataFrame:
     """One row per document: doc_id, source, lang, topic, n_tokens, multiplier, probability, kept.
 
     Documents fall in cells of (source, lang, topic). Cell weights start as token shares and are raked to the target
@@ -102,6 +134,12 @@ def mix_to_targets(docs: DataFrame, targets: dict[str, DataFrame] | None = None,
     one, so that expected token shares of the sample are the raked ones exactly. A document is kept if a hash of its id and
     the seed, as a number in [0, 1), is below its probability: the same documents in every run.
 
+    The largest multiplier sets the size of the sample, so no few texts may set it: in a margin without given targets,
+    categories with less than least_share of the tokens are raked together (joined_categories) and a category's target is at
+    most LIFT times its present share. Without any given targets a multiplier is at most MOST, so the expected sample has at
+    least 1 / MOST of the tokens; given targets are met however small the sample gets, unless `most` is set. topic is the topic
+    a text is raked in; source and lang are its own.
+
     A null source or lang is a category of its own, written as the empty string. A text without words has no tokens, topic -1
     and, as it moves no weight, probability 1. Rows with the same doc_id draw the same number. An empty table gives an empty
     result. Extra columns are not read.
@@ -110,16 +148,25 @@ def mix_to_targets(docs: DataFrame, targets: dict[str, DataFrame] | None = None,
     rows = pinned(docs.select("doc_id", "text", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"),
                               F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"))
                   .mapInArrow(tokens_and_topics(topics), f"doc_id {kind}, source string, lang string, topic int, n_tokens long"))
-    cells = pinned(rows.filter("n_tokens > 0").groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")))
-    aims = {n: pinned((targets or {}).get(n) or smoothed_targets(cells, n, smoothing)) for n in MARGINS}
-    raked = rake(cells, aims)
+    given = targets or {}
+    own = pinned(rows.filter("n_tokens > 0").groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")))
+    for name in MARGINS:
+        own = (own.withColumn(f"as_{name}", F.col(name)) if name in given
+               else own.join(joined_categories(own, name, least_share), name))
+    own = pinned(own)
+    cells = pinned(own.groupBy(*[F.col(f"as_{n}").alias(n) for n in MARGINS]).agg(F.sum("tokens").alias("tokens")))
+    aims = {n: pinned(given[n] if n in given else smoothed_targets(cells, n, smoothing)) for n in MARGINS}
+    raked = rake(cells, aims, most=most or (float("inf") if given else MOST))
     total = cells.agg(F.sum("tokens")).first()[0]
     scored = raked.withColumn("multiplier", F.col("weight") * F.lit(float(total or 1)) / F.col("tokens"))
     largest = scored.agg(F.max("multiplier")).first()[0]
-    scored = scored.select(*MARGINS, "multiplier", (F.col("multiplier") / F.lit(float(largest or 1))).alias("probability"))
+    scored = scored.select(*[F.col(n).alias(f"as_{n}") for n in MARGINS], "multiplier",
+                           (F.col("multiplier") / F.lit(float(largest or 1))).alias("probability"))
+    scored = own.drop("tokens").join(scored, [f"as_{n}" for n in MARGINS])
     number = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 53)) / F.lit(float(1 << 53))
     return (rows.join(scored, list(MARGINS), "left")
-            .select("doc_id", *MARGINS, "n_tokens", F.coalesce("multiplier", F.lit(1.0)).alias("multiplier"),
+            .select("doc_id", "source", "lang", F.coalesce("as_topic", "topic").alias("topic"), "n_tokens",
+                    F.coalesce("multiplier", F.lit(1.0)).alias("multiplier"),
                     F.when(F.col("n_tokens") == 0, 1.0).otherwise(F.coalesce("probability", F.lit(0.0))).alias("probability"))
             .withColumn("kept", number < F.col("probability")))
 

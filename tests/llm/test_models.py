@@ -14,7 +14,7 @@ from tallyframe.llm.gru import ByteTagger, fit, identify_languages
 from tallyframe.llm.lattice import Pieces, arc_weights, expected_uses, score_texts, spelled
 from tallyframe.llm.licenses import scan_licenses
 from tallyframe.llm.quality import judge_quality, log_ratios
-from tallyframe.llm.raking import MARGINS, mix_to_targets, rake
+from tallyframe.llm.raking import MARGINS, mix_to_targets, rake, smoothed_targets
 from tallyframe.llm.text import split_words
 
 from .data import SCHEMA, corpus
@@ -155,6 +155,32 @@ def test_mixture_is_calibrated(spark):
     assert abs(kept - mean) < 4 * math.sqrt(sum(r.probability * (1 - r.probability) for r in rows)) + 1
 
 
+def test_a_few_words_do_not_fix_the_size_of_the_sample(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    odd = spark.createDataFrame([(90_000, "Re. A.", "de", "src0", 6), (90_001, "A.", "xx", "rare", 2), (90_002, "", "en", "src1", 0)], SCHEMA)
+    rows = mix_to_targets(docs.union(odd)).collect()
+    words = sum(r.n_tokens for r in rows)
+    assert sum(r.n_tokens * r.probability for r in rows) / words > 0.5
+    assert sum(r.kept for r in rows) / len(rows) > 0.5
+    got = {r.doc_id: r for r in rows}
+    assert (got[90_001].source, got[90_001].lang) == ("rare", "xx") and got[90_000].topic >= 0 and got[90_002].topic == -1
+    assert max(r.multiplier for r in rows) <= 4
+
+
+def test_raking_within_bounds(spark):
+    cells = spark.createDataFrame([("a", "en", 0, 10), ("a", "fr", 0, 90), ("b", "en", 0, 100), ("b", "fr", 1, 800)],
+                                  "source string, lang string, topic int, tokens long")
+    aims = {"source": spark.createDataFrame([("a", 0.4), ("b", 0.6)], "source string, share double"),
+            "lang": spark.createDataFrame([("en", 0.4), ("fr", 0.6)], "lang string, share double")}
+    assert max(1000 * r.weight / r.tokens for r in rake(cells, aims).collect()) > 5
+    arrays, tables = [{tuple(r[:3]): 1000 * r.weight / r.tokens for r in rake(cells, aims, tolerance=1e-4, most=4.0, driver_cells=n).collect()}
+                      for n in (100, 0)]
+    assert max(arrays.values()) <= 4 + 1e-9 and all(arrays[k] == pytest.approx(tables[k], abs=1e-2) for k in arrays)
+    uneven = spark.createDataFrame([("a", "en", 0, 1), ("b", "en", 0, 99), ("c", "en", 0, 9900)], cells.schema)
+    share = {r.source: r.share for r in smoothed_targets(uneven, "source", 0.5).collect()}
+    assert share["a"] == pytest.approx(2e-4) and share["b"] == pytest.approx(0.0198) and sum(share.values()) == pytest.approx(1)
+
+
 def test_quality_counts_and_scores(spark):
     rows = corpus(100) + [(500, "a b c d e f g h i a b c d e f g h i\nx\n\nx\n x", "en", "s", 0), (501, "# x# $ | <>", "en", "s", 0),
                           (502, "z " * 40, "en", "s", 0)]
