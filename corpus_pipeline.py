@@ -30,14 +30,16 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated passages leave the later documents; n_chars follows, and documents with no word left go."""
+    """Repeated passages leave the later documents; n_chars follows, and documents with no word left go. Rows with a null
+    doc_id stay as they are."""
     kept = substring_dedup(docs)
     rest = kept.filter("n_words = 0 OR n_removed < n_words").select("doc_id", "n_removed", "kept_text")
     columns = [c for c in docs.columns if c not in ("text", "n_chars")]
     joined = docs.select(*columns, *(["n_chars"] if "n_chars" in docs.columns else [])).join(rest, "doc_id")
     out = {"text": F.col("kept_text"),
            "n_chars": F.when(F.col("n_removed") > 0, F.length("kept_text")).otherwise(F.col("n_chars"))}
-    return joined.select(*[(out[c].cast(docs.schema[c].dataType).alias(c) if c in out else F.col(c)) for c in docs.columns])
+    done = joined.select(*[(out[c].cast(docs.schema[c].dataType).alias(c) if c in out else F.col(c)) for c in docs.columns])
+    return done.union(docs.filter("doc_id IS NULL"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -198,7 +198,8 @@ def shard_search(length: int, search: Search):
         cut = np.concatenate(([0], np.cumsum(number)))
         shared = np.minimum.reduceat(found, cut[:-1]) < largest  # else a single document has all its windows
         return pd.DataFrame({"route": pdf["route"][shared], "content": pdf["content"][shared],
-                             "seen": [found[cut[i]:cut[i + 1]] for i in np.flatnonzero(shared)]})
+                             "seen": pd.Series([found[cut[i]:cut[i + 1]] for i in np.flatnonzero(shared)], dtype=object,
+                                               index=pdf.index[shared])})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0

@@ -133,13 +133,14 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = SHINGLE, bi
     components is left out.
 
     Null, empty and blank texts have an empty set, are linked with nothing and kept. Repeated texts are one set. An empty
-    table gives an empty result. Extra columns are not read. doc_id must be unique and not null.
+    table gives an empty result. Extra columns are not read. doc_id must be unique; rows with a null doc_id are linked with
+    nothing and kept, too.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     drawn = pinned(base.mapInArrow(sketch(width, bins, bands),
                                    "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"))
     key = ["n_shingles", "set_a", "set_b"]
-    sets = drawn.filter("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
+    sets = drawn.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*key).agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
     placed = sets.select("id", "n_shingles", F.explode("bands").alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("n")).filter("n > 1")
     crowd = pinned(placed.join(shared.select("bucket", "hub"), "bucket"))
@@ -199,11 +200,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = SHINGLE, bi
         step += 1
     owner = sets.select(*key, "id").join(label, "id", "left").select(*key, F.coalesce("component", "id").alias("of"))
     return (drawn.drop("bands").join(owner, key, "left")
-            .select("doc_id", "n_shingles", F.coalesce("of", "doc_id").alias("component_id"))
+            .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("of", "doc_id")).alias("component_id"))
             .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The documents of docs that near_duplicates keeps, all columns as they are."""
-    flags = near_duplicates(docs, **options).filter("kept").select("doc_id")
-    return docs.join(flags, "doc_id", "left_semi").select(docs.columns)
+    """The documents of docs that near_duplicates keeps, all columns as they are; those with a null doc_id are among them."""
+    flags = near_duplicates(docs, **options).filter("kept").select(F.col("doc_id").alias("kept_doc_id"))
+    return docs.join(flags, docs["doc_id"].eqNullSafe(flags["kept_doc_id"]), "left_semi").select(docs.columns)

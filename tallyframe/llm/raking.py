@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyframe.llm.text import pinned, slices, split_words
 
@@ -31,7 +31,7 @@ def tokens_and_topics(topics: int):
             topic = np.where(counts.any(axis=1), counts.argmax(axis=1), -1)
             yield pa.RecordBatch.from_arrays(
                 [rows.column("doc_id"), rows.column("source"), rows.column("lang"), pa.array(topic.astype(np.int32)),
-                 pa.array(np.diff(words.bounds))], ["doc_id", "source", "lang", "topic", "n_tokens"])
+                 pa.array(np.diff(words.bounds)), rows.column("text_hash")], ["doc_id", "source", "lang", "topic", "n_tokens", "text_hash"])
     return run
 
 
@@ -144,10 +144,20 @@ def mix_to_targets(docs: DataFrame, targets: dict[str, DataFrame] | None = None,
     and, as it moves no weight, probability 1. Rows with the same doc_id draw the same number. An empty table gives an empty
     result. Extra columns are not read.
     """
+    return _mixed(docs, targets, topics, smoothing, seed, least_share, most).drop("text_hash")
+
+
+def _categories() -> dict[str, Column]:
+    return {n: F.coalesce(F.col(n).cast("string"), F.lit("")) for n in ("source", "lang")}
+
+
+def _mixed(docs: DataFrame, targets: dict[str, DataFrame] | None = None, topics: int = TOPICS, smoothing: float = SMOOTHING,
+           seed: int = 11, least_share: float = LEAST_SHARE, most: float | None = None) -> DataFrame:
+    """The rows of mix_to_targets with text_hash."""
     kind = dict(docs.dtypes)["doc_id"]
-    rows = pinned(docs.select("doc_id", "text", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"),
-                              F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"))
-                  .mapInArrow(tokens_and_topics(topics), f"doc_id {kind}, source string, lang string, topic int, n_tokens long"))
+    rows = pinned(docs.select("doc_id", "text", *[c.alias(n) for n, c in _categories().items()], F.xxhash64("text").alias("text_hash"))
+                  .mapInArrow(tokens_and_topics(topics),
+                              f"doc_id {kind}, source string, lang string, topic int, n_tokens long, text_hash long"))
     given = targets or {}
     own = pinned(rows.filter("n_tokens > 0").groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")))
     for name in MARGINS:
@@ -167,11 +177,14 @@ def mix_to_targets(docs: DataFrame, targets: dict[str, DataFrame] | None = None,
     return (rows.join(scored, list(MARGINS), "left")
             .select("doc_id", "source", "lang", F.coalesce("as_topic", "topic").alias("topic"), "n_tokens",
                     F.coalesce("multiplier", F.lit(1.0)).alias("multiplier"),
-                    F.when(F.col("n_tokens") == 0, 1.0).otherwise(F.coalesce("probability", F.lit(0.0))).alias("probability"))
+                    F.when(F.col("n_tokens") == 0, 1.0).otherwise(F.coalesce("probability", F.lit(0.0))).alias("probability"), "text_hash")
             .withColumn("kept", number < F.col("probability")))
 
 
 def keep_mixture(docs: DataFrame, **options) -> DataFrame:
-    """The sampled documents, all columns as they are."""
-    kept = mix_to_targets(docs, **options).filter("kept").select("doc_id")
-    return docs.join(kept.distinct(), "doc_id", "left_semi").select(docs.columns)
+    """The sampled documents, all columns as they are. Every row has its own decision, also where a doc_id is null or repeated."""
+    kept = _mixed(docs, **options).filter("kept").select("doc_id", "source", "lang", "text_hash").distinct().toDF(
+        "kept_doc_id", "kept_source", "kept_lang", "kept_text_hash")
+    ours = {"doc_id": docs["doc_id"], **_categories(), "text_hash": F.xxhash64("text")}
+    same = [c.eqNullSafe(kept[f"kept_{n}"]) for n, c in ours.items()]
+    return docs.join(kept, same, "left_semi").select(docs.columns)

@@ -1,5 +1,6 @@
 """Nulls, empty and long texts, repeated rows, empty tables and clashing column names in every operator."""
 
+import corpus_pipeline
 import pytest
 from public_tokenizers import path as tokenizer_path
 from pyspark.sql import functions as F
@@ -72,5 +73,20 @@ def test_filters_keep_columns(spark, name):
     assert empty.dtypes == docs.dtypes and empty.collect() == []
 
 
+@pytest.mark.parametrize("name", ["keep_one", "keep_mixture", "substrings"])
+def test_filters_keep_rows_without_id(spark, name):
+    known = "a text that another row has with an id, and which is long enough to have some shingles in it"
+    rows = [r for r in EDGES if r[0] is None or r[0] in (8, 10)] + [(20, known, "en", "a", 0), (None, known, "en", "a", 0), (None, None, "en", "a", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    stage = FILTERS.get(name) or (lambda d: corpus_pipeline.substring(d.sparkSession, d, ""))
+    got = sorted((tuple(r) for r in stage(docs).collect() if r.doc_id is None), key=str)
+    want = [r for r in rows if r[0] is None]
+    if name == "keep_mixture":  # all draw one number, and each meets the probability of its own cell
+        flags = [r for r in mix_to_targets(docs).collect() if r.doc_id is None]
+        assert len(flags) == 3 and len(got) == sum(r.kept for r in flags) > 0
+    else:
+        assert got == sorted(want, key=str)
+
+
 def test_search_on_empty_table(spark):
     assert exact_top_k(spark.createDataFrame([], "vec_id long, embedding array<float>, label int"), F.col("vec_id") % 20 == 0).collect() == []
