@@ -13,7 +13,6 @@ from tallyframe.llm.text import U64, process_store, split_words
 WINDOW = 4096
 END_ID = 2
 SHARD_BYTES = 4 << 20
-QUERY_TERMS, NEIGHBOURS = 32, 24
 K1, B = 1.2, 0.75
 SLOTS, BATCH_WORDS = 1 << 21, 10_000
 MARKS = b".,;:!?*#$%&|"
@@ -109,36 +108,33 @@ class BM25:
         weight = np.log1p((self.docs - df + 0.5) / (df + 0.5))[term] * tf * (K1 + 1) / (
             tf + K1 * (1 - B + B * size[doc] / max(size.mean(), 1e-9)))
         several = df[term] > 1
-        # of each document its heaviest terms that another document has, too
-        order = np.lexsort((term, -weight, doc))
-        order = order[several[order]]
-        self.query = term[order]
-        self.query_cut = np.searchsorted(doc[order], np.arange(self.docs + 1))
+        # of each document all terms that another document has, too; pairs are sorted by document
+        self.query = term[several]
+        self.query_cut = np.searchsorted(doc[several], np.arange(self.docs + 1))
         by_term = np.argsort(term, kind="stable")
         self.post, self.weight = doc[by_term], weight[by_term]
         self.post_cut = np.concatenate(([0], np.cumsum(df)))
 
     def neighbours(self, doc: int, used: np.ndarray) -> list[int]:
-        """Unused documents by falling score; documents that share no query term are left out."""
-        terms = self.query[self.query_cut[doc]:min(self.query_cut[doc + 1], self.query_cut[doc] + QUERY_TERMS)]
+        """All unused documents by falling score over all terms; documents that share no term are left out."""
+        terms = self.query[self.query_cut[doc]:self.query_cut[doc + 1]]
         if not len(terms):
             return []
         spans = [slice(self.post_cut[t], self.post_cut[t + 1]) for t in terms]
         score = np.bincount(np.concatenate([self.post[s] for s in spans]),
                             np.concatenate([self.weight[s] for s in spans]), minlength=self.docs)
         score[used] = 0
-        top = np.argpartition(-score, min(NEIGHBOURS, self.docs - 1))[:NEIGHBOURS]
-        top = top[score[top] > 0]
+        top = np.flatnonzero(score > 0)
         return top[np.lexsort((top, -score[top]))].tolist()
 
 
 def fill_order(index: BM25, size: np.ndarray, window: int) -> list[int]:
-    """Documents in the order in which they fill windows: a seed, then its unused neighbours; the document that a window's
-    end cuts is the seed of the next one."""
+    """Documents in the order in which they fill windows: a seed, then its unused neighbours until the window is full or none
+    with a score is left; the document that a window's end cuts is the seed of the next one."""
     used = np.zeros(len(size), dtype=bool)
-    order, queue, place, following = [], [], 0, 0
+    order, queue, place, following = [], iter(()), 0, 0
     while len(order) < len(size):
-        doc = next((d for d in queue if not used[d]), None)
+        doc = next(queue, None)
         seed = doc is None
         if seed:
             while used[following]:
@@ -148,7 +144,7 @@ def fill_order(index: BM25, size: np.ndarray, window: int) -> list[int]:
         order.append(doc)
         before, place = place // window, place + int(size[doc])
         if seed or place // window != before:
-            queue = index.neighbours(doc, used)
+            queue = iter(index.neighbours(doc, used))  # none is used but from this queue until the next one
     return order
 
 

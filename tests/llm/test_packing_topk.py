@@ -45,6 +45,15 @@ def test_neighbours_come_by_bm25():
     assert window_cuts(4096 * 2 + 1030, 4096).tolist() == [4096, 8192, 9216, 9220, 9222]
 
 
+def test_all_terms_and_all_neighbours_count():
+    # document 0 shares 40 rare terms with document 1, and only its commonest term with the last 60
+    docs = [[*range(100, 140), 7], list(range(100, 140)), [500, 501], *[[7, 1000 + i] for i in range(60)]]
+    size = np.array([len(d) for d in docs])
+    index = BM25(np.concatenate(docs).astype(np.int32), np.concatenate(([0], np.cumsum(size))))
+    assert index.neighbours(0, np.arange(len(docs)) == 0) == [1, *range(3, 63)]
+    assert fill_order(index, size + 1, 4096) == [0, 1, *range(3, 63), 2]
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(4)
     rows = [(i, [float(x) for x in rng.integers(-2, 3, 6) / 3]) for i in range(400)]  # many equal scores
