@@ -15,7 +15,6 @@ from tallyframe.llm.text import BASE, BASE_INVERSE, U64, Words, id_remainder, po
 HOLD_OUT = 10
 BLOCK_BYTES = 24 << 20
 COUNT_BYTES = 6 << 20  # of compressed text
-LONGEST_PIECE = 16  # bytes
 MAIN_CLASSES = 15
 PRIOR_MASS = 200.0  # of the vocabulary's own scores, against one for each word type met
 BORROWED = 0.02  # weight of the counts of all languages beside those of one
@@ -31,6 +30,7 @@ class Pieces:
     tables: list  # for start and going on: [(keys by slot, piece numbers by slot, bits of a slot), ...]
     first: int  # number of arcs that start a word; they come first
     prior: np.ndarray
+    longest: int  # bytes of the longest piece
 
     @staticmethod
     def load(path: str) -> Pieces:
@@ -45,7 +45,7 @@ class Pieces:
             piece, weight = model.id_to_piece(i), 1.0 / (1.0 + max(0.0, -model.get_score(i)))
             body = piece.removeprefix("▁")
             data = body.encode()
-            if body and "▁" not in body and len(data) <= LONGEST_PIECE:
+            if body and "▁" not in body:
                 (start if body != piece else onward)[data] = weight
         least = 1.0 / (1.0 + model.vocab_size())
         weights, keys, places = [], [], []
@@ -60,7 +60,7 @@ class Pieces:
         prior = np.array(weights)
         prior[:first] /= prior[:first].sum()
         prior[first:] /= prior[first:].sum()
-        return Pieces([hash_tables(keys, p) for p in places], first, prior)
+        return Pieces([hash_tables(keys, p) for p in places], first, prior, max((len(p) for p in (*start, *onward)), default=1))
 
     def find(self, onward: int, key: np.ndarray) -> np.ndarray:
         """Numbers of the arcs with these keys; -1 for none."""
@@ -109,7 +109,7 @@ def arcs_of(pieces: Pieces, letters: np.ndarray) -> list[tuple[int, np.ndarray]]
     whole = letters.astype(np.int64) + pieces.byte(1)
     whole[:, 0] += pieces.byte(0) - pieces.byte(1)
     out = [(1, whole)]
-    for n in range(1, min(LONGEST_PIECE, size) + 1):
+    for n in range(1, min(pieces.longest, size) + 1):
         key = substring_key((sums[:, n:] - sums[:, :size + 1 - n]) * back[:size + 1 - n], n)
         number = pieces.find(1, key)
         number[:, 0] = pieces.find(0, key[:, 0])
@@ -266,14 +266,14 @@ def block_scores(model: Model, classes: int):
                 place = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
                 met = known[place] == h if len(known) else np.zeros(len(h), dtype=bool)
                 count = np.where(met, total[place], 0) if len(known) else np.zeros(len(h), dtype=np.int64)
-                spell = 10.0 ** np.maximum(spelled(model.pieces, [model.weights[k] for k in live], words, at), -300)
-                chance = novel * spell
+                logs = np.log10(novel) + spelled(model.pieces, [model.weights[k] for k in live], words, at)
                 end = np.zeros(len(live))
                 if n:
                     of_class = np.where(met[:, None], per_class[place][:, live], 0) if len(known) else np.zeros((len(h), len(live)))
-                    chance += own * of_class / model.tokens[live] + all_ * count[:, None] / n
+                    with np.errstate(divide="ignore"):  # the log of no chance is -inf, which adds nothing
+                        plain = np.log(own * of_class / model.tokens[live] + all_ * count[:, None] / n)
+                    logs = np.logaddexp(logs * np.log(10), plain) / np.log(10)
                     end = np.log10(own * model.docs[live] / model.tokens[live] + all_ * ends / n)
-                logs = np.log10(np.maximum(chance, 1e-300))
                 size = len(texts)
                 by_class = share + end + np.stack(
                     [np.bincount(words.doc, logs[back, k], minlength=size) for k in range(len(live))], axis=1)

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import sentencepiece
 from public_tokenizers import path as tokenizer_path
 from pyspark.sql import functions as F
 
@@ -101,6 +102,38 @@ def test_lattice_sums_all_segmentations():
     assert np.exp(weight[:pieces.first]).sum() == pytest.approx(1)
 
 
+def test_lattice_of_long_words_and_long_pieces():
+    path = tokenizer_path("piece_bpe_32k.model")
+    pieces = Pieces.load(path)
+    weight, stop = arc_weights(pieces, np.zeros(len(pieces.prior)), 0.0)
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    names = [model.id_to_piece(i) for i in range(model.vocab_size())
+             if not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i) or model.is_byte(i))]
+    start = {p[1:].encode() for p in names if p.startswith("▁") and len(p) > 1 and "▁" not in p[1:]}
+    onward = {p.encode() for p in names if "▁" not in p}
+    long = max(len(p) for p in start | onward)
+    texts = [b"abcdefghij" * 1000, max(start | onward, key=lambda p: (len(p), p))]
+    assert long > 16
+    got = spelled(pieces, [(weight, stop)], split_words(texts), np.arange(2))[:, 0]
+    for text, value in zip(texts, got):
+        alpha = [0.0]
+        for end in range(1, len(text) + 1):
+            ways = [alpha[end - 1] + weight[pieces.byte(int(end > 1)) + text[end - 1]]]
+            for a in range(max(0, end - long), end):
+                if text[a:end] in (onward if a else start):
+                    ways.append(alpha[a] + weight[int(pieces.find(int(a > 0), np.array([lattice.piece_key(text[a:end])], dtype=np.uint64))[0])])
+            alpha.append(float(np.logaddexp.reduce(ways)))
+        assert value == pytest.approx((alpha[-1] + stop) / math.log(10), rel=1e-9)
+
+
+def test_long_unknown_words_cost_their_length(spark):
+    held = [d for d in range(2000, 3000) if zlib.crc32(str(d).encode()) % 10 == 0][:3]  # not learned from
+    rows = corpus(60) + [(d, "ж" * n, "en", "a", n) for d, n in zip(held, (500, 1000, 5000))]
+    got = {r.doc_id: r.score for r in score_texts(spark.createDataFrame(rows, SCHEMA), tokenizer_path("piece_bpe_32k.model")).collect()}
+    a, b, c = (got[d] for d in held)
+    assert c < b < a < -300 and (b - c) / (a - b) == pytest.approx(8, rel=1e-3)
+
+
 @pytest.mark.parametrize("block_bytes", [24 << 20, 20_000])
 def test_lattice_scores(spark, block_bytes):
     rows = corpus() + [(900, None, None, None, None), (901, "", "en", "a", 0), (902, "THE The the", "en", "a", 11)]
