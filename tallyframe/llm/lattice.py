@@ -197,27 +197,37 @@ class Model:
 TYPES, DOCS, TOKENS = -1, -2, -3
 
 
+def training_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """class, word, docs, tokens: a slice's different words of each class, and one row without a word for its numbers."""
+    for rows, texts in slices(batches):
+        words = split_words([t.lower() if t else t for t in texts])
+        kind = np.asarray(rows.column("class"))
+        out = []
+        for k in np.unique(kind[kind >= 0]).tolist():
+            mine = np.flatnonzero(kind[words.doc] == k)
+            at = mine[np.unique(words.hashes[mine], return_index=True)[1]]
+            docs = int((kind == k).sum())
+            out.append((k, None, docs, len(mine) + docs))
+            out += [(k, words.raw[a:b], 0, 0) for a, b in zip(words.starts[at].tolist(), words.ends[at].tolist())]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.int64(), pa.int64()))],
+            ["class", "word", "docs", "tokens"])
+
+
 def training_sums(pieces: Pieces):
-    """Per class: expected arc uses over the word types of a task, and numbers of types, documents and tokens."""
+    """Per class: expected arc uses over words that occur in no other row, and numbers of types, documents and tokens."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = np.append(np.log(pieces.prior), -np.inf)
-        seen: dict[int, np.ndarray] = {}
         uses: dict[int, np.ndarray] = {}
         sums: dict[tuple[int, int], float] = {}
-        for rows, texts in slices(batches):
-            words = split_words([t.lower() if t else t for t in texts])
+        for rows, texts in slices(batches, "word"):
+            words = split_words(texts)  # a row without a word has none
             kind = np.asarray(rows.column("class"))
-            for k in np.unique(kind[kind >= 0]).tolist():
+            for k in np.unique(kind).tolist():
                 mine = np.flatnonzero(kind[words.doc] == k)
-                fresh, at = np.unique(words.hashes[mine], return_index=True)
-                known = seen.get(k, np.zeros(0, dtype=U64))
-                if len(known):
-                    place = np.minimum(np.searchsorted(known, fresh), len(known) - 1)
-                    at, fresh = at[known[place] != fresh], fresh[known[place] != fresh]
-                seen[k] = np.sort(np.concatenate((known, fresh)))
-                uses[k] = uses.get(k, 0.0) + expected_uses(pieces, weight, words, mine[at])
-                docs = int((kind == k).sum())
-                for name, value in ((TYPES, len(fresh)), (DOCS, docs), (TOKENS, len(mine) + docs)):
+                uses[k] = uses.get(k, 0.0) + expected_uses(pieces, weight, words, mine)
+                docs, tokens = (int(np.asarray(rows.column(c))[kind == k].sum()) for c in ("docs", "tokens"))
+                for name, value in ((TYPES, len(mine)), (DOCS, docs), (TOKENS, tokens)):
                     sums[k, name] = sums.get((k, name), 0.0) + value
         rows = [(k, name, v) for (k, name), v in sums.items()]
         rows += [(k, int(i), float(v[i])) for k, v in uses.items() for i in np.flatnonzero(v)]
@@ -297,7 +307,7 @@ def score_texts(docs: DataFrame, vocabulary: str, hold_out: int = HOLD_OUT, bloc
     training documents of that language, its share in all of them, and, for the mass of novel words (the share of words seen
     once), the subword lattice: all segmentations of the word into vocabulary pieces and bytes, summed by the forward
     recursion in log space. Arc weights start from the vocabulary's own scores and are re-estimated by one step of expectation
-    over the training words of each language. score sums over languages, weighed by their shares of documents; a document's
+    over the training words of each language, each word once. score sums over languages, weighed by their shares of documents; a document's
     own lang is not looked at when it is scored.
 
     Training covers all documents with crc32(doc_id as text) mod hold_out not 0. Documents are dealt to blocks of about
@@ -318,7 +328,10 @@ def score_texts(docs: DataFrame, vocabulary: str, hold_out: int = HOLD_OUT, bloc
     classes = len(names) + 1
     rows = rows.withColumn("class", F.when(F.col("held_out"), -1).otherwise(numbers).cast("int")).drop("lang")
     pieces = Pieces.load(vocabulary)
-    sums = (rows.select("class", "text").mapInArrow(training_sums(pieces), "class int, arc int, value double")
+    # every word once for each class, however the documents are split, so that the weights do not depend on it
+    met_words = (rows.select("class", "text").mapInArrow(training_words, "class int, word binary, docs long, tokens long")
+                 .groupBy("class", "word").agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")))
+    sums = (met_words.mapInArrow(training_sums(pieces), "class int, arc int, value double")
             .groupBy("class", "arc").agg(F.sum("value").alias("value")).collect())  # at most classes x arcs
     uses, facts = np.zeros((classes, len(pieces.prior))), np.zeros((classes, 3))
     for r in sums:

@@ -134,6 +134,13 @@ def test_long_unknown_words_cost_their_length(spark):
     assert c < b < a < -300 and (b - c) / (a - b) == pytest.approx(8, rel=1e-3)
 
 
+def test_lattice_does_not_depend_on_file_splits(spark):
+    docs = spark.createDataFrame(corpus(), SCHEMA)
+    one, many = [{r.doc_id: r.score for r in score_texts(docs.repartition(n, "doc_id"), tokenizer_path("piece_bpe_32k.model")).collect()}
+                 for n in (1, 12)]
+    assert all(one[d] == pytest.approx(many[d], rel=1e-9) for d in one)
+
+
 @pytest.mark.parametrize("block_bytes", [24 << 20, 20_000])
 def test_lattice_scores(spark, block_bytes):
     rows = corpus() + [(900, None, None, None, None), (901, "", "en", "a", 0), (902, "THE The the", "en", "a", 11)]
