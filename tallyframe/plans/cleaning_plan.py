@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark import SparkContext
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from tallyframe.functions import columns as C
 from tallyframe.operators import cleaning as K, outliers as O, profiling as P
@@ -83,28 +86,105 @@ AUDIT_SCHEMA = ("step int, kind string, target string, method string, rows_befor
                 "rows_after bigint, columns_after int, dropped_columns string")
 
 
+JOB_GROUP = "spark.jobGroup.id"
 MEASURED_FILLS = ("mean", "median", "mode")
 
 
-def audited_plan(df: DataFrame, steps: list[Step]) -> tuple[DataFrame, DataFrame]:
-    """The cleaned table and its audit. Steps that keep every row are not counted again.
+def measures(step: Step) -> bool:
+    """Whether the step reads the whole table before it can change it."""
+    return step.kind in ("outlier", "drop_high_missing") or step.method in MEASURED_FILLS
+
+
+def drops_rows(step: Step) -> bool:
+    return step.kind in ("drop_missing_rows", "drop_duplicates", "drop_rows") or (
+        step.kind == "outlier" and step.method == "drop_rows")
+
+
+class ObservedPlan:
+    """The cleaned table as one lazy plan that counts its rows while it runs, and its audit.
 
-    The lineage is cut after a step that shuffles or measures the table, so that no later step runs it again.
+    Every row-dropping step is followed by an observed count, so the job that writes ``frame`` also gives the audit. The plan
+    is materialised in between only where a step has to measure a table that earlier steps have changed.
+    Observed counts are accumulators: a task that runs twice, after the loss of an executor, adds its rows twice. They
+    are used only if no task of the job failed or was run again; else the steps' rows are counted from their plans.
     """
-    spark, audit = df.sparkSession, []
-    rows = df.count()
-    for i, step in enumerate(active(steps), 1):
-        after = apply_step(df, step)
-        drops_rows = step.kind in ("drop_missing_rows", "drop_duplicates", "drop_rows") or (
-            step.kind == "outlier" and step.method == "drop_rows")
-        if drops_rows or step.kind == "outlier" or step.method in MEASURED_FILLS:
-            after = cut_lineage(after)
-        rows_after = after.count() if drops_rows else rows
-        gone = [c for c in df.columns if c not in after.columns]
-        audit.append((i, step.kind, step.column or ",".join(step.columns) or None, step.method, rows,
-                      len(P.data_columns(df)), rows_after, len(P.data_columns(after)), ",".join(gone)))
-        df, rows = after, rows_after
-    return df, spark.createDataFrame(audit, AUDIT_SCHEMA)
+
+    def __init__(self, df: DataFrame, steps: list[Step]):
+        self.spark, self.counts, self.entries, self.writes = df.sparkSession, [], [], 0
+        self.pending: list[tuple[int, DataFrame, Observation]] = []
+        self.frame, changed, now = df, False, None
+        for i, step in enumerate(active(steps), 1):
+            if measures(step) and changed:
+                self.frame, changed = self._materialised(), False
+            if drops_rows(step) and now is None:
+                now = self._known(self.frame.count()) if measures(step) else self._observe(self.frame)
+            after = apply_step(self.frame, step)
+            gone = [c for c in self.frame.columns if c not in after.columns]
+            entry = (i, step.kind, step.column or ",".join(step.columns) or None, step.method, len(P.data_columns(self.frame)),
+                     len(P.data_columns(after)), ",".join(gone))
+            before, self.frame = now, after
+            if drops_rows(step):
+                now = self._observe(self.frame)
+            changed = changed or drops_rows(step) or measures(step)
+            self.entries.append((entry, before, now))
+        if self.entries and now is None:
+            self._observe(self.frame)  # no step drops rows
+
+    def _known(self, rows: int) -> int:
+        self.counts.append(rows)
+        return len(self.counts) - 1
+
+    def _observe(self, frame: DataFrame) -> int:
+        """Number of the count that the next job over ``frame`` gives."""
+        seen = Observation()
+        place = self._known(-1)
+        self.pending.append((place, frame, seen))
+        self.frame = frame.observe(seen, F.count(F.lit(1)).alias("rows"))
+        return place
+
+    def _materialised(self) -> DataFrame:
+        return self.run(lambda: cut_lineage(self.frame))
+
+    def run(self, action: Callable):
+        """Carries out an action over ``frame`` and takes its counts."""
+        context, group = self.spark.sparkContext, f"observed-{uuid.uuid4().hex}"
+        outer = context.getLocalProperty(JOB_GROUP)
+        context.setLocalProperty(JOB_GROUP, group)
+        try:
+            result = action()
+        finally:
+            context.setLocalProperty(JOB_GROUP, outer)
+        self.writes += 1
+        seen = {place: seen.get["rows"] for place, _, seen in self.pending}
+        certain = once_only(context, group)
+        for place, frame, _ in self.pending:
+            self.counts[place] = seen[place] if certain else frame.count()
+        self.pending = []
+        return result
+
+    def audit(self) -> DataFrame:
+        """AUDIT_SCHEMA, after run()."""
+        if self.pending:
+            raise ValueError("the audit is known after run()")
+        first = self.counts[0] if self.counts else None
+        rows = [(i, kind, target, method, self.counts[b] if b is not None else first, wide, self.counts[a] if a is not None else first, wide_after, gone)
+                for (i, kind, target, method, wide, wide_after, gone), b, a in self.entries]
+        return self.spark.createDataFrame(rows, AUDIT_SCHEMA)
+
+
+def once_only(context: SparkContext, group: str) -> bool:
+    """Whether every task of a group's jobs ran once."""
+    tracker = context.statusTracker()
+    jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup(group)]
+    stages = [tracker.getStageInfo(s) for job in jobs if job is not None for s in job.stageIds]
+    return bool(jobs) and all(s is not None and s.currentAttemptId == 0 and s.numFailedTasks == 0 for s in stages)
+
+
+def audited_plan(df: DataFrame, steps: list[Step]) -> tuple[DataFrame, DataFrame]:
+    """The cleaned table, materialised once, and its audit from the same job."""
+    plan = ObservedPlan(df, steps)
+    frame = plan.run(lambda: cut_lineage(plan.frame)) if plan.pending else plan.frame
+    return frame, plan.audit()
 
 
 # ---- missing-value plan ----------------------------------------------------------------------------
@@ -221,9 +301,10 @@ AUDIT_GROUP = {"fill": "missing", "drop_missing_rows": "missing", "drop_columns"
 
 
 def clean_dataset(df: DataFrame, steps: list[Step], path: str) -> DataFrame:
-    """Write <path>/data and <path>/audit as Parquet and return the audit with its action group."""
-    cleaned, audit = audited_plan(df, steps)
-    cleaned.write.mode("overwrite").parquet(f"{path}/data")
+    """Write <path>/data and <path>/audit as Parquet and return the audit with its action group; one job writes and counts."""
+    plan = ObservedPlan(df, steps)
+    plan.run(lambda: plan.frame.write.mode("overwrite").parquet(f"{path}/data"))
+    audit = plan.audit()
     groups = F.create_map(*[F.lit(x) for kv in AUDIT_GROUP.items() for x in kv])
     grouped = audit.withColumn("action_group", groups[F.col("kind")])
     grouped.coalesce(1).write.mode("overwrite").parquet(f"{path}/audit")
