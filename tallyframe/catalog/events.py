@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from tallyframe.catalog.base import Registry
 from tallyframe.operators import events as E
 from tallyframe.session import scratch_path
-from tallyframe.streaming.event_counts import run_counts
+from tallyframe.streaming.event_counts import run_counts, run_window_counts, stream_events
+from tallyframe.streaming.state_changes import run_dedup_once
 
 R = Registry()
 STAGES = ("view", "click", "purchase", "signup", "error", "report_export_success", "report_export_failed")
@@ -42,9 +43,49 @@ def _(d):
     return E.event_dedup_once(log, "session_id", "state_key", "success", "ts", "event_id").select("event_id", "session_id", "event_name", "ts")
 
 
+ARRIVALS = 4
+# Rows arrive in order of their id, but every tenth one round later and every 25th two rounds later.
+IN_ORDER = f"CAST(floor(event_id * {ARRIVALS} / (last_id + 1)) AS INT)"
+ARRIVAL = f"least({ARRIVALS - 1}, {IN_ORDER} + CASE WHEN event_id % 25 = 0 THEN 2 WHEN event_id % 10 = 0 THEN 1 ELSE 0 END)"
+
+
+def _arrived(d, arrival: str) -> list:
+    """The log in rounds of arrival, as JSON Lines would hold it."""
+    last = d.event_log.agg(F.max("event_id").alias("last_id")).first()["last_id"]
+    log = d.event_log.selectExpr("CAST(event_id AS STRING) AS event_id", "event_name", "CAST(ts AS STRING) AS timestamp",
+                                 "CAST(session_id AS STRING) AS session_id", "success", "duration_ms", f"{arrival.replace('last_id', str(last))} AS arrival")
+    return [log.filter(F.col("arrival") == i).drop("arrival") for i in range(ARRIVALS)]
+
+
 @R.add("event_stream_counts", """SELECT event_name, success, count(*) AS "count" FROM event_log GROUP BY 1, 2""")
 def _(d):
     log, out, ckpt = (scratch_path(d.spark, n) for n in ("stream_log", "stream_counts", "stream_checkpoint"))
     d.event_log.select(F.col("event_id").cast("string").alias("event_id"), "event_name", F.col("ts").cast("string").alias("timestamp"),
                        "success", "duration_ms").write.mode("append").json(log)
     return run_counts(d.spark, log, out, ckpt, files_per_batch=64)
+
+
+@R.add("event_stream_windows", f"""WITH a AS (SELECT *, {ARRIVAL} AS arrival FROM event_log, (SELECT max(event_id) AS last_id FROM event_log)),
+ m AS (SELECT arrival, date_trunc('millisecond', max(ts)) - INTERVAL 1 DAY AS mark FROM a GROUP BY 1),
+ w AS (SELECT a.*, time_bucket(INTERVAL 6 HOUR, ts) AS window_start, (SELECT max(mark) FROM m WHERE m.arrival < a.arrival) AS mark FROM a)
+ SELECT window_start, window_start + INTERVAL 6 HOUR AS window_end, event_name, success, count(*) AS "count" FROM w
+ WHERE mark IS NULL OR window_start + INTERVAL 6 HOUR > mark GROUP BY 1, 2, 3, 4""")
+def _(d):
+    log, out, ckpt = (scratch_path(d.spark, n) for n in ("stream_log", "stream_windows", "stream_checkpoint"))
+    for part in _arrived(d, ARRIVAL):
+        part.write.mode("append").json(log)
+        counts = run_window_counts(d.spark, log, out, ckpt, "6 hours", "1 day")
+    return counts
+
+
+@R.add("event_stream_dedup", """SELECT event_id, session_id, event_name, ts FROM (SELECT *, lag(success) OVER (PARTITION BY session_id ORDER BY ts, event_id) AS prev FROM event_log)
+ WHERE prev IS DISTINCT FROM success""")
+def _(d):
+    log, out, state, ckpt = (scratch_path(d.spark, n) for n in ("stream_log", "stream_changes", "stream_state", "stream_checkpoint"))
+    for part in _arrived(d, IN_ORDER):
+        part.write.mode("append").json(log)
+        events = stream_events(d.spark, log).select(
+            F.col("event_id").cast("long"), F.col("session_id").cast("long"), "event_name", F.to_timestamp("timestamp").alias("ts"), "success",
+            F.lit("flow").alias("state_key"))
+        changes = run_dedup_once(events, out, state, ckpt, "session_id", "state_key", "success", "ts", "event_id")
+    return changes.select("event_id", "session_id", "event_name", "ts")
