@@ -89,7 +89,7 @@ def _(d):
  UNION ALL SELECT 'customers', 'nation_id', 'nations', 'nation_id', 'many_to_one', 90 + CASE WHEN abs(cn - nn) <= 0.2 THEN 10 ELSE 0 END, 'accept' FROM u
  UNION ALL SELECT 'customers', 'name', 'nations', 'name', 'many_to_one', 100, 'accept'""")
 def _(d):
-    return J.discover_relationships({n: J.relationship_profile(t) for n, t in _tables(d).items()})
+    return J.discover_in_tables(_tables(d))
 
 
 def _stats_sql(a, f, b, g, extra="") -> str:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tallyframe.catalog.base import Registry, each, rounded
-from tallyframe.catalog.sources import DIRTY, dtype_case
-from tallyframe.operators import outliers as O, quality as Q
+from tallyframe.catalog.sources import DIRTY, dtype_case, monthly_sketches
+from tallyframe.functions.columns import to_rows
+from tallyframe.operators import outliers as O, quality as Q, sketches as S
 
 R = Registry()
 MEASURES = ["l_quantity", "l_extendedprice", "l_tax_sparse", "l_linenumber"]
@@ -71,6 +74,21 @@ def _(d):
     return rounded(O.iqr_bounds(d.lineitem_dirty, MEASURES), 6)
 
 
+@R.add("sketch_iqr_bounds", each(MEASURES, """SELECT '{c}' AS "column", count({c}) AS valid_count, true AS q1_within_error, true AS q3_within_error FROM lineitem_dirty"""))
+def _(d):
+    bounds = {r["column"]: r for r in S.sketched_iqr_bounds(monthly_sketches(d)).filter(F.col("column").isin(MEASURES)).collect()}  # one row per column
+
+    def within(column: str, share: float, quartile: str):
+        value, found = F.col(column), F.lit(bounds[column][quartile])
+        below, upto = F.count_if(value < found) / F.count(value), F.count_if(value <= found) / F.count(value)
+        return (below <= share + S.RANK_ERROR) & (upto >= share - S.RANK_ERROR)
+
+    one = d.lineitem_dirty.agg(*[x for i, c in enumerate(MEASURES) for x in (
+        F.count(c).alias(f"n{i}"), within(c, 0.25, "q1").alias(f"a{i}"), within(c, 0.75, "q3").alias(f"b{i}"))])
+    return to_rows(one, [{"column": F.lit(c), "valid_count": F.col(f"n{i}"), "q1_within_error": F.col(f"a{i}"), "q3_within_error": F.col(f"b{i}")}
+                         for i, c in enumerate(MEASURES)])
+
+
 @R.add("iqr_outliers", f"WITH {BOUNDS} SELECT l.* FROM lineitem_dirty l, b WHERE {PRICE} < lo OR {PRICE} > hi")
 def _(d):
     return O.iqr_outliers(d.lineitem_dirty, PRICE)

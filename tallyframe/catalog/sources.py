@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.catalog.base import Registry, each, rounded
 from tallyframe.functions.parsing import id_text
-from tallyframe.operators import profiling as P
+from tallyframe.operators import profiling as P, sketches as S
 from tallyframe.session import scratch_path
 from tallyframe.sources.readers import read_csv, read_dataset, read_events
 from tallyframe.sources.sinks import redact, write_csv, write_events
@@ -113,6 +113,27 @@ def _(d):
     return P.field_profile(d.lineitem_dirty)
 
 
+def monthly_sketches(d):
+    """Sketches of lineitem_dirty by month: all months but the last are stored, then the last one is added."""
+    path, by = scratch_path(d.spark, "sketches"), ["month"]
+    lines = d.lineitem_dirty.withColumn("month", F.date_format("l_shipdate", "yyyy-MM"))
+    last = lines.agg(F.max("month")).first()[0]
+    S.store_sketches(S.partition_sketches(lines.filter(F.col("month") != last), by), path, by)
+    S.store_sketches(S.partition_sketches(lines.filter(F.col("month") == last), by), path, by)
+    return S.stored_sketches(d.spark, path)
+
+
+@R.add("sketch_profile", f"""WITH p AS ({each(DIRTY, '''SELECT '{c}' AS "column", count(*) AS total,
+ count({c}) AS n FROM lineitem_dirty''')})
+ SELECT "column", {dtype_case()} AS dtype, total - n AS missing_count, round((total - n) / greatest(total, 1) * 100.0, 6) AS missing_pct,
+ true AS distinct_within_error FROM p""")
+def _(d):
+    exact = P.field_profile(d.lineitem_dirty).select("column", F.col("distinct_count").alias("exact"))
+    found = S.sketched_profile(monthly_sketches(d)).join(F.broadcast(exact), "column")  # one row per column
+    within = F.abs(F.col("distinct_count") - F.col("exact")) <= 3 * F.col("distinct_error") * F.col("exact")
+    return found.select("column", "dtype", "missing_count", F.round("missing_pct", 6).alias("missing_pct"), within.alias("distinct_within_error"))
+
+
 @R.add("basic_info", """SELECT count(*) AS row_count, CAST(11 AS BIGINT) AS column_count,
  count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM lineitem_dups)) AS duplicate_rows FROM lineitem_dups""")
 def _(d):

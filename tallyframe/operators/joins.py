@@ -27,8 +27,9 @@ class Relationship:
 
 # ---- discovery: works on profile rows only -----------------------------------------------------------
 
-def relationship_profile(df: DataFrame, confirmed: dict[str, str] | None = None) -> DataFrame:
-    """column, dtype, type_family, mapped_type, distinct_count, unique_ratio, row_count."""
+def relationship_profile(df: DataFrame, confirmed: dict[str, str] | None = None, columns: list[str] | None = None) -> DataFrame:
+    """column, dtype, type_family, mapped_type, distinct_count, unique_ratio, row_count; of some columns, if given."""
+    df = df.select(*[C.quoted(c) for c in columns]) if columns is not None else df
     profile = P.pinned(P.column_profile(df))
     mapping = R.infer_field_mapping(df, confirmed, profile).select("column", F.col("confirmed_type").alias("mapped_type"))
     return profile.join(F.broadcast(mapping), "column").select(  # one row per column
@@ -79,6 +80,30 @@ def discover_relationships(profiles: dict[str, DataFrame]) -> DataFrame:
         advice.alias("advice")).orderBy(F.desc("score"), "table_a", "field_a", "table_b", "field_b")
 
 
+def shared_names(tables: dict[str, DataFrame]) -> dict[str, list[str]]:
+    """Per table the columns whose normalised name another table has, too; reads no data."""
+    named = [(i, j, t, c) for i, (t, df) in enumerate(tables.items()) for j, c in enumerate(P.data_columns(df))]
+    if not named:
+        return {}
+    rows = next(iter(tables.values())).sparkSession.createDataFrame(named, "i int, j int, table string, column string").withColumn("key", name_key())
+    several = rows.groupBy("key").agg(F.count_distinct("table").alias("n")).filter("n > 1").select("key")
+    out: dict[str, list[str]] = {}
+    for r in rows.join(several, "key").orderBy("i", "j").collect():  # names only
+        out.setdefault(r["table"], []).append(r["column"])
+    return out
+
+
+def discover_in_tables(tables: dict[str, DataFrame], confirmed: dict[str, dict[str, str]] | None = None) -> DataFrame:
+    """discover_relationships on tables: names are matched first, and only columns that occur in two tables are profiled, as no
+    other can reach the threshold. A table without such a column is not read."""
+    columns = shared_names(tables)
+    profiles = {t: relationship_profile(tables[t], (confirmed or {}).get(t), c) for t, c in columns.items()}
+    if not profiles:
+        spark = next(iter(tables.values())).sparkSession
+        return spark.createDataFrame([], "table_a string, field_a string, table_b string, field_b string, relationship_type string, score int, advice string")
+    return discover_relationships(profiles)
+
+
 # ---- checks before a join ----------------------------------------------------------------------------
 
 STAT_COLUMNS = ("left_rows", "right_rows", "match_rate", "expansion_factor", "left_unique_ratio", "right_unique_ratio")

@@ -12,6 +12,7 @@ from tallyframe.functions.stats import sample_kurtosis, sample_skewness
 from tallyframe.operators.quantiles import exact_quantiles, literal
 
 ROW_ID = "_row_id"
+WIDE = 64
 
 
 def data_columns(df: DataFrame) -> list[str]:
@@ -70,6 +71,8 @@ def _by_groups(df: DataFrame, columns: list[str], dates) -> DataFrame:
 
     Many ``count(DISTINCT)`` in one aggregate repeat every row per column with all the columns in the key; these
     groups carry one value each, collapse copies before the shuffle, and let dates be parsed once per distinct text.
+    Texts of more than WIDE bytes go as a 128-bit digest (parsed before it is taken), so a row in the shuffle is short whatever
+    the column holds; among n different texts two share one with a probability below n * n / 2^129.
     """
     kinds: dict[str, list[int]] = {}
     for i, c in enumerate(columns):
@@ -77,15 +80,24 @@ def _by_groups(df: DataFrame, columns: list[str], dates) -> DataFrame:
     parts = []
     for kind, members in kinds.items():
         pairs = F.array(*[F.struct(F.lit(i).alias("position"), comparable(df, columns[i]).cast(kind).alias("v")) for i in members])
-        groups = df.select(F.inline(pairs)).groupBy("position", "v").agg(F.count(F.lit(1)).alias("n"))
+        values, key = df.select(F.inline(pairs)), ["position", "v"]
+        wanted = [i for i in members if columns[i] in dates and C.is_text(C.dtype_of(df, columns[i]))]
+        reads_wide = F.lit(False)
+        if kind == "string":
+            wide = F.octet_length("v") > WIDE
+            if wanted:
+                reads_wide = F.when(wide & F.col("position").isin(wanted), parse_datetime_text(F.col("v")).isNotNull())
+            values = values.select("position", F.when(wide, F.md5("v")).otherwise(F.col("v")).alias("v"), F.coalesce(wide, F.lit(False)).alias("wide"),
+                                   F.coalesce(reads_wide, F.lit(False)).alias("read"))
+            key = ["position", "v", "wide", "read"]
+        groups = values.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
         v, n = F.col("v"), F.col("n")
         whole, parsed = F.lit(None).cast("boolean"), F.lit(None).cast("bigint")
         if kind in ("bigint", "double") or kind.startswith("decimal"):
             whole = F.bool_and(F.pmod(v.cast("double"), F.lit(1.0)) == 0)
-        wanted = [i for i in members if columns[i] in dates and C.is_text(C.dtype_of(df, columns[i]))]
         if wanted:
-            reads = F.when(F.col("position").isin(wanted), parse_datetime_text(v))
-            parsed = F.sum(F.when(reads.isNotNull(), n))
+            reads = F.when(F.col("position").isin(wanted) & ~F.col("wide"), parse_datetime_text(v))
+            parsed = F.sum(F.when(reads.isNotNull() | F.col("read"), n))
         parts.append(groups.groupBy("position").agg(
             F.sum("n").alias("total"), F.sum(F.when(v.isNotNull(), n)).alias("non_null"), F.count("v").alias("distinct_count"),
             whole.alias("whole"), parsed.alias("parsed")))
