@@ -15,6 +15,7 @@ from tallyframe.llm.text import U64, mix, pinned, slices, span_hashes, split_wor
 SHINGLE = 5
 BINS, BANDS = 128, 32
 GROWTH = 16
+RARE = 12
 MULTIPLIER = U64(0xD6E8FEB86659FD93)
 
 
@@ -127,10 +128,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = SHINGLE, bi
     Equal sets collapse to one representative before anything else. Representatives meet in buckets of equal bands
     (128 bins in 32 bands of 4: a pair at 0.75 is missed about 5 times in a million). Each bucket is a star around its hub; a
     document's edge to the hub that it shares most buckets with is confirmed on the full sets. Only buckets whose members are not in one component after that go
-    on: shingles that one of their documents has alone are counted, which bounds each document's similarity to any other and
-    leaves out what cannot reach the threshold; then further hubs, 16 times as many each round, are compared with members
-    of other components until all pairs are decided. A large group of copies costs a few stars, and no link between
-    components is left out.
+    on. Pairs of their documents that share a shingle of at most RARE of these documents are compared (fewer than RARE / 2 pairs for
+    each shingle of a document). No other pair has such a shingle in its intersection, which bounds its similarity by the shingles
+    that remain and leaves out documents that cannot reach the threshold with them; then further hubs, 16 times as many each round,
+    are compared with members of other components until all pairs are decided. A large group of copies costs a few stars, a
+    group with edits of their own or in small cliques a few pairs a document, and no link between components is left out.
 
     Null, empty and blank texts have an empty set, are linked with nothing and kept. Repeated texts are one set. An empty
     table gives an empty result. Extra columns are not read. doc_id must be unique; rows with a null doc_id are linked with
@@ -169,11 +171,19 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = SHINGLE, bi
     label = components(edges)
     rest = pinned(unsettled(crowd, label))
     if not rest.isEmpty():
-        # a shingle that no other document of these buckets has is in no intersection
-        lone = (members.join(rest.select("id").distinct(), "id", "left_semi").select("id", "members").mapInArrow(single_shingles, "shingle long, id long")
-                .groupBy("shingle").agg(F.count("*").alias("n"), F.min("id").alias("id")).filter("n = 1")
-                .groupBy("id").agg(F.count("*").alias("lone")))
-        rest = rest.join(lone, "id", "left").withColumn("common", F.expr("n_shingles - coalesce(lone, 0)")).filter(
+        # shingles of few of these documents: a pair that shares one is compared; in any other pair's intersection there is none
+        single = members.join(rest.select("id").distinct(), "id", "left_semi").select("id", "members").mapInArrow(single_shingles, "shingle long, id long")
+        few = pinned(single.groupBy("shingle").agg(F.count("*").alias("n"), F.min("id").alias("id")).filter(f"n <= {RARE}"))
+        postings = pinned(single.join(few.filter("n > 1").select("shingle"), "shingle").groupBy("shingle").agg(F.collect_list("id").alias("ids")))
+        rare = (few.filter("n = 1").select("id").union(postings.select(F.explode("ids").alias("id"))).groupBy("id").agg(F.count("*").alias("rare")))
+        meet = (postings.select(F.explode("ids").alias("a"), "ids").select("a", F.explode("ids").alias("b")).filter("a < b").distinct()
+                .join(rest.select(F.col("id").alias("a"), F.col("n_shingles").alias("size_a"), F.col("component").alias("of_a")).distinct(), "a")
+                .join(rest.select(F.col("id").alias("b"), F.col("n_shingles").alias("size_b"), F.col("component").alias("of_b")).distinct(), "b"))
+        found = pinned(links(meet.filter("of_a <> of_b")))
+        if not found.isEmpty():
+            edges = edges.union(found)
+            label = components(edges)
+        rest = rest.join(rare, "id", "left").withColumn("common", F.expr("n_shingles - coalesce(rare, 0)")).filter(
             f"100 * common >= {percent} * n_shingles").select(
             "bucket", "id", "n_shingles", "common", F.expr("pmod(xxhash64(id), 1073741824) / 1073741824D").alias("draw"))
         sized = rest.groupBy("bucket").agg(F.count("*").alias("size"), F.min_by("id", F.struct(

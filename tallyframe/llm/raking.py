@@ -108,7 +108,7 @@ def _rake_arrays(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int, t
 
 
 def _rake_tables(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int, tolerance: float, most: float) -> DataFrame:
-    total = cells.agg(F.sum("tokens")).first()[0]
+    total, columns = cells.agg(F.sum("tokens")).first()[0], [*cells.columns, "weight"]
     cells = cells.withColumn("weight", F.col("tokens") / F.lit(float(total or 1)))
     for _ in range(sweeps):
         off = 0.0
@@ -121,7 +121,7 @@ def _rake_tables(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int, t
         cells = cells.withColumn("weight", F.least("weight", F.lit(most) * F.col("tokens") / F.lit(float(total or 1))))
         if off <= tolerance:
             break
-    return cells
+    return cells.select(*columns)
 
 
 def mix_to_targets(docs: DataFrame, targets: dict[str, DataFrame] | None = None, topics: int = TOPICS,

@@ -1,12 +1,13 @@
 """Repeated windows and near copies against brute force."""
 
 import hashlib
+import random
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from tallyframe.llm import anchors
+from tallyframe.llm import anchors, minhash
 from tallyframe.llm.fm_index import FMIndex, substring_dedup
 from tallyframe.llm.graph import components
 from tallyframe.llm.minhash import band_keys, near_duplicates, shingle_sets, signatures
@@ -128,3 +129,39 @@ def test_components(spark):
     got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: top(x) for e in edges if e[0] != e[1] for x in e}
     assert max(Counter(got.values()).values()) > 2
+
+
+@pytest.mark.parametrize("rare", [2, 12])
+def test_a_group_whose_edits_are_shared_by_few(spark, monkeypatch, rare):
+    """Near copies of one text, with 0 to 12 edits each out of a pool, so that pairs below and above the threshold share edits."""
+    monkeypatch.setattr(minhash, "RARE", rare)
+    rng = random.Random(12)
+    base = [f"word{i}" for i in range(150)]
+    pool = [(rng.randrange(150), f"edit{i}") for i in range(60)]
+    rows = []
+    for i in range(220):
+        words = list(base)
+        for at, word in rng.sample(pool, rng.randint(0, 12)):
+            words[at] = word
+        rows.append((i, " ".join(words), None, None, None))
+    for i in range(40):  # pairs that only their own edits bring together
+        words = list(base)
+        for at in rng.sample(range(150), 14):
+            words[at] = f"pair{i // 2}"
+        words = words[:140] + [f"tail{i // 2}-{j}" for j in range(60)]
+        words[rng.randrange(150)] = "own"
+        rows.append((1000 + i, " ".join(words), None, None, None))
+    sets = {r[0]: {tuple(r[1].split()[j:j + 5]) for j in range(len(r[1].split()) - 4)} for r in rows}
+    root = {d: d for d in sets}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {d: find(d) for d in sets} and len(set(got.values())) > 20
