@@ -24,7 +24,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from tallyframe.llm.text import SLICE_BYTES, U64, Words, mix, slices, span_hashes, split_words
+from tallyframe.llm.text import SLICE_BYTES, U64, Words, mix, slices, small_batches, span_hashes, split_words
 
 HOT = 10_000
 SHARD_WORDS = 400_000
@@ -276,6 +276,7 @@ def remove_repeats(docs: DataFrame, length: int, k: int, search: Search, with_te
     docs needs doc_id (unique integers) and text. Rows: doc_id, n_words, n_removed, spans (ranges of removed words),
     kept_sha256 and, if asked for, kept_text.
     """
+    small_batches(docs.sparkSession)
     # doc_key is never null, so that both joins below share one shuffle of the texts
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     base = (source.mapInArrow(packed_texts, "doc_id long, text binary")

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tallyframe.llm.text import id_remainder, slices
+from tallyframe.llm.text import id_remainder, slices, small_batches
 
 HOLD_OUT = 5
 SAMPLE_PER_LANGUAGE = 400  # labelled passages that the training sees: the documented bound
@@ -161,6 +161,7 @@ def labelled_passages(docs: DataFrame, hold_out: int, per_language: int, seed: i
 def fit(docs: DataFrame, hold_out: int = HOLD_OUT, per_language: int = SAMPLE_PER_LANGUAGE, hidden: int = HIDDEN,
         steps: int = 260, batch: int = 96, rate: float = 0.02, seed: int = 7) -> ByteTagger | None:
     """Trains on a bounded, balanced sample of labelled passages; None if there is no labelled training document."""
+    small_batches(docs.sparkSession)
     rows = labelled_passages(docs, hold_out, per_language, seed)
     labels = sorted({r["lang"] for r in rows})
     if not labels:
@@ -201,6 +202,7 @@ def identify_languages(docs: DataFrame, tagger: ByteTagger | None = None, hold_o
     document exists. Rows with a null lang are predicted but not learned from; a null doc_id counts as the empty id.
     Repeated rows each get their row; an empty table gives an empty result; extra columns are not read.
     """
+    small_batches(docs.sparkSession)
     tagger = tagger or fit(docs, hold_out)
     rows = docs.select("doc_id", "text", (id_remainder(F.col("doc_id"), hold_out) == 0).alias("held_out"),
                        F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("has_letter"))

@@ -10,11 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tallyframe.llm.anchors import packed_column, unpacked
-from tallyframe.llm.text import BASE, BASE_INVERSE, U64, Words, id_remainder, powers, slices, split_words
+from tallyframe.llm.text import BASE, BASE_INVERSE, U64, Words, give_back, id_remainder, powers, slices, small_batches, split_words
 
 HOLD_OUT = 10
-BLOCK_BYTES = 24 << 20
-COUNT_BYTES = 6 << 20  # of compressed text
+BLOCK_BYTES = 12 << 20
+COUNT_BYTES = 2 << 20  # of compressed text
 MAIN_CLASSES = 15
 PRIOR_MASS = 200.0  # of the vocabulary's own scores, against one for each word type met
 BORROWED = 0.02  # weight of the counts of all languages beside those of one
@@ -262,13 +262,16 @@ def block_scores(model: Model, classes: int):
         known = np.asarray(table.column("word")).view(U64)[facts == 0]
         order = np.argsort(known)
         known, total, per_class = known[order], total[facts == 0][order], per_class[facts == 0][order]
+        del table, facts, order
         n, ends = int(model.tokens.sum()), int(model.docs.sum())
         novel = min(max(once / n if n else 1.0, 1e-4), MOST_UNKNOWN) if n else 1.0
         own, all_ = (1 - novel) * (1 - BORROWED), (1 - novel) * BORROWED
         live = np.flatnonzero(model.docs > 0) if n else np.arange(classes)[:1]
         share = np.log10(model.docs[live] / ends) if n else np.zeros(1)
         base_of = n + 0.1 * (types + 1)
-        out: dict[str, list] = {k: [] for k in ("n_tokens", "n_known", "base_score", "score")}
+        over = model.docs[live] / (model.tokens[live] + 1) if n else np.zeros(1)  # chance of the end, by the lattice alone
+        stop, go = (np.log10(over), np.log10(1 - over)) if n else (np.zeros(1), np.zeros(1))
+        out: dict[str, list] = {k: [] for k in ("n_tokens", "n_known", "base_score", "score", "lattice_score")}
         for batch in docs.to_batches():
             for rows, texts in unpacked(iter([batch]), COUNT_BYTES):
                 words = split_words([t.lower() if t else t for t in texts])
@@ -276,7 +279,8 @@ def block_scores(model: Model, classes: int):
                 place = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
                 met = known[place] == h if len(known) else np.zeros(len(h), dtype=bool)
                 count = np.where(met, total[place], 0) if len(known) else np.zeros(len(h), dtype=np.int64)
-                logs = np.log10(novel) + spelled(model.pieces, [model.weights[k] for k in live], words, at)
+                marginal = spelled(model.pieces, [model.weights[k] for k in live], words, at)
+                logs = np.log10(novel) + marginal
                 end = np.zeros(len(live))
                 if n:
                     of_class = np.where(met[:, None], per_class[place][:, live], 0) if len(known) else np.zeros((len(h), len(live)))
@@ -285,30 +289,34 @@ def block_scores(model: Model, classes: int):
                     logs = np.logaddexp(logs * np.log(10), plain) / np.log(10)
                     end = np.log10(own * model.docs[live] / model.tokens[live] + all_ * ends / n)
                 size = len(texts)
-                by_class = share + end + np.stack(
-                    [np.bincount(words.doc, logs[back, k], minlength=size) for k in range(len(live))], axis=1)
-                top = by_class.max(axis=1)
-                out["score"].append(top + np.log10((10.0 ** (by_class - top[:, None])).sum(axis=1)))
+                for name, last, each in (("score", end, logs), ("lattice_score", stop, marginal + go)):
+                    by_class = share + last + np.stack(
+                        [np.bincount(words.doc, each[back, k], minlength=size) for k in range(len(live))], axis=1)
+                    top = by_class.max(axis=1)
+                    out[name].append(top + np.log10((10.0 ** (by_class - top[:, None])).sum(axis=1)))
                 base = np.log10((count + 0.1) / base_of)
                 out["base_score"].append(np.bincount(words.doc, base[back], minlength=size) + np.log10((ends + 0.1) / base_of))
                 out["n_known"].append(np.bincount(words.doc, (count > 0)[back], minlength=size).astype(np.int64) + int(ends > 0))
                 out["n_tokens"].append(np.diff(words.bounds) + 1)
         columns = {k: np.concatenate(v) for k, v in out.items()}
+        del known, total, per_class, words, logs, marginal
+        give_back()
         return pa.table({"doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"),
                          "n_tokens": columns["n_tokens"], "n_known": columns["n_known"],
-                         "train_tokens": np.full(docs.num_rows, n), "base_score": columns["base_score"], "score": columns["score"]})
+                         "train_tokens": np.full(docs.num_rows, n), "base_score": columns["base_score"], "score": columns["score"],
+                         "lattice_score": columns["lattice_score"]})
     return run
 
 
 def score_texts(docs: DataFrame, vocabulary: str, hold_out: int = HOLD_OUT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities).
+    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, lattice_score (log10 probabilities).
 
     A text is its words (ASCII lower case) and one end. Under each language the probability of a word mixes its share in the
     training documents of that language, its share in all of them, and, for the mass of novel words (the share of words seen
     once), the subword lattice: all segmentations of the word into vocabulary pieces and bytes, summed by the forward
     recursion in log space. Arc weights start from the vocabulary's own scores and are re-estimated by one step of expectation
     over the training words of each language, each word once. score sums over languages, weighed by their shares of documents; a document's
-    own lang is not looked at when it is scored.
+    own lang is not looked at when it is scored. lattice_score is the same without any counts of words: every word by its lattice alone.
 
     Training covers all documents with crc32(doc_id as text) mod hold_out not 0. Documents are dealt to blocks of about
     block_bytes; word counts are aggregated once over (block, word) rows and joined back to the blocks, so no vocabulary is
@@ -317,6 +325,7 @@ def score_texts(docs: DataFrame, vocabulary: str, hold_out: int = HOLD_OUT, bloc
     A null text counts as empty (only the end), a null lang is a language of its own, a null doc_id the empty id. Repeated
     rows are learned from and scored each. An empty table gives an empty result. Extra columns are not read.
     """
+    small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
     rows = docs.select("doc_id", "text", (id_remainder(F.col("doc_id"), hold_out) == 0).alias("held_out"),
                        F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"))
@@ -356,7 +365,7 @@ def score_texts(docs: DataFrame, vocabulary: str, hold_out: int = HOLD_OUT, bloc
     told = (docs.sparkSession.range(blocks).select(F.col("id").cast("int").alias("block")).crossJoin(F.broadcast(overall))  # one row
             .select("block", F.lit(0).cast("long").alias("word"), F.lit(1).alias("fact"), "total", F.coalesce("c0", F.lit(0)).alias("c0"),
                     *[F.lit(0).cast("long").alias(f) for f in fields[2:]]))
-    schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, lattice_score double"
     return (dealt.groupBy("block").cogroup(here.union(told).groupBy("block"))
             .applyInArrow(skip_empty(block_scores(model, classes)), schema))
 
@@ -368,5 +377,5 @@ def skip_empty(scores):
             return scores(docs, table)
         return pa.table({"doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"),
                          **{k: pa.array([], pa.int64()) for k in ("n_tokens", "n_known", "train_tokens")},
-                         **{k: pa.array([], pa.float64()) for k in ("base_score", "score")}})
+                         **{k: pa.array([], pa.float64()) for k in ("base_score", "score", "lattice_score")}})
     return run

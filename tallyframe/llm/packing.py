@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tallyframe.llm.text import U64, process_store, split_words
+from tallyframe.llm.text import U64, give_back, process_store, small_batches, split_words
 
 WINDOW = 4096
 END_ID = 2
@@ -175,6 +175,8 @@ def pack_shard(path: str, window: int, end_id: int):
         doc = np.searchsorted(doc_end, begin, side="right")
         sequence = np.searchsorted(cut, begin, side="right")
         data = stream.tobytes()
+        del texts, ids, stream
+        give_back()
         shard = int(rows.column("shard")[0].as_py())
         return pa.table({
             "doc_id": rows.column("doc_id").take(pa.array(np.array(order)[doc])),
@@ -198,6 +200,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
     """
     if window & (window - 1):
         raise ValueError("window must be a power of two")
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = rows.agg(F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("n")).first()
     shards = int(((size["b"] or 0) + 8 * size["n"]) // shard_bytes) + 1

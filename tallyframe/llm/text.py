@@ -6,6 +6,7 @@ A word is a maximal run of bytes other than space and 0x09-0x0D, as bytes.split(
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import tempfile
 import types
@@ -23,12 +24,14 @@ BASE_INVERSE = U64(pow(int(BASE), -1, 1 << 64))
 LOW_BYTES = np.array([(1 << (8 * n)) - 1 for n in range(9)], dtype=U64)
 BLANK = np.zeros(256, dtype=bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 SLICE_BYTES = 1 << 19  # texts are worked on in slices of about this size, whatever an Arrow batch holds
 
 
 def ready(spark: SparkSession) -> None:
     """Sees to a checkpoint folder: the one the cluster names, or a private one for a session in a single process."""
     context = spark.sparkContext
+    small_batches(spark)
     if context.getCheckpointDir() is not None:
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -37,6 +40,21 @@ def ready(spark: SparkSession) -> None:
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tallyframe-llm-"))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's bound on the bytes of an Arrow batch: both the executor and the worker hold a batch, for every task."""
+    now = spark.conf.get(BATCH_SETTING, None)
+    if now is not None and now.removesuffix("b").lstrip("-").isdigit() and not 0 < int(now.removesuffix("b")) <= BATCH_BYTES:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
+def give_back() -> None:
+    """Hands memory that Arrow and the allocator keep for later back to the system; a worker lives on between tasks."""
+    pa.default_memory_pool().release_unused()
+    system = ctypes.CDLL(None)
+    if hasattr(system, "malloc_trim"):
+        system.malloc_trim(0)
+
+
 def pinned(df: DataFrame) -> DataFrame:
     """A reliable checkpoint: computed once, kept in the shared folder, safe against lost executors."""
     ready(df.sparkSession)
@@ -128,3 +146,5 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = SL
             if b > a:
                 piece = batch.slice(a, b - a)
                 yield piece, column.slice(a, b - a).cast(pa.large_binary()).to_pylist()
+        del batch, column, sizes, part
+        give_back()
