@@ -78,7 +78,8 @@ def packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     press = zstandard.ZstdCompressor(level=1)
     for rows, texts in slices(batches):
         yield pa.RecordBatch.from_arrays(
-            [rows.column("doc_id"), pa.array([t if t is None else press.compress(t) for t in texts], pa.binary())], ["doc_id", "text"])
+            [rows.column("doc_id"), rows.column("text_key"), pa.array([t if t is None else press.compress(t) for t in texts], pa.binary())],
+            ["doc_id", "text_key", "text"])
 
 
 def packed_column(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,8 +105,8 @@ def document_anchors(length: int, k: int):
             doc, gram = words.doc[first][order], gram[order]
             new = np.ones(len(gram), dtype=bool)
             new[1:] = (np.diff(doc) != 0) | (gram[1:] != gram[:-1])
-            ids = rows.column("doc_id").take(pa.array(doc[new]))
-            yield pa.RecordBatch.from_arrays([pa.array(gram[new].view(np.int64)), ids], ["anchor", "doc_id"])
+            ids, texts_of = (rows.column(n).take(pa.array(doc[new])) for n in ("doc_id", "text_key"))
+            yield pa.RecordBatch.from_arrays([pa.array(gram[new].view(np.int64)), ids, texts_of], ["anchor", "doc_id", "text_key"])
     return run
 
 
@@ -150,8 +151,8 @@ def segment_places(length: int, k: int):
             start, _, _, route, content = _live_segments(words, *_live(rows.column("live").to_pylist()), length, k)
             doc = words.doc[start]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(route.view(np.int64)), pa.array(content.view(np.int64)), rows.column("doc_id").take(pa.array(doc)),
-                 pa.array(start - words.bounds[doc])], ["route", "content", "doc_id", "start"])
+                [pa.array(route.view(np.int64)), pa.array(content.view(np.int64)), *(rows.column(n).take(pa.array(doc)) for n in ("doc_id", "text_key")),
+                 pa.array(start - words.bounds[doc])], ["route", "content", "doc_id", "text_key", "start"])
     return run
 
 
@@ -273,29 +274,36 @@ SPANS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
 def remove_repeats(docs: DataFrame, length: int, k: int, search: Search, with_text: bool) -> DataFrame:
     """One row per document: words covered by a window that also starts in a document with a smaller doc_id are removed.
 
-    docs needs doc_id (unique integers) and text. Rows: doc_id, n_words, n_removed, spans (ranges of removed words),
+    docs needs doc_id (integers) and text. Rows with one doc_id and different texts are documents of their own, none of them smaller
+    than another; rows with a null doc_id remove nothing and lose nothing. Rows: doc_id, n_words, n_removed, spans (ranges of removed words),
     kept_sha256 and, if asked for, kept_text.
     """
     small_batches(docs.sparkSession)
-    # doc_key is never null, so that both joins below share one shuffle of the texts
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    base = (source.mapInArrow(packed_texts, "doc_id long, text binary")
-            .withColumn("doc_key", F.coalesce("doc_id", F.lit(NO_ID))).repartition("doc_key"))
-    anchors = source.mapInArrow(document_anchors(length, k), "anchor long, doc_id long")
+    # a row is known by its id, and by a hash of its text where an id comes with different texts or is null; the key is never null
+    digest = F.coalesce(F.xxhash64("text"), F.lit(0))
+    clash = not (source.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(digest).alias("low"), F.max(digest).alias("high"))
+                 .filter("low <> high").isEmpty())
+    source = source.withColumn("text_key", digest if clash else F.when(F.col("doc_id").isNull(), digest).otherwise(F.lit(0)))
+    key = ["doc_key", "text_key"]
+    base = (source.mapInArrow(packed_texts, "doc_id long, text_key long, text binary")
+            .withColumn("doc_key", F.coalesce("doc_id", F.lit(NO_ID))).repartition(*key))
+    anchors = source.filter("doc_id IS NOT NULL").mapInArrow(document_anchors(length, k), "anchor long, doc_id long, text_key long")
     live = anchors.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select(
         "anchor", (F.col("n") > HOT).cast("int").alias("hot"))
-    marked = (anchors.join(live, "anchor").groupBy(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_key"))
+    marked = (anchors.join(live, "anchor").groupBy(F.col("doc_id").alias("doc_key"), "text_key")
               .agg(F.collect_list(F.struct("anchor", "hot")).alias("live")))
-    withal = base.join(marked, "doc_key")
-    places = withal.mapInArrow(segment_places(length, k), "route long, content long, doc_id long, start long").filter("doc_id IS NOT NULL")
-    first = (places.groupBy("route", "content").agg(F.min("doc_id").alias("doc_key"), F.max("doc_id").alias("last_id"))
-             .groupBy("doc_key").agg(F.collect_list(F.struct("route", "content", "last_id")).alias("wanted")))
-    distinct = withal.join(first, "doc_key").mapInArrow(
+    withal = base.join(marked, key)
+    places = withal.mapInArrow(segment_places(length, k), "route long, content long, doc_id long, text_key long, start long")
+    first = (places.groupBy("route", "content").agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.max("doc_id").alias("last_id"))
+             .groupBy(F.col("first.doc_id").alias("doc_key"), F.col("first.text_key").alias("text_key"))
+             .agg(F.collect_list(F.struct("route", "content", "last_id")).alias("wanted")))
+    distinct = withal.join(first, key).mapInArrow(
         segment_words(length, k), "route long, content long, first_id long, last_id long, windows int, anchor_at int, words binary")
     found = (distinct.repartition("route").sortWithinPartitions("route", "content")
              .mapInPandas(shard_search(length, search), "route long, content long, seen array<long>"))
     hits = (places.join(found, ["route", "content"]).filter(F.expr("exists(seen, x -> x < doc_id)"))
-            .groupBy(F.col("doc_id").alias("doc_key")).agg(F.collect_list(F.struct("start", "seen")).alias("hits")))
+            .groupBy(F.col("doc_id").alias("doc_key"), "text_key").agg(F.collect_list(F.struct("start", "seen")).alias("hits")))
     schema = ("doc_id long, n_words long, n_removed long, spans array<struct<first: long, last: long>>, kept_sha256 string"
               + ", kept_text string" * with_text)
-    return base.join(hits, "doc_key", "left").mapInArrow(document_results(length, with_text), schema)
+    return base.join(hits, key, "left").mapInArrow(document_results(length, with_text), schema)

@@ -129,6 +129,6 @@ def substring_dedup(docs: DataFrame, length: int = WINDOW, anchor_words: int = A
 
     A null or empty text has no words and keeps nothing (sha of the empty string; kept_text as given). Repeats within a
     document are left alone. Texts shorter than the window are left alone. Other columns, whatever their names, are not
-    read. An empty table gives an empty result. doc_id must be unique and not null: rows with a null doc_id keep their text.
+    read. An empty table gives an empty result. Rows with one doc_id and different texts are documents of their own; rows with a null doc_id keep their text.
     """
     return remove_repeats(docs, length, anchor_words, window_search(length), with_text)
