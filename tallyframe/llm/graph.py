@@ -2,11 +2,33 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tallyframe.llm.text import pinned
 
 ROWS_A_TASK = 250_000
+SMALL = 200_000
+
+
+def closed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Components of all edges that come in: labels fall to the smallest neighbour's, then to the label's own label."""
+    parts = [np.stack((np.asarray(b.column("a")), np.asarray(b.column("b")))) for b in batches]
+    ends = np.concatenate(parts, axis=1) if parts else np.zeros((2, 0), dtype=np.int64)
+    ends = ends[:, ends[0] != ends[1]]
+    ids, flat = np.unique(ends, return_inverse=True)
+    a, b = flat.reshape(ends.shape)
+    label = np.arange(len(ids))
+    while (label[a] != label[b]).any():
+        low = np.minimum(label[a], label[b])
+        np.minimum.at(label, label[a], low)
+        np.minimum.at(label, label[b], low)
+        while (label[label] != label).any():
+            label = label[label]
+    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[label])], ["id", "component"])
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -18,8 +40,11 @@ def components(edges: DataFrame) -> DataFrame:
     """(id, component) for every id on an edge; the component is the smallest id reachable. edges: a, b (long), in any order.
 
     Neighbourhoods are only aggregated (min) and joined, never gathered, so a hub of any degree is no single group; each
-    round is checkpointed. Every component ends as a star around its smallest id, after about log(n) rounds.
+    round is checkpointed. Every component ends as a star around its smallest id, after about log(n) rounds. A graph of up to SMALL
+    edges (counted first, some MB) is closed in one task.
     """
+    if edges.limit(SMALL + 1).count() <= SMALL:
+        return pinned(edges.coalesce(1).mapInArrow(closed, "id long, component long"))
     stars = pinned(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = _state(stars)
     while True:

@@ -196,13 +196,18 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = SHINGLE, bi
         left = rest if rest.isEmpty() else pinned(unsettled(rest, label).filter(f"size > {low}"))
         if left.isEmpty():
             break
-        chosen, later = ("id = hub", "id <> a") if step == 0 else (
-            f"draw * size >= {low} AND draw * size < {high}", "(draw > draw_a OR draw = draw_a AND id > a)")
-        hubs = left.filter(chosen).selectExpr("bucket", "id AS a", "n_shingles AS size_a", "common AS common_a",
-                                              "component AS of_a", "draw AS draw_a")
-        bound = f"(100 + {percent}) * least(common, common_a) >= {percent} * (n_shingles + size_a)"
-        pairs = left.join(hubs, "bucket").filter(f"component <> of_a AND {later} AND {bound}").selectExpr(
-            "least(a, id) AS a", "greatest(a, id) AS b", "size_a", "n_shingles AS size_b")
+        # each document with all its buckets, so that a pair comes out of the first one in which both meet and of no other
+        facts = ["id", "n_shingles", "common", "component", "draw"]
+        whole = left.groupBy(*facts).agg(F.collect_list(F.struct("bucket", "size", "hub")).alias("b"))
+        mine = whole.select(*facts, F.transform("b", lambda b: b["bucket"]).alias("mine"), F.inline("b")).drop("size", "hub")
+        hubs = whole.select(*[F.col(c).alias(f"{c}_a") for c in facts], F.filter("b", lambda b: (b["hub"] == F.col("id")) if step == 0 else (
+            (F.col("draw") * b["size"] >= low) & (F.col("draw") * b["size"] < high))).alias("h")).filter("size(h) > 0")
+        hubs = hubs.select("*", F.transform("h", lambda b: b["bucket"]).alias("ours")).select("*", F.inline("h")).drop("h", "size", "hub")
+        later = "id <> id_a" if step == 0 else "(draw > draw_a OR draw = draw_a AND id > id_a)"
+        bound = f"(100 + {percent}) * least(common, common_a) >= {percent} * (n_shingles + n_shingles_a)"
+        pairs = mine.join(hubs, (mine["bucket"] == hubs["bucket"]) & F.expr(f"component <> component_a AND {later} AND {bound}")
+                          & (mine["bucket"] == F.array_min(F.array_intersect("mine", "ours")))).selectExpr(
+            "least(id_a, id) AS a", "greatest(id_a, id) AS b", "n_shingles_a AS size_a", "n_shingles AS size_b")
         found = pinned(links(pairs))
         if not found.isEmpty():
             edges = edges.union(found)

@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tallyframe.llm import anchors, minhash
+from tallyframe.llm import anchors, graph, minhash
 from tallyframe.llm.fm_index import FMIndex, substring_dedup
 from tallyframe.llm.graph import components
 from tallyframe.llm.minhash import band_keys, near_duplicates, shingle_sets, signatures
@@ -165,3 +165,25 @@ def test_a_group_whose_edits_are_shared_by_few(spark, monkeypatch, rare):
                 root[y] = x
     got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {d: find(d) for d in sets} and len(set(got.values())) > 20
+
+
+@pytest.mark.parametrize("operator, length", [(substring_dedup, 13), (passage_dedup, 50)])
+def test_one_id_with_different_texts(spark, operator, length):
+    def words(prefix, n):
+        return [f"{prefix}{i}" for i in range(n)]
+    p, q, z = (words(c, 90) for c in "pqz")
+    rows = [(1, " ".join(p), None, None, None), (5, " ".join(q + p), None, None, None), (5, " ".join(z), None, None, None),
+            (5, " ".join(z[:60]), None, None, None), (5, " ".join(z[:60]), None, None, None), (5, None, None, None, None),
+            (7, " ".join(z[10:80]), None, None, None), (None, " ".join(z), None, None, None), (None, " ".join(p), None, None, None)]
+    got = sorted((str(r.doc_id), r.n_words, r.n_removed) for r in operator(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect())
+    assert got == sorted([("1", 90, 0), ("5", 180, 90), ("5", 90, 0), ("5", 60, 0), ("5", 60, 0), ("5", 0, 0), ("7", 70, 70), ("None", 90, 0), ("None", 90, 0)])
+
+
+def test_small_and_large_graphs_have_equal_components(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    edges = [(int(a), int(b)) for a, b in rng.integers(-300, 300, (320, 2))] + [(1000 - i, 999 - i) for i in range(90)] + [(3, 3)]
+    frame = spark.createDataFrame(edges, "a long, b long").repartition(3)
+    small = sorted(map(tuple, components(frame).collect()))
+    monkeypatch.setattr(graph, "SMALL", 10)
+    assert sorted(map(tuple, components(frame).collect())) == small
+    assert components(frame.limit(0)).collect() == []
