@@ -73,17 +73,8 @@ def segments(words: Words, length: int, k: int):
     return first, count, mine[cut], g[mine[cut]]
 
 
-def packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts compressed one by one, for the shuffle."""
-    press = zstandard.ZstdCompressor(level=1)
-    for rows, texts in slices(batches):
-        yield pa.RecordBatch.from_arrays(
-            [rows.column("doc_id"), rows.column("text_key"), pa.array([t if t is None else press.compress(t) for t in texts], pa.binary())],
-            ["doc_id", "text_key", "text"])
-
-
 def packed_column(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same with all columns."""
+    """Texts compressed one by one, for the shuffle; other columns as they are."""
     press = zstandard.ZstdCompressor(level=1)
     for rows, texts in slices(batches):
         at = rows.schema.get_field_index("text")
@@ -96,7 +87,7 @@ def unpacked(batches: Iterator[pa.RecordBatch], size: int = SLICE_BYTES) -> Iter
         yield rows, [t if t is None else open_up.decompress(t) for t in texts]
 
 
-def document_anchors(length: int, k: int):
+def document_anchors(length: int, k: int, keys: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in slices(batches):
             words = split_words(texts)
@@ -105,8 +96,8 @@ def document_anchors(length: int, k: int):
             doc, gram = words.doc[first][order], gram[order]
             new = np.ones(len(gram), dtype=bool)
             new[1:] = (np.diff(doc) != 0) | (gram[1:] != gram[:-1])
-            ids, texts_of = (rows.column(n).take(pa.array(doc[new])) for n in ("doc_id", "text_key"))
-            yield pa.RecordBatch.from_arrays([pa.array(gram[new].view(np.int64)), ids, texts_of], ["anchor", "doc_id", "text_key"])
+            ids = [rows.column(n).take(pa.array(doc[new])) for n in keys]
+            yield pa.RecordBatch.from_arrays([pa.array(gram[new].view(np.int64)), *ids], ["anchor", *keys])
     return run
 
 
@@ -144,15 +135,15 @@ def _live(entries: list) -> tuple[list[np.ndarray], list[np.ndarray]]:
     return live, hot
 
 
-def segment_places(length: int, k: int):
+def segment_places(length: int, k: int, keys: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in unpacked(batches):
             words = split_words(texts)
             start, _, _, route, content = _live_segments(words, *_live(rows.column("live").to_pylist()), length, k)
             doc = words.doc[start]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(route.view(np.int64)), pa.array(content.view(np.int64)), *(rows.column(n).take(pa.array(doc)) for n in ("doc_id", "text_key")),
-                 pa.array(start - words.bounds[doc])], ["route", "content", "doc_id", "text_key", "start"])
+                [pa.array(route.view(np.int64)), pa.array(content.view(np.int64)), *(rows.column(n).take(pa.array(doc)) for n in keys),
+                 pa.array(start - words.bounds[doc])], ["route", "content", *keys, "start"])
     return run
 
 
@@ -280,30 +271,33 @@ def remove_repeats(docs: DataFrame, length: int, k: int, search: Search, with_te
     """
     small_batches(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    # a row is known by its id, and by a hash of its text where an id comes with different texts or is null; the key is never null
+    # a row is known by its id (doc_key is never null, so that both joins below share one shuffle of the texts); only where an id
+    # comes with different texts, a hash of the text goes with it
     digest = F.coalesce(F.xxhash64("text"), F.lit(0))
     clash = not (source.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(digest).alias("low"), F.max(digest).alias("high"))
                  .filter("low <> high").isEmpty())
-    source = source.withColumn("text_key", digest if clash else F.when(F.col("doc_id").isNull(), digest).otherwise(F.lit(0)))
-    key = ["doc_key", "text_key"]
-    base = (source.mapInArrow(packed_texts, "doc_id long, text_key long, text binary")
+    more = ["text_key"] if clash else []
+    source = source.withColumn("text_key", digest) if clash else source
+    keys, key = ["doc_id", *more], ["doc_key", *more]
+    named = ", ".join(f"{c} long" for c in keys)
+    own = [F.col("doc_id").alias("doc_key"), *more]
+    base = (source.select(*keys, "text").mapInArrow(packed_column, f"{named}, text binary")
             .withColumn("doc_key", F.coalesce("doc_id", F.lit(NO_ID))).repartition(*key))
-    anchors = source.filter("doc_id IS NOT NULL").mapInArrow(document_anchors(length, k), "anchor long, doc_id long, text_key long")
+    anchors = source.filter("doc_id IS NOT NULL").mapInArrow(document_anchors(length, k, keys), f"anchor long, {named}")
     live = anchors.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select(
         "anchor", (F.col("n") > HOT).cast("int").alias("hot"))
-    marked = (anchors.join(live, "anchor").groupBy(F.col("doc_id").alias("doc_key"), "text_key")
-              .agg(F.collect_list(F.struct("anchor", "hot")).alias("live")))
+    marked = anchors.join(live, "anchor").groupBy(*own).agg(F.collect_list(F.struct("anchor", "hot")).alias("live"))
     withal = base.join(marked, key)
-    places = withal.mapInArrow(segment_places(length, k), "route long, content long, doc_id long, text_key long, start long")
-    first = (places.groupBy("route", "content").agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.max("doc_id").alias("last_id"))
-             .groupBy(F.col("first.doc_id").alias("doc_key"), F.col("first.text_key").alias("text_key"))
-             .agg(F.collect_list(F.struct("route", "content", "last_id")).alias("wanted")))
+    places = withal.mapInArrow(segment_places(length, k, keys), f"route long, content long, {named}, start long")
+    smallest = F.min(F.struct(*own)) if clash else F.struct(F.min("doc_id").alias("doc_key"))
+    first = (places.groupBy("route", "content").agg(smallest.alias("first"), F.max("doc_id").alias("last_id"))
+             .groupBy(*[F.col(f"first.{c}").alias(c) for c in key]).agg(F.collect_list(F.struct("route", "content", "last_id")).alias("wanted")))
     distinct = withal.join(first, key).mapInArrow(
         segment_words(length, k), "route long, content long, first_id long, last_id long, windows int, anchor_at int, words binary")
     found = (distinct.repartition("route").sortWithinPartitions("route", "content")
              .mapInPandas(shard_search(length, search), "route long, content long, seen array<long>"))
     hits = (places.join(found, ["route", "content"]).filter(F.expr("exists(seen, x -> x < doc_id)"))
-            .groupBy(F.col("doc_id").alias("doc_key"), "text_key").agg(F.collect_list(F.struct("start", "seen")).alias("hits")))
+            .groupBy(*own).agg(F.collect_list(F.struct("start", "seen")).alias("hits")))
     schema = ("doc_id long, n_words long, n_removed long, spans array<struct<first: long, last: long>>, kept_sha256 string"
               + ", kept_text string" * with_text)
     return base.join(hits, key, "left").mapInArrow(document_results(length, with_text), schema)
