@@ -14,7 +14,7 @@ from tallyframe.llm.text import BASE, BASE_INVERSE, U64, Words, give_back, id_re
 
 HOLD_OUT = 10
 BLOCK_BYTES = 24 << 20
-COUNT_BYTES = 6 << 20  # of compressed text
+COUNT_BYTES, SCORE_BYTES = 6 << 20, 4 << 20  # of compressed text, worked on at once
 MAIN_CLASSES = 15
 PRIOR_MASS = 200.0  # of the vocabulary's own scores, against one for each word type met
 BORROWED = 0.02  # weight of the counts of all languages beside those of one
@@ -273,7 +273,7 @@ def block_scores(model: Model, classes: int):
         stop, go = (np.log10(over), np.log10(1 - over)) if n else (np.zeros(1), np.zeros(1))
         out: dict[str, list] = {k: [] for k in ("n_tokens", "n_known", "base_score", "score", "lattice_score")}
         for batch in docs.to_batches():
-            for rows, texts in unpacked(iter([batch]), COUNT_BYTES):
+            for rows, texts in unpacked(iter([batch]), SCORE_BYTES):
                 words = split_words([t.lower() if t else t for t in texts])
                 h, at, back = np.unique(words.hashes, return_index=True, return_inverse=True)
                 place = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))

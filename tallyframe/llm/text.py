@@ -146,5 +146,4 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = SL
             if b > a:
                 piece = batch.slice(a, b - a)
                 yield piece, column.slice(a, b - a).cast(pa.large_binary()).to_pylist()
-        del batch, column, sizes, part
-        give_back()
+    give_back()
