@@ -272,6 +272,7 @@ def block_scores(model: Model, classes: int):
         over = model.docs[live] / (model.tokens[live] + 1) if n else np.zeros(1)  # chance of the end, by the lattice alone
         stop, go = (np.log10(over), np.log10(1 - over)) if n else (np.zeros(1), np.zeros(1))
         out: dict[str, list] = {k: [] for k in ("n_tokens", "n_known", "base_score", "score", "lattice_score")}
+        done, done_logs = np.zeros(0, dtype=U64), np.zeros((0, len(live)))
         for batch in docs.to_batches():
             for rows, texts in unpacked(iter([batch]), SCORE_BYTES):
                 words = split_words([t.lower() if t else t for t in texts])
@@ -279,7 +280,16 @@ def block_scores(model: Model, classes: int):
                 place = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
                 met = known[place] == h if len(known) else np.zeros(len(h), dtype=bool)
                 count = np.where(met, total[place], 0) if len(known) else np.zeros(len(h), dtype=np.int64)
-                marginal = spelled(model.pieces, [model.weights[k] for k in live], words, at)
+                # the lattice of a word is the same in all slices of the block
+                was = np.minimum(np.searchsorted(done, h), max(len(done) - 1, 0))
+                old = done[was] == h if len(done) else np.zeros(len(h), dtype=bool)
+                marginal = np.zeros((len(h), len(live)))
+                if old.any():
+                    marginal[old] = done_logs[was[old]]
+                marginal[~old] = spelled(model.pieces, [model.weights[k] for k in live], words, at[~old])
+                done, done_logs = np.concatenate((done, h[~old])), np.concatenate((done_logs, marginal[~old]))
+                order = np.argsort(done)
+                done, done_logs = done[order], done_logs[order]
                 logs = np.log10(novel) + marginal
                 end = np.zeros(len(live))
                 if n:
