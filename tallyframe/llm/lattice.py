@@ -18,7 +18,7 @@ COUNT_BYTES, SCORE_BYTES = 6 << 20, 4 << 20  # of compressed text, worked on at
 MAIN_CLASSES = 15
 PRIOR_MASS = 200.0  # of the vocabulary's own scores, against one for each word type met
 BORROWED = 0.02  # weight of the counts of all languages beside those of one
-BATCH = 20_000
+BATCH = 5_000
 MOST_UNKNOWN = 0.5
 SPREAD = U64(0x9FB21C651E98DF25)
 
@@ -89,7 +89,7 @@ def piece_key(piece: bytes) -> int:
 
 def hash_tables(keys: np.ndarray, places: np.ndarray) -> list:
     """A direct table by some bits of the key; what collides goes to a smaller one by more spread, and so on."""
-    out, bits = [], 18
+    out, bits = [], 16
     while len(places):
         slot = (keys[places] * SPREAD) >> U64(64 - bits)
         known, numbers = np.zeros(1 << bits, dtype=U64), np.zeros(1 << bits, dtype=np.int64)
@@ -165,12 +165,30 @@ def expected_uses(pieces: Pieces, weight: np.ndarray, words: Words, pick: np.nda
 
 
 def spelled(pieces: Pieces, weights: list[tuple[np.ndarray, float]], words: Words, pick: np.ndarray) -> np.ndarray:
-    """Log10 of the marginal probability of each picked word (row) under each class's weights (column)."""
+    """Log10 of the marginal probability of each picked word (row) under each class's weights (column).
+
+    The recursion of forward() over the arcs that are there, for all classes at once; a single byte is one, so no place is without.
+    """
     out = np.zeros((len(pick), len(weights)))
+    table = np.stack([weight for weight, _ in weights], axis=1)
+    stop = np.array([last for _, last in weights])
     for group, letters in by_length(words, pick):
         arcs, size = arcs_of(pieces, letters), letters.shape[1]
-        for k, (weight, stop) in enumerate(weights):
-            out[group, k] = (forward(arcs, weight, len(group), size)[size] + stop) / np.log(10)
+        alpha = np.zeros((size + 1, len(group), len(weights)))
+        for end in range(1, size + 1):
+            total = alpha[end - 1] + table[arcs[0][1][:, end - 1]]
+            longer = [(n, np.flatnonzero(number[:, end - n] >= 0), number[:, end - n]) for n, number in arcs[1:] if n <= end]
+            longer = [(hit, alpha[end - n, hit] + table[number[hit]]) for n, hit, number in longer if len(hit)]
+            if longer:
+                top = total.copy()
+                for hit, part in longer:
+                    top[hit] = np.maximum(top[hit], part)
+                total = np.exp(total - top)
+                for hit, part in longer:
+                    total[hit] += np.exp(part - top[hit])
+                total = top + np.log(total)
+            alpha[end] = total
+        out[group] = (alpha[size] + stop) / np.log(10)
     return out
 
 
