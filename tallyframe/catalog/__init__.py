@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("sources", "typing", "quality", "cleaning", "combine", "query", "kpi", "business", "explore", "events",
+MODULES = ("sources", "typing", "quality", "cleaning", "combine", "query", "kpi", "business", "temporal", "explore", "events",
            "questions")
 
 
