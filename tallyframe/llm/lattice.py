@@ -176,16 +176,16 @@ def spelled(pieces: Pieces, weights: list[tuple[np.ndarray, float]], words: Word
         arcs, size = arcs_of(pieces, letters), letters.shape[1]
         alpha = np.zeros((size + 1, len(group), len(weights)))
         for end in range(1, size + 1):
-            total = alpha[end - 1] + table[arcs[0][1][:, end - 1]]
+            total = alpha[end - 1] + table.take(arcs[0][1][:, end - 1], axis=0)
             longer = [(n, np.flatnonzero(number[:, end - n] >= 0), number[:, end - n]) for n, number in arcs[1:] if n <= end]
-            longer = [(hit, alpha[end - n, hit] + table[number[hit]]) for n, hit, number in longer if len(hit)]
+            longer = [(hit, alpha[end - n].take(hit, axis=0) + table.take(number[hit], axis=0)) for n, hit, number in longer if len(hit)]
             if longer:
                 top = total.copy()
                 for hit, part in longer:
-                    top[hit] = np.maximum(top[hit], part)
+                    top[hit] = np.maximum(top.take(hit, axis=0), part)
                 total = np.exp(total - top)
                 for hit, part in longer:
-                    total[hit] += np.exp(part - top[hit])
+                    total[hit] += np.exp(part - top.take(hit, axis=0))
                 total = top + np.log(total)
             alpha[end] = total
         out[group] = (alpha[size] + stop) / np.log(10)
