@@ -1,18 +1,28 @@
-"""Lexical retrieval packing: a BM25 index per shard, whose neighbours fill each seed document's window."""
+"""Lexical retrieval packing: a sharded BM25 index, whose neighbours fill each seed document's window.
+
+Counts of terms and the mean length are those of all documents. Documents are dealt to shards by content: of SKETCH distinct terms
+weighted min-wise hashing, with the inverse document frequency as weight, draws a document's CANDIDATES, so documents share
+them by about their weighted Jaccard similarity. The anchor is the candidate that fewest documents share, but COMPANY at least.
+Documents sorted by anchor are cut into shards.
+"""
 
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from tallyframe.llm.text import U64, give_back, process_store, small_batches, split_words
+from tallyframe.llm.text import U64, give_back, mix, pinned, process_store, slices, split_words
 
 WINDOW = 4096
 END_ID = 2
-SHARD_BYTES = 4 << 20
+SHARD_BYTES, PARTITION_BYTES = 4 << 20, 256 << 20
+SKETCH, CANDIDATES, COMPANY = 64, 8, 8
 K1, B = 1.2, 0.75
 SLOTS, BATCH_WORDS = 1 << 21, 10_000
 MARKS = b".,;:!?*#$%&|"
@@ -96,17 +106,34 @@ class WordTokenizer:
         return flat, until[words.bounds]
 
 
+@dataclass
+class Statistics:
+    """What the index and the anchors need of the whole corpus: one number for each entry of the vocabulary."""
+
+    idf: np.ndarray
+    race: np.ndarray  # a document's candidates are its terms of smallest race; infinite for a term of one document
+    mean: float
+
+    @classmethod
+    def of(cls, df: np.ndarray, docs: int, tokens: int) -> Statistics:
+        idf = np.log1p((docs - df + 0.5) / (df + 0.5))
+        drawn = ((mix(np.arange(1, len(df) + 1, dtype=U64)) >> U64(11)).astype(np.float64) + 0.5) / 2.0 ** 53
+        race = np.where(df > 1, -np.log(drawn) / np.maximum(idf, 1e-12), np.inf)
+        return cls(idf, race, tokens / max(docs, 1))
+
+
 class BM25:
-    """Inverted index over the token ids of a shard's documents."""
+    """Inverted index over the token ids of a shard's documents; weights by the corpus' statistics where they are given."""
 
-    def __init__(self, ids: np.ndarray, bounds: np.ndarray):
+    def __init__(self, ids: np.ndarray, bounds: np.ndarray, corpus: Statistics | None = None):
         self.docs = len(bounds) - 1
         size = np.diff(bounds)
         pair, tf = np.unique(np.repeat(np.arange(self.docs), size) << 32 | ids.astype(np.int64), return_counts=True)
         doc, term = pair >> 32, pair & 0xFFFFFFFF
         names, term, df = np.unique(term, return_inverse=True, return_counts=True)
-        weight = np.log1p((self.docs - df + 0.5) / (df + 0.5))[term] * tf * (K1 + 1) / (
-            tf + K1 * (1 - B + B * size[doc] / max(size.mean(), 1e-9)))
+        idf = corpus.idf[names] if corpus else np.log1p((self.docs - df + 0.5) / (df + 0.5))
+        mean = corpus.mean if corpus else size.mean()
+        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / max(mean, 1e-9)))
         several = df[term] > 1
         # of each document all terms that another document has, too; pairs are sorted by document
         self.query = term[several]
@@ -128,11 +155,11 @@ class BM25:
         return top[np.lexsort((top, -score[top]))].tolist()
 
 
-def fill_order(index: BM25, size: np.ndarray, window: int) -> list[int]:
+def fill_order(index: BM25, size: np.ndarray, window: int, filled: int = 0) -> list[int]:
     """Documents in the order in which they fill windows: a seed, then its unused neighbours until the window is full or none
-    with a score is left; the document that a window's end cuts is the seed of the next one."""
+    with a score is left; the document that a window's end cuts is the seed of the next one. The first window holds `filled` tokens."""
     used = np.zeros(len(size), dtype=bool)
-    order, queue, place, following = [], iter(()), 0, 0
+    order, queue, place, following = [], iter(()), filled, 0
     while len(order) < len(size):
         doc = next(queue, None)
         seed = doc is None
@@ -156,34 +183,191 @@ def window_cuts(total: int, window: int) -> np.ndarray:
 
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+TOKENS = "doc_id long, ids binary, bytes long, terms binary, counts binary"
+
+
+def tokenizer_of(path: str) -> WordTokenizer:
+    tools = process_store().setdefault("tokenizers", {})
+    if path not in tools:
+        tools[path] = WordTokenizer(path)
+    return tools[path]
+
+
+def tokenize(path: str, vocabulary: int, kind: str):
+    """A row for each document: its ids and, as terms, the SKETCH distinct ids that come first in one fixed random order. Then a
+    row for each task, told by its counts: the ids of the task's documents and the number of documents that hold each."""
+    order = np.argsort(mix(np.arange(vocabulary, dtype=U64) + U64(1 << 32)), kind="stable")
+    place = np.argsort(order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(vocabulary, dtype=np.int64)
+        for rows, texts in slices(batches, size=SHARD_BYTES >> 1):
+            texts = [t or b"" for t in texts]
+            ids, bounds = tokenizer_of(path).encode(texts)
+            pair = np.unique(np.repeat(np.arange(len(texts)), np.diff(bounds)) << 32 | place[ids])
+            doc, term = pair >> 32, order[pair & 0xFFFFFFFF]
+            seen += np.bincount(term, minlength=vocabulary)
+            first = np.searchsorted(doc, np.arange(len(texts)))
+            last = np.minimum(np.append(first[1:], len(doc)), first + SKETCH)
+            data, names = ids.astype(kind).tobytes(), term.astype(kind).tobytes()
+            width = np.dtype(kind).itemsize
+            cut = lambda raw, a, b: pa.array([raw[width * i:width * j] for i, j in zip(a.tolist(), b.tolist())], pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [rows.column("doc_id"), cut(data, bounds[:-1], bounds[1:]), pa.array([len(t) for t in texts], pa.int64()),
+                 cut(names, first, last), pa.nulls(len(texts), pa.binary())], ["doc_id", "ids", "bytes", "terms", "counts"])
+        held = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays(
+            [pa.nulls(1, pa.int64()), pa.array([b""], pa.binary()), pa.array([0], pa.int64()), pa.array([held.astype(kind).tobytes()], pa.binary()),
+             pa.array([seen[held].tobytes()], pa.binary())], ["doc_id", "ids", "bytes", "terms", "counts"])
+    return run
+
+
+def term_counts(kind: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for terms, counts in zip(batch.column("terms"), batch.column("counts")):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(terms.as_py(), kind).astype(np.int64)),
+                                                  pa.array(np.frombuffer(counts.as_py(), np.int64))], ["term", "n"])
+    return run
+
+
+def by_term(counts: DataFrame, vocabulary: int) -> np.ndarray:
+    """Sums by term: at most one row for each entry of the vocabulary."""
+    rows = counts.groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(vocabulary, dtype=np.int64)
+    out[rows["term"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy(dtype=np.int64)
+    return out
+
+
+def corpus_statistics(tokens: DataFrame, vocabulary: int, kind: str, n_docs: int, n_tokens: int) -> Statistics:
+    """At most one row for each entry of the vocabulary reaches the driver."""
+    counts = tokens.filter("counts IS NOT NULL").select("terms", "counts").mapInArrow(term_counts(kind), "term long, n long")
+    return Statistics.of(by_term(counts, vocabulary).astype(np.float64), n_docs, n_tokens)
+
 
+def candidates(terms: list[bytes], race: np.ndarray, kind: str) -> np.ndarray:
+    """A row of CANDIDATES for each document: its terms of smallest race that other documents hold too; -1 where there are no more."""
+    width = np.dtype(kind).itemsize
+    size = np.fromiter((len(t) // width for t in terms), dtype=np.int64, count=len(terms))
+    flat = np.frombuffer(b"".join(terms), kind).astype(np.int64)
+    order = np.lexsort((flat, race[flat], np.repeat(np.arange(len(terms)), size)))
+    flat = np.append(np.where(np.isfinite(race[flat]), flat, -1)[order], -1)
+    at = (np.cumsum(size) - size)[:, None] + np.arange(CANDIDATES)
+    return np.where(np.arange(CANDIDATES) < size[:, None], flat[np.minimum(at, len(flat) - 1)], -1)
 
-def pack_shard(path: str, window: int, end_id: int):
-    def run(rows: pa.Table) -> pa.Table:
-        tools = process_store().setdefault("tokenizers", {})
-        if path not in tools:
-            tools[path] = WordTokenizer(path)
-        rows = rows.sort_by("doc_id")
-        texts = [t or b"" for t in rows.column("text").cast(pa.large_binary()).to_pylist()]
-        ids, bounds = tools[path].encode(texts)
-        order = fill_order(BM25(ids, bounds), np.diff(bounds) + 1, window)
-        stream = np.concatenate([np.append(ids[bounds[d]:bounds[d + 1]], end_id) for d in order]).astype("<u4")
-        size = (np.diff(bounds) + 1)[order]
-        doc_end, cut = np.cumsum(size), window_cuts(len(stream), window)
-        end = np.union1d(doc_end, cut)
+
+def count_candidates(race: np.ndarray, kind: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(len(race), dtype=np.int64)
+        for batch in batches:
+            found = candidates(batch.column("terms").to_pylist(), race, kind)
+            n += np.bincount(found[found >= 0], minlength=len(race))
+        held = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(n[held])], ["term", "n"])
+    return run
+
+
+def best_two(found: np.ndarray, followers: np.ndarray) -> np.ndarray:
+    """Of each row's candidates the two that fewest documents have as candidates, but at least COMPANY; with none, those that most have."""
+    rank = np.append(np.where(followers >= COMPANY, followers, (1 << 62) - followers), 1 << 62)  # the last is that of -1
+    return np.take_along_axis(found, np.argsort(rank[found], axis=1, kind="stable")[:, :2], axis=1)
+
+
+def give_anchors(race: np.ndarray, followers: np.ndarray, kind: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            two = best_two(candidates(batch.column("terms").to_pylist(), race, kind), followers)
+            yield pa.RecordBatch.from_arrays([pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy()),
+                                              *[batch.column(n) for n in ("row", "doc_id", "ids", "bytes")]],
+                                             ["anchor", "second", "row", "doc_id", "ids", "bytes"])
+    return run
+
+
+def deal(tokens: DataFrame, corpus: Statistics, kind: str, partitions: int) -> DataFrame:
+    """Documents in ranges of their anchors, sorted inside. The row's number ends the key, so a hot anchor is spread over ranges."""
+    rows = tokens.filter("counts IS NULL").select("terms", "row", "doc_id", "ids", "bytes")
+    followers = by_term(rows.select("terms").mapInArrow(count_candidates(corpus.race, kind), "term long, n long"), len(corpus.race))
+    anchored = rows.mapInArrow(give_anchors(corpus.race, followers, kind), "anchor long, second long, row long, doc_id long, ids binary, bytes long")
+    return anchored.repartitionByRange(partitions, "anchor", "second", "row").sortWithinPartitions("anchor", "second", "row")
+
+
+def shards_of(batches: Iterator[pa.RecordBatch], shard_bytes: int) -> Iterator[pa.Table]:
+    """Sorted documents in runs of about shard_bytes of text; a document counts as 8 bytes more."""
+    held, size = [], 0
+    for batch in batches:
+        run = np.cumsum(np.asarray(batch.column("bytes")) + 8)
+        start = 0
+        while start < batch.num_rows:
+            until = int(np.searchsorted(run, shard_bytes - size + (run[start - 1] if start else 0))) + 1
+            part = batch.slice(start, min(until, batch.num_rows) - start)
+            held.append(part)
+            size += int(run[start + part.num_rows - 1] - (run[start - 1] if start else 0))
+            start += part.num_rows
+            if size >= shard_bytes:
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+@dataclass
+class Pieces:
+    """Parts of documents that follow each other in a stream of tokens."""
+
+    doc_id: pa.Array
+    start: np.ndarray
+    size: np.ndarray
+    doc_tokens: np.ndarray
+    stream: np.ndarray
+
+    def after(self, other: Pieces | None) -> Pieces:
+        if other is None:
+            return self
+        return Pieces(pa.concat_arrays([other.doc_id, self.doc_id]), *[
+            np.concatenate((getattr(other, n), getattr(self, n))) for n in ("start", "size", "doc_tokens", "stream")])
+
+    def cut(self, cuts: np.ndarray, sequence: int) -> tuple[pa.RecordBatch, Pieces | None]:
+        """The sequences that end at cuts, the first under this number, and what comes after the last one."""
+        piece_end = np.cumsum(self.size)
+        end = np.union1d(piece_end, cuts)
         begin = np.concatenate(([0], end[:-1]))
-        doc = np.searchsorted(doc_end, begin, side="right")
-        sequence = np.searchsorted(cut, begin, side="right")
-        data = stream.tobytes()
-        del texts, ids, stream
-        give_back()
-        shard = int(rows.column("shard")[0].as_py())
-        return pa.table({
-            "doc_id": rows.column("doc_id").take(pa.array(np.array(order)[doc])),
-            "start": pa.array(begin - (doc_end - size)[doc]), "length": pa.array(end - begin),
-            "ids": pa.array([data[4 * a:4 * b] for a, b in zip(begin.tolist(), end.tolist())], pa.binary()),
-            "doc_tokens": pa.array(size[doc]), "sequence_id": pa.array((shard << 32) + sequence),
-            "offset": pa.array(begin - np.concatenate(([0], cut))[sequence])})
+        piece, number = np.searchsorted(piece_end, begin, side="right"), np.searchsorted(cuts, begin, side="right")
+        start = self.start[piece] + begin - (piece_end - self.size)[piece]
+        done = int(np.searchsorted(number, len(cuts)))  # pieces from here on are in no sequence yet
+        data = self.stream.tobytes()
+        out = pa.RecordBatch.from_arrays(
+            [self.doc_id.take(pa.array(piece[:done])), pa.array(start[:done]), pa.array((end - begin)[:done]),
+             pa.array([data[4 * a:4 * b] for a, b in zip(begin[:done].tolist(), end[:done].tolist())], pa.binary()),
+             pa.array(self.doc_tokens[piece[:done]]), pa.array(sequence + number[:done]),
+             pa.array((begin - np.concatenate(([0], cuts))[number])[:done])],
+            ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+        if done == len(begin):
+            return out, None
+        return out, Pieces(self.doc_id.take(pa.array(piece[done:])), start[done:], (end - begin)[done:], self.doc_tokens[piece[done:]],
+                           self.stream[begin[done]:].copy())
+
+
+def pack_range(corpus: Statistics, kind: str, window: int, end_id: int, shard_bytes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sequence, rest = TaskContext.get().partitionId() << 40, None
+        for shard in shards_of(batches, shard_bytes):
+            parts = [np.frombuffer(t, kind) for t in shard.column("ids").to_pylist()]
+            size = np.fromiter((len(p) for p in parts), dtype=np.int64, count=len(parts))
+            bounds = np.concatenate(([0], np.cumsum(size)))
+            ids = np.concatenate(parts).astype(np.int32)
+            filled = len(rest.stream) if rest else 0
+            order = np.array(fill_order(BM25(ids, bounds, corpus), size + 1, window, filled))
+            stream = np.concatenate([x for d in order.tolist() for x in (parts[d], [end_id])]).astype("<u4")
+            size = (size + 1)[order]
+            doc_id = shard.column("doc_id").combine_chunks().take(pa.array(order))
+            pieces = Pieces(doc_id, np.zeros(len(order), dtype=np.int64), size, size, stream).after(rest)
+            whole = np.arange(window, len(pieces.stream) + 1, window)
+            out, rest = pieces.cut(whole, sequence)
+            sequence += len(whole)
+            yield out
+            give_back()
+        if rest:
+            yield rest.cut(window_cuts(len(rest.stream), window), sequence)[0]
     return run
 
 
@@ -191,18 +375,24 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
     """Pieces of documents in sequences of at most `window` tokens: doc_id, start, length, ids (little-endian unsigned
     32-bit, as binary), doc_tokens, sequence_id, offset.
 
-    Documents are dealt to shards of about shard_bytes by a hash; one shard at a time is tokenized, indexed and packed in a
-    task. Every sequence of a shard is full, but for its last tokens: these form sequences of powers of two, so nothing is
-    padded. A document longer than the window goes on in the next sequences. window must be a power of two.
+    Documents are tokenized once and checkpointed as ids. Their terms are counted over the whole corpus, which gives each
+    document an anchor; documents sorted by anchor lie in ranges, and a task reads its range as a stream of shards of about
+    shard_bytes of text: one shard at a time is indexed and packed. Tokens that do not fill a window go on to the next shard;
+    those left at the end of a range form sequences of powers of two, so nothing is padded. A document longer than the window
+    goes on in the next sequences. window must be a power of two.
 
     A null or empty text is the end id alone. Repeated rows are packed as often as they occur. An empty table gives an empty
     result. Extra columns are not read. A null doc_id stays null.
     """
     if window & (window - 1):
         raise ValueError("window must be a power of two")
-    small_batches(docs.sparkSession)
+    vocabulary = tokenizer_of(tokenizer_path).tokenizer.get_vocab_size()
+    kind = "<u2" if vocabulary <= 1 << 16 else "<u4"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    size = rows.agg(F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("n")).first()
-    shards = int(((size["b"] or 0) + 8 * size["n"]) // shard_bytes) + 1
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInArrow(pack_shard(tokenizer_path, window, end_id), SCHEMA)
+    tokens = pinned(rows.mapInArrow(tokenize(tokenizer_path, vocabulary, kind), TOKENS).withColumn("row", F.monotonically_increasing_id()))
+    size = tokens.filter("counts IS NULL").agg(F.sum("bytes").alias("b"), F.sum(F.octet_length("ids")).alias("i"), F.count("*").alias("n")).first()
+    corpus = corpus_statistics(tokens, vocabulary, kind, size["n"], (size["i"] or 0) // np.dtype(kind).itemsize)
+    total = (size["b"] or 0) + 8 * size["n"]
+    usual = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = min(total // shard_bytes + 1, max(usual, total // PARTITION_BYTES + 1))
+    return deal(tokens, corpus, kind, partitions).mapInArrow(pack_range(corpus, kind, window, end_id, shard_bytes), SCHEMA)

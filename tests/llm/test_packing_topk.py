@@ -5,7 +5,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tallyframe.llm.packing import BM25, fill_order, pack, window_cuts
+from tallyframe.llm.packing import BM25, Statistics, best_two, candidates, fill_order, pack, window_cuts
 from tallyframe.llm.topk import exact_top_k
 
 from .data import EDGES, SCHEMA, corpus
@@ -75,3 +75,82 @@ def test_top_k_large_components(spark):
     got = exact_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).collect()
     assert [(r.vec_id, r.score) for r in sorted(got)] == [
         (2, int(64 * 3e7) * int(64 * 2e7) + 64 * 384), (1, int(64 * 3e7) * int(64 * 2e7) + 64 * 320)]
+
+
+def plain_bm25(docs):
+    """Every document's scores against all others, by the formula, in plain loops."""
+    n, mean = len(docs), sum(map(len, docs)) / len(docs)
+    df = {}
+    for d in docs:
+        for t in set(d):
+            df[t] = df.get(t, 0) + 1
+    idf = {t: np.log1p((n - k + 0.5) / (k + 0.5)) for t, k in df.items()}
+    return [[sum(idf[t] * b.count(t) * 2.2 / (b.count(t) + 1.2 * (0.25 + 0.75 * len(b) / mean)) for t in set(a) if t in b) if a is not b else 0.0
+             for b in docs] for a in docs]
+
+
+def test_scores_are_bm25_of_the_corpus():
+    rng = np.random.default_rng(3)
+    docs = [rng.integers(0, 30, rng.integers(1, 40)).tolist() for _ in range(40)]
+    want, part = plain_bm25(docs), docs[:15]  # a shard of the corpus, whose statistics hold
+    df = np.array([sum(t in d for d in docs) for t in range(30)], dtype=float)
+    corpus = Statistics.of(df, len(docs), sum(map(len, docs)))
+    index = BM25(np.concatenate(part).astype(np.int32), np.concatenate(([0], np.cumsum([len(d) for d in part]))), corpus)
+    for a in range(len(part)):
+        ranked = sorted((-want[a][b], b) for b in range(len(part)) if want[a][b] > 1e-12)
+        assert index.neighbours(a, np.arange(len(part)) == a) == [b for _, b in ranked]
+
+
+def test_anchors_meet_as_often_as_weights_overlap():
+    rng = np.random.default_rng(8)
+    df = rng.integers(2, 500, 5000).astype(float)
+    corpus = Statistics.of(df, 1000, 100_000)
+    shared, alone, same = 30, 10, 0
+    for _ in range(600):
+        terms = rng.choice(5000, shared + 2 * alone, replace=False).astype("<u2")
+        pair = [terms[:shared + alone].tobytes(), np.concatenate((terms[:shared], terms[shared + alone:])).tobytes()]
+        first = candidates(pair, corpus.race, "<u2")[:, 0]
+        same += first[0] == first[1]
+    assert abs(same / 600 - shared / (shared + 2 * alone)) < 0.08
+    lonely = Statistics.of(np.ones(4), 4, 4)
+    assert (candidates([b"", np.array([1, 2], "<u2").tobytes()], lonely.race, "<u2") == -1).all()
+    followers = np.array([20, 9, 3, 8, 5])
+    found = np.array([[0, 1, 2, 3], [2, 4, -1, -1], [0, -1, -1, -1], [-1, -1, -1, -1]])
+    assert best_two(found, followers).tolist() == [[3, 1], [4, 2], [0, -1], [-1, -1]]
+
+
+def test_neighbours_come_from_the_whole_corpus(spark):
+    """80 groups of near-alike documents, spread over the input: with 40 shards, 0.9 of the documents lie in a sequence with one of
+    the nine nearest by BM25 over the corpus."""
+    path, rng = tokenizer_path("word_bpe_49k.json"), np.random.default_rng(2)
+    tokenizer = Tokenizer.from_file(path)
+    words = [w for w, i in tokenizer.get_vocab().items() if w.isalpha() and w.isascii() and 4 <= len(w) <= 9][:6000]
+    words.sort()
+    common, texts = words[:200], []
+    for g in range(80):
+        own = [words[200 + 60 * g + i] for i in range(60)]
+        for _ in range(10):
+            text = own + [common[i] for i in rng.integers(0, 200, 60)]
+            for i in rng.integers(0, 60, 3):  # small changes
+                text[i] = common[i]
+            texts.append(" ".join(text))
+    rows = [(int(i), texts[i]) for i in rng.permutation(len(texts))]
+    size = sum(map(len, texts)) // 40
+    pieces = pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), path, window=2048, shard_bytes=size).collect()
+    docs = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    together = {}
+    for p in pieces:
+        together.setdefault(p.sequence_id, set()).add(p.doc_id)
+    index = BM25(np.concatenate(docs).astype(np.int32), np.concatenate(([0], np.cumsum([len(d) for d in docs]))))
+    met = {d: set().union(*(s for s in together.values() if d in s)) - {d} for d in range(len(docs))}
+    found = [bool(met[d] & set(index.neighbours(d, np.arange(len(docs)) == d)[:9])) for d in range(len(docs))]
+    assert np.mean(found) >= 0.9
+
+
+def test_packing_of_repeated_rows_and_missing_ids(spark):
+    rows = [(None, "some words here", 1)] * 50 + [(7, "some words here", 2)] * 50 + [(None, None, 3), (8, "", 4)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, row int").withColumn("ids", F.lit(1)).withColumn("anchor", F.lit("x"))
+    got = pack(frame, tokenizer_path("word_bpe_49k.json"), window=16, shard_bytes=64).collect()
+    assert sum(p.length for p in got if p.doc_id is None and p.doc_tokens > 1) == 50 * max(p.doc_tokens for p in got)
+    assert sorted((p.doc_id, p.length) for p in got if p.doc_tokens == 1 and p.doc_id is not None) == [(8, 1)]
+    assert pack(frame.limit(0), tokenizer_path("word_bpe_49k.json")).collect() == []
