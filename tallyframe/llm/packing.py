@@ -106,6 +106,14 @@ class WordTokenizer:
         return flat, until[words.bounds]
 
 
+def distinct_terms(ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, term and its count there, sorted by document and term; sorted as 32-bit numbers where both fit."""
+    docs = len(bounds) - 1
+    shift, number = (16, np.uint32) if ids.dtype.itemsize == 2 and docs <= 1 << 16 else (32, np.int64)
+    pair, tf = np.unique(np.repeat(np.arange(docs).astype(number), np.diff(bounds)) << shift | ids.astype(number), return_counts=True)
+    return (pair >> shift).astype(np.int64), (pair & ((1 << shift) - 1)).astype(ids.dtype), tf
+
+
 @dataclass
 class Statistics:
     """What the index and the anchors need of the whole corpus: one number for each entry of the vocabulary."""
@@ -128,9 +136,12 @@ class BM25:
     def __init__(self, ids: np.ndarray, bounds: np.ndarray, corpus: Statistics | None = None):
         self.docs = len(bounds) - 1
         size = np.diff(bounds)
-        pair, tf = np.unique(np.repeat(np.arange(self.docs), size) << 32 | ids.astype(np.int64), return_counts=True)
-        doc, term = pair >> 32, pair & 0xFFFFFFFF
-        names, term, df = np.unique(term, return_inverse=True, return_counts=True)
+        doc, name, tf = distinct_terms(ids, bounds)
+        by_term = np.argsort(name, kind="stable")
+        head = np.flatnonzero(np.append(True, np.diff(name[by_term]) != 0)[:len(name)])
+        names, df = name[by_term[head]], np.diff(np.append(head, len(name)))
+        term = np.empty(len(name), dtype=np.int64)
+        term[by_term] = np.repeat(np.arange(len(names)), df)
         idf = corpus.idf[names] if corpus else np.log1p((self.docs - df + 0.5) / (df + 0.5))
         mean = corpus.mean if corpus else size.mean()
         weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / max(mean, 1e-9)))
@@ -138,7 +149,6 @@ class BM25:
         # of each document all terms that another document has, too; pairs are sorted by document
         self.query = term[several]
         self.query_cut = np.searchsorted(doc[several], np.arange(self.docs + 1))
-        by_term = np.argsort(term, kind="stable")
         self.post, self.weight = doc[by_term], weight[by_term]
         self.post_cut = np.concatenate(([0], np.cumsum(df)))
 
@@ -152,7 +162,7 @@ class BM25:
                             np.concatenate([self.weight[s] for s in spans]), minlength=self.docs)
         score[used] = 0
         top = np.flatnonzero(score > 0)
-        return top[np.lexsort((top, -score[top]))].tolist()
+        return top[np.argsort(-score[top], kind="stable")].tolist()
 
 
 def fill_order(index: BM25, size: np.ndarray, window: int, filled: int = 0) -> list[int]:
@@ -197,15 +207,15 @@ def tokenize(path: str, vocabulary: int, kind: str):
     """A row for each document: its ids and, as terms, the SKETCH distinct ids that come first in one fixed random order. Then a
     row for each task, told by its counts: the ids of the task's documents and the number of documents that hold each."""
     order = np.argsort(mix(np.arange(vocabulary, dtype=U64) + U64(1 << 32)), kind="stable")
-    place = np.argsort(order)
+    place = np.argsort(order).astype(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(vocabulary, dtype=np.int64)
         for rows, texts in slices(batches, size=SHARD_BYTES >> 1):
             texts = [t or b"" for t in texts]
             ids, bounds = tokenizer_of(path).encode(texts)
-            pair = np.unique(np.repeat(np.arange(len(texts)), np.diff(bounds)) << 32 | place[ids])
-            doc, term = pair >> 32, order[pair & 0xFFFFFFFF]
+            doc, at, _ = distinct_terms(place[ids], bounds)
+            term = order[at]
             seen += np.bincount(term, minlength=vocabulary)
             first = np.searchsorted(doc, np.arange(len(texts)))
             last = np.minimum(np.append(first[1:], len(doc)), first + SKETCH)
@@ -354,7 +364,7 @@ def pack_range(corpus: Statistics, kind: str, window: int, end_id: int, shard_by
             parts = [np.frombuffer(t, kind) for t in shard.column("ids").to_pylist()]
             size = np.fromiter((len(p) for p in parts), dtype=np.int64, count=len(parts))
             bounds = np.concatenate(([0], np.cumsum(size)))
-            ids = np.concatenate(parts).astype(np.int32)
+            ids = np.concatenate(parts)
             filled = len(rest.stream) if rest else 0
             order = np.array(fill_order(BM25(ids, bounds, corpus), size + 1, window, filled))
             stream = np.concatenate([x for d in order.tolist() for x in (parts[d], [end_id])]).astype("<u4")
