@@ -31,6 +31,10 @@ VIEWS = {
  o_totalprice, o_orderdate, o_orderstatus FROM orders""",
     "event_log": """SELECT event_id, event_type AS event_name, user_id AS session_id, ts,
  event_type <> 'error' AS success, value AS duration_ms FROM events""",
+    "event_tree": """SELECT event_id, event_type AS event_name, CASE WHEN event_id % 40 = 0 THEN NULL WHEN event_id % 41 = 0 THEN 'broken {'
+ WHEN event_id % 42 = 0 THEN '[1, [2, true]]' ELSE concat(substr(props, 1, length(props) - 1), ', "device": {"os": ',
+ CASE WHEN event_id % 9 = 0 THEN 'null' WHEN event_id % 3 = 0 THEN '"linux"' ELSE '"android"' END, ', "mem": ', CAST(event_id % 7 AS STRING),
+ CASE WHEN event_id % 2 = 0 THEN '.5' ELSE '' END, '}, "tags": [', CAST(event_id % 5 AS STRING), ', "x", {"z": null}]}') END AS properties FROM events""",
     "orders_gap": """SELECT * FROM orders WHERE NOT (year(o_orderdate) = 1996 AND month(o_orderdate) IN (3,4,5))
  AND NOT (year(o_orderdate) = 1998 AND month(o_orderdate) = 7)""",
     "orders_nd": """SELECT o_orderkey, CASE WHEN o_custkey % 2 = 0 THEN 'a' ELSE 'b' END AS grp,
@@ -75,7 +79,7 @@ class Data:
         raise AttributeError(name)
 
     def view(self, name: str) -> DataFrame:
-        text = VIEWS[name]
+        text = VIEWS[name].replace("{", "{{").replace("}", "}}")
         used = [t for t in TABLES if re.search(rf"\b(FROM|JOIN) {t}\b", text)]
         for t in used:
             text = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", text)

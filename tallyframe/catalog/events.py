@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyframe.catalog.base import Registry
-from tallyframe.operators import events as E
+from tallyframe.operators import event_properties as V, events as E
 from tallyframe.session import scratch_path
 from tallyframe.streaming.event_counts import run_counts, run_window_counts, stream_events
 from tallyframe.streaming.state_changes import run_dedup_once
@@ -43,6 +43,29 @@ def _(d):
     return E.event_dedup_once(log, "session_id", "state_key", "success", "ts", "event_id").select("event_id", "session_id", "event_name", "ts")
 
 
+TREE = "SELECT event_id, CASE WHEN json_valid(properties) THEN CAST(properties AS JSON) END AS j FROM event_tree"
+
+
+@R.add("event_property_paths", f"""SELECT regexp_replace(t.fullkey, '\\[[0-9]+\\]', '[*]', 'g') AS path,
+ CASE t.type WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'text' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null'
+ ELSE 'number' END AS kind, count(*) AS "values" FROM ({TREE}) e, json_tree(e.j) t WHERE e.j IS NOT NULL GROUP BY 1, 2""")
+def _(d):
+    return V.property_paths(d.event_tree)
+
+
+@R.add("event_property_columns", f"""SELECT event_id, j->>'$.device.os' AS os, CAST(j->>'$.device.mem' AS DOUBLE) AS mem,
+ CAST(j->>'$.tags[0]' AS BIGINT) AS first_tag, TRY_CAST(j->>'$.tags[1]' AS BIGINT) AS second_tag FROM ({TREE})""")
+def _(d):
+    wanted = {"os": ("$.device.os", "string"), "mem": ("$.device.mem", "double"), "first_tag": ("$.tags[0]", "bigint"), "second_tag": ("$.tags[1]", "bigint")}
+    return V.property_columns(d.event_tree, wanted).select("event_id", *wanted)
+
+
+@R.add("event_property_groups", f"""SELECT j->>'$.device.os' AS "value", count(*) AS events, count(j->>'$.k') AS measured,
+ sum(CAST(j->>'$.k' AS DOUBLE)) AS total, max(CAST(j->>'$.k' AS DOUBLE)) AS largest FROM ({TREE}) GROUP BY 1""")
+def _(d):
+    return V.property_groups(d.event_tree, "$.device.os", "$.k")
+
+
 ARRIVALS = 4
 # Rows arrive in order of their id, but every tenth one round later and every 25th two rounds later.
 IN_ORDER = f"CAST(floor(event_id * {ARRIVALS} / (last_id + 1)) AS INT)"

@@ -15,7 +15,8 @@ CORE = ("src_csv", "field_profile", "describe_all", "detect_types", "field_roles
         "period_dashboard_week", "dimension_trend", "growth_ranking", "numeric_distribution", "category_composition", "time_distribution",
         "growth_ranking_many", "sink_events_nested", "time_distribution_days", "zero_ranges_days", "question_totals", "preview_sample",
         "scatter_sample", "correlation_pairs", "spearman_rank", "eda_flags", "event_dedup_once", "event_stream_counts", "question_confidence",
-        "dimension_rollup", "dimension_rollup_sets", "moving_sum", "as_of_join", "range_join", "rows_changed", "diff_summary")
+        "dimension_rollup", "dimension_rollup_sets", "moving_sum", "as_of_join", "range_join", "rows_changed", "diff_summary",
+        "event_property_paths", "event_property_columns", "event_property_groups")
 pytestmark = pytest.mark.skipif(not Path(DATA).is_dir(), reason="no test tables")
 
 
