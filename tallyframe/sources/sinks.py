@@ -35,19 +35,22 @@ def redact(properties: Column, depth: int = NESTED_LEVELS) -> Column:
     private key occurs anywhere in its text. Lists that hold objects or lists are left out.
     """
     private = F.lit("(?i)(" + "|".join(PRIVATE_KEY_WORDS) + ")")
+    members = lambda value: F.try_variant_get(value, "$", "map<string,variant>")  # noqa: E731  null unless an object
+    items = lambda value: F.try_variant_get(value, "$", "array<variant>")  # noqa: E731  null unless a list
 
-    def clean(key: Column, value: Column) -> Column:
-        text = F.to_json(value)
-        deep_list = F.exists(F.from_json(text, "array<variant>"), lambda v: F.to_json(v).rlike(r"^[\[{]"))
-        out = F.when(F.regexp_like(key, private), _json(REDACTED))
-        out = out.when(text.startswith("[") & deep_list, _json("[omitted list]"))
-        if depth > 1:
-            out = out.when(text.startswith("{"), F.parse_json(redact(text, depth - 1)))
-        else:
-            out = out.when(text.startswith("{") & F.regexp_like(text, private), _json(REDACTED))
-        return out.otherwise(value)
+    def clean(levels: int, top: bool = False):
+        def value_of(key: Column, value: Column) -> Column:
+            deep_list = F.exists(items(value), lambda v: F.to_json(v).rlike(r"^[\[{]"))
+            out = F.when(F.regexp_like(key, private), _json(REDACTED)).when(deep_list, _json("[omitted list]"))
+            if levels > 1:
+                # the text is taken once a row: numbers within objects are those that their own text holds
+                inner = members(F.parse_json(F.to_json(members(value))) if top else value)
+                return out.otherwise(F.coalesce(F.to_variant_object(F.transform_values(inner, clean(levels - 1))), value))
+            return out.when(members(value).isNotNull() & F.regexp_like(F.to_json(value), private), _json(REDACTED)).otherwise(value)
 
-    return F.to_json(F.transform_values(F.from_json(properties, "map<string,variant>"), clean))
+        return value_of
+
+    return F.to_json(F.transform_values(F.from_json(properties, "map<string,variant>"), clean(depth, top=True)))
 
 
 def _json(text: str) -> Column:
@@ -55,6 +58,9 @@ def _json(text: str) -> Column:
 
 
 def write_events(df: DataFrame, path: str, properties: str = "properties") -> None:
-    """Append events as JSON Lines with private properties redacted."""
-    out = df.withColumn(properties, redact(F.col(properties))) if properties in df.columns else df
+    """Append events as JSON Lines with private properties redacted.
+
+    Rows are dealt evenly first: redaction is work by the row, and a small file holds many rows in one split.
+    """
+    out = df.hint("rebalance").withColumn(properties, redact(F.col(properties))) if properties in df.columns else df
     out.write.mode("append").json(path)

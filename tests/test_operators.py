@@ -226,3 +226,15 @@ def test_event_log(spark, tmp_path):
         assert "123" not in text and "[redacted]" in text and ('"k":1' in text) == (levels < 8)
     got = json.loads(spark.createDataFrame([(props,)], "p string").select(redact(F.col("p"))).first()[0])
     assert got == {"Phone_No": "[redacted]", "n": 2, "o": {"email": "[redacted]", "deep": {"mobile": "[redacted]", "k": True}}, "l": [1, 2], "m": "[omitted list]"}
+
+
+def test_redaction_parses_a_row_once(spark):
+    """Levels are walked as variants: the text of the properties is read into a map once, not once a level."""
+    rows = [('{"z": 1e2, "o": {"b": 1e2, "a": {"Email": {"x": 1}, "l": [1, "[2]"], "m": [[1]], "n": null}}, "s": "{phone}"}',
+             '{"z":100.0,"o":{"a":{"Email":"[redacted]","l":[1,"[2]"],"m":"[omitted list]","n":null},"b":100},"s":"{phone}"}'),
+            ('{"o": {}, "l": [], "n": null, "mobile": [{"a": 1}]}', '{"o":{},"l":[],"n":null,"mobile":"[redacted]"}'),
+            ('[{"phone": 1}]', None), ("oops", None), (None, None)]
+    got = spark.createDataFrame(rows, "p string, want string").select(redact(F.col("p")).alias("got"), "want")
+    assert all(r["got"] == r["want"] for r in got.collect())
+    plan = str(spark.range(1).select(redact(F.col("id").cast("string")))._jdf.queryExecution().optimizedPlan())
+    assert plan.count("from_json(") == 1
