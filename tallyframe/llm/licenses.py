@@ -57,6 +57,11 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+def split_words(plain: Column) -> Column:
+    """The words of a text in lower case whose other characters are already spaces."""
+    return F.filter(F.split(plain, " "), lambda w: w != "")
+
+
 def bigrams_of(words: Column) -> Column:
     n = F.greatest(F.size(words) - 1, F.lit(0))
     return F.array_distinct(F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b)))
@@ -85,11 +90,19 @@ def scan_licenses(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None
     ratio = threshold / (2 - threshold)
     limits = template_table(docs, templates or TEMPLATES).agg(F.min("template_size").alias("low"), F.max("template_size").alias("high")).first()
     low, high = (limits["low"] or 0) * ratio, (limits["high"] or 0) / ratio
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("place", "unit")).select(
-        "doc_id", (F.col("place") + 1).alias("line"), "unit")
-    whole = docs.filter(F.col("text").contains("\n")).select("doc_id", F.lit(0).alias("line"), F.col("text").alias("unit"))
-    grams = (lines.union(whole).select("doc_id", "line", F.xxhash64("unit").alias("unit_hash"), words_of(F.col("unit")).alias("words"))
-             .select("doc_id", "line", "unit_hash", bigrams_of(F.col("words")).alias("grams")))
+    # one pass of the regular expression over a text serves its lines and the whole: no word runs over a line's end
+    plain = docs.select("doc_id", "text", F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}\n]+", " ").alias("plain"))
+    several = F.col("text").contains("\n")
+    parts = [F.concat(F.split(c, "\n"), F.when(several, F.array(w)).otherwise(F.array().cast("array<string>"))).alias(c)
+             for c, w in (("text", F.col("text")), ("plain", F.translate("plain", "\n", " ")))]
+    units = (plain.select("doc_id", F.when(several, F.size(F.split("text", "\n"))).alias("whole"), F.posexplode(F.arrays_zip(*parts)).alias("place", "u"))
+             .select("doc_id", F.when(F.col("place") == F.col("whole"), 0).otherwise(F.col("place") + 1).alias("line"),
+                     F.xxhash64("u.text").alias("unit_hash"), F.col("u.plain").alias("plain")))
+    # a beginning with more distinct bigrams than any template allows rules its unit out: the rest of it needs no set
+    begun = units.withColumn("begin", F.substring_index("plain", " ", 2 * int(high) + 4))
+    first = begun.withColumn("begin_words", split_words(F.col("begin"))).withColumn("begin_grams", bigrams_of(F.col("begin_words")))
+    whole_set = F.when(F.col("begin") == F.col("plain"), F.col("begin_grams")).otherwise(bigrams_of(split_words(F.col("plain"))))
+    grams = first.select("doc_id", "line", "unit_hash", F.when(F.size("begin_grams") <= high, whole_set).alias("grams"))
     # the size bounds sit in the array, not in a filter: a filter would be pushed down and build every set twice
     fitting = F.when((F.size("grams") >= low) & (F.size("grams") <= high), F.col("grams"))
     met = (grams.select("doc_id", "line", "unit_hash", F.size("grams").alias("n_bigrams"), fitting.alias("grams"))

@@ -268,3 +268,15 @@ def test_licenses(spark):
             (4, "Permission is granted. The licence is unclear.", "en", "s", 0), (5, None, "en", "s", 0), (6, "", "en", "s", 0)]
     got = {(r.doc_id, r.line): (r.license, r.dice) for r in scan_licenses(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {(1, 2): ("MIT", 1.0), (2, 1): ("GPL-3.0", 1.0), (3, 1): ("GPL-2.0", 1.0)}
+
+
+def test_license_scan_reads_a_text_once(spark):
+    """One pass serves the lines and the whole; a long text with few different bigrams is still compared as a whole."""
+    notice, prose = "Licensed under the MIT License.", " ".join(f"w{i}" for i in range(500))
+    rows = [(1, "Licensed under\nthe MIT License", "en", "s", 0), (2, (notice + " ") * 60, "en", "s", 0),
+            (3, (notice + "\n") * 60, "en", "s", 0), (4, prose + " " + notice, "en", "s", 0), (5, prose + "\n" + notice, "en", "s", 0)]
+    found = scan_licenses(spark.createDataFrame(rows, SCHEMA))
+    got = {(r.doc_id, r.line): (r.template, r.n_bigrams, r.shared) for r in found.collect()}
+    again = {(3, line): ("MIT/1", 4, 4) for line in range(1, 61)}
+    assert got == {(1, 0): ("MIT/1", 4, 4), (2, 1): ("MIT/1", 5, 4), (3, 0): ("MIT/1", 5, 4), (5, 2): ("MIT/1", 4, 4), **again}
+    assert "Union" not in str(found._jdf.queryExecution().optimizedPlan())  # the documents are scanned once
