@@ -125,21 +125,26 @@ def _live_segments(words: Words, live: list[np.ndarray], hot: list[np.ndarray],
     return start, number, anchor, route, content
 
 
-def _live(entries: list) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    live, hot = [], []
-    for entry in entries:
-        keys = np.array([e["anchor"] for e in entry or ()], dtype=np.int64).view(U64)
-        order = np.argsort(keys)
-        live.append(keys[order])
-        hot.append(np.array([e["hot"] for e in entry or ()], dtype=np.int8)[order])
-    return live, hot
+def list_lengths(column: pa.Array) -> np.ndarray:
+    """Entries of each list; none in a null."""
+    return np.asarray(pa.compute.list_value_length(column).fill_null(0)).astype(np.int64)
+
+
+def _live(column: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Sorted anchors of each row and their marks. Nested columns are read as flat arrays here and below: as Python objects they cost more
+    than all other work on a text."""
+    size, flat = list_lengths(column), column.flatten()
+    keys, hot = np.asarray(flat.field("anchor")).view(U64), np.asarray(flat.field("hot")).astype(np.int8)
+    order = np.lexsort((keys, np.repeat(np.arange(len(size)), size)))
+    cuts = np.cumsum(size)[:-1]
+    return np.split(keys[order], cuts), np.split(hot[order], cuts)
 
 
 def segment_places(length: int, k: int, keys: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in unpacked(batches):
             words = split_words(texts)
-            start, _, _, route, content = _live_segments(words, *_live(rows.column("live").to_pylist()), length, k)
+            start, _, _, route, content = _live_segments(words, *_live(rows.column("live")), length, k)
             doc = words.doc[start]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(route.view(np.int64)), pa.array(content.view(np.int64)), *(rows.column(n).take(pa.array(doc)) for n in keys),
@@ -152,27 +157,27 @@ def segment_words(length: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in unpacked(batches):
             words = split_words(texts)
-            start, number, anchor, route, content = _live_segments(words, *_live(rows.column("live").to_pylist()), length, k)
+            start, number, anchor, route, content = _live_segments(words, *_live(rows.column("live")), length, k)
             doc = words.doc[start]
             wanted = rows.column("wanted").flatten()
-            wanted_doc = np.repeat(np.arange(len(texts)), np.asarray(pa.compute.list_value_length(rows.column("wanted"))))
-            pairs = np.stack((np.asarray(wanted.field("route")), np.asarray(wanted.field("content")),
-                              np.asarray(wanted.field("last_id"))))
-            # places in both lists by (document, route, content); a repeated segment is taken once
+            wanted_doc = np.repeat(np.arange(len(texts)), list_lengths(rows.column("wanted")))
+            # places by (document, route, content); a repeated segment is taken once
             have = np.lexsort((content, route, doc))
             lead = np.ones(len(have), dtype=bool)
             a, b = have[1:], have[:-1]
             lead[1:] = (doc[a] != doc[b]) | (route[a] != route[b]) | (content[a] != content[b])
             have = have[lead]
-            asked = {key: last for *key_parts, last in zip(wanted_doc.tolist(), pairs[0].tolist(), pairs[1].tolist(), pairs[2].tolist())
-                     for key in (tuple(key_parts),)}
-            keys = zip(doc[have].tolist(), route[have].view(np.int64).tolist(), content[have].view(np.int64).tolist())
-            last = [asked.get(key) for key in keys]
-            pick = np.array([i for i, x in zip(have.tolist(), last) if x is not None], dtype=np.int64)
+            # both lists in one order: a segment that is asked for stands right before the entry that asks for it
+            both = [np.concatenate((mine[have], asked)) for mine, asked in (
+                (doc, wanted_doc), (route, np.asarray(wanted.field("route")).view(U64)), (content, np.asarray(wanted.field("content")).view(U64)))]
+            order = np.lexsort((np.arange(len(both[0])) >= len(have), both[2], both[1], both[0]))
+            a, b = order[:-1], order[1:]
+            met = (a < len(have)) & (b >= len(have)) & (both[0][a] == both[0][b]) & (both[1][a] == both[1][b]) & (both[2][a] == both[2][b])
+            pick, last = have[a[met]], np.asarray(wanted.field("last_id"))[b[met] - len(have)]
             first, end = start[pick].tolist(), (start[pick] + number[pick] + length - 1).tolist()
             yield pa.RecordBatch.from_arrays(
                 [pa.array(route[pick].view(np.int64)), pa.array(content[pick].view(np.int64)),
-                 rows.column("doc_id").take(pa.array(doc[pick])), pa.array([x for x in last if x is not None], pa.int64()),
+                 rows.column("doc_id").take(pa.array(doc[pick])), pa.array(last),
                  pa.array(number[pick].astype(np.int32)), pa.array(anchor[pick].astype(np.int32)),
                  pa.array([words.text(i, j) for i, j in zip(first, end)], pa.binary())],
                 ["route", "content", "first_id", "last_id", "windows", "anchor_at", "words"])
@@ -217,40 +222,43 @@ def shard_search(length: int, search: Search):
     return run
 
 
-def covered(texts_words: Words, i: int, starts: np.ndarray, length: int) -> np.ndarray:
-    """Mask of text i's words that lie in a window starting at one of starts."""
-    n = int(texts_words.bounds[i + 1] - texts_words.bounds[i])
-    change = np.zeros(n + length + 1, dtype=np.int64)
-    np.add.at(change, starts, 1)
-    np.add.at(change, starts + length, -1)
-    return np.cumsum(change)[:n] > 0
+def covered(words: Words, doc_id: pa.Array, hits: pa.Array, length: int) -> np.ndarray:
+    """Mask of the words that lie in a window whose smallest id is less than the document's own. hits: of each document, start and seen,
+    the smallest ids of the windows from there on."""
+    n, flat = list_lengths(hits), hits.flatten()
+    ids = np.asarray(doc_id.fill_null(NO_ID)).repeat(n)
+    size = list_lengths(flat.field("seen"))
+    first = np.asarray(flat.field("start")) + words.bounds[:-1].repeat(n)
+    gone = np.flatnonzero(np.asarray(flat.field("seen").flatten()) < ids.repeat(size))
+    start = gone + (first - (np.cumsum(size) - size)).repeat(size)[gone]
+    total = len(words.doc) + 1
+    return np.cumsum(np.bincount(start, minlength=total) - np.bincount(start + length, minlength=total))[:-1] > 0
 
 
 def document_results(length: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in unpacked(batches):
             words = split_words(texts)
-            removed, kept, digests, spans = [], [], [], []
-            for i, (doc_id, hits) in enumerate(zip(rows.column("doc_id").to_pylist(), rows.column("hits").to_pylist())):
-                a, b = int(words.bounds[i]), int(words.bounds[i + 1])
-                n, data, ranges = 0, words.text(a, b), []
-                if hits:
-                    starts = np.concatenate([h["start"] + np.flatnonzero(np.asarray(h["seen"]) < doc_id) for h in hits])
-                    gone = covered(words, i, starts, length)
-                    n = int(gone.sum())
-                    if n:
-                        edge = np.flatnonzero(np.diff(np.concatenate(([0], gone.view(np.int8), [0]))))
-                        ranges = edge.reshape(-1, 2).tolist()
-                        left = np.concatenate(([0], edge[1::2])), np.concatenate((edge[0::2], [b - a]))
-                        data = b" ".join(words.text(a + int(s), a + int(e)) for s, e in zip(*left) if e > s)
-                removed.append(n)
+            bounds = words.bounds
+            gone = covered(words, rows.column("doc_id"), rows.column("hits"), length)
+            removed = np.diff(np.concatenate(([0], np.cumsum(gone)))[bounds])
+            # ranges of removed words; the first word of a document begins one of its own
+            apart = np.append(words.doc[1:] != words.doc[:-1], True)
+            begin = np.flatnonzero(gone & np.append(True, ~gone[:-1] | apart[:-1])[:len(gone)])
+            end = np.flatnonzero(gone & (np.append(~gone[1:], True) | apart)[:len(gone)]) + 1
+            cuts = np.searchsorted(words.doc[begin], np.arange(len(texts) + 1))
+            own = bounds[words.doc[begin]]
+            spans = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.StructArray.from_arrays(
+                [pa.array(begin - own), pa.array(end - own)], fields=list(SPANS.value_type)))
+            kept, digests, begin, end = [], [], begin.tolist(), end.tolist()
+            for i, (a, b, n, p, q) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), removed.tolist(), cuts[:-1].tolist(), cuts[1:].tolist())):
+                data = words.text(a, b) if not n else b" ".join(
+                    words.text(s, e) for s, e in zip([a, *end[p:q]], [*begin[p:q], b]) if e > s)
                 digests.append(hashlib.sha256(data).hexdigest())
-                spans.append([{"first": s, "last": e} for s, e in ranges])
                 if with_text:
                     # a text that loses nothing stays as it is, blanks included
                     kept.append(data.decode() if n else None if texts[i] is None else texts[i].decode())
-            arrays = [rows.column("doc_id"), pa.array(np.diff(words.bounds)), pa.array(removed, pa.int64()),
-                      pa.array(spans, SPANS), pa.array(digests, pa.string())]
+            arrays = [rows.column("doc_id"), pa.array(np.diff(bounds)), pa.array(removed), spans, pa.array(digests, pa.string())]
             names = ["doc_id", "n_words", "n_removed", "spans", "kept_sha256"]
             if with_text:
                 arrays.append(pa.array(kept, pa.string()))
