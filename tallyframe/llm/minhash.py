@@ -16,6 +16,8 @@ SHINGLE = 5
 BINS, BANDS = 128, 32
 GROWTH = 16
 RARE = 12
+ROWS_A_TASK = 25_000  # rows of buckets; tables that follow from them are read in so many tasks a row, pairs in PAIR_TASKS times as many
+PAIR_TASKS = 16
 MULTIPLIER = U64(0xD6E8FEB86659FD93)
 
 
@@ -146,40 +148,45 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = SHINGLE, bi
     placed = sets.select("id", "n_shingles", F.explode("bands").alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("n")).filter("n > 1")
     crowd = pinned(placed.join(shared.select("bucket", "hub"), "bucket"))
+    # the shuffles and checkpoints below are many: where few rows are dealt over many partitions, a task reads several
+    tasks = 1 + crowd.count() // ROWS_A_TASK
+    many = tasks * PAIR_TASKS
+    crowd = crowd.coalesce(tasks)
     members = pinned(base.join(crowd.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-                     .mapInArrow(full_sets(width), "id long, members binary"))
+                     .mapInArrow(full_sets(width), "id long, members binary")).coalesce(tasks)
 
     def links(pairs: DataFrame) -> DataFrame:
         """pairs: a, b, size_a, size_b."""
-        near = pairs.filter(f"100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b)").select("a", "b").distinct()
-        withal = (near.join(members.select(F.col("id").alias("b"), F.col("members").alias("right")), "b")
-                  .join(members.select(F.col("id").alias("a"), F.col("members").alias("left")), "a"))
-        return withal.select("a", "b", "left", "right").mapInArrow(confirm(percent), "a long, b long")
+        near = pairs.filter(f"100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b)").select("a", "b")
+        near = near.coalesce(many).distinct().coalesce(many)
+        withal = (near.join(members.select(F.col("id").alias("b"), F.col("members").alias("right")), "b").coalesce(many)
+                  .join(members.select(F.col("id").alias("a"), F.col("members").alias("left")), "a").coalesce(many))
+        return pinned(withal.select("a", "b", "left", "right").mapInArrow(confirm(percent), "a long, b long")).coalesce(tasks)
 
     def unsettled(frame: DataFrame, label: DataFrame) -> DataFrame:
         """The rows of the buckets that hold more than one component."""
-        named = frame.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        named = frame.join(label, "id", "left").withColumn("component", F.coalesce("component", "id")).coalesce(tasks)
         several = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-        return named.join(several.select("bucket"), "bucket")
+        return named.join(several.select("bucket"), "bucket").coalesce(tasks)
 
     # each document with the hub it shares most buckets with; what that leaves open is for the rounds below
     spokes = crowd.filter("id <> hub").groupBy("id", "n_shingles", "hub").agg(F.count("*").alias("met"))
     nearest = spokes.groupBy("id", "n_shingles").agg(F.max(F.struct("met", (-F.col("hub")).alias("less"))).alias("best"))
     sizes = crowd.groupBy("id").agg(F.first("n_shingles").alias("size_a"))
     first = nearest.select((-F.col("best.less")).alias("a"), F.col("id").alias("b"), F.col("n_shingles").alias("size_b"))
-    edges = pinned(links(first.join(sizes.withColumnRenamed("id", "a"), "a")))
+    edges = links(first.join(sizes.withColumnRenamed("id", "a"), "a"))
     label = components(edges)
     rest = pinned(unsettled(crowd, label))
     if not rest.isEmpty():
         # shingles of few of these documents: a pair that shares one is compared; in any other pair's intersection there is none
-        single = members.join(rest.select("id").distinct(), "id", "left_semi").select("id", "members").mapInArrow(single_shingles, "shingle long, id long")
-        few = pinned(single.groupBy("shingle").agg(F.count("*").alias("n"), F.min("id").alias("id")).filter(f"n <= {RARE}"))
-        postings = pinned(single.join(few.filter("n > 1").select("shingle"), "shingle").groupBy("shingle").agg(F.collect_list("id").alias("ids")))
+        single = members.join(rest.select("id").distinct(), "id", "left_semi").select("id", "members").mapInArrow(single_shingles, "shingle long, id long").coalesce(many)
+        few = pinned(single.groupBy("shingle").agg(F.count("*").alias("n"), F.min("id").alias("id")).filter(f"n <= {RARE}").coalesce(many))
+        postings = pinned(single.join(few.filter("n > 1").select("shingle"), "shingle").groupBy("shingle").agg(F.collect_list("id").alias("ids")).coalesce(many))
         rare = (few.filter("n = 1").select("id").union(postings.select(F.explode("ids").alias("id"))).groupBy("id").agg(F.count("*").alias("rare")))
         meet = (postings.select(F.explode("ids").alias("a"), "ids").select("a", F.explode("ids").alias("b")).filter("a < b").distinct()
                 .join(rest.select(F.col("id").alias("a"), F.col("n_shingles").alias("size_a"), F.col("component").alias("of_a")).distinct(), "a")
                 .join(rest.select(F.col("id").alias("b"), F.col("n_shingles").alias("size_b"), F.col("component").alias("of_b")).distinct(), "b"))
-        found = pinned(links(meet.filter("of_a <> of_b")))
+        found = links(meet.filter("of_a <> of_b"))
         if not found.isEmpty():
             edges = edges.union(found)
             label = components(edges)
@@ -188,7 +195,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = SHINGLE, bi
             "bucket", "id", "n_shingles", "common", F.expr("pmod(xxhash64(id), 1073741824) / 1073741824D").alias("draw"))
         sized = rest.groupBy("bucket").agg(F.count("*").alias("size"), F.min_by("id", F.struct(
             (-F.col("common") / F.col("n_shingles")).alias("less"), "id")).alias("hub"))
-        rest = pinned(rest.join(sized.filter("size > 1"), "bucket"))
+        rest = pinned(rest.join(sized.filter("size > 1"), "bucket").coalesce(tasks))
+        members = pinned(members.join(rest.select("id").distinct(), "id", "left_semi").coalesce(tasks))  # no other is compared any more
     # round 0 takes the document with the fewest shingles of its own as hub, the next ones GROWTH times as many drawn hubs each
     step = 0
     while True:
@@ -198,7 +206,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = SHINGLE, bi
             break
         # each document with all its buckets, so that a pair comes out of the first one in which both meet and of no other
         facts = ["id", "n_shingles", "common", "component", "draw"]
-        whole = left.groupBy(*facts).agg(F.collect_list(F.struct("bucket", "size", "hub")).alias("b"))
+        whole = left.groupBy(*facts).agg(F.collect_list(F.struct("bucket", "size", "hub")).alias("b")).coalesce(tasks)
         mine = whole.select(*facts, F.transform("b", lambda b: b["bucket"]).alias("mine"), F.inline("b")).drop("size", "hub")
         hubs = whole.select(*[F.col(c).alias(f"{c}_a") for c in facts], F.filter("b", lambda b: (b["hub"] == F.col("id")) if step == 0 else (
             (F.col("draw") * b["size"] >= low) & (F.col("draw") * b["size"] < high))).alias("h")).filter("size(h) > 0")
@@ -208,7 +216,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = SHINGLE, bi
         pairs = mine.join(hubs, (mine["bucket"] == hubs["bucket"]) & F.expr(f"component <> component_a AND {later} AND {bound}")
                           & (mine["bucket"] == F.array_min(F.array_intersect("mine", "ours")))).selectExpr(
             "least(id_a, id) AS a", "greatest(id_a, id) AS b", "n_shingles_a AS size_a", "n_shingles AS size_b")
-        found = pinned(links(pairs))
+        found = links(pairs)
         if not found.isEmpty():
             edges = edges.union(found)
             label = components(edges)
