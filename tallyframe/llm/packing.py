@@ -8,9 +8,12 @@ Documents sorted by anchor are cut into shards.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +28,11 @@ SHARD_BYTES, PARTITION_BYTES = 4 << 20, 256 << 20
 SKETCH, CANDIDATES, COMPANY = 64, 8, 8
 K1, B = 1.2, 0.75
 SLOTS, BATCH_WORDS = 1 << 21, 10_000
-MARKS = b".,;:!?*#$%&|"
+# small letters as they are in every normal form, and marks after them
+LETTERS_THEN_MARKS = re.compile("([a-z\u00df-\u00f6\u00f8-\u00ff]+)([.,;:!?*#$%&|]*)")
+# how a vocabulary has to cut text for such letters to be one word of its model, spelled by bytes, and such marks words of their own
+SPLIT_BY = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+NORMAL = {"NFC", "Lowercase", "Replace"}
 
 
 class WordTokenizer:
@@ -39,6 +46,18 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path) as file:
+            spec = json.load(file)
+        steps = (spec["normalizer"] or {}).get("normalizers", [])
+        cuts = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+        self.by_letters = (
+            {x["type"] for x in steps} <= NORMAL and all(x["pattern"] == {"Regex": "\\s+"} for x in steps if x["type"] == "Replace")
+            and [x["type"] for x in cuts] == ["Split", "ByteLevel"] and cuts[0]["pattern"] == {"Regex": SPLIT_BY} and cuts[0]["invert"]
+            and not cuts[1]["add_prefix_space"] and not cuts[1]["use_regex"]
+            and not any(LETTERS_THEN_MARKS.fullmatch(x["content"]) for x in spec["added_tokens"]))
+        # the model's spelling of letters beyond ASCII
+        self.spelling = {ord(c): self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xDF, 0x100))
+                         if self.by_letters and LETTERS_THEN_MARKS.fullmatch(c)}
         self.forget()
 
     def forget(self, words: int = 0) -> None:
@@ -71,16 +90,27 @@ class WordTokenizer:
             h, number, slot = h[~mine], number[~mine], (slot[~mine] + 1) & (self.slots - 1)
 
     def learn(self, words: list[bytes]) -> None:
-        """Marks at the end of a word of letters are tokens of their own, so both parts are encoded apart, and once each."""
-        cores = [w.rstrip(MARKS) for w in words]
-        cut = [len(c) if c and 97 <= c[-1] <= 122 else len(w) for c, w in zip(cores, words)]
-        parts = list({p for w, n in zip(words, cut) for p in (w[:n], w[n:])})
-        ids = {p: e.ids for a in range(0, len(parts), BATCH_WORDS) for p, e in zip(
-            parts[a:a + BATCH_WORDS], self.tokenizer.encode_batch_fast([p.decode() for p in parts[a:a + BATCH_WORDS]], add_special_tokens=False))}
-        size = np.fromiter((len(ids[w[:n]]) + len(ids[w[n:]]) for w, n in zip(words, cut)), dtype=np.int64, count=len(words))
-        flat = np.fromiter((i for w, n in zip(words, cut) for p in (w[:n], w[n:]) for i in ids[p]), dtype=np.int32, count=int(size.sum()))
-        self.ids = np.concatenate((self.ids, flat))
-        self.bounds = np.concatenate((self.bounds, self.bounds[-1] + np.cumsum(size)))
+        """Marks at the end of a word of letters are tokens of their own, so both parts are encoded apart, and once each; letters
+        go straight to the model, which is what the tokenizer does with them after cutting them out."""
+        match = LETTERS_THEN_MARKS.fullmatch if self.by_letters else lambda word: None
+        found = [match(w) or w for w in b"\n".join(words).decode().split("\n")] if words else []
+        numbers: dict[str, int] = {}
+        letters = np.array([-1 if isinstance(m, str) else numbers.setdefault(m[1], len(numbers)) for m in found], dtype=np.int64)
+        model, spelling = self.tokenizer.model, self.spelling
+        ids = [[t.id for t in model.tokenize(p if p.isascii() else p.translate(spelling))] for p in numbers]
+        others: dict[str, int] = {}
+        rest = np.array([others.setdefault(m if isinstance(m, str) else m[2], len(others)) for m in found], dtype=np.int64)
+        parts = list(others)
+        for a in range(0, len(parts), BATCH_WORDS):
+            ids += [e.ids for e in self.tokenizer.encode_batch_fast(parts[a:a + BATCH_WORDS], add_special_tokens=False)]
+        ids.append([])  # a word without such letters has -1 there
+        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(size.sum()))
+        start = np.cumsum(size) - size
+        both = np.stack((letters, rest + len(numbers)), axis=1).ravel()
+        until = np.concatenate(([0], np.cumsum(size[both])))
+        self.ids = np.concatenate((self.ids, flat[np.arange(until[-1]) + np.repeat(start[both] - until[:-1], size[both])]))
+        self.bounds = np.concatenate((self.bounds, self.bounds[-1] + until[2::2]))
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the bounds of each text's."""

@@ -5,7 +5,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tallyframe.llm.packing import BM25, Statistics, best_two, candidates, fill_order, pack, window_cuts
+from tallyframe.llm.packing import BM25, Statistics, WordTokenizer, best_two, candidates, fill_order, pack, window_cuts
 from tallyframe.llm.topk import exact_top_k
 
 from .data import EDGES, SCHEMA, corpus
@@ -154,3 +154,24 @@ def test_packing_of_repeated_rows_and_missing_ids(spark):
     assert sum(p.length for p in got if p.doc_id is None and p.doc_tokens > 1) == 50 * max(p.doc_tokens for p in got)
     assert sorted((p.doc_id, p.length) for p in got if p.doc_tokens == 1 and p.doc_id is not None) == [(8, 1)]
     assert pack(frame.limit(0), tokenizer_path("word_bpe_49k.json")).collect() == []
+
+
+def test_words_of_letters_go_straight_to_the_model():
+    """Ids are those of the whole tokenizer, which only sees what is no word of small letters."""
+    path = tokenizer_path("word_bpe_49k.json")
+    tokenizer = WordTokenizer(path)
+    texts = ["plain words, straße; olé. naïve!", "it's ÿ¿ a×b ab1 d'accord 'tis don't! q|| --a caffè‘ ªº µ é\u0301t\u00e9", "CAPS École <|startoftext|>abc x<|endoftext|>,", ""]
+    want = [tokenizer.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert tokenizer.by_letters
+    seen, encode = [], tokenizer.tokenizer.encode_batch_fast
+
+    class Told:
+        model = tokenizer.tokenizer.model
+
+        def encode_batch_fast(self, parts, **options):
+            seen.extend(parts)
+            return encode(parts, **options)
+    tokenizer.tokenizer = Told()
+    ids, bounds = tokenizer.encode([t.encode() for t in texts])
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == want
+    assert not {"plain", "straße", "olé", "naïve"} & set(seen) and "it's" in seen
