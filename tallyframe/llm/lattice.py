@@ -21,16 +21,18 @@ BORROWED = 0.02  # weight of the counts of all languages beside those of one
 BATCH = 5_000
 MOST_UNKNOWN = 0.5
 SPREAD = U64(0x9FB21C651E98DF25)
+SCREEN_BITS = 18
 
 
 @dataclass
 class Pieces:
     """Arcs of the lattice: pieces that start a word, pieces that go on, and single bytes for both. prior: by own scores."""
 
-    tables: list  # for start and going on: [(keys by slot, piece numbers by slot, bits of a slot), ...]
+    tables: list  # for start and going on: marks of the slots that some key has, [(keys by slot, piece numbers by slot, bits of a slot), ...]
     first: int  # number of arcs that start a word; they come first
     prior: np.ndarray
     longest: int  # bytes of the longest piece
+    reach: np.ndarray  # bytes of the longest piece with these first three bytes, or others of the same slot
 
     @staticmethod
     def load(path: str) -> Pieces:
@@ -60,16 +62,25 @@ class Pieces:
         prior = np.array(weights)
         prior[:first] /= prior[:first].sum()
         prior[first:] /= prior[first:].sum()
-        return Pieces([hash_tables(keys, p) for p in places], first, prior, max((len(p) for p in (*start, *onward)), default=1))
+        reach = np.zeros(1 << 18, dtype=np.int32)
+        for p in (*start, *onward):
+            if len(p) > 2:
+                slot = three_bytes(*np.frombuffer(p, dtype=np.uint8)[:3].astype(np.int64))
+                reach[slot] = max(reach[slot], len(p))
+        return Pieces([hash_tables(keys, p) for p in places], first, prior, max((len(p) for p in (*start, *onward)), default=1), reach)
 
     def find(self, onward: int, key: np.ndarray) -> np.ndarray:
         """Numbers of the arcs with these keys; -1 for none."""
         out = np.full(key.size, -1, dtype=np.int64)
-        flat = key.ravel()
-        for known, numbers, bits in self.tables[onward]:
-            slot = (flat * SPREAD) >> U64(64 - bits)
-            hit = np.flatnonzero(known[slot] == flat)
-            out[hit] = numbers[slot[hit]]
+        flat = key.ravel() * SPREAD  # odd, so that it tells keys apart as they do themselves
+        screen, tables = self.tables[onward]
+        open_ = np.flatnonzero(screen.take((flat >> U64(64 - SCREEN_BITS)).view(np.int64)))  # most substrings are no piece
+        flat = flat[open_]
+        for known, numbers, bits in tables:
+            slot = (flat >> U64(64 - bits)).view(np.int64)
+            hit = known.take(slot) == flat
+            out[open_[hit]] = numbers[slot[hit]]
+            open_, flat = open_[~hit], flat[~hit]
         return out.reshape(key.shape)
 
     def byte(self, onward: int) -> int:
@@ -87,17 +98,24 @@ def piece_key(piece: bytes) -> int:
     return int(substring_key(value.sum(dtype=U64, keepdims=True), len(piece))[0])
 
 
-def hash_tables(keys: np.ndarray, places: np.ndarray) -> list:
-    """A direct table by some bits of the key; what collides goes to a smaller one by more spread, and so on."""
-    out, bits = [], 16
+def three_bytes(one, two, three):
+    """A slot out of 2^18, of its own for three small letters."""
+    return (one ^ two << 5 ^ three << 10) & ((1 << 18) - 1)
+
+
+def hash_tables(keys: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, list]:
+    """A direct table by some bits of the spread key; what collides goes to a smaller one, and so on. Before them a screen of more bits."""
+    out, bits, keys = [], 16, keys * SPREAD
+    screen = np.zeros(1 << SCREEN_BITS, dtype=bool)
+    screen[keys[places] >> U64(64 - SCREEN_BITS)] = True
     while len(places):
-        slot = (keys[places] * SPREAD) >> U64(64 - bits)
+        slot = keys[places] >> U64(64 - bits)
         known, numbers = np.zeros(1 << bits, dtype=U64), np.zeros(1 << bits, dtype=np.int64)
         known[slot], numbers[slot] = keys[places], places
         out.append((known, numbers, bits))
         places = places[numbers[slot] != places]
         bits = max(bits - 1, 1) if len(out) < 12 else bits + 3
-    return out
+    return screen, out
 
 
 def arcs_of(pieces: Pieces, letters: np.ndarray) -> list[tuple[int, np.ndarray]]:
@@ -109,11 +127,19 @@ def arcs_of(pieces: Pieces, letters: np.ndarray) -> list[tuple[int, np.ndarray]]
     whole = letters.astype(np.int64) + pieces.byte(1)
     whole[:, 0] += pieces.byte(0) - pieces.byte(1)
     out = [(1, whole)]
+    codes = letters.astype(np.int64)
+    reach = pieces.reach.take(three_bytes(codes[:, :-2], codes[:, 1:-1], codes[:, 2:])) if size > 2 else None
     for n in range(1, min(pieces.longest, size) + 1):
-        key = substring_key((sums[:, n:] - sums[:, :size + 1 - n]) * back[:size + 1 - n], n)
-        number = pieces.find(1, key)
-        number[:, 0] = pieces.find(0, key[:, 0])
-        if (number >= 0).any():
+        wide = size + 1 - n  # only places where some piece is so long are looked up
+        at = np.arange(len(letters) * wide) if n < 3 else np.flatnonzero(reach[:, :wide] >= n)
+        word, place = np.divmod(at, wide)
+        begin = word * (size + 1) + place
+        key = substring_key((sums.take(begin + n) - sums.take(begin)) * back.take(place), n)
+        found, lead = pieces.find(1, key), place == 0
+        found[lead] = pieces.find(0, key[lead])
+        if (found >= 0).any():
+            number = np.full((len(letters), wide), -1, dtype=np.int64)
+            number.ravel()[at] = found
             out.append((n, number))
     return out
 
@@ -220,15 +246,18 @@ def training_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for rows, texts in slices(batches):
         words = split_words([t.lower() if t else t for t in texts])
         kind = np.asarray(rows.column("class"))
-        out = []
+        names, of, docs, tokens = [], [], [], []
         for k in np.unique(kind[kind >= 0]).tolist():
             mine = np.flatnonzero(kind[words.doc] == k)
             at = mine[np.unique(words.hashes[mine], return_index=True)[1]]
-            docs = int((kind == k).sum())
-            out.append((k, None, docs, len(mine) + docs))
-            out += [(k, words.raw[a:b], 0, 0) for a, b in zip(words.starts[at].tolist(), words.ends[at].tolist())]
+            n = int((kind == k).sum())
+            names += [None, *(words.raw[a:b] for a, b in zip(words.starts[at].tolist(), words.ends[at].tolist()))]
+            of.append(np.full(len(at) + 1, k, dtype=np.int32))
+            for column, own in ((docs, n), (tokens, len(mine) + n)):
+                column.append(np.append(own, np.zeros(len(at), dtype=np.int64)))
+        flat = [pa.array(np.concatenate(x) if x else np.zeros(0, dtype=t)) for x, t in ((of, np.int32), (docs, np.int64), (tokens, np.int64))]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.int64(), pa.int64()))],
+            [flat[0], pa.array(names, pa.binary()), *flat[1:]],
             ["class", "word", "docs", "tokens"])
 
 
@@ -259,7 +288,7 @@ def block_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, texts in unpacked(batches, COUNT_BYTES):
         words = split_words([t.lower() if t else t for t in texts])
         block, kind = np.asarray(rows.column("block"))[words.doc], np.asarray(rows.column("class"))[words.doc]
-        order = np.lexsort((words.hashes, kind, block))
+        order = np.lexsort((words.hashes, (block.astype(np.int64) << 5) + kind))  # at most 16 classes
         block, kind, h = block[order], kind[order], words.hashes[order]
         lead = np.ones(len(h), dtype=bool)
         lead[1:] = (h[1:] != h[:-1]) | (kind[1:] != kind[:-1]) | (block[1:] != block[:-1])

@@ -280,3 +280,22 @@ def test_license_scan_reads_a_text_once(spark):
     again = {(3, line): ("MIT/1", 4, 4) for line in range(1, 61)}
     assert got == {(1, 0): ("MIT/1", 4, 4), (2, 1): ("MIT/1", 5, 4), (3, 0): ("MIT/1", 5, 4), (5, 2): ("MIT/1", 4, 4), **again}
     assert "Union" not in str(found._jdf.queryExecution().optimizedPlan())  # the documents are scanned once
+
+
+def test_arcs_are_all_pieces_that_stand_there():
+    """The look-up leaves out places by their first bytes: against a plain search, and few places are looked up for long pieces."""
+    path = tokenizer_path("piece_bpe_32k.model")
+    model, pieces = sentencepiece.SentencePieceProcessor(model_file=path), Pieces.load(path)
+    plain = [model.id_to_piece(i) for i in range(model.vocab_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i) or model.is_byte(i))]
+    start = {p[1:].encode() for p in plain if p.startswith("▁") and len(p) > 1 and "▁" not in p[1:]}
+    onward = {p.encode() for p in plain if "▁" not in p}
+    looked_up, find = Counter(), Pieces.find
+    for words in ([b"international", b"constitution_", b"xqzkvwjxqzkvw"], ["населения".encode(), "übergäbeförmi".encode()[:18].ljust(18, b"e")], [b"ab"], [b"a"]):
+        size = len(words[0])
+        matrix = np.frombuffer(b"".join(words), dtype=np.uint8).reshape(-1, size)
+        pieces.find = lambda onward, key: (looked_up.update({size: key.size}), find(pieces, onward, key))[1]
+        got = {(n, w, p) for n, number in lattice.arcs_of(pieces, matrix)[1:] for w, p in zip(*np.nonzero(number >= 0))}
+        want = {(n, w, p) for w, word in enumerate(words) for p in range(size) for n in range(1, size - p + 1)
+                if word[p:p + n] in (start if p == 0 else onward)}
+        assert got == want
+    assert looked_up[13] < 3 * 13 * 14 / 2
