@@ -5,13 +5,16 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tallyframe.llm import anchors, graph, minhash
+from tallyframe.llm.anchors import covered
 from tallyframe.llm.fm_index import FMIndex, substring_dedup
 from tallyframe.llm.graph import components
 from tallyframe.llm.minhash import band_keys, near_duplicates, shingle_sets, signatures
 from tallyframe.llm.suffix_array import passage_dedup
+from tallyframe.llm.text import split_words
 
 from .data import SCHEMA, corpus
 
@@ -187,3 +190,50 @@ def test_small_and_large_graphs_have_equal_components(spark, monkeypatch):
     monkeypatch.setattr(graph, "SMALL", 10)
     assert sorted(map(tuple, components(frame).collect())) == small
     assert components(frame.limit(0)).collect() == []
+
+
+def test_removed_words_from_flat_columns():
+    """Against a plain count: windows that touch a document's ends, neighbours that both lose words, a null id, documents without hits."""
+    rng = random.Random(8)
+    texts = [" ".join(f"w{j}" for j in range(rng.randint(0, 30))).encode() or None for _ in range(60)]
+    ids = [None if i % 17 == 5 else i for i in range(60)]
+    words = split_words(texts)
+    hits = []
+    for t in texts:
+        n = len((t or b"").split()) - 3
+        hits.append(None if n < 1 or rng.random() < 0.2 else [
+            {"start": s, "seen": [rng.randint(0, 60) for _ in range(rng.randint(1, n - s))]} for s in rng.sample(range(n), min(n, 3))])
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("seen", pa.list_(pa.int64()))]))
+    want = []
+    for d, t, h in zip(ids, texts, hits):
+        gone = [False] * len((t or b"").split())
+        for x in h or ():
+            for k, low in enumerate(x["seen"]):
+                if d is not None and low < d:
+                    gone[x["start"] + k:x["start"] + k + 4] = [True] * 4
+        want += gone
+    assert covered(words, pa.array(ids, pa.int64()), pa.array(hits, kind), 4).tolist() == want and 0 < sum(want) < len(want)
+
+
+def test_few_rows_take_few_tasks(spark):
+    """The rounds over a group of near copies: tasks follow the rows, not the partitions that a shuffle is set to."""
+    rng = random.Random(3)
+    base = [f"word{i}" for i in range(120)]
+    rows = [(i, " ".join(f"edit{rng.randrange(50)}" if rng.random() < 0.04 else w for w in base), None, None, None) for i in range(150)]
+    settings = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    context = spark.sparkContext
+    context.setJobGroup("few-rows", "near copies")
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+        context.setLocalProperty("spark.jobGroup.id", None)
+    told = context.statusTracker()
+    stages = {s: told.getStageInfo(s) for j in told.getJobIdsForGroup("few-rows") for s in told.getJobInfo(j).stageIds}
+    tasks = sum(s.numCompletedTasks for s in stages.values() if s)
+    print("tasks", tasks)
+    assert tasks < 3000
