@@ -7,14 +7,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tallyframe.llm.anchors import packed_column, unpacked
 from tallyframe.llm.text import BASE, BASE_INVERSE, U64, Words, give_back, id_remainder, powers, slices, small_batches, split_words
 
 HOLD_OUT = 10
 BLOCK_BYTES = 24 << 20
-COUNT_BYTES, SCORE_BYTES = 6 << 20, 4 << 20  # of compressed text, worked on at once
+LEARN_BYTES = 2 << 20  # of text, worked on at once; the next ones are of compressed text
+COUNT_BYTES, SCORE_BYTES = 6 << 20, 4 << 20
 MAIN_CLASSES = 15
 PRIOR_MASS = 200.0  # of the vocabulary's own scores, against one for each word type met
 BORROWED = 0.02  # weight of the counts of all languages beside those of one
@@ -32,7 +33,7 @@ class Pieces:
     first: int  # number of arcs that start a word; they come first
     prior: np.ndarray
     longest: int  # bytes of the longest piece
-    reach: np.ndarray  # bytes of the longest piece with these first three bytes, or others of the same slot
+    lengths: np.ndarray  # bit n % 64: some piece of n bytes has these first three bytes, or others of the same slot
 
     @staticmethod
     def load(path: str) -> Pieces:
@@ -62,12 +63,12 @@ class Pieces:
         prior = np.array(weights)
         prior[:first] /= prior[:first].sum()
         prior[first:] /= prior[first:].sum()
-        reach = np.zeros(1 << 18, dtype=np.int32)
+        lengths = np.zeros(1 << 18, dtype=U64)
         for p in (*start, *onward):
             if len(p) > 2:
                 slot = three_bytes(*np.frombuffer(p, dtype=np.uint8)[:3].astype(np.int64))
-                reach[slot] = max(reach[slot], len(p))
-        return Pieces([hash_tables(keys, p) for p in places], first, prior, max((len(p) for p in (*start, *onward)), default=1), reach)
+                lengths[slot] |= U64(1 << len(p) % 64)
+        return Pieces([hash_tables(keys, p) for p in places], first, prior, max((len(p) for p in (*start, *onward)), default=1), lengths)
 
     def find(self, onward: int, key: np.ndarray) -> np.ndarray:
         """Numbers of the arcs with these keys; -1 for none."""
@@ -118,45 +119,84 @@ def hash_tables(keys: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, list]
     return screen, out
 
 
-def arcs_of(pieces: Pieces, letters: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    """(length, arc numbers by word and start) over words of one length, given as a matrix of bytes; -1: no arc."""
-    size = letters.shape[1]
-    sums = np.zeros((len(letters), size + 1), dtype=U64)
-    np.cumsum((letters.astype(U64) + U64(1)) * powers(BASE, size), axis=1, out=sums[:, 1:], dtype=U64)
-    back = powers(BASE_INVERSE, size + 1)
-    whole = letters.astype(np.int64) + pieces.byte(1)
-    whole[:, 0] += pieces.byte(0) - pieces.byte(1)
-    out = [(1, whole)]
-    codes = letters.astype(np.int64)
-    reach = pieces.reach.take(three_bytes(codes[:, :-2], codes[:, 1:-1], codes[:, 2:])) if size > 2 else None
+def found_arcs(pieces: Pieces, letters: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, places, arc numbers) over words of one length, given as a matrix of bytes; a place is start * words + word.
+
+    The first entry has the single bytes, one for every place; the others only the places where a piece of that length stands, in order.
+    """
+    words, size = letters.shape
+    codes = letters.T.astype(np.int64)
+    sums = np.zeros((size + 1, words), dtype=U64)
+    np.cumsum((codes.view(U64) + U64(1)) * powers(BASE, size)[:, None], axis=0, out=sums[1:], dtype=U64)
+    sums, back = sums.ravel(), powers(BASE_INVERSE, size + 1)
+    whole = codes + pieces.byte(1)
+    whole[0] += pieces.byte(0) - pieces.byte(1)
+    out = [(1, np.arange(words * size), whole.ravel())]
+    lengths = pieces.lengths.take(three_bytes(codes[:-2], codes[1:-1], codes[2:])).ravel() if size > 2 else None
     for n in range(1, min(pieces.longest, size) + 1):
-        wide = size + 1 - n  # only places where some piece is so long are looked up
-        at = np.arange(len(letters) * wide) if n < 3 else np.flatnonzero(reach[:, :wide] >= n)
-        word, place = np.divmod(at, wide)
-        begin = word * (size + 1) + place
-        key = substring_key((sums.take(begin + n) - sums.take(begin)) * back.take(place), n)
-        found, lead = pieces.find(1, key), place == 0
-        found[lead] = pieces.find(0, key[lead])
-        if (found >= 0).any():
-            number = np.full((len(letters), wide), -1, dtype=np.int64)
-            number.ravel()[at] = found
-            out.append((n, number))
+        wide = (size + 1 - n) * words  # only places where some piece is so long are looked up
+        at = np.arange(wide) if n < 3 else np.flatnonzero(lengths[:wide] & U64(1 << n % 64))
+        key = substring_key((sums.take(at + n * words) - sums.take(at)) * back.take(at // words), n)
+        lead = int(np.searchsorted(at, words))
+        found = np.concatenate((pieces.find(0, key[:lead]), pieces.find(1, key[lead:])))
+        hit = np.flatnonzero(found >= 0)
+        if len(hit):
+            out.append((n, at[hit], found[hit]))
+    return out
+
+
+def arcs_of(pieces: Pieces, letters: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """The arcs as (length, arc numbers by word and start); -1: no arc."""
+    words, size = letters.shape
+    out = []
+    for n, at, found in found_arcs(pieces, letters):
+        number = np.full((size + 1 - n) * words, -1, dtype=np.int64)
+        number[at] = found
+        out.append((n, number.reshape(-1, words).T))
+    return out
+
+
+def by_start(arcs: list, words: int, size: int) -> list[tuple[int, list]]:
+    """(length, [(words, arc numbers) for each start]) of the arcs after the single bytes."""
+    out = []
+    for n, at, number in arcs[1:]:
+        cuts = np.searchsorted(at, np.arange(size + 2 - n) * words).tolist()
+        out.append((n, [(at[a:b] - start * words, number[a:b]) for start, (a, b) in enumerate(zip(cuts, cuts[1:]))]))
     return out
 
 
-def log_sum(parts: list[np.ndarray]) -> np.ndarray:
-    if len(parts) == 1:
-        return parts[0]
-    stack = np.stack(parts)
-    top = stack.max(axis=0)
-    return top + np.log(np.exp(stack - top).sum(axis=0))
+def log_add(total: np.ndarray, parts: list[tuple[np.ndarray, np.ndarray]], far: bool) -> np.ndarray:
+    """log of exp(total) and the exp(part) of each (words, part). far: a part may exceed total by more than a float's exponent holds."""
+    if not parts:
+        return total
+    top = total
+    if far:
+        top = total.copy()
+        for hit, part in parts:
+            top[hit] = np.maximum(top.take(hit, axis=0), part)
+    more = np.exp(total - top) if far else np.ones_like(total)
+    for hit, part in parts:
+        more[hit] += np.exp(part - top.take(hit, axis=0))
+    return top + np.log(more)
+
+
+def far_apart(pieces: Pieces, table: np.ndarray) -> bool:
+    """Whether the bytes of a piece, one by one, may weigh less than the piece by more than a float's exponent holds."""
+    least = min(table[pieces.byte(k):pieces.byte(k) + 256].min() for k in (0, 1))
+    return bool(-least * pieces.longest > 600)
 
 
-def forward(arcs: list, weight: np.ndarray, words: int, size: int) -> np.ndarray:
-    """Log-space forward recursion: row e sums all ways to spell the first e bytes. weight: log weight of each arc, -inf last."""
-    alpha = np.zeros((size + 1, words))
+def forward(arcs: list, starts: list, table: np.ndarray, words: int, size: int, far: bool) -> np.ndarray:
+    """Log-space forward recursion: row e sums all ways to spell the first e bytes. table: log weights of each arc, of one class or several.
+
+    It runs over the arcs that are there; a single byte is one, so no place is without.
+    """
+    alpha = np.zeros((size + 1, words, *table.shape[1:]))
+    whole = arcs[0][2].reshape(size, words)
     for end in range(1, size + 1):
-        alpha[end] = log_sum([alpha[end - n] + weight[number[:, end - n]] for n, number in arcs if n <= end])
+        parts = [(hit, alpha[end - n].take(hit, axis=0) + table.take(number, axis=0))
+                 for n, at in starts if n <= end for hit, number in (at[end - n],) if len(hit)]
+        alpha[end] = log_add(alpha[end - 1] + table.take(whole[end - 1], axis=0), parts, far)
     return alpha
 
 
@@ -174,47 +214,45 @@ def by_length(words: Words, pick: np.ndarray) -> Iterator[tuple[np.ndarray, np.n
             yield group, raw[words.starts[pick[group]][:, None] + np.arange(n)]
 
 
-def expected_uses(pieces: Pieces, weight: np.ndarray, words: Words, pick: np.ndarray) -> np.ndarray:
-    """Expected number of uses of each arc over all segmentations of the picked words (forward and backward recursion)."""
-    out = np.zeros(len(pieces.prior))
+def expected_uses(pieces: Pieces, weight: np.ndarray, words: Words, pick: np.ndarray, member: np.ndarray | None = None) -> np.ndarray:
+    """Expected number of uses of each arc over all segmentations of the picked words (forward and backward recursion).
+
+    member: which of several classes (column) each picked word (row) belongs to; then a row of uses for each class.
+    """
+    out = np.zeros((1 if member is None else member.shape[1], len(pieces.prior)))
+    far = far_apart(pieces, weight)
     for group, letters in by_length(words, pick):
-        arcs, size = arcs_of(pieces, letters), letters.shape[1]
-        alpha = forward(arcs, weight, len(group), size)
-        beta = np.zeros_like(alpha)
+        arcs, (count, size) = found_arcs(pieces, letters), letters.shape
+        starts = by_start(arcs, count, size)
+        alpha = forward(arcs, starts, weight, count, size, far)
+        beta, whole = np.zeros_like(alpha), arcs[0][2].reshape(size, count)
         for start in range(size - 1, -1, -1):
-            beta[start] = log_sum([beta[start + n] + weight[number[:, start]] for n, number in arcs if start + n <= size])
-        for n, number in arcs:
-            place, word = np.nonzero((number >= 0).T)
-            chance = np.exp(alpha[place, word] + weight[number[word, place]] + beta[place + n, word] - alpha[size, word])
-            out += np.bincount(number[word, place], chance, minlength=len(out))
-    return out
+            parts = [(hit, beta[start + n].take(hit) + weight.take(number))
+                     for n, at in starts if start + n <= size for hit, number in (at[start],) if len(hit)]
+            beta[start] = log_add(beta[start + 1] + weight.take(whole[start]), parts, far)
+        before, after = (alpha - alpha[size]).ravel(), beta.ravel()
+        number = np.concatenate([x for _, _, x in arcs])
+        chance = np.exp(np.concatenate([before.take(at) + after.take(at + n * count) for n, at, _ in arcs]) + weight.take(number))
+        if member is None:
+            out[0] += np.bincount(number, chance, minlength=out.shape[1])
+            continue
+        word = np.concatenate([at % count for _, at, _ in arcs])
+        for k, mine in enumerate(member[group].T):
+            if mine.any():
+                hit = slice(None) if mine.all() else np.flatnonzero(mine.take(word))
+                out[k] += np.bincount(number[hit], chance[hit], minlength=out.shape[1])
+    return out[0] if member is None else out
 
 
 def spelled(pieces: Pieces, weights: list[tuple[np.ndarray, float]], words: Words, pick: np.ndarray) -> np.ndarray:
-    """Log10 of the marginal probability of each picked word (row) under each class's weights (column).
-
-    The recursion of forward() over the arcs that are there, for all classes at once; a single byte is one, so no place is without.
-    """
+    """Log10 of the marginal probability of each picked word (row) under each class's weights (column)."""
     out = np.zeros((len(pick), len(weights)))
     table = np.stack([weight for weight, _ in weights], axis=1)
     stop = np.array([last for _, last in weights])
+    far = far_apart(pieces, table)
     for group, letters in by_length(words, pick):
-        arcs, size = arcs_of(pieces, letters), letters.shape[1]
-        alpha = np.zeros((size + 1, len(group), len(weights)))
-        for end in range(1, size + 1):
-            total = alpha[end - 1] + table.take(arcs[0][1][:, end - 1], axis=0)
-            longer = [(n, np.flatnonzero(number[:, end - n] >= 0), number[:, end - n]) for n, number in arcs[1:] if n <= end]
-            longer = [(hit, alpha[end - n].take(hit, axis=0) + table.take(number[hit], axis=0)) for n, hit, number in longer if len(hit)]
-            if longer:
-                top = total.copy()
-                for hit, part in longer:
-                    top[hit] = np.maximum(top.take(hit, axis=0), part)
-                total = np.exp(total - top)
-                for hit, part in longer:
-                    total[hit] += np.exp(part - top.take(hit, axis=0))
-                total = top + np.log(total)
-            alpha[end] = total
-        out[group] = (alpha[size] + stop) / np.log(10)
+        arcs, (count, size) = found_arcs(pieces, letters), letters.shape
+        out[group] = (forward(arcs, by_start(arcs, count, size), table, count, size, far)[size] + stop) / np.log(10)
     return out
 
 
@@ -230,90 +268,109 @@ def arc_weights(pieces: Pieces, uses: np.ndarray, types: float) -> tuple[np.ndar
 
 @dataclass
 class Model:
-    """What the blocks need: classes with documents, tokens and arc weights; the rest comes by join."""
+    """What the blocks need: classes with documents, tokens and arc weights, numbers of words; the counts of words come by shuffle."""
 
     pieces: Pieces
     docs: np.ndarray
     tokens: np.ndarray
     weights: list[tuple[np.ndarray, float]]
+    types: int  # different words of the training documents
+    once: int  # those that occur once
 
 
-TYPES, DOCS, TOKENS = -1, -2, -3
+TYPES, DOCS, TOKENS, ONCE = -1, -2, -3, -4
 
 
-def training_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """class, word, docs, tokens: a slice's different words of each class, and one row without a word for its numbers."""
-    for rows, texts in slices(batches):
-        words = split_words([t.lower() if t else t for t in texts])
-        kind = np.asarray(rows.column("class"))
-        names, of, docs, tokens = [], [], [], []
-        for k in np.unique(kind[kind >= 0]).tolist():
-            mine = np.flatnonzero(kind[words.doc] == k)
-            at = mine[np.unique(words.hashes[mine], return_index=True)[1]]
-            n = int((kind == k).sum())
-            names += [None, *(words.raw[a:b] for a, b in zip(words.starts[at].tolist(), words.ends[at].tolist()))]
-            of.append(np.full(len(at) + 1, k, dtype=np.int32))
-            for column, own in ((docs, n), (tokens, len(mine) + n)):
-                column.append(np.append(own, np.zeros(len(at), dtype=np.int64)))
-        flat = [pa.array(np.concatenate(x) if x else np.zeros(0, dtype=t)) for x, t in ((of, np.int32), (docs, np.int64), (tokens, np.int64))]
-        yield pa.RecordBatch.from_arrays(
-            [flat[0], pa.array(names, pa.binary()), *flat[1:]],
-            ["class", "word", "docs", "tokens"])
+def class_counts(of: np.ndarray, kind: np.ndarray, size: int, classes: list[int]) -> list[np.ndarray]:
+    """For each of the classes how often each of `size` words occurs; of, kind: word and class of each occurrence."""
+    return [np.bincount(of[kind == k], minlength=size) for k in classes]
 
 
-def training_sums(pieces: Pieces):
-    """Per class: expected arc uses over words that occur in no other row, and numbers of types, documents and tokens."""
+def training_words(classes: int):
+    """word, c0, c1, ...: a slice's different words with their numbers in each class; one row without a word has those of documents."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, texts in slices(batches, size=LEARN_BYTES):
+            kind = np.asarray(rows.column("class"))
+            words = split_words([t.lower() if t and k >= 0 else None for t, k in zip(texts, kind.tolist())])
+            _, at, of = np.unique(words.hashes, return_index=True, return_inverse=True)
+            counts = class_counts(of, kind[words.doc], len(at), list(range(classes)))
+            edges = np.stack([words.starts, words.ends], axis=1).ravel().astype(np.int32)  # words and the gaps between them
+            spans = pa.Array.from_buffers(pa.binary(), max(len(edges) - 1, 0), [None, pa.py_buffer(edges), pa.py_buffer(words.raw)])
+            names = pa.concat_arrays([pa.array([None], pa.binary()), spans.take(pa.array(2 * at))])
+            yield pa.RecordBatch.from_arrays([names, *(pa.array(np.append(int((kind == k).sum()), c)) for k, c in enumerate(counts))],
+                                             ["word", *(f"c{k}" for k in range(classes))])
+    return run
+
+
+def training_sums(pieces: Pieces, classes: int):
+    """Per class: expected arc uses over the words of the rows, numbers of types, documents and tokens. Class `classes` is all together."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = np.append(np.log(pieces.prior), -np.inf)
-        uses: dict[int, np.ndarray] = {}
-        sums: dict[tuple[int, int], float] = {}
+        uses, sums = np.zeros((classes, len(pieces.prior))), np.zeros((classes + 1, 4))
         for rows, texts in slices(batches, "word"):
-            words = split_words(texts)  # a row without a word has none
-            kind = np.asarray(rows.column("class"))
-            for k in np.unique(kind).tolist():
-                mine = np.flatnonzero(kind[words.doc] == k)
-                uses[k] = uses.get(k, 0.0) + expected_uses(pieces, weight, words, mine)
-                docs, tokens = (int(np.asarray(rows.column(c))[kind == k].sum()) for c in ("docs", "tokens"))
-                for name, value in ((TYPES, len(mine)), (DOCS, docs), (TOKENS, tokens)):
-                    sums[k, name] = sums.get((k, name), 0.0) + value
-        rows = [(k, name, v) for (k, name), v in sums.items()]
-        rows += [(k, int(i), float(v[i])) for k, v in uses.items() for i in np.flatnonzero(v)]
+            words = split_words(texts)  # the row without a word has none
+            counts = np.stack([np.asarray(rows.column(f"c{k}")) for k in range(classes)], axis=1)
+            docs = counts[[t is None for t in texts]].sum(axis=0)
+            member = counts[words.doc] > 0
+            uses += expected_uses(pieces, weight, words, np.arange(len(words.starts)), member)
+            sums[:classes, :3] += np.stack([member.sum(axis=0), docs, counts.sum(axis=0)], axis=1)
+            sums[classes, [-TYPES - 1, -ONCE - 1]] += len(member), (counts[words.doc].sum(axis=1) == 1).sum()
+        rows = [(k, -i - 1, v) for k, own in enumerate(sums.tolist()) for i, v in enumerate(own)]
+        rows += [(k, int(i), float(v[i])) for k, v in enumerate(uses) for i in np.flatnonzero(v)]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()),
                                           pa.array([r[2] for r in rows], pa.float64())], ["class", "arc", "value"])
     return run
 
 
-def block_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, word hash, class, count): the words of each block, class -1 for documents that are not learned from."""
-    for rows, texts in unpacked(batches, COUNT_BYTES):
-        words = split_words([t.lower() if t else t for t in texts])
-        block, kind = np.asarray(rows.column("block"))[words.doc], np.asarray(rows.column("class"))[words.doc]
-        order = np.lexsort((words.hashes, (block.astype(np.int64) << 5) + kind))  # at most 16 classes
-        block, kind, h = block[order], kind[order], words.hashes[order]
-        lead = np.ones(len(h), dtype=bool)
-        lead[1:] = (h[1:] != h[:-1]) | (kind[1:] != kind[:-1]) | (block[1:] != block[:-1])
-        at = np.flatnonzero(lead)
-        count = np.diff(np.append(at, len(h)))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(block[at].astype(np.int32)), pa.array(h[at].view(np.int64)), pa.array(kind[at].astype(np.int32)),
-             pa.array(np.where(kind[at] < 0, 0, count))], ["block", "word", "class", "n"])
+def block_words(classes: list[int]):
+    """block, word hash, counts by class: each block's words, once, with their numbers in these classes, 0 where only others have them."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts = None, []
+        for rows, texts in unpacked(batches, COUNT_BYTES):
+            words = split_words([t.lower() if t else t for t in texts])
+            block, kind = np.asarray(rows.column("block")), np.asarray(rows.column("class"))
+            cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]  # sorted by block
+            for a, b in zip(cuts, cuts[1:]):
+                if parts and block[a] != now:
+                    yield block_rows(now, parts, classes)
+                    parts = []
+                now, mine = int(block[a]), slice(words.bounds[a], words.bounds[b])
+                h, of = np.unique(words.hashes[mine], return_inverse=True)
+                parts.append((h, class_counts(of, kind[words.doc[mine]], len(h), classes)))
+                if len(parts) > 1:  # no more than the block's different words are kept
+                    parts = [added(parts)]
+        if parts:
+            yield block_rows(now, parts, classes)
+    return run
+
+
+def added(parts: list[tuple[np.ndarray, list[np.ndarray]]]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The different words of all parts, in order, with the sums of their counts."""
+    h = np.concatenate([h for h, _ in parts])
+    order = np.argsort(h, kind="stable")
+    h = h[order]
+    at = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, dtype=np.int64)
+    return h[at], [np.add.reduceat(np.concatenate(c)[order], at) if len(at) else c[0] for c in zip(*(c for _, c in parts))]
+
 
+def block_rows(block: int, parts: list, classes: list[int]) -> pa.RecordBatch:
+    h, counts = parts[0]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), block, dtype=np.int32)), pa.array(h.view(np.int64)), *map(pa.array, counts)],
+                                      ["block", "word", *(f"c{k}" for k in classes)])
 
-def block_scores(model: Model, classes: int):
+
+def block_scores(model: Model, live: list[int]):
     def run(docs: pa.Table, table: pa.Table) -> pa.Table:
         docs = docs.combine_chunks()
-        total = np.asarray(table.column("total")).astype(np.int64)
-        facts = np.asarray(table.column("fact"))
-        per_class = np.stack([np.asarray(table.column(f"c{k}")).astype(np.int64) for k in range(classes)], axis=1)
-        types, once = (int(total[facts == 1][0]), int(per_class[facts == 1][0, 0])) if (facts == 1).any() else (0, 0)
-        known = np.asarray(table.column("word")).view(U64)[facts == 0]
+        known = np.asarray(table.column("word")).view(U64)
         order = np.argsort(known)
-        known, total, per_class = known[order], total[facts == 0][order], per_class[facts == 0][order]
-        del table, facts, order
+        known, per_class = known[order], np.stack([np.asarray(table.column(f"c{k}"))[order] for k in live], axis=1)
+        total = per_class.sum(axis=1)
+        del table, order
         n, ends = int(model.tokens.sum()), int(model.docs.sum())
-        novel = min(max(once / n if n else 1.0, 1e-4), MOST_UNKNOWN) if n else 1.0
+        types = model.types + int(ends > 0)  # the end is a type
+        novel = min(max(model.once / n if n else 1.0, 1e-4), MOST_UNKNOWN) if n else 1.0
         own, all_ = (1 - novel) * (1 - BORROWED), (1 - novel) * BORROWED
-        live = np.flatnonzero(model.docs > 0) if n else np.arange(classes)[:1]
         share = np.log10(model.docs[live] / ends) if n else np.zeros(1)
         base_of = n + 0.1 * (types + 1)
         over = model.docs[live] / (model.tokens[live] + 1) if n else np.zeros(1)  # chance of the end, by the lattice alone
@@ -340,7 +397,7 @@ def block_scores(model: Model, classes: int):
                 logs = np.log10(novel) + marginal
                 end = np.zeros(len(live))
                 if n:
-                    of_class = np.where(met[:, None], per_class[place][:, live], 0) if len(known) else np.zeros((len(h), len(live)))
+                    of_class = np.where(met[:, None], per_class[place], 0) if len(known) else np.zeros((len(h), len(live)))
                     with np.errstate(divide="ignore"):  # the log of no chance is -inf, which adds nothing
                         plain = np.log(own * of_class / model.tokens[live] + all_ * count[:, None] / n)
                     logs = np.logaddexp(logs * np.log(10), plain) / np.log(10)
@@ -376,8 +433,8 @@ def score_texts(docs: DataFrame, vocabulary: str, hold_out: int = HOLD_OUT, bloc
     own lang is not looked at when it is scored. lattice_score is the same without any counts of words: every word by its lattice alone.
 
     Training covers all documents with crc32(doc_id as text) mod hold_out not 0. Documents are dealt to blocks of about
-    block_bytes; word counts are aggregated once over (block, word) rows and joined back to the blocks, so no vocabulary is
-    ever held whole. Languages beyond the 15 most frequent share a class.
+    block_bytes; word counts are summed over the blocks by a window over (block, word) rows, which then go back to their blocks,
+    so no vocabulary is ever held whole. Languages beyond the 15 most frequent share a class.
 
     A null text counts as empty (only the end), a null lang is a language of its own, a null doc_id the empty id. Repeated
     rows are learned from and scored each. An empty table gives an empty result. Extra columns are not read.
@@ -394,45 +451,33 @@ def score_texts(docs: DataFrame, vocabulary: str, hold_out: int = HOLD_OUT, bloc
     classes = len(names) + 1
     rows = rows.withColumn("class", F.when(F.col("held_out"), -1).otherwise(numbers).cast("int")).drop("lang")
     pieces = Pieces.load(vocabulary)
-    # every word once for each class, however the documents are split, so that the weights do not depend on it
-    met_words = (rows.select("class", "text").mapInArrow(training_words, "class int, word binary, docs long, tokens long")
-                 .groupBy("class", "word").agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")))
-    sums = (met_words.mapInArrow(training_sums(pieces), "class int, arc int, value double")
+    # every word once, however the documents are split, so that the weights do not depend on it
+    fields = [f"c{k}" for k in range(classes)]
+    met_words = (rows.select("class", "text").mapInArrow(training_words(classes), "word binary, " + ", ".join(f"{c} long" for c in fields))
+                 .groupBy("word").agg(*[F.sum(c).alias(c) for c in fields]))
+    sums = (met_words.mapInArrow(training_sums(pieces, classes), "class int, arc int, value double")
             .groupBy("class", "arc").agg(F.sum("value").alias("value")).collect())  # at most classes x arcs
-    uses, facts = np.zeros((classes, len(pieces.prior))), np.zeros((classes, 3))
+    uses, facts = np.zeros((classes, len(pieces.prior))), np.zeros((classes + 1, 4))
     for r in sums:
         if r["arc"] < 0:
             facts[r["class"], -r["arc"] - 1] = r["value"]
         else:
             uses[r["class"], r["arc"]] = r["value"]
     facts = np.rint(facts).astype(np.int64)
-    model = Model(pieces, facts[:, 1], facts[:, 2], [arc_weights(pieces, uses[k], float(facts[k, 0])) for k in range(classes)])
+    model = Model(pieces, facts[:-1, 1], facts[:-1, 2], [arc_weights(pieces, uses[k], float(facts[k, 0])) for k in range(classes)],
+                  int(facts[-1, 0]), int(facts[-1, 3]))
     size = rows.agg(F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("n")).first()
     blocks = int(((size["b"] or 0) + 16 * size["n"]) // block_bytes) + 1
     # compressed, and the same columns for both readers below, so that the texts are shuffled once
     packed = f"doc_id {kind}, text binary, held_out boolean, class int, block int"
     dealt = (rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
              .mapInArrow(packed_column, packed).repartition("block").sortWithinPartitions("block"))
-    met = dealt.mapInArrow(block_words, "block int, word long, class int, n long").repartition("word")
-    per_class = [F.sum(F.when(F.col("class") == k, F.col("n")).otherwise(0)).alias(f"c{k}") for k in range(classes)]
-    counts = met.groupBy("word").agg(F.sum("n").alias("total"), *per_class).filter("total > 0")
-    fields = ["total", *(f"c{k}" for k in range(classes))]
-    here = met.select("block", "word").distinct().join(counts, "word").select("block", "word", F.lit(0).alias("fact"), *fields)
-    overall = counts.agg((F.count("*") + int(facts[:, 1].sum() > 0)).alias("total"), F.sum((F.col("total") == 1).cast("long")).alias("c0"))
-    told = (docs.sparkSession.range(blocks).select(F.col("id").cast("int").alias("block")).crossJoin(F.broadcast(overall))  # one row
-            .select("block", F.lit(0).cast("long").alias("word"), F.lit(1).alias("fact"), "total", F.coalesce("c0", F.lit(0)).alias("c0"),
-                    *[F.lit(0).cast("long").alias(f) for f in fields[2:]]))
+    live = np.flatnonzero(model.docs > 0).tolist() or [0]
+    fields = [f"c{k}" for k in live]
+    # one row for each block and word, which leaves with the word's counts over all blocks: texts are split, and words shuffled, once
+    everywhere = Window.partitionBy("word")
+    here = (dealt.mapInArrow(block_words(live), "block int, word long, " + ", ".join(f"{c} long" for c in fields))
+            .select("block", "word", *[F.sum(c).over(everywhere).alias(c) for c in fields])
+            .filter(" + ".join(fields) + " > 0"))
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, lattice_score double"
-    return (dealt.groupBy("block").cogroup(here.union(told).groupBy("block"))
-            .applyInArrow(skip_empty(block_scores(model, classes)), schema))
-
-
-def skip_empty(scores):
-    """Blocks that no document fell into have no rows."""
-    def run(docs: pa.Table, table: pa.Table) -> pa.Table:
-        if docs.num_rows:
-            return scores(docs, table)
-        return pa.table({"doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"),
-                         **{k: pa.array([], pa.int64()) for k in ("n_tokens", "n_known", "train_tokens")},
-                         **{k: pa.array([], pa.float64()) for k in ("base_score", "score", "lattice_score")}})
-    return run
+    return dealt.groupBy("block").cogroup(here.groupBy("block")).applyInArrow(block_scores(model, live), schema)

@@ -5,8 +5,10 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
+import zstandard
 from public_tokenizers import path as tokenizer_path
 from pyspark.sql import functions as F
 
@@ -299,3 +301,37 @@ def test_arcs_are_all_pieces_that_stand_there():
                 if word[p:p + n] in (start if p == 0 else onward)}
         assert got == want
     assert looked_up[13] < 3 * 13 * 14 / 2
+
+
+def test_words_of_several_classes_are_spelled_once():
+    pieces = Pieces.load(tokenizer_path("piece_bpe_32k.model"))
+    weight, _ = arc_weights(pieces, np.zeros(len(pieces.prior)), 0.0)
+    words = split_words([b"water", b"therein", b"zqxjk", "étés".encode(), b"a"])
+    member = np.array([[1, 0, 1], [1, 0, 0], [0, 0, 1], [1, 0, 1], [1, 0, 0]], dtype=bool)
+    got = expected_uses(pieces, weight, words, np.arange(5), member)
+    assert got.shape == (3, len(pieces.prior)) and not got[1].any()
+    for k in (0, 2):
+        assert np.allclose(got[k], expected_uses(pieces, weight, words, np.flatnonzero(member[:, k])))
+
+
+def test_a_blocks_words_come_once_whatever_the_slices(monkeypatch):
+    monkeypatch.setattr(lattice, "COUNT_BYTES", 20)
+    texts, block, kind = [b"a b a", b"b c", None, b"a The", b"the b"] * 3, [0] * 6 + [3] * 9, [0, -1, 2, 2, 0] * 3
+    rows = pa.RecordBatch.from_pydict({
+        "text": pa.array([t if t is None else zstandard.ZstdCompressor().compress(t) for t in texts], pa.binary()),
+        "class": pa.array(kind, pa.int32()), "block": pa.array(block, pa.int32())})
+    got = [tuple(r.values()) for out in lattice.block_words([0, 2])(iter([rows])) for r in out.to_pylist()]
+    want = {}
+    for text, b, k in zip(texts, block, kind):
+        for word in (text or b"").lower().split():
+            own = want.setdefault((b, int(split_words([word]).hashes.view(np.int64)[0])), [0, 0])
+            if k >= 0:
+                own[k // 2] += 1
+    assert len(got) == len(want) and {(b, w): [x, y] for b, w, x, y in got} == want
+
+
+def test_texts_are_split_once_for_their_counts(spark):
+    """One pass over the dealt texts for the blocks' words and one for the scores; three passes and shuffles of words before."""
+    docs = spark.createDataFrame(corpus(60), SCHEMA)
+    plan = score_texts(docs, tokenizer_path("piece_bpe_32k.model"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 3 and "Join" not in plan  # the dealt texts, read by both sides, and the words
