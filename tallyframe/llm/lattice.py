@@ -15,7 +15,7 @@ from tallyframe.llm.text import BASE, BASE_INVERSE, U64, Words, give_back, id_re
 HOLD_OUT = 10
 BLOCK_BYTES = 24 << 20
 LEARN_BYTES = 2 << 20  # of text, worked on at once; the next ones are of compressed text
-COUNT_BYTES, SCORE_BYTES = 6 << 20, 4 << 20
+COUNT_BYTES, SCORE_BYTES = 3 << 20, 2 << 20
 MAIN_CLASSES = 15
 PRIOR_MASS = 200.0  # of the vocabulary's own scores, against one for each word type met
 BORROWED = 0.02  # weight of the counts of all languages beside those of one
